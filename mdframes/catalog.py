@@ -163,17 +163,14 @@ def minimum_image_triclinic(spark, sf):
     nxt = shared(spark, sf, "positions").select("traj", (F.col("frame") - 1).alias("frame"), "atom_id",
                                                 *[F.col(n).alias(f"t{n}") for n in "xyz"])
     j = p.join(nxt, ["traj", "frame", "atom_id"])
-    d = C.minimum_image(C.vec("t") - C.vec(), C.matrix_columns())
-    return rounded(j.select("traj", "frame", "atom_id", d.x.alias("dx"), d.y.alias("dy"), d.z.alias("dz")))
+    out = C.minimum_image(j, "tx - x", "ty - y", "tz - z", ("dx", "dy", "dz"))
+    return rounded(out.select("traj", "frame", "atom_id", "dx", "dy", "dz"))
 
 
 @query
 def cell_volume(spark, sf):
-    fr = V.triclinic_frames(spark, sf)
-    args = [F.col(n) for n in ("a", "b", "c", "alpha", "beta", "gamma")]
-    return rounded(fr.select("traj", "frame", C.cell_volume(*args).alias("volume"),
-                             *[c.alias(n) for n, c in C.cell_matrix(*args).items()],
-                             C.is_orthorhombic(*args[3:]).alias("orthorhombic")))
+    fr = V.triclinic_frames(spark, sf).withColumn("orthorhombic", F.expr(C.is_orthorhombic()))
+    return rounded(C.with_cell_matrix(fr).select("traj", "frame", "volume", *C.MATRIX, "orthorhombic"))
 
 
 # --- dynamics and transport ---------------------------------------------------------------------
@@ -244,7 +241,7 @@ def curves(spark, sf):
 def system(spark, sf):
     """Mean valid volume and temperature of each trajectory."""
     v = V.triclinic_frames(spark, sf).groupBy("traj").agg(
-        F.avg(C.orthorhombic_volume(F.col("a"), F.col("b"), F.col("c"))).alias("volume_A3"))
+        F.expr(f"avg({C.orthorhombic_volume()})").alias("volume_A3"))
     g = F.regexp_extract("traj", r"(\d+)", 1).cast("int")
     return v.withColumn("temperature_K", F.lit(300.0) + 30.0 * g)
 
@@ -533,9 +530,14 @@ ENTITIES = [SEL.EntitySelection("Li", (10, 11)), SEL.EntitySelection("chains", (
 MASS_G_MOL = 4800.0
 
 
+@functools.lru_cache(maxsize=4)
+def _merged_once(app, sf):
+    spark = SparkSession.getActiveSession()
+    return TS.merge_log_onto_frames(shared(spark, sf, "snapshots"), shared(spark, sf, "logs"), tolerance=3.0).persist()
+
+
 def _merged(spark, sf):
-    snaps = V.snapshots(spark, sf)
-    return TS.merge_log_onto_frames(snaps, V.logs(spark, sf), tolerance=3.0)
+    return _merged_once(spark.sparkContext.applicationId, sf)
 
 
 @query
@@ -546,16 +548,16 @@ def log_asof(spark, sf):
 
 @query
 def log_asof_left_log(spark, sf):
-    log = V.logs(spark, sf)
-    out = TS.merge_frames_onto_log(log, V.snapshots(spark, sf).withColumnRenamed("o_orderkey", "snap_key"),
+    log = shared(spark, sf, "logs")
+    out = TS.merge_frames_onto_log(log, shared(spark, sf, "snapshots").withColumnRenamed("o_orderkey", "snap_key"),
                                    right_order=["snap_key"])
     return rounded(out.select("series", "run_index", "time_ps", "time_ps_snap", "snap_key", "a_A", "kinetic_kcal_mol"), 4)
 
 
 @query
 def merge_by_position(spark, sf):
-    log = V.logs(spark, sf).select("series", "run_index", F.col("time_ps").alias("log_time"))
-    snap = (V.snapshots(spark, sf).where("a_A is not null")
+    log = shared(spark, sf, "logs").select("series", "run_index", F.col("time_ps").alias("log_time"))
+    snap = (shared(spark, sf, "snapshots").where("a_A is not null")
             .select("series", "run_index", "o_orderkey", F.col("time_ps").alias("snap_time")))
     return TS.merge_by_position(log, snap, TS.RUN, ["log_time"], ["snap_time", "o_orderkey"])
 
@@ -569,9 +571,14 @@ def stitched_series(spark, sf):
     return rounded(_stitched(spark, sf).select("series", "run_index", "o_orderkey", "time_ps_local", "time_offset_ps", "time_ps"))
 
 
+@functools.lru_cache(maxsize=4)
+def _derived_once(app, sf):
+    spark = SparkSession.getActiveSession()
+    return TS.refresh(_stitched(spark, sf), F.lit(MASS_G_MOL), {"Li": F.lit(12)}).persist()
+
+
 def _derived(spark, sf):
-    n = F.lit(12)
-    return TS.refresh(_stitched(spark, sf), F.lit(MASS_G_MOL), {"Li": n})
+    return _derived_once(spark.sparkContext.applicationId, sf)
 
 
 @query
@@ -604,12 +611,12 @@ def series_summary(spark, sf):
 
 @query
 def time_step(spark, sf):
-    return rounded(TS.time_step(V.snapshots(spark, sf), TS.RUN))
+    return rounded(TS.time_step(shared(spark, sf, "snapshots"), TS.RUN))
 
 
 @query
 def kinetic_temperature(spark, sf):
-    log = V.logs(spark, sf).where("kinetic_kcal_mol is not null")
+    log = shared(spark, sf, "logs").where("kinetic_kcal_mol is not null")
     return rounded(log.select("series", "run_index", "time_ps", X.kinetic_temperature(
         F.col("kinetic_kcal_mol"), F.lit(3 * 400 - 3)).alias("temperature_K")))
 
@@ -666,9 +673,10 @@ def entity_counts(spark, sf):
 @query
 def count_consistency(spark, sf):
     """Entity counts per run; series whose runs disagree."""
-    o = V._runs(spark, sf).groupBy("series", "run_index").agg(F.count_distinct("o_orderstatus").alias("n"))
+    runs = shared(spark, sf, "runs")
+    o = runs.groupBy("series", "run_index").agg(F.count_distinct("o_orderstatus").alias("n"))
     agree = o.select("series", "run_index", F.lit("status").alias("token"), "n")
-    m = V._runs(spark, sf).groupBy("series", "run_index").agg(F.count(F.lit(1)).alias("n"))
+    m = runs.groupBy("series", "run_index").agg(F.count(F.lit(1)).alias("n"))
     return TS.inconsistent_counts(agree.unionByName(m.select("series", "run_index", F.lit("orders").alias("token"), "n")))
 
 
@@ -804,7 +812,7 @@ def temperature_from_name(spark, sf):
 @query
 def run_names(spark, sf):
     """Series label, temperature and run number of directory names built over all orders."""
-    r = V._runs(spark, sf)
+    r = shared(spark, sf, "runs")
     d = F.when(F.col("run_index") == 1, F.col("series")).otherwise(
         F.concat(F.lower("series"), F.format_string("_run_%03d", F.col("run_index"))))
     return r.select("o_orderkey", T.series_label(d).alias("label"), T.series_temperature(d).alias("temperature_K"),

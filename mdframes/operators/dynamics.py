@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdframes.operators.scan import previous, running
 from mdframes.schema import XYZ
 
 FRAMES_PER_BUCKET = 4096
@@ -21,22 +20,29 @@ def unwrap(positions: DataFrame, lengths: Sequence[str] = ("a", "b", "c")) -> Da
     ``positions`` carries the cell lengths of its frame. A step uses the cell of its later frame.
     A trajectory with an invalid cell anywhere passes through unchanged.
     """
-    keys = ["traj", "atom_id"]
-    ok = F.lit(True)
-    for n in lengths:
-        ok = ok & F.coalesce((F.col(n) > 0) & (F.col(n) < float("inf")), F.lit(False))
-    usable = positions.groupBy("traj").agg(F.bool_and(ok).alias("_usable"))
-    df = positions.withColumn("_b", F.floor(F.col("frame") / FRAMES_PER_BUCKET))
-    df = previous(df, keys, "_b", ["frame"], {f"_p{n}": F.col(n) for n in XYZ})
-    steps = {}
-    for n, length in zip(XYZ, lengths):
-        d = F.col(n) - F.col(f"_p{n}")
-        steps[f"_s{n}"] = F.coalesce(d - F.col(length) * F.rint(d / F.col(length)), F.col(n))
-    df = df.withColumns(steps).drop(*[f"_p{n}" for n in XYZ])
-    df = running(df, keys, "_b", ["frame"], {f"_u{n}": F.col(f"_s{n}") for n in XYZ})
-    df = df.join(usable, "traj")
-    df = df.withColumns({n: F.when(F.col("_usable"), F.col(f"_u{n}")).otherwise(F.col(n)) for n in XYZ})
-    return df.drop("_b", "_usable", *[f"_s{n}" for n in XYZ], *[f"_u{n}" for n in XYZ])
+    ok = " AND ".join(f"{n} > 0 AND {n} < double('infinity')" for n in lengths)
+    usable = positions.groupBy("traj").agg(F.expr(f"bool_and(coalesce({ok}, false))").alias("_usable"))
+    rest = [c for c in positions.columns if c not in {"traj", "atom_id", "frame", *XYZ, *lengths}]
+    df = positions.selectExpr("traj", "atom_id", "frame", *XYZ, *lengths, *rest,
+                              f"frame div {FRAMES_PER_BUCKET} AS _b")
+    w = "(PARTITION BY traj, atom_id, _b ORDER BY frame)"
+    step = {n: f"coalesce({{d}} - {length}*rint({{d}}/{length}), 0D)" for n, length in zip(XYZ, lengths)}
+    df = df.selectExpr("*", *[step[n].format(d=f"({n} - lag({n}) OVER {w})") + f" AS _s{n}" for n in XYZ])
+    # Bucket summaries: travelled path inside, and the step over the border from the bucket before.
+    buckets = df.groupBy("traj", "atom_id", "_b").agg(
+        *[F.sum(f"_s{n}").alias(f"t{n}") for n in XYZ], *[F.min_by(n, "frame").alias(f"f{n}") for n in XYZ],
+        *[F.max_by(n, "frame").alias(f"l{n}") for n in XYZ], *[F.min_by(n, "frame").alias(f"c{n}") for n in lengths])
+    wb = "(PARTITION BY traj, atom_id ORDER BY _b)"
+    buckets = buckets.selectExpr("traj", "atom_id", "_b", *[f"t{n}" for n in XYZ], *[
+        f"coalesce({{d}} - c{length}*rint({{d}}/c{length}), f{n}) AS j{n}".replace(
+            "{d}", f"(f{n} - lag(l{n}) OVER {wb})") for n, length in zip(XYZ, lengths)])
+    upto = wb[:-1] + " ROWS UNBOUNDED PRECEDING)"
+    buckets = buckets.selectExpr("traj", "atom_id", "_b", *[
+        f"sum(j{n}) OVER {upto} + sum(t{n}) OVER {upto} - t{n} AS _o{n}" for n in XYZ])
+    df = df.join(buckets, ["traj", "atom_id", "_b"]).join(usable, "traj")
+    run = w[:-1] + " ROWS UNBOUNDED PRECEDING)"
+    return df.selectExpr("traj", "frame", "atom_id", *[
+        f"CASE WHEN _usable THEN _o{n} + sum(_s{n}) OVER {run} ELSE {n} END AS {n}" for n in XYZ], *lengths, *rest)
 
 
 def centre_of_mass(positions: DataFrame, keys: Sequence[str], mass: str = "mass") -> DataFrame:

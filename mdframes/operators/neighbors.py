@@ -8,7 +8,7 @@ the cutoff sit in the same or in touching cells. Positions must carry their fram
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mdframes.functions import cell as C
@@ -19,33 +19,20 @@ KEYS = ["traj", "frame"]
 
 def attach_cell(positions: DataFrame, frames: DataFrame) -> DataFrame:
     """Positions with the cell matrix and volume of their frame."""
-    return positions.join(C.with_cell_matrix(frames.select("traj", "frame", "a", "b", "c", "alpha",
-                                                           "beta", "gamma")), KEYS)
+    return positions.join(C.with_cell_matrix(frames.select(*KEYS, *C.CELL)), KEYS)
 
 
-def _gridded(df: DataFrame, cutoff: float) -> DataFrame:
-    m = C.matrix_columns()
-    f = C.fractional(C.vec(), m)
-    h = C.heights(m)
-    cols = {}
-    for n, frac, height in zip("xyz", (f.x, f.y, f.z), (h.x, h.y, h.z)):
-        cells = F.greatest(F.lit(1), F.floor(height / F.lit(float(cutoff)))).cast("int")
-        cols[f"_n{n}"] = cells
-        wrapped = frac - F.floor(frac)
-        # Round-off can lift a wrapped coordinate to exactly 1.
-        cols[f"_g{n}"] = F.least(F.floor(wrapped * cells).cast("int"), cells - 1)
-    return df.withColumns(cols)
+def _gridded(df: DataFrame, cutoff: float, carry: list[str]) -> DataFrame:
+    """Cell index (gx, gy, gz) of every row and the number of cells (nx, ny, nz) per axis."""
+    names = list(zip("xyz", C.fractional("x", "y", "z"), C.heights()))
+    df = df.selectExpr(*carry, *[f"{f} AS f{n}" for n, f, _ in names],
+                       *[f"int(greatest(1, floor(({h})/{float(cutoff)}D))) AS n{n}" for n, _, h in names])
+    # Round-off can lift a wrapped coordinate to exactly 1.
+    index = [f"least(int(floor((f{n} - floor(f{n}))*n{n})), n{n} - 1) AS g{n}" for n in "xyz"]
+    return df.selectExpr(*carry, "nx", "ny", "nz", *index)
 
 
-def _cell_id(gx: Column, gy: Column, gz: Column) -> Column:
-    nx, ny = F.col("_nx").cast("long"), F.col("_ny").cast("long")
-    return gx.cast("long") + nx * (gy.cast("long") + ny * gz.cast("long"))
-
-
-def _touching(axis: str) -> Column:
-    """Distinct cell indices within one step on a periodic axis (1, 2 or 3 of them)."""
-    g, n = F.col(f"_g{axis}"), F.col(f"_n{axis}")
-    return F.array_distinct(F.array(F.pmod(g - 1, n), g, F.pmod(g + 1, n)))
+CELL_ID = "bigint(gx) + nx*(bigint(gy) + ny*bigint(gz)) AS cell"
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, cutoff: float, strict: bool = False,
@@ -59,37 +46,32 @@ def radius_pairs(left: DataFrame, right: DataFrame, cutoff: float, strict: bool
     fixed = {"traj", "frame", "atom_id", "x", "y", "z", "volume", *C.MATRIX}
     l_extra = [c for c in left.columns if c not in fixed]
     r_extra = [c for c in right.columns if c not in fixed]
-    lg = _gridded(left, cutoff)
-    lg = lg.select(*KEYS, _cell_id(F.col("_gx"), F.col("_gy"), F.col("_gz")).alias("cell"),
-                   F.col("atom_id").alias("i"), F.col("x").alias("lx"), F.col("y").alias("ly"),
-                   F.col("z").alias("lz"), *C.MATRIX, "volume",
-                   *[F.col(c).alias(f"l_{c}") for c in l_extra])
-    rg = _gridded(right, cutoff)
-    rg = (rg.withColumn("_tx", F.explode(_touching("x")))
-          .withColumn("_ty", F.explode(_touching("y")))
-          .withColumn("_tz", F.explode(_touching("z")))
-          .select(*KEYS, _cell_id(F.col("_tx"), F.col("_ty"), F.col("_tz")).alias("cell"),
-                  F.col("atom_id").alias("j"), F.col("x").alias("rx"), F.col("y").alias("ry"),
-                  F.col("z").alias("rz"), *[F.col(c).alias(f"r_{c}") for c in r_extra]))
-    joined = salted_join(lg, rg, [*KEYS, "cell"], ["i"], hot_rows)
-    d = C.minimum_image(C.vec("r") - C.vec("l"), C.matrix_columns())
-    out = joined.where(F.col("i") != F.col("j")).select(
-        *KEYS, "i", "j", d.x.alias("dx"), d.y.alias("dy"), d.z.alias("dz"), "volume",
-        *[f"l_{c}" for c in l_extra], *[f"r_{c}" for c in r_extra])
-    out = out.withColumn("r2", C.vec("d").dot(C.vec("d")))
-    limit = F.lit(float(cutoff) * float(cutoff))
-    return out.where(F.col("r2") < limit if strict else F.col("r2") <= limit)
+    point = [*KEYS, "atom_id", "x", "y", "z"]
+    lg = _gridded(left, cutoff, [*point, *C.MATRIX, "volume", *l_extra])
+    lg = lg.selectExpr(*KEYS, CELL_ID, "atom_id AS i", "x AS lx", "y AS ly", "z AS lz", *C.MATRIX, "volume",
+                       *[f"`{c}` AS `l_{c}`" for c in l_extra])
+    rg = _gridded(right, cutoff, [*point, *r_extra])
+    # One row per touching cell: 1, 2 or 3 distinct cells along a periodic axis.
+    for n in "xyz":
+        rest = [c for c in rg.columns if c != f"g{n}"]
+        rg = rg.selectExpr(*rest, f"explode(array_distinct(array(pmod(g{n} - 1, n{n}), g{n}, "
+                                  f"pmod(g{n} + 1, n{n})))) AS g{n}")
+    rg = rg.selectExpr(*KEYS, CELL_ID, "atom_id AS j", "x AS rx", "y AS ry", "z AS rz",
+                       *[f"`{c}` AS `r_{c}`" for c in r_extra])
+    joined = salted_join(lg, rg, [*KEYS, "cell"], ["i"], hot_rows).where("i <> j")
+    out = C.minimum_image(joined, "rx - lx", "ry - ly", "rz - lz", ("dx", "dy", "dz"))
+    out = out.selectExpr(*KEYS, "i", "j", "dx", "dy", "dz", f"{C.dot('d', 'd')} AS r2", "volume",
+                         *[f"`l_{c}`" for c in l_extra], *[f"`r_{c}`" for c in r_extra])
+    return out.where(f"r2 {'<' if strict else '<='} {float(cutoff) * float(cutoff)}D")
 
 
 def molecule_distances(pairs: DataFrame, mol: str = "r_mol_id") -> DataFrame:
     """Shortest left-atom-to-molecule distance per frame: traj, frame, i, mol_id, r2."""
-    return (pairs.groupBy(*KEYS, "i", F.col(mol).alias("mol_id"))
-            .agg(F.min("r2").alias("r2")))
+    return pairs.groupBy(*KEYS, "i", F.col(mol).alias("mol_id")).agg(F.min("r2").alias("r2"))
 
 
 def short_contacts(positions: DataFrame, cutoff: float, top: int) -> DataFrame:
     """The ``top`` closest pairs of atoms that belong to different molecules."""
-    pairs = radius_pairs(positions, positions, cutoff)
-    pairs = pairs.where((F.col("i") < F.col("j")) & (F.col("l_mol_id") != F.col("r_mol_id")))
-    return (pairs.select(*KEYS, "i", "j", F.sqrt("r2").alias("distance"))
+    pairs = radius_pairs(positions, positions, cutoff).where("i < j AND l_mol_id <> r_mol_id")
+    return (pairs.selectExpr(*KEYS, "i", "j", "sqrt(r2) AS distance")
             .orderBy("distance", *KEYS, "i", "j").limit(top))

@@ -110,8 +110,7 @@ def adf_triplets(sites: DataFrame, site1: str, site2: str, site3: str, rcut12: f
     if unique_terminals and site1 == site3:
         keep = F.col("endp") < F.col("endq")
     norm = F.col("pr") * F.col("qr")
-    cos = C.vec("p").dot(C.vec("q")) / norm
-    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
+    angle = F.expr(f"degrees(acos(greatest(-1D, least(1D, {C.dot('p', 'q')}/(pr*qr)))))")
     return both.where(keep & (norm > 1.0e-14)).select("traj", "frame", "centre",
                                                       angle.alias("angle_deg"))
 
@@ -169,18 +168,22 @@ def smooth(curve: DataFrame, keys: list[str], value: str, bandwidth: float, dr:
     return curve.join(out, [*keys, "bin"])
 
 
-def extrema(curve: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """Strict local maxima of ``value``; the middle index stands for a plateau. keys, bin, height."""
+def extrema(curve: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Strict local extrema of a curve; the middle index stands for a plateau.
+
+    One row per curve: keys, and ``marks``, an array of (bin, height, kind) in bin order with kind
+    'max' or 'min'. A curve is bounded by its bins.
+    """
     w = Window.partitionBy(*keys).orderBy("bin")
-    df = curve.select(*keys, "bin", value.alias("v"))
-    df = df.withColumn("_new", (F.lag("v").over(w).isNull() | (F.lag("v").over(w) != F.col("v"))).cast("int"))
+    df = curve.select(*keys, "bin", F.col(value).alias("v"))
+    df = df.withColumn("_new", F.coalesce((F.lag("v").over(w) != F.col("v")).cast("int"), F.lit(1)))
     df = df.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = df.groupBy(*keys, "_run").agg(F.min("bin").alias("s"), F.max("bin").alias("e"),
-                                         F.max("v").alias("height"))
+    runs = df.groupBy(*keys, "_run").agg(F.min("bin").alias("s"), F.max("bin").alias("e"), F.max("v").alias("h"))
     r = Window.partitionBy(*keys).orderBy("_run")
-    runs = runs.withColumns({"_l": F.lag("height").over(r), "_r": F.lead("height").over(r)})
-    return (runs.where((F.col("height") > F.col("_l")) & (F.col("height") > F.col("_r")))
-            .select(*keys, F.floor((F.col("s") + F.col("e")) / 2).cast("int").alias("bin"), "height"))
+    runs = runs.withColumns({"_l": F.lag("h").over(r), "_r": F.lead("h").over(r)})
+    mark = F.expr("""CASE WHEN h > _l AND h > _r THEN struct(int((s + e) div 2) AS bin, h AS height, 'max' AS kind)
+                          WHEN h < _l AND h < _r THEN struct(int((s + e) div 2) AS bin, h AS height, 'min' AS kind) END""")
+    return runs.groupBy(*keys).agg(F.array_sort(F.collect_list(mark)).alias("marks"))
 
 
 def first_minimum(curve: DataFrame, keys: list[str], value: str, dr: float,
@@ -190,21 +193,15 @@ def first_minimum(curve: DataFrame, keys: list[str], value: str, dr: float,
     The peak is the first maximum at r >= ``min_peak_r`` of at least 10 % of the highest such
     maximum; the minimum is the first one at least max(2 dr, 0.10) beyond it.
     """
-    r = (F.col("bin") + 0.5) * F.lit(float(dr))
-    peaks = extrema(curve, keys, F.col(value)).where(r >= min_peak_r)
-    top = peaks.groupBy(*keys).agg(F.max("height").alias("_top"))
-    ranked = peaks.join(top, keys)
-    peak = ranked.groupBy(*keys).agg(F.coalesce(
-        F.min(F.when(F.col("height") >= 0.10 * F.col("_top"), F.col("bin"))),
-        F.min("bin")).alias("_peak"))
     gap = max(2.0 * dr, 0.10)
-    minima = (extrema(curve, keys, -F.col(value)).join(peak, keys)
-              .where((F.col("bin") > F.col("_peak"))
-                     & (r - (F.col("_peak") + 0.5) * F.lit(float(dr)) >= gap))
-              .groupBy(*keys).agg(F.min("bin").alias("_min")))
-    out = curve.select(*keys).distinct().join(peak, keys, "left").join(minima, keys, "left")
-    at = lambda c: (F.col(c) + 0.5) * F.lit(float(dr))
-    status = (F.when(F.col("_peak").isNull(), "no_first_shell_peak")
-              .when(F.col("_min").isNull(), "no_separated_minimum").otherwise("ok"))
-    return out.select(*keys, at("_peak").alias("r_peak"), at("_min").alias("r_min"),
-                      status.alias("status"))
+    df = extrema(curve, keys, value)
+    r = f"((m.bin + 0.5D)*{float(dr)}D)"
+    df = df.selectExpr(*keys, "marks", f"filter(marks, m -> m.kind = 'max' AND {r} >= {min_peak_r}D) AS peaks")
+    df = df.selectExpr(*keys, "marks", "peaks", "array_max(transform(peaks, m -> m.height)) AS top")
+    df = df.selectExpr(*keys, "marks", f"""get(transform(coalesce(
+        nullif(filter(peaks, m -> m.height >= 0.10D*top), cast(array() AS array<struct<bin:int,height:double,kind:string>>)),
+        peaks), m -> {r}), 0) AS r_peak""")
+    df = df.selectExpr(*keys, "r_peak", f"""get(transform(filter(marks,
+        m -> m.kind = 'min' AND {r} - r_peak >= {gap}D - 1e-9D), m -> {r}), 0) AS r_min""")
+    return df.selectExpr(*keys, "r_peak", "r_min", """CASE WHEN r_peak IS NULL THEN 'no_first_shell_peak'
+        WHEN r_min IS NULL THEN 'no_separated_minimum' ELSE 'ok' END AS status""")

@@ -131,7 +131,7 @@ def stitch(df: DataFrame, series: str = "series", run: str = "run_index", time:
 def refresh(df: DataFrame, mass_g_mol: Column | None = None,
             counts: dict[str, Column] | None = None) -> DataFrame:
     """Volume from the cell, then density and one concentration per entity count."""
-    out = df.withColumn("volume_A3", C.cell_volume(*[F.col(c) for c in CELL_A]))
+    out = df.withColumn("volume_A3", F.expr(C.cell_volume(*CELL_A)))
     for token, n in (counts or {}).items():
         out = out.withColumns({f"count_{token}": n, f"concentration_{token}_mol_dm3":
                                X.concentration_mol_dm3(n, F.col("volume_A3"))})

@@ -110,7 +110,7 @@ def triclinic_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.lit(90.0) + (f % 3)).alias("gamma"))
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     series = F.concat(F.lit("T"), (F.lit(240) + 30 * F.substring("o_orderpriority", 1, 1).cast("int"))
                       .cast("string"), F.lit("K"))
@@ -122,17 +122,17 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run-log records, one per order: series, run_index, time_ps, energies."""
-    return _runs(spark, sf_dir).select(
+    return runs(spark, sf_dir).select(
         "series", "run_index", (F.col("rn") * 10.0).alias("time_ps"),
         (-F.col("o_totalprice")).alias("potential_kcal_mol"),
-        F.when(F.col("o_orderkey") % 13 != 0, F.col("o_totalprice") / 100)
+        F.when(F.col("o_orderkey") % 13 != 0, F.floor("o_totalprice") / 128.0)
         .alias("kinetic_kcal_mol"))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot cells, one per order, at times that straddle the log times."""
-    a = F.lit(20.0) + (F.col("o_custkey") % 100) / F.lit(1000.0)
-    return _runs(spark, sf_dir).select(
+    a = F.lit(20.0) + (F.col("o_custkey") % 100) / F.lit(1024.0)
+    return runs(spark, sf_dir).select(
         "series", "run_index", "o_orderkey",
         (F.col("rn") * 10.0 + F.col("o_orderkey") % 11 - 5).alias("time_ps"),
         F.when(F.col("o_orderkey") % 17 != 0, a).alias("a_A"),

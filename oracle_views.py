@@ -34,9 +34,9 @@ runs AS (SELECT *, 'T'||(240+30*CAST(SUBSTR(o_orderpriority,1,1) AS INT))||'K' A
   ROW_NUMBER() OVER (PARTITION BY o_orderpriority, o_orderkey%3 ORDER BY o_orderdate, o_orderkey) AS rn
   FROM orders),
 logs AS (SELECT series, run_index, 10.0::DOUBLE*rn AS time_ps, -o_totalprice AS potential_kcal_mol,
-  CASE WHEN o_orderkey%13<>0 THEN o_totalprice/100 END AS kinetic_kcal_mol FROM runs),
+  CASE WHEN o_orderkey%13<>0 THEN FLOOR(o_totalprice)/128.0::DOUBLE END AS kinetic_kcal_mol FROM runs),
 snaps AS (SELECT series, run_index, o_orderkey, 10.0::DOUBLE*rn + o_orderkey%11 - 5 AS time_ps,
-  CASE WHEN o_orderkey%17<>0 THEN 20.0::DOUBLE + (o_custkey%100)/1000.0::DOUBLE END AS a_A,
+  CASE WHEN o_orderkey%17<>0 THEN 20.0::DOUBLE + (o_custkey%100)/1024.0::DOUBLE END AS a_A,
   20.0::DOUBLE AS b_A, 20.0::DOUBLE AS c_A, 90.0::DOUBLE AS alpha_deg, 90.0::DOUBLE AS beta_deg,
   90.0::DOUBLE AS gamma_deg FROM runs)"""
 

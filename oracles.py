@@ -266,8 +266,8 @@ O["system_sigma"] = MSD + NE + """SELECT traj, ROUND(SUM(sig),5) AS sigma_total_
   STRING_AGG(label,'+' ORDER BY label) AS species_included FROM ne2 GROUP BY traj"""
 O["diffusion_vs_temperature"] = MSD + NE + """SELECT traj, label, temperature_K, ROUND(1000/temperature_K,5) AS inv_T,
   ROUND(LOG10(s/6*1e-7),5) AS log10_D, ROUND(sig*10,5) AS sigma_NE_mS_cm FROM ne2"""
-O["arrhenius"] = ONS + SIGMA + """, st AS (SELECT traj, temperature_K AS t, SUM(pair*mult*10) AS sg FROM sg2 WHERE kind='self' GROUP BY ALL),
-f AS (SELECT COUNT(*) AS n, regr_slope(LOG10(sg*t),1000/t) AS s, regr_intercept(LOG10(sg*t),1000/t) AS i FROM st WHERE sg>0)
+O["arrhenius"] = ONS + SIGMA + """, sgt AS (SELECT traj, temperature_K AS t, SUM(pair*mult*10) AS sg FROM sg2 WHERE kind='self' GROUP BY ALL),
+f AS (SELECT COUNT(*) AS n, regr_slope(LOG10(sg*t),1000/t) AS s, regr_intercept(LOG10(sg*t),1000/t) AS i FROM sgt WHERE sg>0)
 SELECT n, ROUND(s,5) AS slope, ROUND(i,5) AS intercept, ROUND(-1000*LN(10.0)*8.617333262145e-5*s,5) AS Ea_eV FROM f"""
 
 REF = """
@@ -409,10 +409,7 @@ UNION ALL SELECT traj, 'intermittent', n, ROUND(integral,6) FROM ({trapz('it')})
 
 # --- run logs ---------------------------------------------------------------------------------------
 
-NEAR = """mg AS MATERIALIZED (SELECT s.*, l.time_ps AS lt, l.potential_kcal_mol, l.kinetic_kcal_mol FROM snaps s LEFT JOIN LATERAL
-  (SELECT * FROM logs l WHERE l.series=s.series AND l.run_index=s.run_index AND ABS(l.time_ps-s.time_ps)<=3.0
-   ORDER BY ABS(l.time_ps-s.time_ps), l.time_ps LIMIT 1) l ON TRUE)"""
-# Log times are 10, 20, ... so the only candidates are the two multiples of 10 around a snapshot.
+# Log times are 10, 20, ...: only the two multiples of 10 around a snapshot can be nearest.
 NEAR = """cnd AS (SELECT s.series, s.run_index, s.o_orderkey, l.time_ps AS lt, l.potential_kcal_mol, l.kinetic_kcal_mol,
   ROW_NUMBER() OVER (PARTITION BY s.o_orderkey ORDER BY ABS(l.time_ps-s.time_ps), l.time_ps) AS rk
   FROM snaps s JOIN logs l ON l.series=s.series AND l.run_index=s.run_index AND l.time_ps IN (FLOOR(s.time_ps/10)*10, FLOOR(s.time_ps/10)*10+10)
