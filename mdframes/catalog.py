@@ -26,6 +26,12 @@ from mdframes.operators import selection as SEL
 from mdframes.operators import structure as S
 from mdframes.operators import timeseries as TS
 from mdframes.operators import transport as TR
+from mdframes.sources import logs as sources_logs
+from mdframes.sources import pdb as sources_pdb
+from mdframes.sources import sinks as sources_sinks
+from mdframes.sources import text as sources_text
+from mdframes.sources import xyz as sources_xyz
+from mdframes.staging import once_per_app, staged, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,15 +54,13 @@ def rounded(df: DataFrame, digits: int = 6, **scale: float) -> DataFrame:
     return df.select(*cols)
 
 
-@functools.lru_cache(maxsize=16)
-def _shared(app: str, sf_dir: str, name: str) -> DataFrame:
-    spark = SparkSession.getActiveSession()
-    return getattr(V, name)(spark, sf_dir).persist()
+_VIEWS = {n: staged(getattr(V, n)) for n in
+          ("positions", "walks", "atoms", "runs", "logs", "snapshots", "bonded_atoms", "triclinic_frames")}
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A canonical view that one query reads several times; kept in memory or spilled to disk."""
-    return _shared(spark.sparkContext.applicationId, sf_dir, name)
+    """A canonical view as an ingested table, written once per application."""
+    return _VIEWS[name](spark, sf_dir)
 
 
 def cubic_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +76,7 @@ ANGLE_CUT = 5.0
 @query
 def rdf_frame_volume(spark, sf):
     sites = shared(spark, sf, "positions").withColumn("site", V._pick(0))
-    sites = N.attach_cell(sites, V.triclinic_frames(spark, sf))
+    sites = N.attach_cell(sites, shared(spark, sf, "triclinic_frames"))
     return rounded(S.rdf(sites, "Li", "O", RMAX, RDF_BW).drop("cn"))
 
 
@@ -159,7 +163,7 @@ def first_minimum(spark, sf):
 @query
 def minimum_image_triclinic(spark, sf):
     """Minimum-image step of every particle between consecutive frames, in that frame's cell."""
-    p = N.attach_cell(shared(spark, sf, "positions"), V.triclinic_frames(spark, sf))
+    p = N.attach_cell(shared(spark, sf, "positions"), shared(spark, sf, "triclinic_frames"))
     nxt = shared(spark, sf, "positions").select("traj", (F.col("frame") - 1).alias("frame"), "atom_id",
                                                 *[F.col(n).alias(f"t{n}") for n in "xyz"])
     j = p.join(nxt, ["traj", "frame", "atom_id"])
@@ -169,7 +173,7 @@ def minimum_image_triclinic(spark, sf):
 
 @query
 def cell_volume(spark, sf):
-    fr = V.triclinic_frames(spark, sf).withColumn("orthorhombic", F.expr(C.is_orthorhombic()))
+    fr = shared(spark, sf, "triclinic_frames").withColumn("orthorhombic", F.expr(C.is_orthorhombic()))
     return rounded(C.with_cell_matrix(fr).select("traj", "frame", "volume", *C.MATRIX, "orthorhombic"))
 
 
@@ -188,17 +192,9 @@ def unwrap(spark, sf):
     return rounded(D.unwrap(p).select("traj", "frame", "atom_id", "x", "y", "z"))
 
 
-def particle_table(spark, sf):
-    return SEL.particles(shared(spark, sf, "walks"), SEL.build_species(shared(spark, sf, "atoms"), TARGETS))
-
-
-@functools.lru_cache(maxsize=4)
-def _particles(app, sf):
-    return particle_table(SparkSession.getActiveSession(), sf).persist()
-
-
+@staged
 def particles(spark, sf):
-    return _particles(spark.sparkContext.applicationId, sf)
+    return SEL.particles(shared(spark, sf, "walks"), SEL.build_species(shared(spark, sf, "atoms"), TARGETS))
 
 
 @query
@@ -240,7 +236,7 @@ def curves(spark, sf):
 
 def system(spark, sf):
     """Mean valid volume and temperature of each trajectory."""
-    v = V.triclinic_frames(spark, sf).groupBy("traj").agg(
+    v = shared(spark, sf, "triclinic_frames").groupBy("traj").agg(
         F.expr(f"avg({C.orthorhombic_volume()})").alias("volume_A3"))
     g = F.regexp_extract("traj", r"(\d+)", 1).cast("int")
     return v.withColumn("temperature_K", F.lit(300.0) + 30.0 * g)
@@ -432,16 +428,12 @@ def lengths(spark, sf):
     return shared(spark, sf, "positions").groupBy("traj").agg((F.max("frame") + 1).alias("n_frames"))
 
 
-@functools.lru_cache(maxsize=4)
-def _active(app, sf):
-    spark = SparkSession.getActiveSession()
-    return K.activity(_contact_pairs(spark, sf, R_OFF), R_ON).persist()
-
-
+@staged
 def active(spark, sf):
-    return _active(spark.sparkContext.applicationId, sf)
+    return K.activity(_contact_pairs(spark, sf, R_OFF), R_ON)
 
 
+@staged
 def contacts(spark, sf):
     return K.events(active(spark, sf), lengths(spark, sf), V.DT_NS)
 
@@ -530,14 +522,9 @@ ENTITIES = [SEL.EntitySelection("Li", (10, 11)), SEL.EntitySelection("chains", (
 MASS_G_MOL = 4800.0
 
 
-@functools.lru_cache(maxsize=4)
-def _merged_once(app, sf):
-    spark = SparkSession.getActiveSession()
-    return TS.merge_log_onto_frames(shared(spark, sf, "snapshots"), shared(spark, sf, "logs"), tolerance=3.0).persist()
-
-
+@staged
 def _merged(spark, sf):
-    return _merged_once(spark.sparkContext.applicationId, sf)
+    return TS.merge_log_onto_frames(shared(spark, sf, "snapshots"), shared(spark, sf, "logs"), tolerance=3.0)
 
 
 @query
@@ -571,14 +558,9 @@ def stitched_series(spark, sf):
     return rounded(_stitched(spark, sf).select("series", "run_index", "o_orderkey", "time_ps_local", "time_offset_ps", "time_ps"))
 
 
-@functools.lru_cache(maxsize=4)
-def _derived_once(app, sf):
-    spark = SparkSession.getActiveSession()
-    return TS.refresh(_stitched(spark, sf), F.lit(MASS_G_MOL), {"Li": F.lit(12)}).persist()
-
-
+@staged
 def _derived(spark, sf):
-    return _derived_once(spark.sparkContext.applicationId, sf)
+    return TS.refresh(_stitched(spark, sf), F.lit(MASS_G_MOL), {"Li": F.lit(12)})
 
 
 @query
@@ -644,15 +626,10 @@ def box_length(spark, sf):
 # --- molecules and topology -------------------------------------------------------------------------
 
 
-@functools.lru_cache(maxsize=4)
-def _molecule_atoms(app, sf):
-    spark = SparkSession.getActiveSession()
-    a = shared(spark, sf, "bonded_atoms")
-    return a.join(M.components(a, M.bond_edges(a)), ["traj", "atom_id"]).persist()
-
-
+@staged
 def molecule_atoms(spark, sf):
-    return _molecule_atoms(spark.sparkContext.applicationId, sf)
+    a = shared(spark, sf, "bonded_atoms")
+    return a.join(M.components(a, M.bond_edges(a)), ["traj", "atom_id"])
 
 
 @query
@@ -817,3 +794,268 @@ def run_names(spark, sf):
         F.concat(F.lower("series"), F.format_string("_run_%03d", F.col("run_index"))))
     return r.select("o_orderkey", T.series_label(d).alias("label"), T.series_temperature(d).alias("temperature_K"),
                     T.run_number(d).alias("run"))
+
+
+# --- files ------------------------------------------------------------------------------------------
+
+CHUNK = 25
+
+
+def _chunked(spark, sf):
+    """Positions cut into files of at most 25 frames, with atom order and topology columns."""
+    p = shared(spark, sf, "positions").withColumn("chunk", F.expr(f"frame div {CHUNK}"))
+    return p.join(shared(spark, sf, "atoms"), ["traj", "atom_id"])
+
+
+def _write_lines(df: DataFrame, by: list[str], order: list[str], folder: str) -> None:
+    """One text file per ``by`` group, lines in ``order``."""
+    (df.repartition(*by).sortWithinPartitions(*by, *order).select(*by, "line")
+     .write.partitionBy(*by).text(folder))
+
+
+def _tag(name: str):
+    return F.regexp_extract("file", rf"{name}=([^/]+)/", 1)
+
+
+@once_per_app
+def _pdb_folder(spark, sf):
+    df = _chunked(spark, sf)
+    atom = df.select("traj", "chunk", "frame", F.lit(2).alias("k"), "atom_id", F.format_string(
+        "ATOM  %5d %-4s %-3s %s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", (F.col("atom_id") % 100000).cast("int"),
+        "name", "resname", "chain", (F.col("resid") % 10000).cast("int"), "x", "y", "z", F.lit(1.0),
+        F.col("atom_type").cast("double"), "element").alias("line"))
+    fr = df.select("traj", "chunk", "frame").distinct()
+    edge = lambda k, text: fr.select("traj", "chunk", "frame", F.lit(k).alias("k"), F.lit(0).cast("long").alias("atom_id"), text.alias("line"))
+    lines = (atom.unionByName(edge(0, F.format_string("MODEL     %4d", F.col("frame") + 1)))
+             .unionByName(edge(1, F.format_string("CRYST1%9.3f%9.3f%9.3f%7.2f%7.2f%7.2f P 1           1",
+                                                  F.lit(V.BOX), F.lit(V.BOX), F.lit(V.BOX), F.lit(90.0), F.lit(90.0), F.lit(90.0))))
+             .unionByName(edge(3, F.lit("ENDMDL"))))
+    folder = work_folder(spark, "pdb")
+    _write_lines(lines, ["traj", "chunk"], ["frame", "k", "atom_id"], folder)
+    return folder
+
+
+def _pdb(spark, sf):
+    folder = _pdb_folder(spark, sf)
+    return sources_pdb.read_pdb(spark, folder, traj=F.concat_ws("/", _tag("traj"), _tag("chunk")))
+
+
+def _unchunk(df: DataFrame) -> DataFrame:
+    part = F.split("traj", "/")
+    return df.withColumns({"frame": part[1].cast("bigint") * CHUNK + F.col("frame"), "traj": part[0]})
+
+
+@query
+def ingest_pdb(spark, sf):
+    """Positions written as PDB text and read back; atoms count from 0 in each frame."""
+    return _unchunk(_pdb(spark, sf).positions)
+
+
+@query
+def ingest_pdb_frames(spark, sf):
+    return _unchunk(_pdb(spark, sf).frames)
+
+
+@query
+def ingest_pdb_atoms(spark, sf):
+    a = _pdb(spark, sf).atoms.where("traj like '%/0'")
+    return a.withColumn("traj", F.split("traj", "/")[0]).drop("serial")
+
+
+@query
+def ingest_xyz(spark, sf):
+    """Positions written as multi-frame XYZ archives and read back."""
+    df = _chunked(spark, sf)
+    atom = df.select("traj", "chunk", "frame", F.lit(2).alias("k"), "atom_id", F.format_string(
+        "%6d %-3s %12.6f %12.6f %12.6f %5d", F.col("atom_id") + 1, "name", "x", "y", "z", "atom_type").alias("line"))
+    n = df.groupBy("traj", "chunk", "frame").agg(F.count(F.lit(1)).alias("n"))
+    head = n.select("traj", "chunk", "frame", F.lit(0).alias("k"), F.lit(0).cast("long").alias("atom_id"),
+                    F.format_string("%6d frame of %s", "n", "traj").alias("line"))
+    box = n.select("traj", "chunk", "frame", F.lit(1).alias("k"), F.lit(0).cast("long").alias("atom_id"),
+                   F.lit("  20.000000 20.000000 20.000000 90.0 90.0 90.0").alias("line"))
+    folder = work_folder(spark, "xyz")
+    _write_lines(atom.unionByName(head).unionByName(box), ["traj", "chunk"], ["frame", "k", "atom_id"], folder)
+    t = sources_xyz.read_xyz(spark, folder, traj=F.concat_ws("/", _tag("traj"), _tag("chunk")))
+    out = t.positions.join(t.frames.select("traj", "frame", "n_atoms", "a", "title"), ["traj", "frame"])
+    return _unchunk(out)
+
+
+@once_per_app
+def _log_folder(spark, sf):
+    log = shared(spark, sf, "logs").withColumn("dir", F.when(F.col("run_index") == 1, F.col("series")).otherwise(
+        F.concat("series", F.format_string("_run_%03d", "run_index"))))
+    log = log.withColumn("part", F.floor(F.col("time_ps") / 20000.0))
+    text = F.array(F.struct(F.lit(0).alias("k"), F.format_string(" Current Time %15.4f Picosecond", "time_ps").alias("line")),
+                   F.struct(F.lit(1).alias("k"), F.format_string(" Current Potential %18.4f Kcal/mole", "potential_kcal_mol").alias("line")),
+                   F.struct(F.lit(2).alias("k"), F.when(F.col("kinetic_kcal_mol").isNotNull(), F.format_string(
+                       " Current Kinetic %18.7f Kcal/mole", "kinetic_kcal_mol")).alias("line")),
+                   F.struct(F.lit(3).alias("k"), F.lit(" Periodic Box Dimensions").alias("line")),
+                   F.struct(F.lit(4).alias("k"), F.format_string("   %9.4f 20.0 20.0", F.lit(20.0)).alias("line")),
+                   F.struct(F.lit(5).alias("k"), F.lit("   90.0 90.0 90.0").alias("line")))
+    lines = log.select("dir", "part", "time_ps", F.explode(text).alias("t")).select("dir", "part", "time_ps", "t.*")
+    folder = work_folder(spark, "log")
+    _write_lines(lines.where("line IS NOT NULL"), ["dir", "part"], ["time_ps", "k"], folder)
+    return folder
+
+
+@query
+def ingest_log(spark, sf):
+    """Run logs written as text and read back."""
+    folder = _log_folder(spark, sf)
+    out = sources_logs.read_logs(spark, folder, ".txt", _tag("dir"))
+    return rounded(out.select("series", "run_index", "time_ps", "potential_kcal_mol", "kinetic_kcal_mol", "a_A", "gamma_deg"), 4)
+
+
+@query
+def kinetic_log(spark, sf):
+    """Temperatures from the kinetic-energy lines of the same text."""
+    folder = _log_folder(spark, sf)
+    out = sources_logs.kinetic_log(sources_text.read_lines(spark, folder), 3 * 400 - 3)
+    return rounded(sources_logs.run_columns(out, _tag("dir")).select("series", "run_index", "time_ps", "temperature_K", "dof_used"))
+
+
+@query
+def ingest_masses(spark, sf):
+    """Force-field mass records built from all parts."""
+    p = V.read(spark, sf, "part")
+    lines = p.select(F.lit("ff").alias("file"), F.lit(0).alias("block"), F.col("p_partkey").alias("seq"), F.format_string(
+        'atom %6d %4d  %s  "%s" %4d %12.4f %2d', F.col("p_partkey"), "p_size", F.substring("p_type", 1, 2), "p_name",
+        F.lit(8), "p_retailprice", F.lit(2)).alias("line"))
+    return sources_logs.parse_masses(lines)
+
+
+def _order_files(spark, sf):
+    r = shared(spark, sf, "runs")
+    d = F.when(F.col("run_index") == 1, F.col("series")).otherwise(
+        F.concat("series", F.format_string("_run_%03d", "run_index")))
+    return r.select("o_orderkey", F.concat(F.lit("file:/data/"), d, F.lit("/snap"), "o_orderstatus",
+                                           F.format_string(".%03d", "rn")).alias("file"))
+
+
+@query
+def snapshot_discovery(spark, sf):
+    """The numbered series each run directory uses, among names built over all orders."""
+    out = sources_text.numbered_series(_order_files(spark, sf).select("file"))
+    return out.select("directory", "prefix", "index")
+
+
+@query
+def source_discovery(spark, sf):
+    """Trajectory sources per directory: numbered series first, else archives by pattern."""
+    files = _order_files(spark, sf)
+    plain = F.col("file").contains("T270K")
+    name = F.when(plain, F.concat(F.regexp_replace("file", r"\.\d+$", ""), F.col("o_orderkey").cast("string"),
+                                  F.when(F.col("o_orderkey") % 2 == 0, ".arc").otherwise(".xyz.gz"))).otherwise(F.col("file"))
+    return sources_text.trajectory_files(files.select(name.alias("file"))).groupBy("directory").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("file", "rank").alias("first"))
+
+
+@query
+def atom_type_field(spark, sf):
+    """Atom types read from ATOM lines built over all line items."""
+    li = V.read(spark, sf, "lineitem")
+    k = F.col("l_linenumber") % 3
+    line = F.format_string("ATOM  %5d  N   XXX A   1       1.000   2.000   3.000%6.2f%6.2f      %s", F.col("l_orderkey") % 100000,
+                           F.when(k == 0, F.col("l_quantity")).otherwise(1.0), F.when(k == 1, F.col("l_quantity")).otherwise(0.0),
+                           F.when(k == 2, F.concat(F.lit("  "), F.col("l_quantity").cast("int").cast("string"))).otherwise(F.lit("  N ")))
+    df = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", line.alias("line"))
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                     T.atom_type(F.col("line"), "auto").alias("auto"), T.atom_type(F.col("line"), "bfactor").alias("bfactor"),
+                     T.atom_type(F.col("line"), "tail").alias("tail"))
+
+
+@query
+def combined_curves(spark, sf):
+    """Wide table: one g(r) column per site pair."""
+    s = cubic_sites(spark, sf)
+    parts = [S.rdf(s, "Li", b, RMAX, RDF_BW).select("traj", "bin", F.lit(f"Li_{b}").alias("label"), F.col("g").alias("value"))
+             for b in ("N", "O", "S")]
+    return rounded(sources_sinks.wide(functools.reduce(DataFrame.unionByName, parts), ["traj", "bin"], ["Li_N", "Li_O", "Li_S"]))
+
+
+@query
+def sink_roundtrip(spark, sf):
+    """Series written to one folder each and read back; a second call reuses the result."""
+    folder = work_folder(spark, "series")
+    df = _derived(spark, sf).select("series", "run_index", "o_orderkey", "time_ps", "volume_A3")
+    sources_sinks.write_series(df, folder)
+    back = spark.read.parquet(folder).withColumn("series", F.col("series").cast("string"))
+    kept = sources_sinks.reuse(spark, folder + "-copy", lambda: back.drop("time_ps"), ["volume_A3"])
+    return rounded(kept.select("series", "run_index", "o_orderkey", "volume_A3"))
+
+
+@query
+def csv_roundtrip(spark, sf):
+    """A commented CSV written and read back."""
+    folder = work_folder(spark, "csv")
+    df = S.adf(_triplets(spark, sf), 10.0).select("traj", "bin", F.col("density_per_degree").alias("density"), "count")
+    sources_sinks.write_text(sources_sinks.with_comments(df, {"rcut12_A": ANGLE_CUT, "site2": "Li"}, ["traj", "bin"]).coalesce(1), folder)
+    return rounded(sources_logs.read_result_csv(spark, folder))
+
+
+@query
+def text_lines(spark, sf):
+    """Fixed-format ``r g cn`` lines."""
+    g = S.rdf(cubic_sites(spark, sf), "Li", "O", RMAX, RDF_BW, "mean").orderBy("traj", "bin")
+    return sources_sinks.fixed_text(g, ["r", "cn"], "%.4f")
+
+
+# --- flows --------------------------------------------------------------------------------------------
+
+
+def trajectory(spark, sf):
+    """The canonical views as an ingested trajectory with 0-based atom ids per view."""
+    pos = shared(spark, sf, "positions")
+    frames = pos.groupBy("traj", "frame").agg(F.count(F.lit(1)).alias("n_atoms")).select(
+        "traj", "frame", "n_atoms", *[F.lit(V.BOX).alias(n) for n in "abc"],
+        *[F.lit(90.0).alias(n) for n in ("alpha", "beta", "gamma")])
+    return sources_pdb.Trajectory(frames, shared(spark, sf, "atoms").withColumn("site", F.col("element")), pos)
+
+
+@query
+def flow_radial(spark, sf):
+    from mdframes.plans.distributions import radial
+    return rounded(radial(trajectory(spark, sf), ["Li-O", "Li-N"], RMAX, RDF_BW, start_ratio=0.2, stride=2))
+
+
+@query
+def flow_residence(spark, sf):
+    from mdframes.plans.residence import residence
+    out = residence(trajectory(spark, sf), "Li", SEL.Target("FSA", ("72",)), ["N", "O", "S"], V.DT_NS,
+                    r_on=R_ON, r_off=R_OFF, rmax=RMAX, bins=60)
+    return rounded(out.summary.select("traj", "n_frames", "n_cations", "n_molecules", "n_events", "n_left_censored",
+                                      "n_right_censored", "mean_coordination", "continuous_integral_ns",
+                                      "intermittent_integral_raw_ns", "r_on", "r_off", "cutoff_source"))
+
+
+@query
+def flow_residence_auto(spark, sf):
+    """Relaxation table with cutoffs taken from each trajectory's own g(r)."""
+    from mdframes.plans.residence import residence
+    out = residence(trajectory(spark, sf), "Li", SEL.Target("FSA", ("72",)), ["N", "O", "S"], V.DT_NS,
+                    rmax=RMAX, bins=60, bandwidth=0.3, hysteresis=0.5)
+    return rounded(out.relaxation, 4)
+
+
+@query
+def flow_transport(spark, sf):
+    """Conductivity decomposition from wrapped positions: unwrap, drift, centres, curves, fits."""
+    from mdframes.plans.transport import transport
+    t = trajectory(spark, sf)
+    temp = t.frames.select("traj").distinct().withColumn("temperature_K", F.lit(300.0))
+    out = transport(t, TARGETS[:2], temp, V.DT_NS, MAX_LAG, FIT, solvent=TARGETS[2], n_blocks=4)
+    return rounded(out.check, 3)
+
+
+@query
+def flow_density(spark, sf):
+    """Stitched density series with entity counts of each run's bond graph."""
+    from mdframes.plans.density import density
+    r = shared(spark, sf, "runs").withColumn("traj", F.concat_ws("/", "series", F.col("run_index").cast("string")))
+    atoms = r.select("traj", F.col("o_orderkey").alias("atom_id"), F.substring("o_orderstatus", 1, 1).alias("name"),
+                     (F.col("o_orderkey") % 4).cast("int").alias("atom_type"),
+                     F.array().cast("array<bigint>").alias("bonds"))
+    masses = spark.createDataFrame([(0, 1.0), (1, 6.94), (2, 14.007), (3, 15.999)], "atom_type int, mass double")
+    sel = [SEL.EntitySelection("a", (1,)), SEL.EntitySelection("b", (2, 3))]
+    out = density(shared(spark, sf, "snapshots").drop("o_orderkey"), shared(spark, sf, "logs"), atoms, sel, masses, 10.0)
+    return rounded(out.summary.select("series", "n_points", "time_max_ps", "volume_A3_mean", "a_A_mean", "count_a_min", "count_a_max"), 3)

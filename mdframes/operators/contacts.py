@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mdframes.functions import scalars as X
@@ -11,11 +11,11 @@ from mdframes.operators.dynamics import FRAMES_PER_BUCKET, lag_products
 PAIR = ["traj", "i", "mol_id"]
 
 
-def activity(candidates: DataFrame, r_on: float, bucket: int = FRAMES_PER_BUCKET) -> DataFrame:
+def activity(candidates: DataFrame, r_on: float | Column, bucket: int = FRAMES_PER_BUCKET) -> DataFrame:
     """Frames in which each pair is in contact: traj, i, mol_id, frame.
 
     ``candidates`` are the frames with distance <= r_off (columns r2). A contact starts when the
-    distance falls to r_on and lasts while the pair stays a candidate in consecutive frames.
+    distance falls to r_on (a number, or a column of the candidates) and lasts while the pair stays a candidate in consecutive frames.
 
     Frames are cut into buckets so that no pair's history is one task's work: within a bucket
     contacts follow from runs of consecutive frames; one bit per bucket says whether a contact
@@ -26,7 +26,7 @@ def activity(candidates: DataFrame, r_on: float, bucket: int = FRAMES_PER_BUCKET
     w = Window.partitionBy(*pb).orderBy("frame")
     df = df.withColumn("_run", F.col("frame") - F.row_number().over(w))
     run = Window.partitionBy(*pb, "_run").orderBy("frame")
-    close = F.col("r2") <= F.lit(float(r_on) * float(r_on))
+    close = F.col("r2") <= (r_on * r_on if isinstance(r_on, Column) else F.lit(float(r_on) * float(r_on)))
     df = df.withColumns({
         "_on": F.max(close).over(run.rowsBetween(Window.unboundedPreceding, 0)),
         "_head": F.min("frame").over(Window.partitionBy(*pb, "_run")) == F.col("_b") * bucket})

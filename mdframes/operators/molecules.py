@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,19 +9,15 @@ from pyspark.sql import functions as F
 
 from mdframes.operators.neighbors import short_contacts  # noqa: F401  (part of this surface)
 from mdframes.operators.skew import salted_join
+from mdframes.staging import work_folder
 
 MAX_ROUNDS = 60
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a local folder only where none is set."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="mdframes-checkpoint-"))
+    """Checkpoints go to the cluster's ``spark.checkpoint.dir``; a folder is set only where none is."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(work_folder(spark, "checkpoint"))
 
 
 def bond_edges(atoms: DataFrame) -> DataFrame:

@@ -81,27 +81,29 @@ def clean_logs(records: DataFrame, run: Sequence[str]) -> DataFrame:
     return df.withColumn("_r", rank).where("_r = 1").drop("_r", "rec")
 
 
-def preferred_logs(lines: DataFrame, run: Sequence[str]) -> DataFrame:
-    """Of a run's ``.out`` files, those named like logs if there are any, else all."""
+def preferred_logs(lines: DataFrame, run: Sequence[str], extension: str = ".out") -> DataFrame:
+    """Of a run's log files (by extension), those named like logs if there are any, else all."""
     name = F.lower(F.regexp_extract("file", r"([^/]+)$", 1))
-    files = lines.where(name.endswith(".out")).select(*run, "file").distinct()
+    files = lines.where(name.endswith(extension)).select(*run, "file").distinct()
     good = F.lower(F.regexp_extract("file", r"([^/]+)$", 1)).rlike("log|dynamic").cast("int")
     keep = files.withColumn("_g", good).withColumn("_any", F.max("_g").over(Window.partitionBy(*run)))
     return lines.join(keep.where("_g = _any").select("file"), "file", "left_semi")
 
 
-def run_columns(df: DataFrame, file: str = "file") -> DataFrame:
+def run_columns(df: DataFrame, directory: F.Column | None = None) -> DataFrame:
     """series, run_index and target temperature from the directory of each file."""
-    d = F.regexp_extract(file, r"([^/]+)/[^/]+$", 1)
+    d = F.regexp_extract("file", r"([^/]+)/[^/]+$", 1) if directory is None else directory
     return df.withColumns({"series": T.series_label(d), "run_index": T.run_number(d),
                            "target_temperature_K": T.series_temperature(d)})
 
 
-def read_logs(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.out") -> DataFrame:
+def read_logs(spark: SparkSession, paths: str | Sequence[str], extension: str = ".out",
+              directory: F.Column | None = None) -> DataFrame:
     """Cleaned records of all runs below ``paths``: series, run_index, time_ps, measures, file."""
     run = ["series", "run_index"]
-    lines = preferred_logs(run_columns(read_lines(spark, paths, glob)), run).select(*LINE, "line")
-    return clean_logs(run_columns(parse_logs(lines)), run)
+    lines = run_columns(read_lines(spark, paths, f"*{extension}"), directory)
+    lines = preferred_logs(lines, run, extension).select(*LINE, "line")
+    return clean_logs(run_columns(parse_logs(lines), directory), run)
 
 
 def kinetic_log(lines: DataFrame, dof: int) -> DataFrame:

@@ -8,8 +8,6 @@ over as many tasks as it has blocks. Gzip files cannot be split and form one blo
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,17 +47,6 @@ def renumber(frames: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return df.withColumn("frame", F.col("frame") - 1).drop("_b")
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the cluster's shared ``spark.checkpoint.dir``; a local one only for a
-    local master without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.gettempdir() + "/mdframes-work"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def list_files(spark: SparkSession, paths: str | Sequence[str], glob: str = "*") -> DataFrame:
     """file and length of every file, without reading contents; each path once."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)

@@ -528,3 +528,74 @@ SELECT p_partkey, CASE WHEN LENGTH(s)>=2 AND two IN {EL} THEN two ELSE UPPER(s)
 O["temperature_from_name"] = """SELECT o_orderkey, CASE WHEN o_orderkey%10=0 THEN 273.0 WHEN o_orderkey%4=3 THEN 298.0 ELSE 240+o_orderkey%200 END::DOUBLE AS temperature_K,
   CASE WHEN o_orderkey%10=0 THEN 'map' WHEN o_orderkey%4=3 THEN 'fallback' ELSE 'filename' END AS temperature_source FROM orders"""
 O["run_names"] = W(RUNS) + """SELECT o_orderkey, series AS label, CAST(SUBSTR(series,2,3) AS DOUBLE) AS temperature_K, run_index AS run FROM runs"""
+
+# --- files -----------------------------------------------------------------------------------------------
+
+RANKED = "rkd AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY traj, frame ORDER BY atom_id)-1 AS k FROM pos)"
+O["ingest_pdb"] = W(POS, RANKED) + "SELECT traj, frame, k AS atom_id, ROUND(x,3) AS x, ROUND(y,3) AS y, ROUND(z,3) AS z FROM rkd"
+O["ingest_pdb_frames"] = W(POS) + """SELECT traj, frame, COUNT(*) AS n_atoms, 20.0::DOUBLE AS a, 20.0::DOUBLE AS b, 20.0::DOUBLE AS c,
+  90.0::DOUBLE AS alpha, 90.0::DOUBLE AS beta, 90.0::DOUBLE AS gamma FROM pos GROUP BY traj, frame"""
+O["ingest_pdb_atoms"] = W(ATOMS) + """SELECT traj, ROW_NUMBER() OVER (PARTITION BY traj ORDER BY atom_id)-1 AS atom_id, element AS name, resname, chain,
+  CAST(resid AS INT) AS resid, '' AS icode, element AS site, element, atom_type, mass FROM atoms"""
+O["ingest_xyz"] = W(POS) + """SELECT traj, frame, atom_id+1 AS atom_id, x, y, z, COUNT(*) OVER (PARTITION BY traj, frame) AS n_atoms, 20.0::DOUBLE AS a,
+  'frame of '||traj AS title FROM pos"""
+O["ingest_log"] = W(RUNS) + """SELECT series, run_index, time_ps, ROUND(potential_kcal_mol,4) AS potential_kcal_mol, ROUND(kinetic_kcal_mol,4) AS kinetic_kcal_mol,
+  20.0::DOUBLE AS a_A, 90.0::DOUBLE AS gamma_deg FROM logs"""
+O["kinetic_log"] = W(RUNS) + """SELECT series, run_index, time_ps, ROUND(2*kinetic_kcal_mol/(1197*0.00198720425864083::DOUBLE),6) AS temperature_K,
+  CAST(1197 AS INT) AS dof_used FROM logs WHERE kinetic_kcal_mol IS NOT NULL"""
+O["ingest_masses"] = "SELECT CAST(p_partkey AS INT) AS atom_type, p_retailprice AS mass FROM part"
+DIRS = """fl AS (SELECT *, 'file:/data/'||series||CASE WHEN run_index=1 THEN '' ELSE '_run_00'||run_index END AS directory, 'snap'||o_orderstatus AS prefix FROM runs)"""
+O["snapshot_discovery"] = W(RUNS, DIRS, """cn AS (SELECT directory, prefix, ROW_NUMBER() OVER (PARTITION BY directory ORDER BY c DESC, prefix) AS k
+  FROM (SELECT directory, prefix, COUNT(*) AS c FROM fl GROUP BY directory, prefix))""") + "SELECT directory, prefix, rn AS index FROM fl JOIN cn USING (directory, prefix) WHERE k=1"
+O["source_discovery"] = W(RUNS, DIRS, """cn AS (SELECT directory, prefix, ROW_NUMBER() OVER (PARTITION BY directory ORDER BY c DESC, prefix) AS k
+  FROM (SELECT directory, prefix, COUNT(*) AS c FROM fl GROUP BY directory, prefix)),
+nm AS (SELECT directory, CASE WHEN o_orderkey%2=0 THEN 0 ELSE 1 END AS r, directory||'/'||prefix||o_orderkey||CASE WHEN o_orderkey%2=0 THEN '.arc' ELSE '.xyz.gz' END AS f
+  FROM fl WHERE directory LIKE '%T270K%')""") + """
+SELECT directory, COUNT(*) AS n, ARG_MIN(directory||'/'||prefix||'.'||LPAD(CAST(rn AS VARCHAR), GREATEST(3, LENGTH(CAST(rn AS VARCHAR)))::INT, '0'), rn) AS first
+FROM fl JOIN cn USING (directory, prefix) WHERE k=1 AND directory NOT LIKE '%T270K%' GROUP BY directory
+UNION ALL SELECT directory, COUNT(*), ARG_MIN(f, (r, f)) FROM nm GROUP BY directory"""
+O["atom_type_field"] = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+  CAST(CASE WHEN l_quantity>1 THEN l_quantity ELSE 3 END AS INT) AS auto,
+  CAST(CASE WHEN l_linenumber%3=1 THEN l_quantity ELSE 0 END AS INT) AS bfactor,
+  CAST(CASE WHEN l_linenumber%3=2 AND l_quantity>1 THEN l_quantity END AS INT) AS tail FROM lineitem"""
+
+
+def g_only(site: str) -> str:
+    return W(POS, pairs("p", "('Li')", f"('{site}')")) + rdf_tail(0.5, 12, "pf", cnt("Li", site)) + "SELECT traj, bin, g FROM g"
+
+
+O["combined_curves"] = f"""SELECT traj, bin, ROUND(n.g,6) AS Li_N, ROUND(o.g,6) AS Li_O, ROUND(s.g,6) AS Li_S FROM ({g_only('N')}) n
+JOIN ({g_only('O')}) o USING (traj, bin) JOIN ({g_only('S')}) s USING (traj, bin)"""
+O["sink_roundtrip"] = SER + "SELECT series, run_index, o_orderkey, ROUND(v,6) AS volume_A3 FROM dv"
+O["csv_roundtrip"] = triplets("1", "a.j<>b.j") + ADF[:ADF.index("SELECT traj, bin, bin*10")].replace("FROM grid LEFT", "FROM grid SEMI JOIN h USING (traj) LEFT") + """
+SELECT traj, bin, CASE WHEN tot>0 THEN ROUND(count/(tot*10.0::DOUBLE),6) ELSE 0 END AS density_per_degree, count FROM d"""
+O["text_lines"] = W(POS, pairs("p", "('Li')", "('O')")) + rdf_tail(0.5, 12, "tn1*n2/mv", cnt("Li", "O")) + \
+    "SELECT printf('%.4f %.4f', r, cn) AS line FROM g"
+
+# --- flows -----------------------------------------------------------------------------------------------
+RANGE = """sel AS MATERIALIZED (SELECT p.* FROM pos p JOIN (SELECT traj, CAST(FLOOR(0.2*(MAX(frame)+1)) AS BIGINT) AS s FROM pos GROUP BY traj) USING (traj)
+  WHERE frame>=s AND (frame-s)%2=0)"""
+
+
+def ranged(site: str) -> str:
+    return W(POS, RANGE, pairs("p", "('Li')", f"('{site}')", "sel")) + rdf_tail(
+        0.5, 12, "pf", cnt("Li", site).replace("FROM pos", "FROM sel")) + f"SELECT 'Li-{site}' AS pair, traj, bin, {r('r g cn')}, count FROM g"
+
+
+O["flow_radial"] = f"SELECT * FROM ({ranged('O')}) UNION ALL BY NAME SELECT * FROM ({ranged('N')})"
+O["flow_residence"] = CON + CONT + INTER + f""", ic AS ({trapz('ct')}), ii AS ({trapz('it')}),
+nk AS (SELECT traj, COUNT(DISTINCT atom_id) FILTER (site='Li') AS nc, COUNT(DISTINCT atom_id//5) FILTER (site IN ('N','O','S')) AS nm FROM pos GROUP BY traj),
+sm AS (SELECT traj, COUNT(*) AS ne, COUNT(*) FILTER (lc) AS nl, COUNT(*) FILTER (rc) AS nr FROM evt GROUP BY traj)
+SELECT traj, nf AS n_frames, nc AS n_cations, nm AS n_molecules, ne AS n_events, nl AS n_left_censored, nr AS n_right_censored,
+  ROUND(t/(nf*nc),6) AS mean_coordination, ROUND(ic.integral,6) AS continuous_integral_ns, ROUND(ii.integral,6) AS intermittent_integral_raw_ns,
+  6.0::DOUBLE AS r_on, 8.0::DOUBLE AS r_off, 'user' AS cutoff_source FROM len JOIN nk USING (traj) JOIN sm USING (traj) JOIN tot USING (traj)
+JOIN ic USING (traj) JOIN ii USING (traj)"""
+DRIFT = f"""ctr AS (SELECT traj, frame, SUM(m*ux)/SUM(m) AS cx, SUM(m*uy)/SUM(m) AS cy, SUM(m*uz)/SUM(m) AS cz FROM (SELECT *, {MASSES} AS m FROM pos) GROUP BY traj, frame),
+dp AS (SELECT p.* REPLACE (x-cx AS x, y-cy AS y, z-cz AS z) FROM parts p JOIN ctr USING (traj, frame))"""
+O["flow_transport"] = W(POS, PARTS, DRIFT, curves("dp"), """sys AS (SELECT DISTINCT traj, 8000.0::DOUBLE AS volume_A3, 300.0::DOUBLE AS temperature_K FROM pos)""") + SIGMA + """
+SELECT traj, ROUND(SUM(pair*mult*10) FILTER (term='total:charge'),3) AS sigma_decomposed_mS_cm,
+  ROUND(SUM(pair*mult*10) FILTER (term='total:charge'),3) AS sigma_direct_total_mS_cm FROM sg2 GROUP BY traj"""
+O["flow_density"] = SER + """, er AS (SELECT series, run_index, COUNT(*) FILTER (o_orderkey%4=1) AS a FROM runs GROUP BY ALL),
+e2 AS (SELECT series, MIN(a) AS mn, MAX(a) AS mx FROM er GROUP BY series)
+SELECT series, COUNT(*) AS n_points, ROUND(MAX(time_ps),3) AS time_max_ps, ROUND(AVG(v),3) AS volume_A3_mean, ROUND(AVG(a_A),3) AS a_A_mean,
+  ANY_VALUE(mn) AS count_a_min, ANY_VALUE(mx) AS count_a_max FROM dv JOIN e2 USING (series) GROUP BY series"""
