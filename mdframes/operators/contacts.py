@@ -100,9 +100,8 @@ def survival_intermittent(active: DataFrame, grid: DataFrame, max_lag: int) -> D
 
     The lag counts come from the tiled lag kernel: active frames are present, others are gaps.
     """
-    presence = active.select(*PAIR, "frame", *[F.lit(0.0).alias(n) for n in "xyz"])
-    presence = presence.withColumn("pair", F.concat_ws("|", "i", "mol_id"))
-    num = lag_products(presence, ["traj"], "pair", max_lag).select("traj", "lag", F.col("n").alias("_num"))
+    presence = active.select("traj", "frame", F.concat_ws("|", "i", "mol_id").alias("pair"))
+    num = lag_products(presence, ["traj"], "pair", max_lag, counts_only=True).select("traj", "lag", F.col("n").alias("_num"))
     on = active.groupBy("traj").agg(F.count(F.lit(1)).alias("_on"))
     out = grid.join(on, "traj", "left").join(num, ["traj", "lag"], "left")
     value = F.when(F.col("_on") > 0, F.coalesce(F.col("_num"), F.lit(0)) * F.col("n_frames")

@@ -89,59 +89,70 @@ def select_frames(df: DataFrame, discard: int = 0, stride: int = 1, stop: int |
 # --- lag correlations -----------------------------------------------------------------------
 
 DIRECT_LAGS = 128
+CHUNK_CELLS = 1 << 20
 
 
-def _tile_sums(first: int, a: np.ndarray, pos_a: np.ndarray, b: np.ndarray, pos_b: np.ndarray,
+def _place(values: np.ndarray, rows: np.ndarray, at: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Scatter (row, position) values into a dense zero-filled (m, n) or (m, n, 3) array."""
+    out = np.zeros((m, n, *values.shape[1:]))
+    ok = (at >= 0) & (at < n)
+    out[rows[ok], at[ok]] = values[ok]
+    return out
+
+
+def _tile_sums(first: int, m: int, rows: np.ndarray, frames: np.ndarray, a: np.ndarray | None, b: np.ndarray | None,
                size: int, lag0: int, lags: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sum over origins of (a(f+lag)-a(f)).(b(f+lag)-b(f)) and the number of origins, per lag.
+    """Sums over m series and all origins of (a(f+lag)-a(f)).(b(f+lag)-b(f)), and origin counts.
 
-    ``a`` and ``b`` are (rows, 3) with their frames; origins are [first, first+size) and lags are
-    lag0 .. lag0+lags-1.
+    ``rows`` says which series a frame belongs to. Origins are [first, first+size), lags are
+    lag0 .. lag0+lags-1; frames may have gaps. Without ``a`` only the counts are wanted.
     """
-    span = size + lags - 1
-
-    def dense(values, frames, start, n):
-        out = np.zeros((n, 3))
-        mask = np.zeros(n)
-        sel = (frames >= start) & (frames < start + n)
-        out[frames[sel] - start] = values[sel]
-        mask[frames[sel] - start] = 1.0
-        return out, mask
-
-    oa, om = dense(a, pos_a, first, size)
-    pa, pm = dense(a, pos_a, first + lag0, span)
-    same = b is a
-    ob, pb = (oa, pa) if same else (dense(b, pos_b, first, size)[0], dense(b, pos_b, first + lag0, span)[0])
-    if lags <= DIRECT_LAGS:
-        sums, counts = np.empty(lags), np.empty(lags)
-        for k in range(lags):
-            w = om * pm[k:k + size]
-            da = pa[k:k + size] - oa
-            db = da if same else pb[k:k + size] - ob
-            sums[k] = np.dot(w, np.einsum("ij,ij->i", da, db))
-            counts[k] = w.sum()
-        return sums, counts
+    total, count = np.zeros(lags), np.zeros(lags)
+    last = int(frames.max())
+    size = min(size, last - first + 1)
+    used = min(lags, last - first - lag0 + 1)
+    if size <= 0 or used <= 0:
+        return total, count
+    span = size + used - 1
+    one = np.ones(len(frames))
+    om = _place(one, rows, frames - first, size, m)
+    pm = _place(one, rows, frames - first - lag0, span, m)
+    if a is not None:
+        oa, pa = _place(a, rows, frames - first, size, m), _place(a, rows, frames - first - lag0, span, m)
+        same = b is None
+        ob, pb = (oa, pa) if same else (_place(b, rows, frames - first, size, m),
+                                        _place(b, rows, frames - first - lag0, span, m))
+    if used <= DIRECT_LAGS:
+        for k in range(used):
+            w = om * pm[:, k:k + size]
+            count[k] = w.sum()
+            if a is not None:
+                da = pa[:, k:k + size] - oa
+                db = da if same else pb[:, k:k + size] - ob
+                total[k] = np.einsum("ij,ijc,ijc->", w, da, db)
+        return total, count
     nfft = 1 << int(size + span - 1).bit_length()
 
     def corr(u, v):
-        fu = np.fft.rfft(u, n=nfft, axis=0)
-        fv = np.fft.rfft(v, n=nfft, axis=0)
-        r = np.fft.irfft(fu.conj() * fv, n=nfft, axis=0)[:lags]
+        r = np.fft.irfft(np.fft.rfft(u, n=nfft, axis=1).conj() * np.fft.rfft(v, n=nfft, axis=1), n=nfft, axis=1)
+        r = r[:, :used].sum(axis=0)
         return r.sum(axis=1) if r.ndim == 2 else r
 
-    oab, pab = np.einsum("ij,ij->i", oa, ob), np.einsum("ij,ij->i", pa, pb)
-    counts = np.rint(corr(om, pm))
-    sums = corr(om, pab) + corr(oab, pm) - corr(oa, pb) - corr(ob, pa)
-    return sums, counts
+    count[:used] = np.rint(corr(om, pm))
+    if a is not None:
+        oab, pab = (oa * ob).sum(axis=2), (pa * pb).sum(axis=2)
+        total[:used] = corr(om, pab) + corr(oab, pm) - corr(oa, pb) - corr(ob, pa)
+    return total, count
 
 
 def lag_products(series: DataFrame, keys: Sequence[str], series_id: str, max_lag: int,
-                 cross: bool = False, tile: int = 8192) -> DataFrame:
+                 cross: bool = False, tile: int = 8192, counts_only: bool = False) -> DataFrame:
     """Window-averaged displacement products: keys, lag, total, n.
 
     ``series`` holds keys, ``series_id``, frame, x, y, z (and bx, by, bz when ``cross``).
     ``total`` sums (a(f+lag)-a(f)).(b(f+lag)-b(f)) over all origins f and all series of a key and
-    ``n`` counts them, so total/n is the exact window average; b is a unless ``cross``.
+    ``n`` counts them, so total/n is the exact window average; b is a unless ``cross``. With
+    ``counts_only`` no coordinates are needed: ``n`` is how often f and f+lag are both present.
 
     Frames are cut into tiles of origins and lags into tiles as well; a task sees at most three
     tiles of one series, however long the trajectory is or how large ``max_lag`` is. Each Arrow
@@ -149,45 +160,47 @@ def lag_products(series: DataFrame, keys: Sequence[str], series_id: str, max_lag
     """
     tile = max(2, min(tile, max_lag + 1))
     lag_tiles = (max_lag + tile) // tile
-    cols = [*XYZ, "bx", "by", "bz"] if cross else list(XYZ)
-    q = F.floor(F.col("frame") / tile)
+    cols = [] if counts_only else [*XYZ, "bx", "by", "bz"] if cross else list(XYZ)
     # A tile of frames serves as origins, and as partners of earlier origin tiles.
     roles = f"""filter(flatten(transform(sequence(0L, {lag_tiles - 1}L), k ->
         if(k = 0, array(struct(_q as c, k as k), struct(_q - 1 as c, k as k)),
                   array(struct(_q as c, k as k), struct(_q - k as c, k as k),
                         struct(_q - k - 1 as c, k as k))))), r -> r.c >= 0)"""
-    packed = (series.select(*keys, series_id, "frame", *cols).withColumn("_q", q)
+    packed = (series.selectExpr(*keys, series_id, "frame", *cols, f"frame div {tile} AS _q")
               .groupBy(*keys, series_id, "_q")
               .agg(F.collect_list(F.struct("frame", *cols)).alias("rows"))
-              .withColumn("role", F.explode(F.expr(roles)))
+              .selectExpr(*keys, series_id, f"explode({roles}) AS role", "rows")
               .groupBy(*keys, series_id, F.col("role.c").alias("c"), F.col("role.k").alias("k"))
               .agg(F.flatten(F.collect_list("rows")).alias("rows"))
-              .select(*keys, "c", "k", F.col("rows.frame").alias("frame"),
-                      *[F.col(f"rows.{n}").alias(n) for n in cols]))
+              .selectExpr(*keys, "c", "k", "rows.frame AS frame", *[f"rows.{n} AS {n}" for n in cols]))
     key_names = list(keys)
 
+    def stacked(group: pd.DataFrame, names: Sequence[str]) -> np.ndarray:
+        return np.column_stack([np.concatenate(group[n].to_list()) for n in names])
+
     def reduce_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             acc: dict[tuple, list[np.ndarray]] = {}
-            for row in pdf.itertuples(index=False):
-                r = row._asdict()
-                frames = np.asarray(r["frame"], dtype=np.int64)
-                a = np.column_stack([r[n] for n in XYZ])
-                b = np.column_stack([r[n] for n in ("bx", "by", "bz")]) if cross else a
-                c, k = int(r["c"]), int(r["k"])
+            for key, group in pdf.groupby([*key_names, "c", "k"], sort=False):
+                c, k = int(key[-2]), int(key[-1])
                 lags = min(tile, max_lag + 1 - k * tile)
-                got = _tile_sums(c * tile, a, frames, b, frames, tile, k * tile, lags)
-                slot = acc.setdefault((*(r[n] for n in key_names), k), [np.zeros(lags), np.zeros(lags)])
-                slot[0] += got[0]
-                slot[1] += got[1]
+                step = max(1, CHUNK_CELLS // (2 * tile))
+                slot = acc.setdefault((*key[:-2], k), [np.zeros(lags), np.zeros(lags)])
+                for at in range(0, len(group), step):
+                    part = group.iloc[at:at + step]
+                    frames = np.concatenate(part["frame"].to_list()).astype(np.int64)
+                    rows = np.repeat(np.arange(len(part)), [len(v) for v in part["frame"]])
+                    a = None if counts_only else stacked(part, XYZ)
+                    b = stacked(part, ("bx", "by", "bz")) if cross else None
+                    got = _tile_sums(c * tile, len(part), rows, frames, a, b, tile, k * tile, lags)
+                    slot[0] += got[0]
+                    slot[1] += got[1]
             for key, (total, n) in acc.items():
-                k = key[-1]
-                out = pd.DataFrame({"lag": np.arange(len(total)) + k * tile, "total": total,
+                out = pd.DataFrame({"lag": np.arange(len(total)) + key[-1] * tile, "total": total,
                                     "n": n.astype(np.int64)})
                 for name, value in zip(key_names, key):
                     out[name] = value
-                out = out[[*key_names, "lag", "total", "n"]]
-                yield out[out["n"] > 0]
+                yield out.loc[out["n"] > 0, [*key_names, "lag", "total", "n"]]
 
     types = dict(series.dtypes)
     schema = ", ".join([f"`{n}` {types[n]}" for n in keys] + ["lag bigint", "total double", "n bigint"])

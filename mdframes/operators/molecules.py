@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdframes.operators.neighbors import short_contacts  # noqa: F401  (part of this surface)
-from mdframes.operators.skew import salted_join
+from mdframes.operators.skew import hottest, salted_join
 from mdframes.staging import work_folder
 
 MAX_ROUNDS = 60
@@ -45,14 +45,16 @@ def _star(edges: DataFrame, large: bool, hot_rows: int | None) -> DataFrame:
         both = edges.unionByName(edges.select("traj", F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select("traj", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    lowest = both.groupBy("traj", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = salted_join(both, lowest, ["traj", "u"], ["v"], hot_rows)
+    lowest = both.groupBy("traj", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("_rows"))
+    hot = hottest(lowest, ["traj", "u"], hot_rows) if hot_rows is not None else None
+    lowest = lowest.select("traj", "u", "m")
+    joined = salted_join(both, lowest, ["traj", "u"], ["v"], hot_rows, hot)
     if large:
-        out = joined.where(F.col("v") > F.col("u")).select("traj", F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        link = joined.select("traj", F.col("v").alias("u"), F.col("m").alias("v"))
-        out = link.unionByName(lowest.select("traj", "u", F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+        # Duplicates are harmless here; the small star that follows removes them.
+        return joined.where("v > u AND v <> m").select("traj", F.col("v").alias("u"), F.col("m").alias("v"))
+    link = joined.select("traj", F.col("v").alias("u"), F.col("m").alias("v"))
+    out = link.unionByName(lowest.select("traj", "u", F.col("m").alias("v")))
+    return out.where("u <> v").distinct()
 
 
 def components(atoms: DataFrame, edges: DataFrame, hot_rows: int | None = 20_000) -> DataFrame:

@@ -16,21 +16,26 @@ def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int) -> DataFrame:
     At most 10,000 keys come back, so the result is safe to broadcast whatever the data. Fuller
     keys come first; any further key above the threshold is joined unsplit, with the same rows.
     """
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    return (counts.where(F.col("_rows") > hot_rows).orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS)
-            .select(*on, F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int").alias("_parts")))
+    return hottest(df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")), on, hot_rows)
+
+
+def hottest(counts: DataFrame, on: Sequence[str], hot_rows: int, rows: str = "_rows") -> DataFrame:
+    """The same from a table that already has the row count of each key."""
+    return (counts.where(F.col(rows) > hot_rows).orderBy(F.desc(rows)).limit(MAX_HOT_KEYS)
+            .select(*on, F.ceil(F.col(rows) / F.lit(hot_rows)).cast("int").alias("_parts")))
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str],
-                hot_rows: int | None = 20_000) -> DataFrame:
+                hot_rows: int | None = 20_000, hot: DataFrame | None = None) -> DataFrame:
     """Inner equi-join where a hot left key is split and only its right rows are replicated.
 
     ``spread`` names left columns that tell rows of one key apart. Result rows are the same as
-    for ``left.join(right, on)``. ``hot_rows=None`` gives the plain join.
+    for ``left.join(right, on)``. ``hot_rows=None`` gives the plain join; ``hot`` is a ready
+    result of ``hot_keys``.
     """
     if hot_rows is None:
         return left.join(right, list(on))
-    hot = F.broadcast(hot_keys(left, on, hot_rows))
+    hot = F.broadcast(hot_keys(left, on, hot_rows) if hot is None else hot)
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     left = (left.join(hot, list(on), "left")
             .withColumn("_salt", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("_parts"))

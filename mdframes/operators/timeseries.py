@@ -47,7 +47,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str] = RUN, t
     w = Window.partitionBy(*keys, "_b").orderBy(time, "_side", "_o")
     back = F.coalesce(F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
                       F.col("_before"))
-    ahead = F.coalesce(F.first("_r", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+    desc = Window.partitionBy(*keys, "_b").orderBy(F.desc(time), F.desc("_side"), F.desc("_o"))
+    ahead = F.coalesce(F.last("_r", ignorenulls=True).over(desc.rowsBetween(Window.unboundedPreceding, -1)),
                        F.col("_after"))
     both = both.withColumns({"_back": back, "_ahead": ahead}).where(F.col("_side") == 1)
     db, da = F.col(time) - F.col("_back.t"), F.col("_ahead.t") - F.col(time)

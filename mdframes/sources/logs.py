@@ -23,53 +23,53 @@ FILLS = [("potential energy", "potential_kcal_mol"), ("kinetic energy", "kinetic
 
 def _kind() -> F.Column:
     """Which field a line carries: time, set:<field>, fill:<field>, lengths, angles, box."""
-    low = F.lower("line")
-    some = F.size("nums") > 0
-    has = lambda text: low.contains(text)
-    k = F.when(has("current time") & some, "time")
-    for text, field in SETS[:3]:
-        k = k.when(has(text) & some, f"set:{field}")
-    for text, field in FILLS[:2]:
-        k = k.when(has(text) & some, f"fill:{field}")
-    k = k.when(has("current temperature") & some, "set:temperature_K")
-    k = k.when(has("temperature") & ~has("current") & some, "fill:temperature_K")
-    k = k.when(has("current pressure") & some, "set:pressure_atm")
-    k = k.when(has("pressure") & ~has("current") & some, "fill:pressure_atm")
-    k = k.when((has("lattice lengths") | has("cell lengths")) & (F.size("nums") >= 3), "lengths")
-    k = k.when((has("lattice angles") | has("cell angles")) & (F.size("nums") >= 3), "angles")
-    return k.when(has("box dimensions"), "box")
-
-
-def parse_logs(lines: DataFrame, keys: Sequence[str] = ("file",)) -> DataFrame:
-    """Line table -> one row per record: keys, rec, time_ps, energies, cell.
+    has = lambda text: f"contains(low, '{text}')"
+    some = "line rlike '[0-9]'"
+    when = [(f"{has('current time')} AND {some}", "time")]
+    when += [(f"{has(text)} AND {some}", f"set:{field}") for text, field in SETS[:3]]
+    when += [(f"{has(text)} AND {some}", f"fill:{field}") for text, field in FILLS[:2]]
+    for (now, field), (plain, _) in zip(SETS[3:], FILLS[2:]):
+        when.append((f"{has(now)} AND {some}", f"set:{field}"))
+        when.append((f"{has(plain)} AND NOT {has('current')} AND {some}", f"fill:{field}"))
+    when.append((f"{has('lattice lengths')} OR {has('cell lengths')}", "lengths"))
+    when.append((f"{has('lattice angles')} OR {has('cell angles')}", "angles"))
+    when.append((has("box dimensions"), "box"))
+    return F.expr("CASE " + " ".join(f"WHEN {c} THEN '{k}'" for c, k in when) + " END")
+
+
+def parse_logs(lines: DataFrame) -> DataFrame:
+    """Line table -> one row per record: file, rec, time_ps, energies, cell.
 
     A ``Current Time`` line opens a record. A box heading takes six numbers from itself and the
-    three lines that follow.
+    three lines that follow, which may lie in the next block of the file.
     """
-    df = lines.withColumn("nums", T.numbers(F.col("line"))).withColumn("kind", _kind())
-    df = running(df, ["file"], "block", ["seq"], {
-        "ln": F.lit(1), "rec": F.when(F.col("kind") == "time", 1).otherwise(0)})
-    df = df.drop("line")
-    box = df.where("kind = 'box'").select("file", "rec", F.col("ln").alias("head"),
-                                          F.explode(F.sequence("ln", F.col("ln") + 3)).alias("ln"))
-    near = (box.join(df.select("file", "ln", "nums"), ["file", "ln"]).groupBy("file", "rec", "head")
-            .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ln", "nums"))), lambda s: s["nums"])).alias("nums")))
-    near = near.where(F.size("nums") >= 6).select("file", "rec", F.col("head").alias("ln"), F.lit("box").alias("kind"), "nums")
-    df = df.where("kind IS NOT NULL AND kind <> 'box'").select("file", "rec", "ln", "kind", "nums").unionByName(near)
-
-    def last(cond: F.Column, i: int) -> F.Column:
-        return F.max_by(F.get("nums", F.lit(i)), F.when(cond, F.col("ln")))
-
-    aggs = [last(F.col("kind") == "time", 0).alias("time_ps")]
+    w = "(PARTITION BY file, block ORDER BY seq)"
+    df = lines.selectExpr("file", "block", "seq", "line", f"row_number() OVER {w} AS rn",
+                          f"filter(array(lead(line, 1) OVER {w}, lead(line, 2) OVER {w}, lead(line, 3) OVER {w}), l -> l IS NOT NULL) AS more")
+    # The first three lines of each block, for headings at the end of the block before.
+    heads = df.where("rn <= 3").groupBy("file", "block").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rn", "line"))), lambda s: s["line"]).alias("head"))
+    wb = "(PARTITION BY file ORDER BY block)"
+    none = "cast(array() AS array<string>)"
+    heads = heads.selectExpr("file", "block", "flatten(array(" + ", ".join(
+        f"coalesce(lead(head, {i}) OVER {wb}, {none})" for i in (1, 2, 3)) + ")) AS next")
+    df = df.withColumn("low", F.lower("line")).withColumn("kind", _kind()).where("kind IS NOT NULL")
+    df = df.join(heads, ["file", "block"]).selectExpr("file", "block", "seq", "kind", """CASE WHEN kind = 'box'
+        THEN concat_ws(' ', line, array_join(slice(concat(more, next), 1, 3), ' ')) ELSE line END AS text""")
+    df = running(df, ["file"], "block", ["seq"], {"rec": F.expr("int(kind = 'time')")})
+    df = df.withColumn("nums", T.numbers(F.col("text")))
+    enough = "size(nums) >= CASE kind WHEN 'box' THEN 6 WHEN 'lengths' THEN 3 WHEN 'angles' THEN 3 ELSE 1 END"
+    df = df.where(enough).selectExpr("file", "rec", "kind", "nums", "struct(block, seq) AS at")
+
+    aggs = ["max_by(nums[0], CASE WHEN kind = 'time' THEN at END) AS time_ps"]
     for field in LOG_ENERGIES:
-        filled = F.min_by(F.get("nums", F.lit(0)), F.when(F.col("kind") == f"fill:{field}", F.col("ln")))
-        aggs.append(F.coalesce(last(F.col("kind") == f"set:{field}", 0), filled).alias(field))
+        aggs.append(f"coalesce(max_by(nums[0], CASE WHEN kind = 'set:{field}' THEN at END), "
+                    f"min_by(nums[0], CASE WHEN kind = 'fill:{field}' THEN at END)) AS {field}")
     for i, field in enumerate(LOG_CELL):
-        own = F.col("kind") == ("lengths" if i < 3 else "angles")
-        ln = F.when(own | (F.col("kind") == "box"), F.col("ln"))
-        value = F.when(own, F.get("nums", F.lit(i % 3))).otherwise(F.get("nums", F.lit(i)))
-        aggs.append(F.max_by(value, ln).alias(field))
-    return df.groupBy("file", "rec").agg(*aggs)
+        own = "lengths" if i < 3 else "angles"
+        aggs.append(f"max_by(CASE kind WHEN '{own}' THEN get(nums, {i % 3}) ELSE get(nums, {i}) END, "
+                    f"CASE WHEN kind IN ('{own}', 'box') THEN at END) AS {field}")
+    return df.groupBy("file", "rec").agg(*[F.expr(a) for a in aggs])
 
 
 def clean_logs(records: DataFrame, run: Sequence[str]) -> DataFrame:
