@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mdframes.functions import sites as T
-from mdframes.operators.scan import previous, running
+from mdframes.operators.scan import previous
 from mdframes.schema import LOG_CELL, LOG_ENERGIES
-from mdframes.sources.text import LINE, read_lines
+from mdframes.sources.text import LINE, list_files, read_lines
 
 # Words that mark a field. A "current" line sets the value; a plain line only fills
 # a gap. Order matters where one line could match two fields.
@@ -44,30 +44,37 @@ def parse_logs(lines: DataFrame) -> DataFrame:
     three lines that follow, which may lie in the next block of the file.
     """
     w = "(PARTITION BY file, block ORDER BY seq)"
-    df = lines.selectExpr("file", "block", "seq", "line", f"row_number() OVER {w} AS rn",
-                          f"filter(array(lead(line, 1) OVER {w}, lead(line, 2) OVER {w}, lead(line, 3) OVER {w}), l -> l IS NOT NULL) AS more")
-    # The first three lines of each block, for headings at the end of the block before.
-    heads = df.where("rn <= 3").groupBy("file", "block").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rn", "line"))), lambda s: s["line"]).alias("head"))
+    df = lines.select("file", "block", "seq", "line", F.lower("line").alias("low")).withColumn("kind", _kind())
+    df = df.selectExpr("file", "block", "line", "kind", f"row_number() OVER {w} AS rn",
+                       f"sum(int(coalesce(kind = 'time', false))) OVER {w[:-1]} ROWS UNBOUNDED PRECEDING) AS rec",
+                       f"filter(array(lead(line, 1) OVER {w}, lead(line, 2) OVER {w}, lead(line, 3) OVER {w}), l -> l IS NOT NULL) AS more")
+    # Per block: its records, and its first three lines for a heading at the end of the block before.
+    heads = df.groupBy("file", "block").agg(
+        F.max("rec").alias("recs"),
+        F.transform(F.array_sort(F.collect_list(F.expr("CASE WHEN rn <= 3 THEN struct(rn, line) END"))),
+                    lambda s: s["line"]).alias("head"))
     wb = "(PARTITION BY file ORDER BY block)"
     none = "cast(array() AS array<string>)"
-    heads = heads.selectExpr("file", "block", "flatten(array(" + ", ".join(
-        f"coalesce(lead(head, {i}) OVER {wb}, {none})" for i in (1, 2, 3)) + ")) AS next")
-    df = df.withColumn("low", F.lower("line")).withColumn("kind", _kind()).where("kind IS NOT NULL")
-    df = df.join(heads, ["file", "block"]).selectExpr("file", "block", "seq", "kind", """CASE WHEN kind = 'box'
+    heads = heads.selectExpr(
+        "file", "block", f"coalesce(sum(recs) OVER {wb[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS rec0",
+        "flatten(array(" + ", ".join(f"coalesce(lead(head, {i}) OVER {wb}, {none})" for i in (1, 2, 3)) + ")) AS next")
+    df = df.where("kind IS NOT NULL").join(heads, ["file", "block"])
+    # Recognised lines are longer than a byte, so block start + line number grows along the file.
+    df = df.selectExpr("file", "rec0 + rec AS rec", "kind", "block + rn AS at", """CASE WHEN kind = 'box'
         THEN concat_ws(' ', line, array_join(slice(concat(more, next), 1, 3), ' ')) ELSE line END AS text""")
-    df = running(df, ["file"], "block", ["seq"], {"rec": F.expr("int(kind = 'time')")})
-    df = df.withColumn("nums", T.numbers(F.col("text")))
+    # Exploding a one-element array computes the numbers once instead of once per use.
+    df = df.select("file", "rec", "kind", "at", F.explode(F.array(T.numbers(F.col("text")))).alias("nums"))
     enough = "size(nums) >= CASE kind WHEN 'box' THEN 6 WHEN 'lengths' THEN 3 WHEN 'angles' THEN 3 ELSE 1 END"
-    df = df.where(enough).selectExpr("file", "rec", "kind", "nums", "struct(block, seq) AS at")
+    # Plain scalar columns keep the aggregation below in a hash map.
+    df = df.where(enough).selectExpr("file", "rec", "kind", "at", *[f"get(nums, {i}) AS n{i}" for i in range(6)])
 
-    aggs = ["max_by(nums[0], CASE WHEN kind = 'time' THEN at END) AS time_ps"]
+    aggs = ["max_by(n0, CASE WHEN kind = 'time' THEN at END) AS time_ps"]
     for field in LOG_ENERGIES:
-        aggs.append(f"coalesce(max_by(nums[0], CASE WHEN kind = 'set:{field}' THEN at END), "
-                    f"min_by(nums[0], CASE WHEN kind = 'fill:{field}' THEN at END)) AS {field}")
+        aggs.append(f"coalesce(max_by(n0, CASE WHEN kind = 'set:{field}' THEN at END), "
+                    f"min_by(n0, CASE WHEN kind = 'fill:{field}' THEN at END)) AS {field}")
     for i, field in enumerate(LOG_CELL):
         own = "lengths" if i < 3 else "angles"
-        aggs.append(f"max_by(CASE kind WHEN '{own}' THEN get(nums, {i % 3}) ELSE get(nums, {i}) END, "
+        aggs.append(f"max_by(CASE kind WHEN '{own}' THEN n{i % 3} ELSE n{i} END, "
                     f"CASE WHEN kind IN ('{own}', 'box') THEN at END) AS {field}")
     return df.groupBy("file", "rec").agg(*[F.expr(a) for a in aggs])
 
@@ -81,13 +88,12 @@ def clean_logs(records: DataFrame, run: Sequence[str]) -> DataFrame:
     return df.withColumn("_r", rank).where("_r = 1").drop("_r", "rec")
 
 
-def preferred_logs(lines: DataFrame, run: Sequence[str], extension: str = ".out") -> DataFrame:
-    """Of a run's log files (by extension), those named like logs if there are any, else all."""
+def preferred_logs(files: DataFrame, run: Sequence[str], extension: str = ".out") -> DataFrame:
+    """Of a run's files with the extension, those named like logs if there are any, else all."""
     name = F.lower(F.regexp_extract("file", r"([^/]+)$", 1))
-    files = lines.where(name.endswith(extension)).select(*run, "file").distinct()
-    good = F.lower(F.regexp_extract("file", r"([^/]+)$", 1)).rlike("log|dynamic").cast("int")
-    keep = files.withColumn("_g", good).withColumn("_any", F.max("_g").over(Window.partitionBy(*run)))
-    return lines.join(keep.where("_g = _any").select("file"), "file", "left_semi")
+    df = files.where(name.endswith(extension)).withColumn("_g", name.rlike("log|dynamic").cast("int"))
+    df = df.withColumn("_any", F.max("_g").over(Window.partitionBy(*run)))
+    return df.where("_g = _any").drop("_g", "_any")
 
 
 def run_columns(df: DataFrame, directory: F.Column | None = None) -> DataFrame:
@@ -101,9 +107,12 @@ def read_logs(spark: SparkSession, paths: str | Sequence[str], extension: str =
               directory: F.Column | None = None) -> DataFrame:
     """Cleaned records of all runs below ``paths``: series, run_index, time_ps, measures, file."""
     run = ["series", "run_index"]
-    lines = run_columns(read_lines(spark, paths, f"*{extension}"), directory)
-    lines = preferred_logs(lines, run, extension).select(*LINE, "line")
-    return clean_logs(run_columns(parse_logs(lines), directory), run)
+    files = preferred_logs(run_columns(list_files(spark, paths, f"*{extension}"), directory), run, extension)
+    # File names are on the driver anyway when Spark lists them; only the chosen files are read.
+    chosen = [r["file"] for r in files.select("file").collect()]
+    if not chosen:
+        raise FileNotFoundError(f"no {extension} files below {paths}")
+    return clean_logs(run_columns(parse_logs(read_lines(spark, chosen)), directory), run)
 
 
 def kinetic_log(lines: DataFrame, dof: int) -> DataFrame:
