@@ -7,7 +7,6 @@ the summation order.
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -689,7 +688,7 @@ def topology_check(spark, sf):
 
 @query
 def retag(spark, sf):
-    """New types for all-oxygen-free chains by formula and neighbour."""
+    """New types by molecule formula and bonded element."""
     a = molecule_atoms(spark, sf).withColumnRenamed("name", "element")
     rules = [("Li1", "Li", None, 906), ("N1S1", "N", "S", 972), ("N1S1", "N", None, 973), ("N1S1", "S", None, 974),
              ("H1Li1", "H", "Li", 971)]
@@ -713,13 +712,13 @@ def residue_summary(spark, sf):
 
 @query
 def select_species(spark, sf):
-    return SEL.build_species(shared(spark, sf, "atoms"), TARGETS).drop("mass")
+    return SEL.build_species(shared(spark, sf, "atoms"), TARGETS).drop("mass", "single")
 
 
 @query
 def select_species_by_type(spark, sf):
     t = SEL.parse_species(["Li:6:1", "NO:72;81:-1"], "types") + SEL.parse_species(["mol:164:-1"], "marker")
-    return SEL.build_species(shared(spark, sf, "atoms"), t).drop("mass")
+    return SEL.build_species(shared(spark, sf, "atoms"), t).drop("mass", "single")
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mdframes.functions import cell as C
 from mdframes.functions import scalars as X
-from mdframes.operators.scan import previous, with_carry
+from mdframes.operators.scan import previous, running, with_carry
 
 RUN = ["series", "run_index"]
 MEASURES = ["potential_kcal_mol", "kinetic_kcal_mol", "total_energy_kcal_mol", "temperature_K",
@@ -85,11 +85,15 @@ def merge_frames_onto_log(log: DataFrame, frames: DataFrame, keys: Sequence[str]
 
 
 def merge_by_position(log: DataFrame, frames: DataFrame, keys: Sequence[str], log_order: Sequence[str],
-                      frame_order: Sequence[str]) -> DataFrame:
-    """Without a common time axis: n-th log record next to the n-th frame of the run."""
-    a = log.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*log_order)))
-    b = frames.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*frame_order)))
-    return a.join(b, [*keys, "_n"], "full").drop("_n")
+                      frame_order: Sequence[str], width: float = 10_000.0) -> DataFrame:
+    """Without a common time axis: n-th log record next to the n-th frame of the run.
+
+    Positions are counted bucket by bucket of the first (numeric) order column.
+    """
+    def positioned(df: DataFrame, order: Sequence[str]) -> DataFrame:
+        df = df.withColumn("_b", F.floor(F.col(order[0]) / width))
+        return running(df, keys, "_b", order, {"_n": F.lit(1).cast("long")}).drop("_b")
+    return positioned(log, log_order).join(positioned(frames, frame_order), [*keys, "_n"], "full").drop("_n")
 
 
 def time_step(df: DataFrame, keys: Sequence[str], time: str = "time_ps", fallback: float = 50.0,

@@ -84,8 +84,9 @@ def clean_logs(records: DataFrame, run: Sequence[str]) -> DataFrame:
     (later file, then later record)."""
     useful = [*LOG_ENERGIES, "a_A", "b_A", "c_A"]
     df = records.where(F.col("time_ps").isNotNull()).dropna(how="all", subset=useful)
-    rank = F.row_number().over(Window.partitionBy(*run, "time_ps").orderBy(F.desc("file"), F.desc("rec")))
-    return df.withColumn("_r", rank).where("_r = 1").drop("_r", "rec")
+    rest = [c for c in df.columns if c not in {*run, "time_ps", "rec"}]
+    last = df.groupBy(*run, "time_ps").agg(F.max_by(F.struct(*rest), F.struct("file", "rec")).alias("v"))
+    return last.select(*run, "time_ps", "v.*")
 
 
 def preferred_logs(files: DataFrame, run: Sequence[str], extension: str = ".out") -> DataFrame:
