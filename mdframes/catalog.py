@@ -53,8 +53,20 @@ def rounded(df: DataFrame, digits: int = 6, **scale: float) -> DataFrame:
     return df.select(*cols)
 
 
-_VIEWS = {n: staged(getattr(V, n)) for n in
-          ("positions", "walks", "atoms", "runs", "logs", "snapshots", "bonded_atoms", "triclinic_frames")}
+# Views that start from another view take it from storage.
+BASE = {"positions": "walks", "triclinic_frames": "positions", "logs": "runs", "snapshots": "runs"}
+
+
+def _view(name: str) -> Query:
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = [shared(spark, sf_dir, BASE[name])] if name in BASE else []
+        return getattr(V, name)(spark, sf_dir, *base)
+    build.__name__ = name
+    return staged(build)
+
+
+_VIEWS = {n: _view(n) for n in
+          ("walks", "positions", "atoms", "runs", "logs", "snapshots", "bonded_atoms", "triclinic_frames")}
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -81,9 +81,9 @@ def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
         (((a * 1777) % BOX_UNITS + F.col("sz")) / GRID).alias("z"))
 
 
-def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The walks wrapped into the box."""
-    return walks(spark, sf_dir).withColumns(
+def positions(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    """The walks (or ``base``, if they are at hand) wrapped into the box."""
+    return (walks(spark, sf_dir) if base is None else base).withColumns(
         {n: F.pmod(F.col(n), F.lit(BOX)) for n in "xyz"})
 
 
@@ -94,15 +94,9 @@ def in_cubic_box(df: DataFrame) -> DataFrame:
         "volume", F.lit(BOX ** 3))
 
 
-def sites(spark: SparkSession, sf_dir: str, with_cell: bool = True) -> DataFrame:
-    """Wrapped positions with the site name of each atom."""
-    df = positions(spark, sf_dir).withColumn("site", _pick(0))
-    return in_cubic_box(df) if with_cell else df
-
-
-def triclinic_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cell per frame, with lengths and angles that drift: traj, frame, a..gamma."""
-    fr = positions(spark, sf_dir).groupBy("traj", "frame").agg(F.count(F.lit(1)).alias("n_atoms"))
+def triclinic_frames(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    """A cell per frame of the positions, with lengths and angles that drift: traj, frame, a..gamma."""
+    fr = (positions(spark, sf_dir) if base is None else base).groupBy("traj", "frame").agg(F.count(F.lit(1)).alias("n_atoms"))
     f = F.col("frame")
     return fr.select("traj", "frame", (F.lit(20.0) + F.lit(0.05) * (f % 7)).alias("a"),
                      F.lit(20.0).alias("b"), F.lit(20.0).alias("c"),
@@ -111,6 +105,7 @@ def triclinic_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as MD records: series, run_index and the record number rn within the run."""
     o = read(spark, sf_dir, "orders")
     series = F.concat(F.lit("T"), (F.lit(240) + 30 * F.substring("o_orderpriority", 1, 1).cast("int"))
                       .cast("string"), F.lit("K"))
@@ -120,19 +115,19 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                    {"rn": F.lit(1)})
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def logs(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """Run-log records, one per order: series, run_index, time_ps, energies."""
-    return runs(spark, sf_dir).select(
+    return (runs(spark, sf_dir) if base is None else base).select(
         "series", "run_index", (F.col("rn") * 10.0).alias("time_ps"),
         (-F.col("o_totalprice")).alias("potential_kcal_mol"),
         F.when(F.col("o_orderkey") % 13 != 0, F.floor("o_totalprice") / 128.0)
         .alias("kinetic_kcal_mol"))
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapshots(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """Snapshot cells, one per order, at times that straddle the log times."""
     a = F.lit(20.0) + (F.col("o_custkey") % 100) / F.lit(1024.0)
-    return runs(spark, sf_dir).select(
+    return (runs(spark, sf_dir) if base is None else base).select(
         "series", "run_index", "o_orderkey",
         (F.col("rn") * 10.0 + F.col("o_orderkey") % 11 - 5).alias("time_ps"),
         F.when(F.col("o_orderkey") % 17 != 0, a).alias("a_A"),
