@@ -14,7 +14,7 @@ from mdframes.llm.common import shuffle_partitions, staged, table
 
 MARK = "<|endoftext|>"      # a special token of the vocabulary, never part of ordinary ids
 ODD = "\x1c\x1d\x1e\x1f"    # white space to Python, not to the tokenizer
-CACHE = 400_000             # words whose ids a worker keeps
+CACHE = 500_000             # words at which a worker begins to remember anew
 LONG = 64                   # characters beyond which a word isn't kept
 
 _encoders: dict[str, Encoder] = {}
@@ -53,15 +53,14 @@ class Encoder:
         for a in range(0, len(texts), 500):
             part = texts[a:a + 500]
             odd = {t for t in part if any(c in t for c in ODD)}
-            split = [() if t in odd else t.split() for t in part]
-            new = set().union(*split) - self.known.keys()
-            if len(self.known) + len(new) > CACHE:
+            split = [[] if t in odd else t.split() for t in part]
+            if len(self.known) > CACHE:
                 self.known = {}
-                new = set().union(*split)
+            found = [list(map(self.known.get, words)) for words in split]
+            new = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
             self.learn(list(new))
-            get = self.known.__getitem__
-            for t, words in zip(part, split):
-                yield self.whole([t])[0] if t in odd else b"".join(map(get, words))
+            for t, words, ids in zip(part, split, found):
+                yield self.whole([t])[0] if t in odd else b"".join(map(self.known.__getitem__, words) if None in ids else ids)
             for w in new:
                 if len(w) > LONG:
                     del self.known[w]

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from mdframes.llm.common import crc
 from mdframes.llm.language import language_id
+from mdframes.llm.masked_lm import pseudo_likelihood
 from mdframes.llm.packing import pack_documents
+from mdframes.llm.pieces import piece_digest
 from mdframes.llm.pii import pii_digest
 from mdframes.llm.quality import quality
 from mdframes.llm.sharding import shard
 from mdframes.llm.simhash import simhash_groups
+from mdframes.llm.tiles import near_vectors
+from mdframes.llm.topk import search_embeddings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,11 +51,31 @@ def op3_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op7_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_quantised_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
@@ -60,3 +84,25 @@ def op9_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
+USABLE = """
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+ORACLES["op7_max_score"] = f"""
+WITH v AS ({USABLE}),
+w AS (SELECT vec_id, list_transform(e, lambda x: floor(256 * x)) AS w FROM v),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.w, d.w)::BIGINT AS score
+      FROM w q JOIN w d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id),
+r AS (SELECT query_id, (ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5"""
+
+ORACLES["op8_quantised_tiles"] = f"""
+WITH RECURSIVE v AS ({USABLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, MIN(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a, COUNT(*) AS n_links FROM links GROUP BY a)
+SELECT e.vec_id, COALESCE(d.n_links, 0) AS n_links, least.component_id, e.vec_id = least.component_id AS kept
+FROM embeddings e JOIN least ON least.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id"""
