@@ -221,7 +221,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
                 sizes = np.array([len(t) for t in texts], np.int64)
                 row, places = _windows(texts)
                 owner = np.repeat(np.arange(len(texts)), sizes)
-                summed = np.bincount(owner, log_probabilities(held.value, row, places), len(texts))
+                summed = np.bincount(owner, log_probabilities(held.value, row, places), len(texts)).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(summed)], names=["doc_id", "n_tokens", "log_likelihood"])
 
     found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, log_likelihood double")

@@ -193,7 +193,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def pii_digest(docs: DataFrame) -> DataFrame:
     """``find_pii`` as counts and strings: n_<kind> and base_sha256 of the base spans, and all spans."""
     found = find_pii(docs)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = list(map(count, KINDS))
     return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
