@@ -101,6 +101,19 @@ def rdf_cn(spark, sf):
     return rounded(S.rdf(cubic_sites(spark, sf), "Li", "O", RMAX, RDF_BW, "mean"))
 
 
+@query
+def rdf_uneven_frame(spark, sf):
+    """A bin width that does not divide the range, with per-frame volumes."""
+    sites = shared(spark, sf, "positions").withColumn("site", V._pick(0))
+    sites = N.attach_cell(sites, shared(spark, sf, "triclinic_frames"))
+    return rounded(S.rdf(sites, "Li", "O", RMAX, 0.7))
+
+
+@query
+def rdf_uneven_mean(spark, sf):
+    return rounded(S.rdf(cubic_sites(spark, sf), "Li", "Li", RMAX, 0.7, "mean"))
+
+
 @query
 def neighbor_pairs(spark, sf):
     s = cubic_sites(spark, sf)
@@ -487,7 +500,7 @@ def survival_continuous(spark, sf):
 
 @query
 def survival_intermittent(spark, sf):
-    return rounded(K.survival_intermittent(active(spark, sf), K.lag_grid(lengths(spark, sf)), 1000))
+    return rounded(K.survival_intermittent(active(spark, sf), K.lag_grid(lengths(spark, sf))))
 
 
 def _km(spark, sf):
@@ -513,7 +526,7 @@ def correlation_integrals(spark, sf):
     """Trapezoid integral of the continuous and of the intermittent survival curve."""
     g = K.lag_grid(lengths(spark, sf))
     a = _timed(K.survival_continuous(contacts(spark, sf), g)).withColumn("curve", F.lit("continuous"))
-    b = _timed(K.survival_intermittent(active(spark, sf), g, 1000)).withColumn("curve", F.lit("intermittent"))
+    b = _timed(K.survival_intermittent(active(spark, sf), g)).withColumn("curve", F.lit("intermittent"))
     return rounded(R.integral(a.unionByName(b), ["traj", "curve"]))
 
 
@@ -522,7 +535,7 @@ def kww_fit(spark, sf):
     """Stretched-exponential fit of the continuous and the intermittent curve."""
     g = K.lag_grid(lengths(spark, sf))
     a = R.fit_kww(_timed(K.survival_continuous(contacts(spark, sf), g)), ["traj"], plateau=False)
-    b = R.fit_kww(_timed(K.survival_intermittent(active(spark, sf), g, 1000)), ["traj"], plateau=True)
+    b = R.fit_kww(_timed(K.survival_intermittent(active(spark, sf), g)), ["traj"], plateau=True)
     return rounded(a.withColumn("curve", F.lit("continuous")).unionByName(b.withColumn("curve", F.lit("intermittent"))), 5)
 
 
@@ -975,6 +988,18 @@ def atom_type_field(spark, sf):
                      T.atom_type(F.col("line"), "tail").alias("tail"))
 
 
+@query
+def atom_type_modes(spark, sf):
+    """Every place an ATOM line can hide an atom type in, over all line items."""
+    k = F.col("l_linenumber") % 3
+    line = F.format_string("ATOM  %5d  N   %-4dA   1       1.000   2.000   3.000%6.2f%6.2f      %s", F.col("l_orderkey") % 100000, F.col("l_suppkey") % 1000,
+                           F.when(k == 0, F.col("l_quantity")).otherwise(1.0), F.when(k == 1, F.col("l_quantity")).otherwise(0.0),
+                           F.when(k == 2, F.concat(F.lit("  "), F.col("l_quantity").cast("int").cast("string"))).otherwise(F.lit("  N ")))
+    li = V.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", line.alias("line"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", *[T.atom_type(F.col("line"), m).alias(f"type_{m}")
+                                                     for m in ("auto", "occupancy", "bfactor", "resname", "tail", "last_int", "none")])
+
+
 @query
 def combined_curves(spark, sf):
     """Wide table: one g(r) column per site pair."""

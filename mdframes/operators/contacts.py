@@ -95,11 +95,13 @@ def survival_continuous(ev: DataFrame, grid: DataFrame) -> DataFrame:
     return out.select("traj", "lag", value.alias("survival"))
 
 
-def survival_intermittent(active: DataFrame, grid: DataFrame, max_lag: int) -> DataFrame:
+def survival_intermittent(active: DataFrame, grid: DataFrame) -> DataFrame:
     """Probability of contact at f + lag given contact at f, whatever happens between.
 
-    The lag counts come from the tiled lag kernel: active frames are present, others are gaps.
+    The lag counts come from the tiled lag kernel, for every lag of ``grid`` (its greatest lag is the one
+    number the driver sees): active frames are present, others are gaps.
     """
+    max_lag = grid.agg(F.max("lag")).first()[0] or 0
     presence = active.select("traj", "frame", F.concat_ws("|", "i", "mol_id").alias("pair"))
     num = lag_products(presence, ["traj"], "pair", max_lag, counts_only=True).select("traj", "lag", F.col("n").alias("_num"))
     on = active.groupBy("traj").agg(F.count(F.lit(1)).alias("_on"))

@@ -8,11 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdframes.operators.neighbors import short_contacts  # noqa: F401  (part of this surface)
-from mdframes.operators.skew import hottest, salted_join
 from mdframes.staging import work_folder
 
-MAX_ROUNDS = 60
-
 
 def checkpoint_folder(spark: SparkSession) -> None:
     """Checkpoints go to the cluster's ``spark.checkpoint.dir``; a folder is set only where none is."""
@@ -39,16 +36,15 @@ def invalid_bonds(atoms: DataFrame) -> DataFrame:
     return raw.join(atoms.select("traj", F.col("atom_id").alias("other")), ["traj", "other"], "left_anti")
 
 
-def _star(edges: DataFrame, large: bool, hot_rows: int | None) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step of large-star or small-star over directed edges (traj, u, v), v < u for small."""
     if large:
         both = edges.unionByName(edges.select("traj", F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select("traj", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    lowest = both.groupBy("traj", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("_rows"))
-    hot = hottest(lowest, ["traj", "u"], hot_rows) if hot_rows is not None else None
-    lowest = lowest.select("traj", "u", "m")
-    joined = salted_join(both, lowest, ["traj", "u"], ["v"], hot_rows, hot)
+    # A hub's minimum is aggregated before the shuffle, and its joined rows are split by the adaptive skew join.
+    lowest = both.groupBy("traj", "u").agg(F.min("v").alias("m")).select("traj", "u", F.least("u", "m").alias("m"))
+    joined = both.join(lowest, ["traj", "u"])
     if large:
         # Duplicates are harmless here; the small star that follows removes them.
         return joined.where("v > u AND v <> m").select("traj", F.col("v").alias("u"), F.col("m").alias("v"))
@@ -57,7 +53,7 @@ def _star(edges: DataFrame, large: bool, hot_rows: int | None) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(atoms: DataFrame, edges: DataFrame, hot_rows: int | None = 20_000) -> DataFrame:
+def components(atoms: DataFrame, edges: DataFrame) -> DataFrame:
     """Molecule of each atom: traj, atom_id, mol_id (the lowest atom id of the component).
 
     Alternating large-star and small-star steps: the number of rounds grows with the logarithm of
@@ -67,14 +63,12 @@ def components(atoms: DataFrame, edges: DataFrame, hot_rows: int | None = 20_000
     checkpoint_folder(spark)
     cur = edges.select("traj", F.col("b").alias("u"), F.col("a").alias("v")).checkpoint()
     seen = None
-    for _ in range(MAX_ROUNDS):
-        cur = _star(_star(cur, True, hot_rows), False, hot_rows).checkpoint()
+    while True:
+        cur = _star(_star(cur, True), False).checkpoint()
         mark = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("traj", "u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError("bond graph did not settle")
     return (atoms.select("traj", "atom_id")
             .join(cur.select("traj", F.col("u").alias("atom_id"), F.col("v").alias("mol_id")),
                   ["traj", "atom_id"], "left")

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mdframes.functions import cell as C
-from mdframes.operators.skew import salted_join
 
 KEYS = ["traj", "frame"]
 
@@ -35,13 +34,13 @@ def _gridded(df: DataFrame, cutoff: float, carry: list[str]) -> DataFrame:
 CELL_ID = "bigint(gx) + nx*(bigint(gy) + ny*bigint(gz)) AS cell"
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, cutoff: float, strict: bool = False,
-                 hot_rows: int | None = 20_000) -> DataFrame:
+def radius_pairs(left: DataFrame, right: DataFrame, cutoff: float, strict: bool = False) -> DataFrame:
     """All (left, right) pairs of a frame whose minimum-image distance is within ``cutoff``.
 
     Both inputs hold traj, frame, atom_id, x, y, z and the cell matrix. An atom is never paired
     with itself. Output: traj, frame, i (left atom), j (right atom), dx, dy, dz (right - left),
-    r2, volume and any further left/right column, prefixed ``l_`` / ``r_``.
+    r2, volume and any further left/right column, prefixed ``l_`` / ``r_``. A crowded cell is one join
+    key; Spark splits the partitions it makes too large (adaptive skew join), however many there are.
     """
     fixed = {"traj", "frame", "atom_id", "x", "y", "z", "volume", *C.MATRIX}
     l_extra = [c for c in left.columns if c not in fixed]
@@ -58,7 +57,7 @@ def radius_pairs(left: DataFrame, right: DataFrame, cutoff: float, strict: bool
                                   f"pmod(g{n} + 1, n{n})))) AS g{n}")
     rg = rg.selectExpr(*KEYS, CELL_ID, "atom_id AS j", "x AS rx", "y AS ry", "z AS rz",
                        *[f"`{c}` AS `r_{c}`" for c in r_extra])
-    joined = salted_join(lg, rg, [*KEYS, "cell"], ["i"], hot_rows).where("i <> j")
+    joined = lg.join(rg, [*KEYS, "cell"]).where("i <> j")
     out = C.minimum_image(joined, "rx - lx", "ry - ly", "rz - lz", ("dx", "dy", "dz"))
     out = out.selectExpr(*KEYS, "i", "j", "dx", "dy", "dz", f"{C.dot('d', 'd')} AS r2", "volume",
                          *[f"`l_{c}`" for c in l_extra], *[f"`r_{c}`" for c in r_extra])

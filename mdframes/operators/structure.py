@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mdframes.functions import cell as C
 from mdframes.operators.neighbors import KEYS, radius_pairs
-from mdframes.operators.skew import salted_join
+from mdframes.staging import stage
 
 ERR_NO_BOX = "no cell for a frame: periodic distances need one"
 
@@ -36,7 +36,8 @@ def rdf(sites: DataFrame, site1: str, site2: str, rmax: float, bin_width: float,
     """g(r) and running coordination number per trajectory.
 
     ``volume='frame'`` normalises every frame with its own volume; ``'mean'`` uses the mean volume
-    and drops coincident like pairs (d <= 1e-8). Output: traj, bin, r, g, count, cn.
+    and drops coincident like pairs (d <= 1e-8). The last bin is a full one and may end beyond ``rmax``.
+    A trajectory without atoms of either site is an error. Output: traj, bin, r, g, count, cn.
     """
     if volume not in ("frame", "mean"):
         raise ValueError("volume must be 'frame' or 'mean'")
@@ -44,19 +45,20 @@ def rdf(sites: DataFrame, site1: str, site2: str, rmax: float, bin_width: float,
         raise ValueError("rmax and bin_width must be positive")
     bins = n_bins(rmax, bin_width)
     like = site1 == site2
-    used = sites.where(F.col("site").isin(site1, site2)).drop("site")
-    tagged = sites.where(F.col("site").isin(site1, site2))
-    left = tagged.where(F.col("site") == site1).drop("site")
-    right = used if like else tagged.where(F.col("site") == site2).drop("site")
-    per_frame = tagged.groupBy(*KEYS).agg(
+    left = sites.where(F.col("site") == site1).drop("site")
+    right = left if like else sites.where(F.col("site") == site2).drop("site")
+    per_frame = sites.groupBy(*KEYS).agg(
         F.count_if(F.col("site") == site1).alias("n1"),
         F.count_if(F.col("site") == site2).alias("n2"), F.first("volume").alias("v"))
     v = F.when(F.col("v").isNull(), F.raise_error(F.lit(ERR_NO_BOX)).cast("double")).otherwise(F.col("v"))
     n2 = F.col("n2") - (1 if like else 0)
     norms = per_frame.groupBy("traj").agg(
         F.sum(F.col("n1") * n2 / v).alias("per_frame"), F.sum("n1").alias("tn1"),
-        F.avg(n2).alias("n2"), F.avg(v).alias("mean_v"))
-    pairs = radius_pairs(left, right, rmax)
+        F.sum("n2").alias("tn2"), F.avg(n2).alias("n2"), F.avg(v).alias("mean_v"))
+    norms = norms.withColumn("tn1", F.when((F.col("tn1") > 0) & (F.col("tn2") > 0), F.col("tn1")).otherwise(
+        F.raise_error(F.concat(F.lit(f"no atoms of site {site1} or {site2} in "), "traj")).cast("long")))
+    # Pairs reach to the outer edge of the last bin, also where the width doesn't divide rmax.
+    pairs = radius_pairs(left, right, max(rmax, bins * bin_width))
     if like and volume == "mean":
         pairs = pairs.where(F.sqrt("r2") > 1.0e-8)
     out = _dense(norms, histogram(pairs, F.sqrt("r2"), bin_width, bins, ["traj"]), bins)
@@ -91,21 +93,23 @@ def rdf_sampled(sites: DataFrame, site1: str, site2: str, rmax: float, bins: int
 
 
 def adf_triplets(sites: DataFrame, site1: str, site2: str, site3: str, rcut12: float,
-                 rcut23: float, unique_terminals: bool = False,
-                 hot_rows: int | None = 20_000) -> DataFrame:
-    """Angles at ``site2`` between one neighbour of each kind: traj, frame, centre, angle_deg."""
+                 rcut23: float, unique_terminals: bool = False) -> DataFrame:
+    """Angles at ``site2`` between one neighbour of each kind: traj, frame, centre, angle_deg.
+
+    All arms come from one neighbour join, written once; the angles are a join of that table with itself.
+    """
     centre = sites.where(F.col("site") == site2).drop("site")
-    arm = ["traj", "frame", F.col("i").alias("centre")]
+    ends = sites.where(F.col("site").isin(site1, site3))
+    arms = radius_pairs(centre, ends, max(rcut12, rcut23), strict=True).where(F.col("r2") > 1.0e-24)
+    arms = stage(arms.select("traj", "frame", F.col("i").alias("centre"), F.col("j").alias("end"), "dx", "dy", "dz", "r2",
+                             F.col("r_site").alias("site")), "arms")
 
-    def arms(site: str, cut: float, tag: str) -> DataFrame:
-        p = radius_pairs(centre, sites.where(F.col("site") == site).drop("site"), cut, strict=True)
-        return p.where(F.col("r2") > 1.0e-24).select(
-            *arm, F.col("j").alias(f"end{tag}"), *[F.col(f"d{n}").alias(f"{tag}{n}") for n in "xyz"],
-            F.sqrt("r2").alias(f"{tag}r"))
+    def side(site: str, cut: float, tag: str) -> DataFrame:
+        hit = arms.where((F.col("site") == site) & (F.col("r2") < float(cut) * float(cut)))
+        return hit.select("traj", "frame", "centre", F.col("end").alias(f"end{tag}"),
+                          *[F.col(f"d{n}").alias(f"{tag}{n}") for n in "xyz"], F.sqrt("r2").alias(f"{tag}r"))
 
-    a = arms(site1, rcut12, "p")
-    b = arms(site3, rcut23, "q")
-    both = salted_join(a, b, ["traj", "frame", "centre"], ["endp"], hot_rows)
+    both = side(site1, rcut12, "p").join(side(site3, rcut23, "q"), ["traj", "frame", "centre"])
     keep = F.col("endp") != F.col("endq")
     if unique_terminals and site1 == site3:
         keep = F.col("endp") < F.col("endq")

@@ -69,9 +69,8 @@ def residence(t: Trajectory, cation: str, target: SEL.Target, contact_elements:
     cations = left.select("traj", "frame", F.col("atom_id").alias("i"))
     coord = stage(K.coordination(active, cations), "coord")
     grid = K.lag_grid(lengths, max_lag)
-    top = max_lag if max_lag is not None else 1 << 20
     cont = K.survival_continuous(events, grid)
-    inter = K.survival_intermittent(active, grid, _longest_lag(lengths, top))
+    inter = K.survival_intermittent(active, grid)
     km = K.kaplan_meier(events, grid)
     tables = [d.withColumn("correlation", F.lit(n)) for n, d in
               (("continuous", cont), ("intermittent", inter), ("kaplan_meier", km))]
@@ -95,8 +94,3 @@ def residence(t: Trajectory, cation: str, target: SEL.Target, contact_elements:
     summary = K.summary(events, active, coord, sizes).join(raw, "traj", "left").join(cut, "traj")
     return Residence(cut, rdf, events, coord, corr, relax, summary)
 
-
-def _longest_lag(lengths: DataFrame, top: int) -> int:
-    """Largest lag any trajectory's grid holds (one number reaches the driver)."""
-    n = lengths.agg(F.max("n_frames")).first()[0] or 2
-    return min(top, max(1, (n - 1) // 2)) if top == 1 << 20 else min(top, n - 1)

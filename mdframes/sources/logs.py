@@ -137,7 +137,7 @@ def parse_masses(lines: DataFrame) -> DataFrame:
     """
     df = lines.where(F.col("line").rlike(r"(?i)^\s*atom\s+"))
     df = df.selectExpr("*", "split(trim(regexp_replace(line, '\"[^\"]*\"', '_')), '\\\\s+') AS toks").where("size(toks) >= 6")
-    df = df.selectExpr(*LINE, "try_cast(toks[1] AS int) AS atom_type", """filter(transform(slice(toks, 5, 1000),
+    df = df.selectExpr(*LINE, "try_cast(toks[1] AS int) AS atom_type", """filter(transform(slice(toks, 5, size(toks)),
         t -> try_cast(regexp_replace(t, '[Dd]', 'E') AS double)), v -> v IS NOT NULL) AS tail""")
     df = df.selectExpr(*LINE, "atom_type", """CASE WHEN size(tail) >= 3 THEN element_at(tail, -2)
         WHEN size(tail) = 2 THEN element_at(tail, -1) END AS mass""").where("atom_type IS NOT NULL AND mass > 0")

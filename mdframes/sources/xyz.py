@@ -56,7 +56,7 @@ def parse_xyz(lines: DataFrame, traj: Column | None = None) -> Trajectory:
     positions = body.select("traj", "frame", "atom_id", *XYZ)
     # Bonded ids run until the first token that is no integer; zeros are placeholders.
     atoms = body.where("frame = 0").selectExpr("traj", "atom_id", "name", "atom_type", """filter(transform(
-        slice(toks, 7, greatest(0, coalesce(nullif(array_position(transform(slice(toks, 7, 1000), t -> try_cast(t AS bigint) IS NULL), true), 0) - 1,
+        slice(toks, 7, greatest(0, coalesce(nullif(array_position(transform(slice(toks, 7, size(toks)), t -> try_cast(t AS bigint) IS NULL), true), 0) - 1,
                                             size(toks) - 6))), t -> try_cast(t AS bigint)), b -> b > 0) AS bonds""")
     twice = atoms.groupBy("traj", "atom_id").agg(F.count(F.lit(1)).alias("_k"))
     atoms = atoms.join(twice, ["traj", "atom_id"]).withColumn("atom_id", F.expr(
@@ -80,7 +80,7 @@ def topology_rows(lines: DataFrame, traj: Column | None = None) -> DataFrame:
                                           "(ln - 1) % (n + 1 + boxed) AS part").where("part > boxed")
     return df.withColumn("traj", label).selectExpr(
         "traj", "frame", "bigint(get(toks, 0)) AS atom_id", "int(get(toks, 5)) AS atom_type",
-        "transform(slice(toks, 7, 1000), t -> try_cast(t AS bigint)) AS bonds")
+        "transform(slice(toks, 7, size(toks)), t -> try_cast(t AS bigint)) AS bonds")
 
 
 def snapshot_cells(spark: SparkSession, paths: str | Sequence[str], save_interval_ps: float) -> DataFrame:

@@ -75,14 +75,19 @@ f3 AS (SELECT *, round_even((x0-fy*bx-fz*cx)/ax,0) AS kx, round_even(fy,0) AS ky
 mi AS (SELECT {sel}, x0-(kx*ax+ky*bx+kz*cx) AS dx, y0-(ky*"by"+kz*cy) AS dy, z0-kz*cz AS dz FROM f3)"""
 
 
-O["rdf_frame_volume"] = W(POS, FRAMES, tri_min("traj, frame", """SELECT a.traj, a.frame, b.x-a.x AS x0, b.y-a.y AS y0,
+def triclinic_rdf(bw: float, bins: int, rmax: float) -> str:
+    return W(POS, FRAMES, tri_min("traj, frame", """SELECT a.traj, a.frame, b.x-a.x AS x0, b.y-a.y AS y0,
   b.z-a.z AS z0, c.* EXCLUDE (traj, frame) FROM pos a JOIN pos b ON a.traj=b.traj AND a.frame=b.frame
   JOIN cell c ON c.traj=a.traj AND c.frame=a.frame WHERE a.site='Li' AND b.site='O'"""),
-    "p AS (SELECT traj, frame, dx*dx+dy*dy+dz*dz AS r2 FROM mi)") + rdf_tail(0.5, 12, "pf", """
+    "p AS (SELECT traj, frame, dx*dx+dy*dy+dz*dz AS r2 FROM mi)") + rdf_tail(bw, bins, "pf", """
   SELECT traj, SUM(n1*n2/v) AS pf, SUM(n1) AS tn1 FROM (SELECT traj, frame, COUNT(*) FILTER (site='Li') AS n1,
-  COUNT(*) FILTER (site='O') AS n2 FROM pos GROUP BY traj, frame) JOIN cell USING (traj, frame) GROUP BY traj""") + f"""
-SELECT traj, bin, count, {r('r g')} FROM g"""
+  COUNT(*) FILTER (site='O') AS n2 FROM pos GROUP BY traj, frame) JOIN cell USING (traj, frame) GROUP BY traj""", rmax=rmax)
 
+
+O["rdf_frame_volume"] = triclinic_rdf(0.5, 12, 6.0) + f"SELECT traj, bin, count, {r('r g')} FROM g"
+O["rdf_uneven_frame"] = triclinic_rdf(0.7, 9, 6.3) + f"SELECT traj, bin, count, {r('r g cn')} FROM g"
+O["rdf_uneven_mean"] = W(POS, pairs("p", "('Li')", "('Li')")) + rdf_tail(
+    0.7, 9, "tn1*n2/mv", cnt("Li", "Li", 1), "AND r2 > 1e-16", rmax=6.3) + f"SELECT traj, bin, count, {r('r g cn')} FROM g"
 O["rdf_mean_volume"] = W(POS, pairs("p", "('Li')", "('Li')")) + rdf_tail(
     0.5, 12, "tn1*n2/mv", cnt("Li", "Li", 1), "AND r2 > 1e-16") + f"SELECT traj, bin, count, {r('r g')} FROM g"
 O["rdf_cn"] = W(POS, pairs("p", "('Li')", "('O')")) + rdf_tail(
@@ -560,6 +565,13 @@ O["atom_type_field"] = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   CAST(CASE WHEN l_linenumber%3=2 AND l_quantity>1 THEN l_quantity END AS INT) AS tail FROM lineitem"""
 
 
+O["atom_type_modes"] = """SELECT l_orderkey, l_linenumber, l_partkey, CAST(CASE WHEN l_quantity>1 THEN l_quantity ELSE 3 END AS INT) AS type_auto,
+  CAST(CASE WHEN l_linenumber%3=0 THEN l_quantity ELSE 1 END AS INT) AS type_occupancy,
+  CAST(CASE WHEN l_linenumber%3=1 THEN l_quantity ELSE 0 END AS INT) AS type_bfactor, CAST(l_suppkey%1000 AS INT) AS type_resname,
+  CAST(CASE WHEN l_linenumber%3=2 AND l_quantity>1 THEN l_quantity END AS INT) AS type_tail,
+  CAST(CASE WHEN l_quantity>1 THEN l_quantity ELSE 3 END AS INT) AS type_last_int, NULL::INT AS type_none FROM lineitem"""
+
+
 def g_only(site: str) -> str:
     return W(POS, pairs("p", "('Li')", f"('{site}')")) + rdf_tail(0.5, 12, "pf", cnt("Li", site)) + "SELECT traj, bin, g FROM g"
 

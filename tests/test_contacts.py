@@ -95,3 +95,11 @@ def test_stretched_exponential_is_recovered(spark, tau, beta, p):
     assert r["tau_mean"] == pytest.approx(r["tau"] * math.gamma(1 + 1 / r["beta"]), rel=1e-9)
     short = R.fit_kww(df.where(F.col("time") < 0.9), ["k"], plateau=False).first()
     assert short["fit_status"] == "fit_failed_too_few_points" and short["tau"] is None
+
+
+def test_unbroken_contact_survives_at_every_lag(spark):
+    """2,600 frames of one contact that never breaks: 1 at each of the 1,299 lags."""
+    active = spark.range(2600).selectExpr("'t' AS traj", "1L AS i", "1L AS mol_id", "id AS frame")
+    lengths = spark.createDataFrame([("t", 2600)], "traj string, n_frames bigint")
+    rows = K.survival_intermittent(active, K.lag_grid(lengths)).collect()
+    assert sorted(r["lag"] for r in rows) == list(range(1300)) and all(abs(r["survival"] - 1) < 1e-9 for r in rows)
