@@ -86,7 +86,3 @@ def heights() -> tuple[str, str, str]:
 def dot(a: str, b: str) -> str:
     """Dot product of two column triples given by prefix."""
     return "(" + " + ".join(f"{a}{n}*{b}{n}" for n in "xyz") + ")"
-
-
-def volume_column(*args: str):
-    return F.expr(cell_volume(*args))

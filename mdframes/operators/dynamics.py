@@ -45,12 +45,6 @@ def unwrap(positions: DataFrame, lengths: Sequence[str] = ("a", "b", "c")) -> Da
         f"CASE WHEN _usable THEN _o{n} + sum(_s{n}) OVER {run} ELSE {n} END AS {n}" for n in XYZ], *lengths, *rest)
 
 
-def centre_of_mass(positions: DataFrame, keys: Sequence[str], mass: str = "mass") -> DataFrame:
-    """Mass-weighted mean position per ``keys``."""
-    return positions.groupBy(*keys).agg(
-        *[(F.sum(F.col(mass) * F.col(n)) / F.sum(mass)).alias(n) for n in XYZ])
-
-
 def drift(positions: DataFrame, weight: Column | None = None) -> DataFrame:
     """Centre of the given atoms per frame, relative to the trajectory's first frame."""
     w = F.lit(1.0) if weight is None else weight
@@ -233,8 +227,3 @@ def diffusion_from_origin(curve: DataFrame) -> DataFrame:
     d = F.when(F.col("time") > 0, F.col("msd") / (F.lit(6.0) * F.col("time")))
     return curve.withColumns({"D_A2_per_ns": d, "D_m2_per_s": d * 1.0e-11, "D_cm2_per_s": d * 1.0e-7,
                               "D_1e5_cm2_per_s": d * 1.0e-7 / 1.0e-5})
-
-
-def collective(particles: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Sum of particle positions per ``by`` (which names traj, frame and a label)."""
-    return particles.groupBy(*by).agg(*[F.sum(n).alias(n) for n in XYZ])

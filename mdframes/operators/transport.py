@@ -229,6 +229,15 @@ def block_error(df: DataFrame, keys: Sequence[str], value: str, n_blocks: int,
     return df.groupBy(*keys).agg(F.avg(v).alias("mean"), err.alias("err"))
 
 
+def running_block_error(running: DataFrame, n_blocks: int, mode: str = "sem") -> DataFrame:
+    """Mean and error over blocks of the three running transference numbers at each lag:
+    traj, ref, quantity, lag, time, mean, err. ``running`` has a ``block`` column."""
+    names = ["PFG_t_app", "eNMR_t0", "Bruce_Vincent_tss"]
+    long = running.select("traj", "ref", "lag", "time", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("quantity"), F.col(n).alias("v")) for n in names])).alias("e")).select("traj", "ref", "lag", "time", "e.*")
+    return block_error(long, ["traj", "ref", "quantity", "lag", "time"], "v", n_blocks, mode)
+
+
 def column_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """N, mean, SD, SEM and CI95 of each column, missing values dropped."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("quantity"), F.col(c).alias("v"))

@@ -32,15 +32,18 @@ class Residence:
 def residence(t: Trajectory, cation: str, target: SEL.Target, contact_elements: Sequence[str], dt: float,
               r_on: float | None = None, r_off: float | None = None, hysteresis: float = 0.30,
               rmax: float = 8.0, bins: int = 180, bandwidth: float = 0.08, samples: int = 200,
-              max_lag: int | None = None) -> Residence:
-    """Contacts of ``cation`` atoms with the molecules of ``target``.
+              max_lag: int | None = None, anchor_field: str = "atom_type") -> Residence:
+    """Contacts of ``cation`` atoms with the molecules of ``target``, whose first value stands in an
+    anchor atom's ``anchor_field``. A trajectory without cations or anchors is an error.
 
     Without ``r_on`` every trajectory gets its own, the first minimum of its smoothed g(r).
     """
     if r_on is not None and r_off is not None and r_off < r_on:
         raise ValueError("r_off must not be below r_on")
-    mols = SEL.molecules_by_anchor(t.atoms, int(target.values[0]), contact_elements)
-    role = (SEL.by_key(t.atoms, cation).select("traj", "atom_id", F.lit("cation").alias("site"),
+    mols = SEL.molecules_by_anchor(t.atoms, target.values[0], contact_elements, anchor_field)
+    chosen = SEL.lacking(SEL.by_key(t.atoms, cation), t.atoms.select("traj").distinct(), ["traj"],
+                         f"cation selector {cation!r} matched no atoms in", "traj")
+    role = (chosen.select("traj", "atom_id", F.lit("cation").alias("site"),
                                                F.lit(None).cast("bigint").alias("mol_id"))
             .unionByName(mols.select("traj", "atom_id", F.lit("contact").alias("site"), "mol_id")))
     pos = stage(attach_cell(t.positions.join(role, ["traj", "atom_id"]), t.frames), "pos")
@@ -91,6 +94,33 @@ def residence(t: Trajectory, cation: str, target: SEL.Target, contact_elements:
     raw = areas.groupBy("traj").agg(
         F.max(F.when(F.col("correlation") == "continuous", F.col("integral"))).alias("continuous_integral_ns"),
         F.max(F.when(F.col("correlation") == "intermittent", F.col("integral"))).alias("intermittent_integral_raw_ns"))
-    summary = K.summary(events, active, coord, sizes).join(raw, "traj", "left").join(cut, "traj")
+    relax = stage(relax, "relaxation")
+    summary = K.summary(events, active, coord, sizes).join(raw, "traj", "left").join(cut, "traj").join(_fitted(relax), "traj", "left")
     return Residence(cut, rdf, events, coord, corr, relax, summary)
 
+
+def _fitted(relax: DataFrame) -> DataFrame:
+    """The fits and the restricted mean of each trajectory in one row, for the summary."""
+    def of(kind: str, column: str, name: str):
+        return F.max(F.when(F.col("correlation") == kind, F.col(column))).alias(name)
+
+    fits = [of(k, c, f"{k}_{n}") for k in ("continuous", "intermittent")
+            for c, n in (("fit_status", "fit_status"), ("tau", "tau_ns"), ("beta", "beta"), ("plateau", "plateau"), ("tau_mean", "kww_mean_ns"))]
+    return relax.groupBy("traj").agg(*fits, of("kaplan_meier", "fit_status", "km_status"),
+                                     of("kaplan_meier", "restricted_integral", "km_rmst_ns"))
+
+
+@dataclass(frozen=True)
+class TwoTargets:
+    """Both targets of one cation, and how often each pair of coordination numbers occurs."""
+    anion: Residence
+    solvent: Residence
+    states: DataFrame
+
+
+def two_targets(t: Trajectory, cation: str, anion: SEL.Target, solvent: SEL.Target, contact_elements: Sequence[str], dt: float,
+                **options) -> TwoTargets:
+    """``residence`` of an anion and a solvent with the same options, and their joint coordination states."""
+    a = residence(t, cation, anion, contact_elements, dt, **options)
+    s = residence(t, cation, solvent, contact_elements, dt, **options)
+    return TwoTargets(a, s, K.joint_states(a.coordination, s.coordination))

@@ -16,6 +16,9 @@ from mdframes.sources.pdb import Trajectory
 from mdframes.staging import stage
 
 
+MIN_FRAMES = 10
+
+
 @dataclass(frozen=True)
 class Transport:
     particles: DataFrame
@@ -25,6 +28,7 @@ class Transport:
     running: DataFrame
     transference: DataFrame
     blocks: DataFrame | None
+    block_running: DataFrame | None
     solvent: DataFrame | None
 
 
@@ -38,10 +42,15 @@ def transport(t: Trajectory, targets: Sequence[SEL.Target], temperature: DataFra
     """
     if drift not in ("all", "selected", "none"):
         raise ValueError("drift is all, selected or none")
+    charged = {sign: next((x for x in targets if (x.charge or 0.0) * sign > 0), None) for sign in (1, -1)}
+    if None in charged.values():
+        raise ValueError("one species with a positive and one with a negative charge are needed")
     frames = D.select_frames(t.frames, discard, stride)
     pos = D.select_frames(t.positions, discard, stride)
+    frames = SEL.require(frames, frames.groupBy("traj").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < MIN_FRAMES),
+                         "too few frames left in", "traj")
     members = SEL.build_species(t.atoms, targets)
-    every = members if solvent is None else members.unionByName(SEL.species_members(t.atoms, solvent))
+    every = members if solvent is None else members.unionByName(SEL.build_species(t.atoms, [solvent], minimum=1))
     if drift != "all":
         pos = pos.join(every.select("traj", "atom_id").distinct(), ["traj", "atom_id"], "left_semi")
     pos = pos.join(frames.select("traj", "frame", "a", "b", "c"), ["traj", "frame"])
@@ -62,8 +71,7 @@ def transport(t: Trajectory, targets: Sequence[SEL.Target], temperature: DataFra
     curves = stage(TR.onsager_curves(TR.term_sums(parts, species, max_lag), species, dt_eff), "curves")
     sigma = TR.sigma_table(curves, system, *fit)
     running = TR.running_sigma(curves, system, fit[0], min_points)
-    plus = next(x for x in species if x[1] > 0)
-    minus = next(x for x in species if x[1] < 0)
+    plus, minus = ((charged[s].label, float(charged[s].charge)) for s in (1, -1))
     ions = parts.where(F.col("label").isin(plus[0], minus[0]))
     refs = ions.withColumn("ref", F.lit("barycentric"))
     sol = None
@@ -75,13 +83,16 @@ def transport(t: Trajectory, targets: Sequence[SEL.Target], temperature: DataFra
     both = [plus, minus]
     pair = TR.pair_curves(TR.term_sums(refs, both, max_lag, ["traj", "ref"]), plus[0], minus[0], dt_eff)
     tn = TR.transference_running(pair, ["traj", "ref"], fit[0], min_points, plus[1], minus[1])
-    blocks = None
+    blocks = block_running = None
     if n_blocks >= 2:
         cut = TR.into_blocks(refs, n_blocks, max(10, min_points + 2))
         s = TR.term_sums(cut, both, max_lag, ["traj", "ref", "block"])
-        blocks = TR.transference_fit(TR.pair_curves(s, plus[0], minus[0], dt_eff), ["traj", "ref", "block"], *fit,
-                                     plus[1], minus[1])
-    return Transport(parts, curves, sigma, TR.sigma_check(sigma), running, tn, blocks, sol)
+        in_block = stage(TR.pair_curves(s, plus[0], minus[0], dt_eff), "in_block")
+        per = ["traj", "ref", "block"]
+        blocks = TR.transference_fit(in_block, per, *fit, plus[1], minus[1])
+        block_running = TR.running_block_error(
+            TR.transference_running(in_block, per, fit[0], min_points, plus[1], minus[1]), n_blocks)
+    return Transport(parts, curves, sigma, TR.sigma_check(sigma), running, tn, blocks, block_running, sol)
 
 
 def diffusion(t: Trajectory, targets: Sequence[SEL.Target], temperature: DataFrame, dt: float, max_lag: int,

@@ -141,6 +141,8 @@ def parse_pdb(lines: DataFrame, user_box: Sequence[float] | None = None, strict:
         WHEN n_atoms <> _n0 THEN bigint(raise_error(concat('atom count changes in ', traj, ', frame ', frame, ': ', _n0, ' -> ', n_atoms)))
         WHEN _sig <> _s0 THEN bigint(raise_error(concat('site order changes in ', traj, ', frame ', frame)))
         ELSE n_atoms END""")).select("traj", "frame", "n_atoms", *[F.col(f"box.{n}").alias(n) for n in CELL])
+    # Who reads positions alone gets the checks of their frames as well.
+    positions = positions.join(frames.where("n_atoms > 0").select("traj", "frame"), ["traj", "frame"], "left_semi")
     res = "try_cast(" + _slice(22, 26) + " AS int)"
     atoms = rows.where("frame = 0").select(
         "traj", "atom_id", "serial", "name", F.expr(f"coalesce(nullif({_slice(17, 21)}, ''), get(toks, 3))").alias("resname"),

@@ -19,34 +19,31 @@ def wide(df: DataFrame, index: Sequence[str], names: Sequence[str], label: str =
     return df.groupBy(*index).pivot(label, list(names)).agg(F.first(value, ignorenulls=True))
 
 
-def with_comments(df: DataFrame, metadata: Mapping[str, object], order: Sequence[str]) -> DataFrame:
-    """Text lines of a CSV that starts with ``# key: value`` lines: part, ordered sort columns, line.
+def write_csv(df: DataFrame, path: str, metadata: Mapping[str, object], order: Sequence[str]) -> None:
+    """A CSV table in as many sorted files as it has range partitions, each with the header line, and
+    ``# key: value`` lines in ``_about``, which readers of the table skip."""
+    df.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
+    lines = df.sparkSession.createDataFrame([(f"# {k}: {v}",) for k, v in metadata.items()], "line string")
+    write_text(lines, path + "/_about")
 
-    The lines stay a distributed table; sort by (part, ``order``) and write as text.
-    """
-    spark = df.sparkSession
-    head = [(0, f"# {k}: {v}") for k, v in metadata.items()] + [(1, ",".join(df.columns))]
-    keys = {c: t for c, t in df.dtypes if c in order}
-    top = spark.createDataFrame(head, "part int, line string").withColumn("rank", F.monotonically_increasing_id())
-    top = top.withColumns({f"k_{c}": F.lit(None).cast(keys[c]) for c in order})
-    body = df.select(F.lit(2).alias("part"), F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("line"),
-                     F.lit(0).cast("long").alias("rank"), *[F.col(c).alias(f"k_{c}") for c in order])
-    return top.unionByName(body).orderBy("part", "rank", *[f"k_{c}" for c in order])
 
+def write_text(lines: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """Text lines, one folder per ``by``."""
+    writer = lines.select(*by, "line").write.mode("overwrite")
+    (writer.partitionBy(*by) if by else writer).text(path)
 
-def write_text(lines: DataFrame, path: str) -> None:
-    lines.select("line").write.mode("overwrite").text(path)
 
+def fixed_text(df: DataFrame, columns: Sequence[str], fmt: str = "%.6f", keep: Sequence[str] = ()) -> DataFrame:
+    """``r g [cn]`` style lines with one fixed number format, beside the ``keep`` columns."""
+    return df.select(*keep, F.format_string(" ".join([fmt] * len(columns)), *[F.col(c) for c in columns]).alias("line"))
 
-def fixed_text(df: DataFrame, columns: Sequence[str], fmt: str = "%.6f") -> DataFrame:
-    """``r g [cn]`` style lines with one fixed number format."""
-    return df.select(F.format_string(" ".join([fmt] * len(columns)), *[F.col(c) for c in columns]).alias("line"))
 
-
-def key_values(df: DataFrame) -> DataFrame:
-    """``key = value`` lines of every row: one line per column."""
-    entries = F.array(*[F.concat(F.lit(f"{c} = "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns])
-    return df.select(F.explode(entries).alias("line"))
+def key_values(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``key = value`` lines of every row, one per column but the ``keep`` ones, which stay columns, and
+    ``part``, the line's place."""
+    shown = [c for c in df.columns if c not in keep]
+    entries = F.array(*[F.concat(F.lit(f"{c} = "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in shown])
+    return df.select(*keep, F.posexplode(entries).alias("part", "line"))
 
 
 def exists(spark: SparkSession, path: str, columns: Sequence[str] = (), fmt: str = "parquet") -> bool:

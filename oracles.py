@@ -582,7 +582,27 @@ O["sink_roundtrip"] = SER + "SELECT series, run_index, o_orderkey, ROUND(v,6) AS
 O["csv_roundtrip"] = triplets("1", "a.j<>b.j") + ADF[:ADF.index("SELECT traj, bin, bin*10")].replace("FROM grid LEFT", "FROM grid SEMI JOIN h USING (traj) LEFT") + """
 SELECT traj, bin, CASE WHEN tot>0 THEN ROUND(count/(tot*10.0::DOUBLE),6) ELSE 0 END AS density_per_degree, count FROM d"""
 O["text_lines"] = W(POS, pairs("p", "('Li')", "('O')")) + rdf_tail(0.5, 12, "tn1*n2/mv", cnt("Li", "O")) + \
-    "SELECT printf('%.4f %.4f', r, cn) AS line FROM g"
+    "SELECT traj, printf('%.4f %.4f', r, cn) AS line FROM g"
+LAG_TERMS = ["self:Li", "self:FSA", "distinct:Li-Li", "distinct:Li-FSA", "distinct:FSA-FSA", "total:charge"]
+O["out_lags"] = ONS + "SELECT traj, lag, ROUND(time,3) AS time, " + ", ".join(
+    f"ROUND(MAX(CASE WHEN term='{t}' THEN value END),3)+0.0::DOUBLE AS {t.replace(':', '_').replace('-', '_')}" for t in LAG_TERMS) + " FROM curves GROUP BY ALL"
+O["out_decomposition"] = O["onsager_sigma"]
+O["out_transference"] = f"SELECT traj, lag, " + ", ".join(
+    f"MAX(CASE WHEN ref='{f}' THEN {m} END) AS {m}__{f}" for f in ("barycentric", "solvent_fixed")
+    for m in ("PFG_t_app", "eNMR_t0", "Bruce_Vincent_tss")) + f" FROM ({O['transference_running']}) GROUP BY traj, lag"
+O["out_blocks"] = O["transference_blocks"]
+O["transference_running_blocks"] = W(POS, PARTS, REF, blocks("fref", keep=10), curves("blk", "traj ref block", 15)) + five("traj, ref, block") + f"""
+, e AS (SELECT traj, ref, block, name, lag, {expanding('pcv', '', start=0.2).replace('>=8 THEN', '>=4 THEN')} AS s FROM pcv
+  WINDOW w AS (PARTITION BY traj, ref, block, name ORDER BY time ROWS UNBOUNDED PRECEDING)),
+p5 AS (SELECT traj, ref, block, lag, {PIV} FROM e GROUP BY ALL), tn AS (SELECT *, {TN} FROM p5)
+""" + " UNION ALL ".join(f"""SELECT traj, ref, '{q}' AS quantity, lag, ROUND(AVG({q}),4)+0.0::DOUBLE AS mean,
+  ROUND(CASE WHEN COUNT({q})>=2 THEN STDDEV_SAMP({q})/2 END,4)+0.0::DOUBLE AS err FROM tn GROUP BY traj, ref, lag""" for q in ("PFG_t_app", "eNMR_t0", "Bruce_Vincent_tss"))
+O["out_species_msd"] = O["msd_species"]
+O["out_summary_lines"] = f"""SELECT traj, label, 0 AS part, 'n_particles = '||n_particles AS line FROM ({O['ne_conductivity']})
+UNION ALL SELECT traj, label, 1, 'concentration_mol_L = '||printf('%.3f', concentration_mol_L) FROM ({O['ne_conductivity']})"""
+O["out_kinetic"] = O["kinetic_log"]
+O["out_solvent"] = O["solvent_diagnostics"]
+O["out_events"] = O["contact_events"]
 
 # --- flows -----------------------------------------------------------------------------------------------
 RANGE = """sel AS MATERIALIZED (SELECT p.* FROM pos p JOIN (SELECT traj, CAST(FLOOR(0.2*(MAX(frame)+1)) AS BIGINT) AS s FROM pos GROUP BY traj) USING (traj)
@@ -604,6 +624,21 @@ SELECT traj, nf AS n_frames, nc AS n_cations, nm AS n_molecules, ne AS n_events,
 JOIN ic USING (traj) JOIN ii USING (traj)"""
 DRIFT = f"""ctr AS (SELECT traj, frame, SUM(m*ux)/SUM(m) AS cx, SUM(m*uy)/SUM(m) AS cy, SUM(m*uz)/SUM(m) AS cz FROM (SELECT *, {MASSES} AS m FROM pos) GROUP BY traj, frame),
 dp AS (SELECT p.* REPLACE (x-cx AS x, y-cy AS y, z-cz AS z) FROM parts p JOIN ctr USING (traj, frame))"""
+O["flow_joint_states"] = O["coordination_states"]
+O["select_by_field"] = "WITH " + ATOMS + """, hit AS (SELECT traj, chain, resid, MIN(atom_id) FILTER (element='N') AS byname, MIN(atom_id) FILTER (resname='FSA') AS byres,
+  MIN(atom_id) FILTER (atom_type=72) AS bytype FROM atoms GROUP BY ALL),
+long AS (SELECT traj, chain, resid, 'name' AS field, byname AS mol_id FROM hit UNION ALL SELECT traj, chain, resid, 'resname', byres FROM hit UNION ALL SELECT traj, chain, resid, 'atom_type', bytype FROM hit),
+info AS (SELECT l.*, COUNT(*) FILTER (a.element IN ('O','S')) AS n FROM long l JOIN atoms a USING (traj, chain, resid) WHERE mol_id IS NOT NULL GROUP BY ALL)
+SELECT traj, field, mol_id, atom_id FROM info JOIN atoms USING (traj, chain, resid) WHERE CASE WHEN n>0 THEN element IN ('O','S') ELSE atom_id=mol_id END"""
+O["flow_angular"] = f"""SELECT *, 'O-Li-N' AS label FROM ({O['adf']}) UNION ALL SELECT *, 'O-Li-O' FROM ({O['adf_unique_terminals']})"""
+O["flow_angular_counters"] = f"SELECT *, 'O-Li-N' AS label FROM ({O['adf_counters']})"
+O["flow_diffusion"] = O["msd_species"]
+O["frame_times"] = W(POS, RUNS) + """SELECT DISTINCT 'archive' AS kind, traj AS run, frame, 10.0::DOUBLE+frame*50 AS time_ps FROM pos
+UNION ALL SELECT 'snapshots', series||'/'||run_index, rn+3, ((MIN(rn+3) OVER (PARTITION BY series, run_index))*50+(rn-MIN(rn) OVER (PARTITION BY series, run_index))*50)::DOUBLE FROM runs"""
+O["selected_positions"] = W(POS) + "SELECT traj, frame, atom_id, x, y, z FROM pos WHERE site IN ('O','S')"
+O["restored_box"] = W(POS, FRAMES) + """SELECT traj, frame, CASE WHEN frame%3<>0 THEN a ELSE 20 END AS a, b, c, CASE WHEN frame%3<>0 THEN al ELSE 90 END AS alpha,
+  be AS beta, CASE WHEN frame%3<>0 THEN ga ELSE 90 END AS gamma FROM fr"""
+O["reference_file"] = """SELECT 'file:/data/'||printf('c%06d_reference_rdf_Li_O.txt', MIN(o_custkey)) AS file FROM orders WHERE o_orderkey%5=0"""
 O["flow_transport"] = W(POS, PARTS, DRIFT, curves("dp"), """sys AS (SELECT DISTINCT traj, 8000.0::DOUBLE AS volume_A3, 300.0::DOUBLE AS temperature_K FROM pos)""") + SIGMA + """
 SELECT traj, ROUND(SUM(pair*mult*10) FILTER (term='total:charge'),3) AS sigma_decomposed_mS_cm,
   ROUND(SUM(pair*mult*10) FILTER (term='total:charge'),3) AS sigma_direct_total_mS_cm FROM sg2 GROUP BY traj"""
