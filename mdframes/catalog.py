@@ -25,6 +25,7 @@ from mdframes.operators import selection as SEL
 from mdframes.operators import structure as S
 from mdframes.operators import timeseries as TS
 from mdframes.operators import transport as TR
+from mdframes.operators.scan import previous
 from mdframes.plans import outputs
 from mdframes.sources import logs as sources_logs
 from mdframes.sources import pdb as sources_pdb
@@ -811,6 +812,16 @@ def temperature_from_name(spark, sf):
     return df.select("o_orderkey", "temperature_K", "temperature_source")
 
 
+@query
+def temperature_map(spark, sf):
+    """Temperatures looked up by path, file name or stem, over paths built from all orders."""
+    o = V.read(spark, sf, "orders")
+    path = F.concat(F.lit("/d"), (F.col("o_orderkey") % 3).cast("string"), F.lit("/r"), (F.col("o_custkey") % 7).cast("string"),
+                    F.when(F.col("o_orderkey") % 2 == 0, ".pdb").otherwise(".pdb.gz"))
+    table = {"/d0/r1.pdb": 250.0, "r1.pdb": 260.0, "r2.pdb.gz": 270.0, "r2": 280.0, "r3": 290.0, "/d1/r3.pdb.gz": 295.5}
+    return o.select("o_orderkey", path.alias("path")).withColumns(T.mapped_temperature(F.col("path"), table))
+
+
 @query
 def run_names(spark, sf):
     """Series label, temperature and run number of directory names built over all orders."""
@@ -1001,6 +1012,53 @@ def atom_type_modes(spark, sf):
                                                      for m in ("auto", "occupancy", "bfactor", "resname", "tail", "last_int", "none")])
 
 
+@query
+def ingest_xyz_bonds(spark, sf):
+    """An archive with bonded ids, written as text and read back: zeros and trailing words are no bonds."""
+    a = shared(spark, sf, "bonded_atoms")
+    line = F.concat_ws(" ", F.format_string("%7d %-3s 0.0 1.0D0 2.5 %5d", F.col("atom_id") + 1, "name", "atom_type"),
+                       F.array_join(F.transform("bonds", lambda b: (b + 1).cast("string")), " "),
+                       F.when(F.col("atom_id") % 3 == 0, "0").when(F.col("atom_id") % 3 == 1, "# 77").otherwise(""))
+    head = a.groupBy("traj").agg(F.format_string("%d box of orders", F.count(F.lit(1))).alias("line")).select("traj", F.lit(-1).cast("long").alias("atom_id"), "line")
+    folder = work_folder(spark, "bonds")
+    _write_lines(a.select("traj", "atom_id", line.alias("line")).unionByName(head), ["traj"], ["atom_id"], folder)
+    out = sources_xyz.topology_rows(sources_text.read_lines(spark, folder).withColumn("line", F.regexp_replace("line", " # .*| 0$", "")), _tag("traj"))
+    read = sources_xyz.read_xyz(spark, folder, traj=_tag("traj")).atoms
+    ids = lambda c: F.array_join(F.transform(F.filter(c, lambda b: b > 0), lambda b: (b - 1).cast("string")), ",")
+    same = out.select("traj", "atom_id", ids(F.col("bonds")).alias("strict_bonds"))
+    return read.join(same, ["traj", "atom_id"]).select(F.col("atom_id") - 1, "name", "atom_type", ids(F.col("bonds")).alias("bonds"), "strict_bonds").toDF(
+        "atom_id", "name", "atom_type", "bonds", "strict_bonds")
+
+
+@query
+def ingest_log_fields(spark, sf):
+    """Records with lattice lines, plain fields that only fill gaps, exponents and times repeated in a later file."""
+    log = shared(spark, sf, "logs")
+    text = F.array(F.struct(F.lit(0).alias("k"), F.format_string(" Current Time %.4f Picosecond", F.floor(F.col("time_ps") / 20) * 20.0).alias("line")),
+                   F.struct(F.lit(1).alias("k"), F.when(F.col("kinetic_kcal_mol").isNotNull(), F.format_string(" Current Kinetic %.7f Kcal/mole", "kinetic_kcal_mol")).alias("line")),
+                   F.struct(F.lit(2).alias("k"), F.lit(" Kinetic Energy 1.5D+01 Kcal/mole").alias("line")),
+                   F.struct(F.lit(3).alias("k"), F.format_string(" Potential Energy %.4f Kcal/mole", "potential_kcal_mol").alias("line")),
+                   F.struct(F.lit(4).alias("k"), F.lit(" Lattice Lengths 21.0 22.0 23.0").alias("line")),
+                   F.struct(F.lit(5).alias("k"), F.lit(" Lattice Angles 90.0 91.0 92.0").alias("line")))
+    lines = log.select(F.concat_ws("/", "series", F.col("run_index").cast("string")).alias("dir"), "time_ps", F.explode(text).alias("t"))
+    lines = lines.select(F.concat(F.col("dir"), F.lit("/"), (F.col("time_ps").cast("long") % 20).cast("string")).alias("file"),
+                         F.floor(F.col("time_ps") / 1000).alias("block"), (F.col("time_ps") * 10 + F.col("t.k")).cast("long").alias("seq"), "t.line").where("line is not null")
+    rec = sources_logs.parse_logs(lines).withColumn("run", F.regexp_extract("file", "^(.*)/", 1))
+    out = sources_logs.clean_logs(rec, ["run"])
+    return rounded(out.select("run", "time_ps", "potential_kcal_mol", "kinetic_kcal_mol", "a_A", "c_A", "beta_deg"), 4)
+
+
+@query
+def ingest_curves(spark, sf):
+    """Reference curves as text over all parts, and for each wanted pair the curve under either order of its sites."""
+    p = V.read(spark, sf, "part")
+    pair = F.element_at(F.array(*[F.lit(x) for x in ("Li_O", "O_Li", "N_Li", "S_H")]), (F.col("p_size") % 4 + 1).cast("int"))
+    lines = p.select(F.concat(F.lit("/ref/reference_rdf_"), pair, F.lit(".txt")).alias("file"), F.lit(0).alias("block"), F.col("p_partkey").alias("seq"),
+                     F.when(F.col("p_partkey") % 9 == 0, "# note").otherwise(F.format_string("%d, %.2f", "p_partkey", "p_retailprice")).alias("line"))
+    wanted = spark.createDataFrame([("Li", "O"), ("Li", "N"), ("H", "Li")], "a string, b string")
+    return sources_logs.curve_for_pair(sources_logs.read_curves(lines, ("r", "g_ref")), wanted).select("a", "b", "pair", "r", "g_ref")
+
+
 @query
 def combined_curves(spark, sf):
     """Wide table: one g(r) column per site pair."""
@@ -1244,13 +1302,16 @@ def flow_transport(spark, sf):
 
 @query
 def flow_density(spark, sf):
-    """Stitched density series with entity counts of each run's bond graph."""
+    """Stitched density series with entity counts of each run's bond graph: a customer's orders in a run form a molecule."""
     from mdframes.plans.density import density
     r = shared(spark, sf, "runs").withColumn("traj", F.concat_ws("/", "series", F.col("run_index").cast("string")))
+    r = previous(r.withColumn("_b", F.floor(F.col("rn") / 65_536)), ["traj", "o_custkey"], "_b", ["rn"], {"last": F.col("o_orderkey")})
     atoms = r.select("traj", F.col("o_orderkey").alias("atom_id"), F.substring("o_orderstatus", 1, 1).alias("name"),
                      (F.col("o_orderkey") % 4).cast("int").alias("atom_type"),
-                     F.array().cast("array<bigint>").alias("bonds"))
+                     F.when(F.col("last").isNotNull(), F.array("last")).otherwise(F.array().cast("array<bigint>")).alias("bonds"))
     masses = spark.createDataFrame([(0, 1.0), (1, 6.94), (2, 14.007), (3, 15.999)], "atom_type int, mass double")
-    sel = [SEL.EntitySelection("a", (1,)), SEL.EntitySelection("b", (2, 3))]
+    sel = [SEL.EntitySelection("a", (1,)), SEL.EntitySelection("b", (2, 3)), SEL.EntitySelection("m", (1,), "molecule"),
+           SEL.EntitySelection("both", (1, 2), "molecule", "all")]
     out = density(shared(spark, sf, "snapshots").drop("o_orderkey"), shared(spark, sf, "logs"), atoms, sel, masses, 10.0)
-    return rounded(out.summary.select("series", "n_points", "time_max_ps", "volume_A3_mean", "a_A_mean", "count_a_min", "count_a_max"), 3)
+    return rounded(out.summary.select("series", "n_points", "time_max_ps", "volume_A3_mean", "a_A_mean", "count_a_min", "count_a_max",
+                                      "count_m_min", "count_m_max", "count_both_max"), 3)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdframes.functions import sites as T
@@ -93,8 +93,7 @@ def preferred_logs(files: DataFrame, run: Sequence[str], extension: str = ".out"
     """Of a run's files with the extension, those named like logs if there are any, else all."""
     name = F.lower(F.regexp_extract("file", r"([^/]+)$", 1))
     df = files.where(name.endswith(extension)).withColumn("_g", name.rlike("log|dynamic").cast("int"))
-    df = df.withColumn("_any", F.max("_g").over(Window.partitionBy(*run)))
-    return df.where("_g = _any").drop("_g", "_any")
+    return df.join(df.groupBy(*run).agg(F.max("_g").alias("_g")), [*run, "_g"]).select(*files.columns)
 
 
 def run_columns(df: DataFrame, directory: F.Column | None = None) -> DataFrame:
@@ -109,11 +108,10 @@ def read_logs(spark: SparkSession, paths: str | Sequence[str], extension: str =
     """Cleaned records of all runs below ``paths``: series, run_index, time_ps, measures, file."""
     run = ["series", "run_index"]
     files = preferred_logs(run_columns(list_files(spark, paths, f"*{extension}"), directory), run, extension)
-    # File names are on the driver anyway when Spark lists them; only the chosen files are read.
-    chosen = [r["file"] for r in files.select("file").collect()]
-    if not chosen:
+    if files.limit(1).count() == 0:
         raise FileNotFoundError(f"no {extension} files below {paths}")
-    return clean_logs(run_columns(parse_logs(read_lines(spark, chosen)), directory), run)
+    lines = read_lines(spark, paths, f"*{extension}").join(files.select("file").distinct(), "file", "left_semi")
+    return clean_logs(run_columns(parse_logs(lines), directory), run)
 
 
 def kinetic_log(lines: DataFrame, dof: int) -> DataFrame:

@@ -71,8 +71,7 @@ def numbered_series(files: DataFrame, prefix: str | None = None) -> DataFrame:
             raise FileNotFoundError(f"no numbered snapshots with prefix {prefix!r}")
         return chosen
     size = df.groupBy("directory", "prefix").agg(F.count(F.lit(1)).alias("n"))
-    best = (size.withColumn("_r", F.row_number().over(Window.partitionBy("directory").orderBy(F.desc("n"), "prefix")))
-            .where("_r = 1").select("directory", "prefix"))
+    best = size.groupBy("directory").agg(F.min_by("prefix", F.struct(-F.col("n"), F.col("prefix"))).alias("prefix"))
     return df.join(best, ["directory", "prefix"])
 
 

@@ -7,7 +7,9 @@ gives later steps columnar scans with sizes.
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,13 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def base_folder(spark: SparkSession) -> str:
-    """The cluster's shared ``spark.checkpoint.dir``; a local folder only for a local master
-    without that setting."""
+    """The cluster's shared ``spark.checkpoint.dir``. A local master without that setting gets a folder
+    of its own, which goes with the process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.gettempdir() + "/mdframes-work"
+        base = tempfile.mkdtemp(prefix="mdframes-work-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return base
 
 

@@ -104,15 +104,18 @@ def triclinic_frames(spark: SparkSession, sf_dir: str, base: DataFrame | None =
                      (F.lit(90.0) + (f % 3)).alias("gamma"))
 
 
+def _stretch() -> F.Column:
+    """Buckets along (date, key) that hold at most 65,536 orders each, however many a day has."""
+    return F.unix_date(F.col("o_orderdate").cast("date")).cast("long") * F.lit(1 << 40) + F.floor(F.col("o_orderkey") / 65_536)
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as MD records: series, run_index and the record number rn within the run."""
     o = read(spark, sf_dir, "orders")
     series = F.concat(F.lit("T"), (F.lit(240) + 30 * F.substring("o_orderpriority", 1, 1).cast("int"))
                       .cast("string"), F.lit("K"))
-    o = o.withColumns({"series": series, "run_index": (F.col("o_orderkey") % 3 + 1).cast("int"),
-                       "month": F.trunc("o_orderdate", "month")})
-    return running(o, ["series", "run_index"], "month", ["o_orderdate", "o_orderkey"],
-                   {"rn": F.lit(1)})
+    o = o.withColumns({"series": series, "run_index": (F.col("o_orderkey") % 3 + 1).cast("int"), "_b": _stretch()})
+    return running(o, ["series", "run_index"], "_b", ["o_orderdate", "o_orderkey"], {"rn": F.lit(1)}).drop("_b")
 
 
 def logs(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
@@ -140,8 +143,8 @@ def bonded_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     traj, atom_id, name, atom_type, bonds (array of bonded ids, one direction only).
     """
-    o = read(spark, sf_dir, "orders").withColumn("month", F.trunc("o_orderdate", "month"))
-    o = previous(o, ["o_custkey"], "month", ["o_orderdate", "o_orderkey"],
+    o = read(spark, sf_dir, "orders").withColumn("_b", _stretch())
+    o = previous(o, ["o_custkey"], "_b", ["o_orderdate", "o_orderkey"],
                  {"prev": F.col("o_orderkey")})
     kind = F.substring("o_orderpriority", 1, 1).cast("int")
     names = F.array(*[F.lit(s[0]) for s in SITES])

@@ -624,6 +624,18 @@ SELECT traj, nf AS n_frames, nc AS n_cations, nm AS n_molecules, ne AS n_events,
 JOIN ic USING (traj) JOIN ii USING (traj)"""
 DRIFT = f"""ctr AS (SELECT traj, frame, SUM(m*ux)/SUM(m) AS cx, SUM(m*uy)/SUM(m) AS cy, SUM(m*uz)/SUM(m) AS cz FROM (SELECT *, {MASSES} AS m FROM pos) GROUP BY traj, frame),
 dp AS (SELECT p.* REPLACE (x-cx AS x, y-cy AS y, z-cz AS z) FROM parts p JOIN ctr USING (traj, frame))"""
+O["temperature_map"] = """WITH p AS (SELECT o_orderkey, '/d'||(o_orderkey%3)||'/r'||(o_custkey%7)||CASE WHEN o_orderkey%2=0 THEN '.pdb' ELSE '.pdb.gz' END AS path,
+  'r'||(o_custkey%7)||CASE WHEN o_orderkey%2=0 THEN '.pdb' ELSE '.pdb.gz' END AS name, 'r'||(o_custkey%7) AS stem FROM orders),
+k AS (SELECT *, CASE WHEN path IN ('/d0/r1.pdb','/d1/r3.pdb.gz') THEN path WHEN name IN ('r1.pdb','r2.pdb.gz') THEN name WHEN stem IN ('r2','r3') THEN stem END AS map_key FROM p)
+SELECT o_orderkey, path, CASE map_key WHEN '/d0/r1.pdb' THEN 250.0 WHEN 'r1.pdb' THEN 260 WHEN 'r2.pdb.gz' THEN 270 WHEN 'r2' THEN 280 WHEN 'r3' THEN 290
+  WHEN '/d1/r3.pdb.gz' THEN 295.5 END::DOUBLE AS temperature_K, map_key FROM k"""
+O["ingest_xyz_bonds"] = W(BONDED) + """SELECT atom_id, name, atom_type, COALESCE(prev::VARCHAR, '') AS bonds, COALESCE(prev::VARCHAR, '') AS strict_bonds FROM bonded"""
+O["ingest_log_fields"] = W(RUNS) + """, t AS (SELECT series||'/'||run_index AS run, FLOOR(time_ps/20)*20 AS time_ps, CAST(time_ps AS BIGINT)%20 AS f, time_ps AS at,
+  potential_kcal_mol AS p, kinetic_kcal_mol AS k FROM logs)
+SELECT run, time_ps, ROUND(ARG_MAX(p, f),4) AS potential_kcal_mol, ROUND(ARG_MAX(COALESCE(k, 15), f),4) AS kinetic_kcal_mol, 21.0::DOUBLE AS a_A, 23.0::DOUBLE AS c_A,
+  91.0::DOUBLE AS beta_deg FROM t GROUP BY run, time_ps"""
+O["ingest_curves"] = """WITH c AS (SELECT ['Li-O','O-Li','N-Li','S-H'][p_size%4+1] AS pair, p_partkey::DOUBLE AS r, ROUND(p_retailprice::DOUBLE,2) AS g_ref FROM part WHERE p_partkey%9<>0)
+SELECT 'Li' AS a, 'O' AS b, * FROM c WHERE pair='Li-O' UNION ALL SELECT 'Li', 'N', * FROM c WHERE pair='N-Li'"""
 O["flow_joint_states"] = O["coordination_states"]
 O["select_by_field"] = "WITH " + ATOMS + """, hit AS (SELECT traj, chain, resid, MIN(atom_id) FILTER (element='N') AS byname, MIN(atom_id) FILTER (resname='FSA') AS byres,
   MIN(atom_id) FILTER (atom_type=72) AS bytype FROM atoms GROUP BY ALL),
@@ -642,7 +654,9 @@ O["reference_file"] = """SELECT 'file:/data/'||printf('c%06d_reference_rdf_Li_O.
 O["flow_transport"] = W(POS, PARTS, DRIFT, curves("dp"), """sys AS (SELECT DISTINCT traj, 8000.0::DOUBLE AS volume_A3, 300.0::DOUBLE AS temperature_K FROM pos)""") + SIGMA + """
 SELECT traj, ROUND(SUM(pair*mult*10) FILTER (term='total:charge'),3) AS sigma_decomposed_mS_cm,
   ROUND(SUM(pair*mult*10) FILTER (term='total:charge'),3) AS sigma_direct_total_mS_cm FROM sg2 GROUP BY traj"""
-O["flow_density"] = SER + """, er AS (SELECT series, run_index, COUNT(*) FILTER (o_orderkey%4=1) AS a FROM runs GROUP BY ALL),
-e2 AS (SELECT series, MIN(a) AS mn, MAX(a) AS mx FROM er GROUP BY series)
+O["flow_density"] = SER + """, ml AS (SELECT series, run_index, o_custkey, BOOL_OR(o_orderkey%4=1) AS one, BOOL_OR(o_orderkey%4=2) AS two,
+  COUNT(*) FILTER (o_orderkey%4=1) AS a FROM runs GROUP BY ALL),
+er AS (SELECT series, run_index, SUM(a)::BIGINT AS a, COUNT(*) FILTER (one) AS m, COUNT(*) FILTER (one AND two) AS b FROM ml GROUP BY ALL),
+e2 AS (SELECT series, MIN(a) AS mn, MAX(a) AS mx, MIN(m) AS lm, MAX(m) AS hm, MAX(b) AS hb FROM er GROUP BY series)
 SELECT series, COUNT(*) AS n_points, ROUND(MAX(time_ps),3) AS time_max_ps, ROUND(AVG(v),3) AS volume_A3_mean, ROUND(AVG(a_A),3) AS a_A_mean,
-  ANY_VALUE(mn) AS count_a_min, ANY_VALUE(mx) AS count_a_max FROM dv JOIN e2 USING (series) GROUP BY series"""
+  ANY_VALUE(mn) AS count_a_min, ANY_VALUE(mx) AS count_a_max, ANY_VALUE(lm) AS count_m_min, ANY_VALUE(hm) AS count_m_max, ANY_VALUE(hb) AS count_both_max FROM dv JOIN e2 USING (series) GROUP BY series"""
