@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -12,9 +14,9 @@ from pyspark.sql import functions as F
 
 from mdframes.llm.common import shuffle_partitions, staged, table
 
-MARK = "<|endoftext|>"      # a special token of the vocabulary, never part of ordinary ids
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")      # no apostrophe: the tokenizer knows contractions
 ODD = "\x1c\x1d\x1e\x1f"    # white space to Python, not to the tokenizer
-CACHE = 500_000             # words at which a worker begins to remember anew
+CACHE = 700_000             # words at which a worker begins to remember anew
 LONG = 64                   # characters beyond which a word isn't kept
 
 _encoders: dict[str, Encoder] = {}
@@ -24,29 +26,44 @@ class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, remembered per white-space separated word.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its
-    words in turn.
+    words in turn. It also parts letters from signs: a word of Latin letters and signs after them is
+    looked up as its lower-cased letters and the signs. Other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(MARK)
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: spell(chr(c))[0][0] for c in range(0xC0, 0x100)}      # the model spells bytes as characters
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def part(self, part: str) -> bytes:
+        """The ids of a run of lower-case letters, or of signs."""
+        spelt = part if part.isascii() else part.translate(self.spelling)
+        ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]) if (tokens := self.model.tokenize(spelt)) else b""
+        self.parts[part] = ids
+        return ids
+
     def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w and len(w) <= LONG] if self.mark is not None else []
-        for a in range(0, len(plain), 200):
-            group = plain[a:a + 200]
-            ids = np.array(self.tokenizer.encode(MARK.join(group), add_special_tokens=False).ids, "<u4")
-            cuts = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            data = ids.tobytes()
-            self.known.update((w, data[4 * (i + 1):4 * j]) for w, i, j in zip(group, cuts[:-1], cuts[1:], strict=True))
-        rest = [w for w in words if w not in self.known]
+        if len(self.parts) > CACHE:
+            self.parts = {"": b""}
+        get, rest = self.parts.get, []
+        for w in words:
+            if (m := SIMPLE.fullmatch(w)) is None or len(w) > LONG:
+                rest.append(w)
+                continue
+            letters, signs = m[1].lower(), m[2]
+            ids = get(letters)
+            tail = get(signs)
+            self.known[w] = (ids if ids is not None else self.part(letters)) + (tail if tail is not None else self.part(signs))
         self.known.update(zip(rest, self.whole(rest)))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
