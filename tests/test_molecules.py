@@ -74,3 +74,55 @@ def test_frame_range_errors(spark):
     assert [r["frame"] for r in SEL.frame_range(fr, start_frame=-4, stride=2).orderBy("frame").collect()] == [6, 8]
     with pytest.raises(Exception, match="frame range"):
         SEL.frame_range(fr, start_frame=10).collect()
+
+
+def species_atoms(spark):
+    rows = [("t", 0, "Li", "Li", "LI", "L", 0, "", 6, 6.94), ("t", 1, "N", "N", "FSA", "A", 1, "", 72, 14.0), ("t", 2, "O", "O", "FSA", "A", 1, "", 81, 16.0)]
+    return spark.createDataFrame(rows, "traj string, atom_id bigint, name string, element string, resname string, chain string, resid bigint, icode string, atom_type int, mass double")
+
+
+def test_empty_species_is_an_error(spark):
+    a = species_atoms(spark)
+    fine = [SEL.Target("Li", ("Li",), 1.0), SEL.Target("FSA", ("FSA",), -1.0, "residues")]
+    assert SEL.build_species(a, fine).count() == 3
+    with pytest.raises(Exception, match="no particles found for species Xe"):
+        SEL.build_species(a, [*fine, SEL.Target("Xe", ("Xe",), 1.0)]).collect()
+    both = a.unionByName(a.where("element <> 'Li'").withColumn("traj", F.lit("u")))
+    with pytest.raises(Exception, match="no particles found for species Li"):
+        SEL.build_species(both, fine).collect()
+
+
+def test_missing_anchor_is_an_error(spark):
+    a = species_atoms(spark)
+    assert {r["atom_id"] for r in SEL.molecules_by_anchor(a, "fsa", ["O"], "resname").collect()} == {2}
+    with pytest.raises(Exception, match="anchor 99 matched no atoms in t"):
+        SEL.molecules_by_anchor(a, 99, ["O"]).collect()
+
+
+def test_flow_needs_ions_and_frames(spark):
+    from mdframes.plans.transport import transport
+    from mdframes.sources.pdb import Trajectory
+    a = species_atoms(spark)
+    frames = spark.range(9).selectExpr("'t' AS traj", "id AS frame", "3L AS n_atoms", "20D AS a", "20D AS b", "20D AS c", "90D AS alpha", "90D AS beta", "90D AS gamma")
+    pos = frames.select("traj", "frame").crossJoin(a.select("atom_id")).selectExpr("*", "double(atom_id) AS x", "0D AS y", "0D AS z")
+    t = Trajectory(frames, a, pos)
+    temp = spark.createDataFrame([("t", 300.0)], "traj string, temperature_K double")
+    ions = [SEL.Target("Li", ("Li",), 1.0), SEL.Target("FSA", ("FSA",), -1.0, "residues")]
+    with pytest.raises(ValueError, match="positive"):
+        transport(t, [ions[0], SEL.Target("N", ("N",), 1.0)], temp, 0.2, 5, (0.2, 1.0))
+    with pytest.raises(Exception, match="too few frames left in t"):
+        transport(t, ions, temp, 0.2, 5, (0.2, 1.0))
+
+
+@pytest.mark.parametrize("spec,role,want", [
+    ("FSA:72", "anion", ("FSA", "72", None)), (" FSA : 72 : -1 ", "anion", ("FSA", "72", -1.0)), ("X:SN:71", "solvent", ("SN", "71", None)),
+    ("SN:71:0", "solvent", ("SN", "71", 0.0)), ("A:b:1.5", "anion", ("A", "b", 1.5)), ("SN:NIT", "solvent", ("SN", "NIT", None))])
+def test_target_forms(spec, role, want):
+    t = SEL.parse_target(spec, role)
+    assert (t.label, t.values[0], t.charge) == want
+
+
+@pytest.mark.parametrize("spec", ["FSA", "FSA:", ":72", "a:b:c:d", "FSA:72:x"])
+def test_target_errors(spec):
+    with pytest.raises(ValueError):
+        SEL.parse_target(spec)

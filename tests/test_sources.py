@@ -167,3 +167,29 @@ def test_reuse(spark, tmp_path):
     for columns in ((), ("a",), ("b",)):
         sinks.reuse(spark, path, compute, columns)
     assert len(calls) == 2
+
+
+def test_positions_alone_carry_the_checks(spark, tmp_path):
+    (tmp_path / "m.arc").write_text("2 t\n 1 O 0 0 0 1\n 2 O 0 0 0 1\n2 t\n 1 O 0 0 0 1\n 1 O 0 0 0 1\n")
+    with pytest.raises(Exception, match="change or repeat"):
+        xyz.read_xyz(spark, str(tmp_path)).positions.collect()
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "cut.arc").write_text("2 t\n 1 O 0 0 0 1\n 2 O 0 0 0 1\n2 t\n 1 O 0 0 0 1\n")
+    with pytest.raises(Exception, match="truncated frame 2"):
+        xyz.read_xyz(spark, str(tmp_path / "c")).positions.collect()
+
+
+def test_bonds_beyond_a_thousand(spark, tmp_path):
+    n = 1500
+    lines = [f"{n} star", " 1 O 0 0 0 1 " + " ".join(map(str, range(2, n + 1)))] + [f" {i} H 0 0 0 2 1" for i in range(2, n + 1)]
+    (tmp_path / "s.xyz").write_text("\n".join(lines) + "\n")
+    atoms = {r["atom_id"]: r["bonds"] for r in xyz.read_xyz(spark, str(tmp_path)).atoms.collect()}
+    assert atoms[1] == list(range(2, n + 1)) and atoms[n] == [1]
+
+
+def test_partitions_not_written_anew_stay(spark, tmp_path):
+    from mdframes.plans import outputs
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "traj string, n int")
+    outputs.save({"t": df, "none": None}, str(tmp_path))
+    outputs.save({"t": spark.createDataFrame([("b", 3)], "traj string, n int")}, str(tmp_path))
+    assert sorted(map(tuple, outputs.load(spark, str(tmp_path), "t", df).collect())) == [("a", 1), ("b", 3)]
