@@ -536,9 +536,9 @@ def correlation_integrals(spark, sf):
 def kww_fit(spark, sf):
     """Stretched-exponential fit of the continuous and the intermittent curve."""
     g = K.lag_grid(lengths(spark, sf))
-    a = R.fit_kww(_timed(K.survival_continuous(contacts(spark, sf), g)), ["traj"], plateau=False)
-    b = R.fit_kww(_timed(K.survival_intermittent(active(spark, sf), g)), ["traj"], plateau=True)
-    return rounded(a.withColumn("curve", F.lit("continuous")).unionByName(b.withColumn("curve", F.lit("intermittent"))), 5)
+    a = _timed(K.survival_continuous(contacts(spark, sf), g)).withColumn("curve", F.lit("continuous"))
+    b = _timed(K.survival_intermittent(active(spark, sf), g)).withColumn("curve", F.lit("intermittent"))
+    return rounded(R.fit_kww(a.unionByName(b), ["traj", "curve"], plateau=F.col("curve") == "intermittent"), 5)
 
 
 # --- run logs and time series ---------------------------------------------------------------------

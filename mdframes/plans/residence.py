@@ -81,8 +81,7 @@ def residence(t: Trajectory, cation: str, target: SEL.Target, contact_elements:
         "traj", "correlation", (F.col("lag") * F.lit(float(dt))).alias("time"), F.col("survival").alias("value"))
     corr = stage(corr, "correlations")
     keys = ["traj", "correlation"]
-    fits = R.fit_kww(corr.where("correlation = 'continuous'"), keys, plateau=False).unionByName(
-        R.fit_kww(corr.where("correlation = 'intermittent'"), keys, plateau=True))
+    fits = R.fit_kww(corr.where("correlation <> 'kaplan_meier'"), keys, plateau=F.col("correlation") == "intermittent")
     mean = R.restricted_mean(corr.where("correlation = 'kaplan_meier'"), keys).select(
         *keys, F.col("status").alias("fit_status"), F.col("rmst").alias("restricted_integral"),
         F.col("survival_at_end").alias("remaining"), F.col("t_median").alias("t_half_observed"),

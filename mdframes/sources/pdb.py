@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mdframes.functions import sites as T
 from mdframes.schema import CELL, XYZ
 from mdframes.sources.text import read_lines, renumber, stem
+from mdframes.staging import stage
 
 
 @dataclass(frozen=True)
@@ -116,7 +117,9 @@ def parse_pdb(lines: DataFrame, user_box: Sequence[float] | None = None, strict:
                                f"{_slice(76, 78)} AS element_field")
     parsed = parsed.withColumn("site", F.coalesce(
         F.when(F.length(T.site_token(F.col("element_field"))) > 0, T.site_token(F.col("element_field"))),
-        T.site_token(F.col("name"))))
+        T.site_token(F.col("name")))).drop("toks")
+    # Each line is parsed once; all tables start from what was written.
+    parsed = stage(parsed, "pdb")
     seg = parsed.groupBy("traj", "file", "seg").agg(
         F.count(F.lit(1)).alias("n_atoms"), F.min("n").alias("first_n"), F.min_by("box", "n").alias("box"))
     seg = renumber(seg, ["traj", "file"], "seg")
@@ -144,7 +147,7 @@ def parse_pdb(lines: DataFrame, user_box: Sequence[float] | None = None, strict:
     # Who reads positions alone gets the checks of their frames as well.
     positions = positions.join(frames.where("n_atoms > 0").select("traj", "frame"), ["traj", "frame"], "left_semi")
     res = "try_cast(" + _slice(22, 26) + " AS int)"
-    atoms = rows.where("frame = 0").select(
+    atoms = rows.where("frame = 0").selectExpr("*", f"{TOKENS} AS toks").select(
         "traj", "atom_id", "serial", "name", F.expr(f"coalesce(nullif({_slice(17, 21)}, ''), get(toks, 3))").alias("resname"),
         F.expr(_slice(21, 22)).alias("chain"), F.expr(f"coalesce({res}, try_cast(get(toks, 4) AS int))").alias("resid"),
         F.expr(_slice(26, 27)).alias("icode"), "site",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from mdframes.schema import CELL, XYZ
 from mdframes.sources.pdb import Trajectory
 from mdframes.sources.text import numbered, read_lines, stem
+from mdframes.staging import stage
 
 TOK = "split(trim(line), '\\\\s+')"
 
@@ -53,6 +54,8 @@ def parse_xyz(lines: DataFrame, traj: Column | None = None) -> Trajectory:
     # The optimizer may test the raising column before the filter above, so the guard is repeated.
     body = body.selectExpr("*", """CASE WHEN part > boxed AND (id IS NULL OR x IS NULL OR y IS NULL OR z IS NULL OR atom_type IS NULL)
         THEN bigint(raise_error(concat('malformed atom line in ', file, ': ', line))) ELSE id END AS atom_id""")
+    # Each line is parsed once; atoms, positions and checks start from what was written.
+    body = stage(body.drop("toks"), "xyz")
     ids = body.groupBy("traj", "file", "frame").agg(F.sum(F.xxhash64("atom_id").cast("decimal(38,0)")).alias("_ids"))
     first = ids.where("frame = 0").select("file", F.col("_ids").alias("_first"))
     ends = ends.join(ids.join(first, "file"), ["traj", "file", "frame"]).withColumn("n_atoms", F.expr("""CASE WHEN _ids <> _first
@@ -61,7 +64,7 @@ def parse_xyz(lines: DataFrame, traj: Column | None = None) -> Trajectory:
     positions = body.select("traj", "frame", "atom_id", *XYZ).join(
         ends.where("n_atoms > 0").select("traj", "frame"), ["traj", "frame"], "left_semi")
     # Bonded ids run until the first token that is no integer; zeros are placeholders.
-    atoms = body.where("frame = 0").selectExpr("traj", "atom_id", "name", "atom_type", """filter(transform(
+    atoms = body.where("frame = 0").selectExpr("*", f"{TOK} AS toks").selectExpr("traj", "atom_id", "name", "atom_type", """filter(transform(
         slice(toks, 7, greatest(0, coalesce(nullif(array_position(transform(slice(toks, 7, size(toks)), t -> try_cast(t AS bigint) IS NULL), true), 0) - 1,
                                             size(toks) - 6))), t -> try_cast(t AS bigint)), b -> b > 0) AS bonds""")
     twice = atoms.groupBy("traj", "atom_id").agg(F.count(F.lit(1)).alias("_k"))
