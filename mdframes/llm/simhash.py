@@ -148,7 +148,7 @@ def _near(points: np.ndarray, mask: np.uint64, radius: int, bits: int) -> tuple[
     return np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64)
 
 
-def near_links(points: DataFrame, bits: int = 3, blocks: int = 4, shard_rows: int = 1000, sample: int = 100_000) -> DataFrame:
+def near_links(points: DataFrame, bits: int = 3, blocks: int = 4, shard_rows: int = 1000, sample: int = 50_000) -> DataFrame:
     """Links (a, b) that connect exactly the fingerprints at most ``bits`` bits apart; ``points`` holds
     distinct 64-bit fingerprints in one long column.
 
@@ -157,7 +157,7 @@ def near_links(points: DataFrame, bits: int = 3, blocks: int = 4, shard_rows: in
     ``bits`` apart are at most ``bits // blocks`` apart on one of ``blocks`` blocks, so a tree per
     block with that radius finds every pair. ``blocks=1`` is the plain tree.
 
-    The upper levels are fitted on at most ``sample`` fingerprints, and every fingerprint is sent to
+    The upper levels are fitted on a tenth of the fingerprints, at most ``sample``, and every fingerprint is sent to
     its shard and to those whose boundary it overlaps. A shard of more than ``shard_rows`` is split into
     pairs of parts, each of which is a task's work; inside, the tree goes on until points are few.
     """
@@ -167,7 +167,7 @@ def near_links(points: DataFrame, bits: int = 3, blocks: int = 4, shard_rows: in
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
     radius = bits // blocks
-    chosen = np.array([r[0] for r in points.orderBy(F.xxhash64("fp")).limit(sample).collect()], np.int64).view(np.uint64)
+    chosen = np.array([r[0] for r in points.orderBy(F.xxhash64("fp")).limit(min(sample, -(-total // 10))).collect()], np.int64).view(np.uint64)
     leaf = max(8, int(len(chosen) * shard_rows / max(total, 1) / 2))
     trees = [Tree(chosen, m, radius, leaf) for m in masks]
 
