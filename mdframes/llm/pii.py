@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+MARK = re.compile(r"[0-9@]")
+BLANK = re.compile(r"\s")
 LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 LONGEST = 64        # characters of an identifier token, by definition
@@ -26,6 +29,7 @@ CONTEXT = 48        # characters on either side that hold the words of a context
 SUPPORT = 5         # different seeds that a context needs
 CONFIDENCE = 0.8    # share of a context's identifiers that must be of its kind
 ROUNDS = 3
+BROADCAST = 200_000     # discovered spans, of a few dozen bytes each, that are sent to every task
 
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 MENTION = "struct<start:int,end:int,kind:string,instance:string,patterns:array<string>>"
@@ -88,24 +92,23 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
 
 def _candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
     """Tokens of 6 to ``LONGEST`` characters with at least four digits or an @, outside the taken spans."""
-    done, t = 0, 0
-    for m in re.finditer(r"[0-9@]", text):
+    done = first = 0
+    for m in MARK.finditer(text):
         if m.start() < done:
             continue
-        a = b = m.start()
-        while a > done and not text[a - 1].isspace() and b - a <= LONGEST:
+        a = m.start()
+        while a > done and not text[a - 1].isspace():
             a -= 1
-        while b < len(text) and not text[b].isspace() and (b - a <= LONGEST or text[b] in "0123456789@"):
-            b += 1
-        done = b
-        token = text[a:b]
-        core = token.strip(".,;:!?\"'()[]<>{}|")
-        a += token.find(core) if core else 0
+        end = BLANK.search(text, m.start())
+        done = end.start() if end else len(text)
+        core = text[a:done].strip(".,;:!?\"'()[]<>{}|")
+        if not 6 <= len(core) <= LONGEST or not ("@" in core or len(DIGIT.findall(core)) >= 4):
+            continue
+        a = text.find(core, a)
         b = a + len(core)
-        while t < len(taken) and taken[t][2] <= a:
-            t += 1
-        free = not any(s < b and e > a for s, _, e in taken[t:t + 8])
-        if free and 6 <= b - a <= LONGEST and ("@" in core or sum(c in "0123456789" for c in core) >= 4):
+        while first < len(taken) and taken[first][2] <= a:
+            first += 1
+        if not any(end > a for _, _, end in itertools.takewhile(lambda s: s[0] < b, itertools.islice(taken, first, None))):
             yield a, b
 
 
@@ -210,7 +213,10 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of text replaced and n_chars, if there, counted anew; all other columns unchanged. Null texts stay null."""
-    more = _gathered(discover(staged(scan(docs))))
+    more = staged(_gathered(discover(staged(scan(docs)))))
+    spans = more.agg(F.coalesce(F.sum(F.size("more")), F.lit(0))).first()[0]
+    if spans <= BROADCAST:      # else Spark shuffles the texts to the spans
+        more = F.broadcast(more)
 
     @F.pandas_udf("string")
     def clean(text, extra):
