@@ -9,4 +9,6 @@ def make(app="mdframes", cores=8):
              .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.host", "127.0.0.1").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    from mdframes.packaging import ship
+    ship(spark)
     return spark
