@@ -123,6 +123,24 @@ def neighbor_pairs(spark, sf):
     return rounded(p.select("traj", "frame", "i", "j", "dx", "dy", "dz", F.sqrt("r2").alias("distance")))
 
 
+@query
+def neighbor_pairs_fine(spark, sf):
+    """A cutoff that leaves ten cells along each axis, so that most of the box is never looked at."""
+    s = cubic_sites(spark, sf)
+    p = N.radius_pairs(s.where("site in ('Li', 'H')"), s.where("site in ('N', 'O')"), 1.95)
+    return rounded(p.select("traj", "frame", "i", "j", F.sqrt("r2").alias("distance")))
+
+
+@query
+def neighbor_pairs_rhombic(spark, sf):
+    """Pairs in a cell whose angles are all 60 degrees."""
+    fr = shared(spark, sf, "triclinic_frames").withColumns({n: F.lit(v) for n, v in
+                                                          [*((c, 20.0) for c in "abc"), *((c, 60.0) for c in ("alpha", "beta", "gamma"))]})
+    s = N.attach_cell(shared(spark, sf, "positions").withColumn("site", V._pick(0)), fr)
+    p = N.radius_pairs(s.where("site = 'Li'"), s.where("site in ('N', 'O', 'S')"), 3.5)
+    return rounded(p.select("traj", "frame", "i", "j", "dx", "dy", "dz", F.sqrt("r2").alias("distance")))
+
+
 def _contact_pairs(spark, sf, radius):
     s = cubic_sites(spark, sf)
     mol = F.floor(F.col("atom_id") / 5) * 5 + 1
@@ -865,7 +883,7 @@ def _pdb_folder(spark, sf):
     lines = (atom.unionByName(edge(0, F.format_string("MODEL     %4d", F.col("frame") + 1)))
              .unionByName(edge(1, F.format_string("CRYST1%9.3f%9.3f%9.3f%7.2f%7.2f%7.2f P 1           1",
                                                   F.lit(V.BOX), F.lit(V.BOX), F.lit(V.BOX), F.lit(90.0), F.lit(90.0), F.lit(90.0))))
-             .unionByName(edge(3, F.lit("ENDMDL"))))
+             .unionByName(edge(3, F.lit("ENDMDL"))).unionByName(edge(4, F.lit("CONECT    1    2"))))
     folder = work_folder(spark, "pdb")
     _write_lines(lines, ["traj", "chunk"], ["frame", "k", "atom_id"], folder)
     return folder
@@ -892,10 +910,18 @@ def ingest_pdb_frames(spark, sf):
     return _unchunk(_pdb(spark, sf).frames)
 
 
+@query
+def ingest_pdb_strict(spark, sf):
+    """The strict reader, which wants a cell, on the same files."""
+    t = sources_pdb.read_pdb(spark, _pdb_folder(spark, sf), traj=F.concat_ws("/", _tag("traj"), _tag("chunk")), strict=True)
+    return _unchunk(t.frames)
+
+
 @query
 def ingest_pdb_atoms(spark, sf):
-    a = _pdb(spark, sf).atoms.where("traj like '%/0'")
-    return a.withColumn("traj", F.split("traj", "/")[0]).drop("serial")
+    """The atoms of every file, which are the same in all files of a trajectory."""
+    a = _pdb(spark, sf).atoms.withColumns({"chunk": F.split("traj", "/")[1].cast("int"), "traj": F.split("traj", "/")[0]})
+    return a.drop("serial")
 
 
 @query
@@ -1301,8 +1327,17 @@ def flow_transport(spark, sf):
 
 
 @query
-def flow_density(spark, sf):
-    """Stitched density series with entity counts of each run's bond graph: a customer's orders in a run form a molecule."""
+def flow_transport_selected(spark, sf):
+    """The same with the drift of the selected particles, which here are all there are."""
+    from mdframes.plans.transport import transport
+    t = trajectory(spark, sf)
+    temp = t.frames.select("traj").distinct().withColumn("temperature_K", F.lit(300.0))
+    out = transport(t, TARGETS[:2], temp, V.DT_NS, MAX_LAG, FIT, solvent=TARGETS[2], drift="selected", n_blocks=0)
+    return rounded(out.check, 3)
+
+
+def _density(spark, sf):
+    """Entity counts of each run's bond graph: a customer's orders in a run form a molecule."""
     from mdframes.plans.density import density
     r = shared(spark, sf, "runs").withColumn("traj", F.concat_ws("/", "series", F.col("run_index").cast("string")))
     r = previous(r.withColumn("_b", F.floor(F.col("rn") / 65_536)), ["traj", "o_custkey"], "_b", ["rn"], {"last": F.col("o_orderkey")})
@@ -1312,6 +1347,18 @@ def flow_density(spark, sf):
     masses = spark.createDataFrame([(0, 1.0), (1, 6.94), (2, 14.007), (3, 15.999)], "atom_type int, mass double")
     sel = [SEL.EntitySelection("a", (1,)), SEL.EntitySelection("b", (2, 3)), SEL.EntitySelection("m", (1,), "molecule"),
            SEL.EntitySelection("both", (1, 2), "molecule", "all")]
-    out = density(shared(spark, sf, "snapshots").drop("o_orderkey"), shared(spark, sf, "logs"), atoms, sel, masses, 10.0)
+    return density(shared(spark, sf, "snapshots").drop("o_orderkey"), shared(spark, sf, "logs"), atoms, sel, masses, 10.0)
+
+
+@query
+def flow_density_selections(spark, sf):
+    """What was counted in each run, and how often it was found."""
+    return _density(spark, sf).selections
+
+
+@query
+def flow_density(spark, sf):
+    """Stitched density series."""
+    out = _density(spark, sf)
     return rounded(out.summary.select("series", "n_points", "time_max_ps", "volume_A3_mean", "a_A_mean", "count_a_min", "count_a_max",
                                       "count_m_min", "count_m_max", "count_both_max"), 3)

@@ -13,13 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mdframes.functions.scalars import dt_ns
 from mdframes.operators.scan import previous, running
 
 BOX = 20.0
 GRID = 64.0
 BOX_UNITS = 1280
 ATOMS_PER_TRAJ = 100
-DT_NS = 0.2
+DT_NS = dt_ns(dt_ps=200.0)
 
 # One entry per particle kind (user_id modulo 5).
 SITES = [

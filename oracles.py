@@ -53,10 +53,11 @@ def r(cols: str, digits: int = 6) -> str:
     return ", ".join(f"ROUND({c},{digits})+0.0::DOUBLE AS {c}" for c in cols.split())
 
 
-# Triclinic cell of each frame.
-FRAMES = """
-fr AS (SELECT traj, frame, 20.0::DOUBLE+0.05::DOUBLE*(frame%7) AS a, 20.0::DOUBLE AS b, 20.0::DOUBLE AS c,
-  (90-frame%5)::DOUBLE AS al, 90.0::DOUBLE AS be, (90+frame%3)::DOUBLE AS ga FROM (SELECT DISTINCT traj, frame FROM pos)),
+def frames_sql(a: str, al: str, be: str, ga: str) -> str:
+    """Cell of each frame, b = c = 20."""
+    return f"""
+fr AS (SELECT traj, frame, {a} AS a, 20.0::DOUBLE AS b, 20.0::DOUBLE AS c,
+  {al} AS al, {be} AS be, {ga} AS ga FROM (SELECT DISTINCT traj, frame FROM pos)),
 ang AS (SELECT *, CASE WHEN al=90 THEN 0.0::DOUBLE ELSE COS(RADIANS(al)) END AS ca,
   CASE WHEN be=90 THEN 0.0::DOUBLE ELSE COS(RADIANS(be)) END AS cb,
   CASE WHEN ga=90 THEN 0.0::DOUBLE ELSE COS(RADIANS(ga)) END AS cg,
@@ -67,6 +68,10 @@ cell AS (SELECT traj, frame, a, b, c, al, be, ga, a AS ax, b*cg AS bx, b*sg AS "
     +2*COS(RADIANS(al))*COS(RADIANS(be))*COS(RADIANS(ga))) AS v FROM ang)"""
 
 
+# Triclinic cell of each frame.
+FRAMES = frames_sql("20.0::DOUBLE+0.05::DOUBLE*(frame%7)", "(90-frame%5)::DOUBLE", "90.0::DOUBLE", "(90+frame%3)::DOUBLE")
+
+
 def tri_min(sel: str, src: str) -> str:
     """Minimum image of (dx, dy, dz) with cell columns in scope."""
     return f"""
@@ -95,6 +100,13 @@ O["rdf_cn"] = W(POS, pairs("p", "('Li')", "('O')")) + rdf_tail(
 
 O["neighbor_pairs"] = W(POS, pairs("p", "('Li')", "('N','O','S')")) + f"""
 SELECT traj, frame, i, j, {r('dx dy dz')}, ROUND(SQRT(r2),6) AS distance FROM p WHERE r2 <= 12.25"""
+O["neighbor_pairs_fine"] = W(POS, pairs("p", "('Li','H')", "('N','O')")) + """
+SELECT traj, frame, i, j, ROUND(SQRT(r2),6) AS distance FROM p WHERE r2 <= 1.95*1.95"""
+O["neighbor_pairs_rhombic"] = W(POS, frames_sql("20.0::DOUBLE", "60.0::DOUBLE", "60.0::DOUBLE", "60.0::DOUBLE"),
+    tri_min("traj, frame, i, j", """SELECT a.traj, a.frame, a.atom_id AS i, b.atom_id AS j, b.x-a.x AS x0, b.y-a.y AS y0,
+  b.z-a.z AS z0, c.* EXCLUDE (traj, frame) FROM pos a JOIN pos b ON a.traj=b.traj AND a.frame=b.frame
+  JOIN cell c ON c.traj=a.traj AND c.frame=a.frame WHERE a.site='Li' AND b.site IN ('N','O','S')""")) + f"""
+SELECT traj, frame, i, j, {r('dx dy dz')}, ROUND(SQRT(dx*dx+dy*dy+dz*dz),6) AS distance FROM mi WHERE dx*dx+dy*dy+dz*dz <= 12.25"""
 MOLP = """cand AS (SELECT traj, frame, i, (j//5)*5+1 AS mol_id, MIN(r2) AS r2 FROM p GROUP BY ALL)"""
 O["contact_min_distance"] = W(POS, pairs("p", "('Li')", "('N','O','S')"), MOLP) + """
 SELECT traj, frame, i, mol_id, ROUND(SQRT(r2),6) AS distance FROM cand WHERE r2 <= 25"""
@@ -540,8 +552,10 @@ RANKED = "rkd AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY traj, frame ORDER BY
 O["ingest_pdb"] = W(POS, RANKED) + "SELECT traj, frame, k AS atom_id, ROUND(x,3) AS x, ROUND(y,3) AS y, ROUND(z,3) AS z FROM rkd"
 O["ingest_pdb_frames"] = W(POS) + """SELECT traj, frame, COUNT(*) AS n_atoms, 20.0::DOUBLE AS a, 20.0::DOUBLE AS b, 20.0::DOUBLE AS c,
   90.0::DOUBLE AS alpha, 90.0::DOUBLE AS beta, 90.0::DOUBLE AS gamma FROM pos GROUP BY traj, frame"""
-O["ingest_pdb_atoms"] = W(ATOMS) + """SELECT traj, ROW_NUMBER() OVER (PARTITION BY traj ORDER BY atom_id)-1 AS atom_id, element AS name, resname, chain,
-  CAST(resid AS INT) AS resid, '' AS icode, element AS site, element, atom_type, mass FROM atoms"""
+O["ingest_pdb_strict"] = O["ingest_pdb_frames"]
+O["ingest_pdb_atoms"] = W(POS, ATOMS) + """SELECT c.chunk, traj, ROW_NUMBER() OVER (PARTITION BY traj, c.chunk ORDER BY atom_id)-1 AS atom_id, element AS name, resname, chain,
+  CAST(resid AS INT) AS resid, '' AS icode, element AS site, element, atom_type, mass FROM atoms
+  JOIN (SELECT DISTINCT traj, CAST(frame//25 AS INT) AS chunk FROM pos) c USING (traj)"""
 O["ingest_xyz"] = W(POS) + """SELECT traj, frame, atom_id+1 AS atom_id, x, y, z, COUNT(*) OVER (PARTITION BY traj, frame) AS n_atoms, 20.0::DOUBLE AS a,
   'frame of '||traj AS title FROM pos"""
 O["ingest_log"] = W(RUNS) + """SELECT series, run_index, time_ps, ROUND(potential_kcal_mol,4) AS potential_kcal_mol, ROUND(kinetic_kcal_mol,4) AS kinetic_kcal_mol,
@@ -660,3 +674,10 @@ er AS (SELECT series, run_index, SUM(a)::BIGINT AS a, COUNT(*) FILTER (one) AS m
 e2 AS (SELECT series, MIN(a) AS mn, MAX(a) AS mx, MIN(m) AS lm, MAX(m) AS hm, MAX(b) AS hb FROM er GROUP BY series)
 SELECT series, COUNT(*) AS n_points, ROUND(MAX(time_ps),3) AS time_max_ps, ROUND(AVG(v),3) AS volume_A3_mean, ROUND(AVG(a_A),3) AS a_A_mean,
   ANY_VALUE(mn) AS count_a_min, ANY_VALUE(mx) AS count_a_max, ANY_VALUE(lm) AS count_m_min, ANY_VALUE(hm) AS count_m_max, ANY_VALUE(hb) AS count_both_max FROM dv JOIN e2 USING (series) GROUP BY series"""
+O["flow_transport_selected"] = O["flow_transport"]
+O["flow_density_selections"] = W(RUNS, """ml AS (SELECT series, run_index, o_custkey, BOOL_OR(o_orderkey%4=1) AS one, BOOL_OR(o_orderkey%4=2) AS two,
+  COUNT(*) FILTER (o_orderkey%4=1) AS a, COUNT(*) FILTER (o_orderkey%4 IN (2,3)) AS b FROM runs GROUP BY ALL),
+er AS (SELECT series, run_index, SUM(a)::BIGINT AS a, SUM(b)::BIGINT AS b, COUNT(*) FILTER (one) AS m, COUNT(*) FILTER (one AND two) AS x FROM ml GROUP BY ALL)""") + """
+SELECT series, run_index, 'a' AS label, 'a' AS token, 'atom' AS count_mode, '1' AS atom_types, 'any' AS molecule_match, a AS entity_count FROM er
+UNION ALL SELECT series, run_index, 'b', 'b', 'atom', '2,3', 'any', b FROM er UNION ALL SELECT series, run_index, 'm', 'm', 'molecule', '1', 'any', m FROM er
+UNION ALL SELECT series, run_index, 'both', 'both', 'molecule', '1,2', 'all', x FROM er"""
