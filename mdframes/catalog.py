@@ -556,7 +556,7 @@ def kww_fit(spark, sf):
     g = K.lag_grid(lengths(spark, sf))
     a = _timed(K.survival_continuous(contacts(spark, sf), g)).withColumn("curve", F.lit("continuous"))
     b = _timed(K.survival_intermittent(active(spark, sf), g)).withColumn("curve", F.lit("intermittent"))
-    return rounded(R.fit_kww(a.unionByName(b), ["traj", "curve"], plateau=F.col("curve") == "intermittent"), 5)
+    return rounded(R.fit_kww(a.unionByName(b), ["traj", "curve"], plateau=F.col("curve") == "intermittent"), 4)
 
 
 # --- run logs and time series ---------------------------------------------------------------------

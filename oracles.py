@@ -398,6 +398,42 @@ INTER = """, num AS (SELECT a.traj, b.frame-a.frame AS lag, COUNT(*) AS c FROM a
   AND b.frame>=a.frame GROUP BY ALL), tot AS (SELECT traj, COUNT(*) AS t FROM act GROUP BY traj),
 it AS (SELECT lg.traj, lg.lag, COALESCE(c,0)*nf/((nf-lg.lag)*t) AS survival FROM lg JOIN tot USING (traj) LEFT JOIN num USING (traj, lag))"""
 O["survival_intermittent"] = CON + LAGS + INTER + "SELECT traj, lag, ROUND(survival,6) AS survival FROM it"
+
+
+def kww(curves: str) -> str:
+    """Least squares over the shrinking grid, round by round, over curves (traj, curve, x, y, free)."""
+    out = f""", cv AS MATERIALIZED ({curves}),
+tl AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY traj, curve ORDER BY x DESC) AS back, COUNT(*) OVER (PARTITION BY traj, curve) AS m FROM cv),
+sp AS MATERIALIZED (SELECT traj, curve, free, COUNT(*) AS n, MAX(x) AS fe, AVG(y) AS mean, MIN(CASE WHEN x>0 THEN x END) AS step,
+  MEDIAN(CASE WHEN back<=GREATEST(3, CEIL(m*0.1)) THEN y END) AS level FROM tl GROUP BY ALL),
+r0 AS (SELECT traj, curve, free, LN(GREATEST(step*0.05, 1e-12)) AS lo0, LN(GREATEST(100*fe, step)) AS hi0, LN(GREATEST(step*0.05, 1e-12)) AS lo,
+  LN(GREATEST(100*fe, step)) AS hi, 0.1::DOUBLE AS bl, 2.0::DOUBLE AS bh FROM sp)"""
+    for k in range(8):
+        out += f""",
+g{k} AS (SELECT traj, curve, free, lo0, hi0, lo, hi, bl, bh, idx, EXP(lo+(hi-lo)*(idx//39)/40) AS tau, bl+(bh-bl)*(idx%39)/38 AS beta FROM r{k}, RANGE(1599) t(idx)),
+e{k} AS (SELECT g.*, y, EXP(-LEAST(POW(x/tau, beta), 700)) AS e FROM g{k} g JOIN cv USING (traj, curve)),
+s{k} AS (SELECT traj, curve, free, lo0, hi0, lo, hi, bl, bh, idx, tau, beta, SUM((1-e)*(1-e)) AS uu, SUM((1-e)*(y-e)) AS uv, SUM((y-e)*(y-e)) AS vv FROM e{k} GROUP BY ALL),
+p{k} AS (SELECT *, CASE WHEN free THEN GREATEST(0, LEAST(0.999, COALESCE(uv/NULLIF(uu,0), 0))) ELSE 0 END AS p FROM s{k}),
+b{k} AS MATERIALIZED (SELECT * FROM p{k} QUALIFY ROW_NUMBER() OVER (PARTITION BY traj, curve ORDER BY vv-2*p*uv+p*p*uu, idx)=1),
+r{k + 1} AS (SELECT traj, curve, free, lo0, hi0, GREATEST(lo0, LN(tau)-3*(hi-lo)/40) AS lo, LEAST(hi0, LN(tau)+3*(hi-lo)/40) AS hi,
+  GREATEST(0.1, beta-3*(bh-bl)/38) AS bl, LEAST(2, beta+3*(bh-bl)/38) AS bh FROM b{k})"""
+    return out + """,
+er AS (SELECT traj, curve, SUM((y-(p+(1-p)*EXP(-LEAST(POW(x/tau, beta), 700))))**2) AS sse, SUM((y-mean)**2) AS total FROM cv JOIN b7 USING (traj, curve) JOIN sp USING (traj, curve) GROUP BY ALL),
+ft AS (SELECT b7.traj, b7.curve, fe, tau, beta, p, 1-sse/total AS r2, EXP(-LEAST(POW(fe/tau, beta), 700)) AS rest,
+  CASE WHEN 1-sse/total<0.9 THEN CASE WHEN b7.free THEN GREATEST(0, LEAST(0.95, level)) ELSE 0 END ELSE p END AS q FROM b7 JOIN er USING (traj, curve) JOIN sp USING (traj, curve)),
+un AS (SELECT traj, curve, x, LEAST(1, GREATEST(0, (y-q)/(1-q))) AS y FROM cv JOIN ft USING (traj, curve)),
+lg2 AS (SELECT *, LAG(x) OVER w AS px, LAG(y) OVER w AS py FROM un WINDOW w AS (PARTITION BY traj, curve ORDER BY x)),
+ob AS (SELECT traj, curve, SUM((x-px)*(y+py)/2) AS area,
+  ARG_MIN(CASE WHEN px IS NULL OR y=py THEN x ELSE px+(0.5-py)/(y-py)*(x-px) END, x) FILTER (WHERE y<=0.5) AS half,
+  ARG_MIN(CASE WHEN px IS NULL OR y=py THEN x ELSE px+(EXP(-1)-py)/(y-py)*(x-px) END, x) FILTER (WHERE y<=EXP(-1)) AS efold, ARG_MIN(y, x) AS y0 FROM lg2 GROUP BY ALL)
+SELECT traj, curve, CASE WHEN r2<0.9 THEN 'fit_poor_r_squared' WHEN rest<=0.05 THEN 'relaxed_within_fit_window' ELSE 'lower_bound_window_limited' END AS fit_status,
+  ROUND(fe,4) AS fit_end, ROUND(tau,4) AS tau, ROUND(beta,4) AS beta, ROUND(p,4) AS plateau, ROUND(rest,4) AS remaining, ROUND(r2,4) AS r_squared,
+  ROUND(q,4) AS integral_plateau, ROUND(area,4) AS restricted_integral, CASE WHEN y0>=0.5 THEN ROUND(half,4) END AS t_half_observed,
+  CASE WHEN y0>=EXP(-1) THEN ROUND(efold,4) END AS t_1e_observed, ROUND(tau*GAMMA(1+1/beta),4) AS tau_mean FROM ft JOIN ob USING (traj, curve)"""
+
+
+O["kww_fit"] = CON + CONT + INTER + kww("""SELECT traj, 'continuous' AS curve, lag*0.2::DOUBLE AS x, LEAST(1.05::DOUBLE, GREATEST(0, survival)) AS y, false AS free FROM ct
+  UNION ALL SELECT traj, 'intermittent', lag*0.2::DOUBLE, LEAST(1.05::DOUBLE, GREATEST(0, survival)), true FROM it""")
 KM = LAGS + """, rk AS (SELECT lg.traj, lag, COUNT(*) FILTER (n>=lag) AS risk, COUNT(*) FILTER (n=lag AND NOT rc) AS d FROM lg JOIN evt USING (traj)
   WHERE NOT lc GROUP BY lg.traj, lag),
 km AS (SELECT traj, lag, PRODUCT(CASE WHEN lag>0 AND risk>0 THEN 1-d/risk ELSE 1 END) OVER (PARTITION BY traj ORDER BY lag) AS survival FROM rk)"""
