@@ -137,7 +137,7 @@ def neighbor_pairs_rhombic(spark, sf):
     fr = shared(spark, sf, "triclinic_frames").withColumns({n: F.lit(v) for n, v in
                                                           [*((c, 20.0) for c in "abc"), *((c, 60.0) for c in ("alpha", "beta", "gamma"))]})
     s = N.attach_cell(shared(spark, sf, "positions").withColumn("site", V._pick(0)), fr)
-    p = N.radius_pairs(s.where("site = 'Li'"), s.where("site in ('N', 'O', 'S')"), 3.5)
+    p = N.radius_pairs(s.where("site = 'Li'"), s.where("site in ('N', 'O', 'S')"), 3.5, copied="left")
     return rounded(p.select("traj", "frame", "i", "j", "dx", "dy", "dz", F.sqrt("r2").alias("distance")))
 
 
@@ -145,7 +145,7 @@ def _contact_pairs(spark, sf, radius):
     s = cubic_sites(spark, sf)
     mol = F.floor(F.col("atom_id") / 5) * 5 + 1
     contact = s.where("site in ('N', 'O', 'S')").withColumn("mol_id", mol)
-    return N.molecule_distances(N.radius_pairs(s.where("site = 'Li'"), contact, radius))
+    return N.molecule_distances(N.radius_pairs(s.where("site = 'Li'"), contact, radius, copied="left"))
 
 
 @query

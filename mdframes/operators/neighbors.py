@@ -34,27 +34,31 @@ def _gridded(df: DataFrame, cutoff: float, carry: list[str]) -> DataFrame:
 CELL_ID = "bigint(gx) + nx*(bigint(gy) + ny*bigint(gz)) AS cell"
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, cutoff: float, strict: bool = False) -> DataFrame:
+def _touching(df: DataFrame) -> DataFrame:
+    """One row per touching cell: 1, 2 or 3 distinct cells along a periodic axis."""
+    for n in "xyz":
+        rest = [c for c in df.columns if c != f"g{n}"]
+        df = df.selectExpr(*rest, f"explode(array_distinct(array(pmod(g{n} - 1, n{n}), g{n}, pmod(g{n} + 1, n{n})))) AS g{n}")
+    return df
+
+
+def radius_pairs(left: DataFrame, right: DataFrame, cutoff: float, strict: bool = False, copied: str = "right") -> DataFrame:
     """All (left, right) pairs of a frame whose minimum-image distance is within ``cutoff``.
 
     Both inputs hold traj, frame, atom_id, x, y, z and the cell matrix. An atom is never paired
     with itself. Output: traj, frame, i (left atom), j (right atom), dx, dy, dz (right - left),
-    r2, volume and any further left/right column, prefixed ``l_`` / ``r_``. A crowded cell is one join
-    key; Spark splits the partitions it makes too large (adaptive skew join), however many there are.
+    r2, volume and any further left/right column, prefixed ``l_`` / ``r_``. The
+    ``copied`` side, best the smaller one, is sent to every touching cell. A crowded cell is one join key; Spark splits the partitions it makes too large (adaptive skew join), however many there are.
     """
     fixed = {"traj", "frame", "atom_id", "x", "y", "z", "volume", *C.MATRIX}
     l_extra = [c for c in left.columns if c not in fixed]
     r_extra = [c for c in right.columns if c not in fixed]
     point = [*KEYS, "atom_id", "x", "y", "z"]
     lg = _gridded(left, cutoff, [*point, *C.MATRIX, "volume", *l_extra])
+    rg = _gridded(right, cutoff, [*point, *r_extra])
+    lg, rg = (_touching(lg), rg) if copied == "left" else (lg, _touching(rg))
     lg = lg.selectExpr(*KEYS, CELL_ID, "atom_id AS i", "x AS lx", "y AS ly", "z AS lz", *C.MATRIX, "volume",
                        *[f"`{c}` AS `l_{c}`" for c in l_extra])
-    rg = _gridded(right, cutoff, [*point, *r_extra])
-    # One row per touching cell: 1, 2 or 3 distinct cells along a periodic axis.
-    for n in "xyz":
-        rest = [c for c in rg.columns if c != f"g{n}"]
-        rg = rg.selectExpr(*rest, f"explode(array_distinct(array(pmod(g{n} - 1, n{n}), g{n}, "
-                                  f"pmod(g{n} + 1, n{n})))) AS g{n}")
     rg = rg.selectExpr(*KEYS, CELL_ID, "atom_id AS j", "x AS rx", "y AS ry", "z AS rz",
                        *[f"`{c}` AS `r_{c}`" for c in r_extra])
     joined = lg.join(rg, [*KEYS, "cell"]).where("i <> j")

@@ -100,7 +100,7 @@ def adf_triplets(sites: DataFrame, site1: str, site2: str, site3: str, rcut12: f
     """
     centre = sites.where(F.col("site") == site2).drop("site")
     ends = sites.where(F.col("site").isin(site1, site3))
-    arms = radius_pairs(centre, ends, max(rcut12, rcut23), strict=True).where(F.col("r2") > 1.0e-24)
+    arms = radius_pairs(centre, ends, max(rcut12, rcut23), strict=True, copied="left").where(F.col("r2") > 1.0e-24)
     arms = stage(arms.select("traj", "frame", F.col("i").alias("centre"), F.col("j").alias("end"), "dx", "dy", "dz", "r2",
                              F.col("r_site").alias("site")), "arms")
 

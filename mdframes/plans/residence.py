@@ -66,7 +66,7 @@ def residence(t: Trajectory, cation: str, target: SEL.Target, contact_elements:
     cut = stage(cut.withColumn("r_off", off), "cut")
     left = plain.where("site = 'cation'").drop("site")
     right = pos.where("site = 'contact'").drop("site")
-    cand = molecule_distances(radius_pairs(left, right, reach)).join(cut, "traj")
+    cand = molecule_distances(radius_pairs(left, right, reach, copied="left")).join(cut, "traj")
     active = stage(K.activity(cand.where("r2 <= r_off*r_off"), F.col("r_on")), "active")
     events = stage(K.events(active, lengths, dt), "events")
     cations = left.select("traj", "frame", F.col("atom_id").alias("i"))

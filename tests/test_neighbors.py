@@ -38,11 +38,11 @@ def brute(frames, pos, cutoff):
     return out
 
 
-@pytest.mark.parametrize("cutoff", [2.5, 4.0, 3.0])
-def test_pairs_equal_brute_force(spark, cutoff):
+@pytest.mark.parametrize("cutoff,copied", [(2.5, "right"), (4.0, "left"), (3.0, "right"), (3.0, "left")])
+def test_pairs_equal_brute_force(spark, cutoff, copied):
     frames, pos = cloud(spark)
     p = N.attach_cell(pos, frames)
-    got = N.radius_pairs(p, p, cutoff).collect()
+    got = N.radius_pairs(p, p, cutoff, copied=copied).collect()
     have = {(r["frame"], r["i"], r["j"], round(r["r2"], 6)) for r in got}
     assert len(got) == len(have) and have == brute(frames, pos, cutoff)
 
