@@ -400,7 +400,7 @@ it AS (SELECT lg.traj, lg.lag, COALESCE(c,0)*nf/((nf-lg.lag)*t) AS survival FROM
 O["survival_intermittent"] = CON + LAGS + INTER + "SELECT traj, lag, ROUND(survival,6) AS survival FROM it"
 
 
-def kww(curves: str) -> str:
+def kww(curves: str, last: str = "SELECT * FROM kf") -> str:
     """Least squares over the shrinking grid, round by round, over curves (traj, curve, x, y, free)."""
     out = f""", cv AS MATERIALIZED ({curves}),
 tl AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY traj, curve ORDER BY x DESC) AS back, COUNT(*) OVER (PARTITION BY traj, curve) AS m FROM cv),
@@ -425,11 +425,12 @@ un AS (SELECT traj, curve, x, LEAST(1, GREATEST(0, (y-q)/(1-q))) AS y FROM cv JO
 lg2 AS (SELECT *, LAG(x) OVER w AS px, LAG(y) OVER w AS py FROM un WINDOW w AS (PARTITION BY traj, curve ORDER BY x)),
 ob AS (SELECT traj, curve, SUM((x-px)*(y+py)/2) AS area,
   ARG_MIN(CASE WHEN px IS NULL OR y=py THEN x ELSE px+(0.5-py)/(y-py)*(x-px) END, x) FILTER (WHERE y<=0.5) AS half,
-  ARG_MIN(CASE WHEN px IS NULL OR y=py THEN x ELSE px+(EXP(-1)-py)/(y-py)*(x-px) END, x) FILTER (WHERE y<=EXP(-1)) AS efold, ARG_MIN(y, x) AS y0 FROM lg2 GROUP BY ALL)
-SELECT traj, curve, CASE WHEN r2<0.9 THEN 'fit_poor_r_squared' WHEN rest<=0.05 THEN 'relaxed_within_fit_window' ELSE 'lower_bound_window_limited' END AS fit_status,
+  ARG_MIN(CASE WHEN px IS NULL OR y=py THEN x ELSE px+(EXP(-1)-py)/(y-py)*(x-px) END, x) FILTER (WHERE y<=EXP(-1)) AS efold, ARG_MIN(y, x) AS y0 FROM lg2 GROUP BY ALL),
+kf AS (SELECT traj, curve, CASE WHEN r2<0.9 THEN 'fit_poor_r_squared' WHEN rest<=0.05 THEN 'relaxed_within_fit_window' ELSE 'lower_bound_window_limited' END AS fit_status,
   ROUND(fe,4) AS fit_end, ROUND(tau,4) AS tau, ROUND(beta,4) AS beta, ROUND(p,4) AS plateau, ROUND(rest,4) AS remaining, ROUND(r2,4) AS r_squared,
   ROUND(q,4) AS integral_plateau, ROUND(area,4) AS restricted_integral, CASE WHEN y0>=0.5 THEN ROUND(half,4) END AS t_half_observed,
-  CASE WHEN y0>=EXP(-1) THEN ROUND(efold,4) END AS t_1e_observed, ROUND(tau*GAMMA(1+1/beta),4) AS tau_mean FROM ft JOIN ob USING (traj, curve)"""
+  CASE WHEN y0>=EXP(-1) THEN ROUND(efold,4) END AS t_1e_observed, ROUND(tau*GAMMA(1+1/beta),4) AS tau_mean FROM ft JOIN ob USING (traj, curve))
+""" + last
 
 
 O["kww_fit"] = CON + CONT + INTER + kww("""SELECT traj, 'continuous' AS curve, lag*0.2::DOUBLE AS x, LEAST(1.05::DOUBLE, GREATEST(0, survival)) AS y, false AS free FROM ct
@@ -456,6 +457,30 @@ en AS (SELECT traj, MAX_BY(survival, lag) AS s FROM km GROUP BY traj)
 SELECT traj, ROUND(s,6) AS survival_at_end, ROUND(integral,6) AS rmst, ROUND(md.t,6) AS t_median, ROUND(te.t,6) AS t_1e,
   CASE WHEN s<=0.05 THEN 'relaxed_within_window' ELSE 'lower_bound_window_limited' END AS status
 FROM en JOIN rm USING (traj) JOIN md USING (traj) JOIN te USING (traj)"""
+# Contacts whose radii come from each trajectory's own smoothed g(r).
+AUTO = W(POS, EVEN.replace("25", "200"), pairs("near", "('Li')", "('N','O','S')"), TRAJS, grid(60), """
+hist AS (SELECT traj, LEAST(CAST(FLOOR(SQRT(r2)/0.1::DOUBLE) AS INT), 59) AS bin, COUNT(*) AS c FROM near SEMI JOIN ev200 USING (traj, frame) WHERE r2<=36 GROUP BY ALL),
+norms AS (SELECT traj, SUM(n1*n2/8000.0::DOUBLE) AS pf, SUM(n1) AS tn1 FROM (SELECT traj, frame, COUNT(*) FILTER (site='Li') AS n1,
+  COUNT(*) FILTER (site IN ('N','O','S')) AS n2 FROM pos SEMI JOIN ev200 USING (traj, frame) GROUP BY traj, frame) GROUP BY traj),
+g AS (SELECT traj, bin, (bin+0.5::DOUBLE)*0.1::DOUBLE AS r, COALESCE(c,0)/(pf*4.0::DOUBLE/3.0*pi()*(((bin+1)*0.1::DOUBLE)**3-(bin*0.1::DOUBLE)**3)) AS g
+  FROM grid JOIN norms USING (traj) LEFT JOIN hist USING (traj, bin)),
+taps AS (SELECT o, EXP(-0.5*(o/3.0)**2)/SUM(EXP(-0.5*(o/3.0)**2)) OVER () AS w FROM RANGE(-12,13) t(o)),
+sm AS (SELECT a.traj, a.bin, a.r, SUM(w*b.g) AS v FROM g a, taps JOIN g b ON b.bin=GREATEST(0, LEAST(59, a.bin+o)) AND b.traj=a.traj GROUP BY ALL),
+n AS (SELECT traj, bin, r, v, LAG(v) OVER w AS l, LEAD(v) OVER w AS u FROM sm WINDOW w AS (PARTITION BY traj ORDER BY bin)),
+pk AS (SELECT traj, r, v, MAX(v) OVER (PARTITION BY traj) AS top FROM n WHERE v>l AND v>u AND r>=1.2),
+first_pk AS (SELECT traj, MIN(r) AS rp FROM pk WHERE v>=0.1*top GROUP BY traj),
+cut AS MATERIALIZED (SELECT n.traj, MIN(n.r) AS r_on FROM n JOIN first_pk f USING (traj) WHERE v<l AND v<u AND n.r-rp>=0.2-1e-9 GROUP BY n.traj),
+cand AS (SELECT traj, frame, i, (j//5)*5+1 AS mol_id, MIN(r2) AS r2 FROM near WHERE r2<=42.25 GROUP BY ALL),
+c AS MATERIALIZED (SELECT cand.*, r_on FROM cand JOIN cut USING (traj) WHERE r2<=(r_on+0.5)*(r_on+0.5)),
+act AS (SELECT traj, frame, i, mol_id FROM c WHERE r2<=r_on*r_on UNION
+  SELECT n.traj, n.frame, n.i, n.mol_id FROM act a JOIN c n ON n.traj=a.traj AND n.i=a.i AND n.mol_id=a.mol_id AND n.frame=a.frame+1)""",
+    LEN, EV.replace("ev AS", "evt AS", 1))
+O["flow_residence_auto"] = AUTO + CONT + INTER + KM[len(LAGS):] + f""", rm AS ({trapz('km')}), {cross('0.5::DOUBLE', 'md')}, {cross('EXP(-1.0::DOUBLE)', 'te')},
+en AS (SELECT traj, MAX_BY(survival, lag) AS s FROM km GROUP BY traj)""" + kww("""SELECT traj, 'continuous' AS curve, lag*0.2::DOUBLE AS x, LEAST(1.05::DOUBLE, GREATEST(0, survival)) AS y, false AS free FROM ct
+  UNION ALL SELECT traj, 'intermittent', lag*0.2::DOUBLE, LEAST(1.05::DOUBLE, GREATEST(0, survival)), true FROM it""", """
+SELECT * RENAME (curve AS correlation) FROM kf UNION ALL BY NAME SELECT traj, 'kaplan_meier' AS correlation, ROUND(s,4) AS remaining, ROUND(integral,4) AS restricted_integral,
+  ROUND(md.t,4) AS t_half_observed, ROUND(te.t,4) AS t_1e_observed, CASE WHEN s<=0.05 THEN 'relaxed_within_window' ELSE 'lower_bound_window_limited' END AS fit_status
+FROM en JOIN rm USING (traj) JOIN md USING (traj) JOIN te USING (traj)""")
 O["correlation_integrals"] = CON + CONT + INTER + f"""
 SELECT traj, 'continuous' AS curve, n, ROUND(integral,6) AS integral FROM ({trapz('ct')})
 UNION ALL SELECT traj, 'intermittent', n, ROUND(integral,6) FROM ({trapz('it')})"""
