@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,7 +61,7 @@ def _sample(docs: DataFrame, learn: Column, per_language: int) -> DataFrame:
     return labelled.where(unit < F.element_at(share, F.col("lang"))).limit(2 * per_language * len(counts)).select("lang", "text")
 
 
-def fit(docs: DataFrame, learn: Column, per_language: int = 1000, epochs: int = 6, seed: int = 7) -> Model:
+def fit(docs: DataFrame, learn: Column, per_language: int = 500, epochs: int = 6, seed: int = 7) -> Model:
     """Train on a bounded sample of the rows that ``learn`` admits: at most ``2 * per_language`` a
     language, each reduced in its task to subword counts (at most ``BUCKETS`` numbers, however long the
     text). The only inputs are text and lang. A fifth of the sample is kept from training and sets the
@@ -70,18 +71,19 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 1000, epochs: int =
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(subwords(t), return_counts=True) for t in batch.column(1).to_pylist()]
-            yield table("lang string, ids array<int>, weights array<float>", {
-                "lang": batch.column(0).to_pylist(), "ids": [i.astype(np.int32) for i, _ in found],
-                "weights": [(n / n.sum()).astype(np.float32) for _, n in found]})
+            yield table("lang string, ids binary, weights binary", {
+                "lang": batch.column(0).to_pylist(), "ids": [i.astype("<u2").tobytes() for i, _ in found],
+                "weights": [(n / n.sum()).astype("<f4").tobytes() for _, n in found]})
 
-    rows = _sample(docs, learn, per_language).mapInArrow(reduce, "lang string, ids array<int>, weights array<float>").toArrow()
+    rows = _sample(docs, learn, per_language).mapInArrow(reduce, "lang string, ids binary, weights binary").toArrow()
     names = rows.column("lang").to_pylist()
     labels = sorted(set(names))
     target = np.array([labels.index(x) for x in names], np.int64)
-    ids = [np.asarray(x.as_py(), np.int64) for x in rows.column("ids")]
-    weights = [np.asarray(x.as_py(), np.float32) for x in rows.column("weights")]
+    ids = [np.frombuffer(x, "<u2") for x in rows.column("ids").to_pylist()]
+    weights = [np.frombuffer(x, "<f4") for x in rows.column("weights").to_pylist()]
+    del rows
     # The order rows arrive in depends on the cluster; their content decides instead.
-    order = sorted(range(len(ids)), key=lambda i: (target[i], len(ids[i]), ids[i].tobytes(), weights[i].tobytes()))
+    order = sorted(range(len(ids)), key=lambda i: (target[i], len(ids[i]), zlib.crc32(ids[i]), zlib.crc32(weights[i])))
     order = np.random.default_rng(seed).permutation(np.array(order, np.int64))
     hold, train = order[:len(order) // 5], order[len(order) // 5:]
 
@@ -136,13 +138,13 @@ def held_out() -> Column:
     return F.pmod(doc_crc(), F.lit(3)) == 1
 
 
-def language_id(docs: DataFrame, per_language: int = 1000) -> DataFrame:
+def language_id(docs: DataFrame, per_language: int = 500) -> DataFrame:
     """Train on the rows whose crc32(doc_id) mod 3 is not 1, predict all: doc_id, held_out, lang_pred, score, rejected."""
     found = identify(docs, fit(docs, ~held_out(), per_language))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
-def keep_identified(docs: DataFrame, per_language: int = 1000) -> DataFrame:
+def keep_identified(docs: DataFrame, per_language: int = 500) -> DataFrame:
     """The rows of ``docs`` whose language the model does not reject, all columns unchanged."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, ~held_out(), per_language))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mdframes.llm.common import connected, forest, runs, staged, table
 
+ROWS = 500    # texts whose hashes are held at a time
 SPLIT = 48    # points below which a tree node is compared directly
 LANES = np.uint64(0x0101010101010101)
 
@@ -49,16 +50,17 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     without words, null included, has fingerprint 0; fewer words than ``width`` make one shingle."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_shingles(t, width, seed) for t in batch.column(1).to_pylist()]
-            sizes = np.array([len(x) for x in found], np.int64)
-            fp = np.zeros(len(found), np.uint64)
-            full = np.flatnonzero(sizes)
-            if len(full):
-                hashes = np.concatenate([np.array(found[i], np.uint64) for i in full])
-                n = sizes[full]
-                fp[full] = _majority(hashes, np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(a, ROWS)
+                found = [np.array(_shingles(t, width, seed), np.uint64) for t in batch.column(1).to_pylist()]
+                sizes = np.array([len(x) for x in found], np.int64)
+                fp = np.zeros(len(found), np.uint64)
+                full = np.flatnonzero(sizes)
+                if len(full):
+                    n = sizes[full]
+                    fp[full] = _majority(np.concatenate(found), np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(compute, f"doc_id {kind}, fp long")
