@@ -176,7 +176,7 @@ def discover(scanned: DataFrame) -> DataFrame:
 def _gathered(found: DataFrame) -> DataFrame:
     """The discovered spans of each document as one array, bounded by the document."""
     span = F.struct("start", "rank", "end", "kind")
-    return found.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(span)).alias("more")).toDF("_doc", "_key", "more")
+    return found.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(span)).alias("more")).toDF("_pii_doc", "_pii_key", "_pii_more")
 
 
 def _joined(spans: F.Column) -> F.Column:
@@ -189,8 +189,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     repeated rows have the same; other columns are ignored."""
     scanned = staged(scan(docs))
     more = _gathered(discover(scanned))
-    return (scanned.join(more, scanned.doc_id.eqNullSafe(more._doc) & (scanned.key == more._key), "left")
-            .select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))).alias("spans")))
+    return (scanned.join(more, scanned.doc_id.eqNullSafe(more._pii_doc) & (scanned.key == more._pii_key), "left")
+            .select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("_pii_more", F.array().cast(f"array<{SPAN}>")))).alias("spans")))
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
@@ -201,30 +201,36 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """Every span as its kind in brackets; spans that touch or overlap become one, named after the first."""
-    out, last = [], 0
-    for start, kind, end in sorted(spans):
-        if start >= last:
-            out += [text[last:start], f"[{KINDS[kind].upper()}]"]
-        last = max(last, end)
-    return "".join(out) + text[last:]
+def redact_text(text: str, more: list[tuple[int, int, int]] = ()) -> str:
+    """The base spans and ``more`` as their kind in brackets; spans that overlap become one, named after
+    the first. What is left is searched again, until no pattern matches: a run of digits that was too long
+    may hold a number once its other part is gone."""
+    spans = base_spans(text) + list(more)
+    while spans:
+        out, last = [], 0
+        for start, kind, end in sorted(spans):
+            if start >= last:
+                out += [text[last:start], f"[{KINDS[kind].upper()}]"]
+            last = max(last, end)
+        text = "".join(out) + text[last:]
+        spans = base_spans(text)
+    return text
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of text replaced and n_chars, if there, counted anew; all other columns unchanged. Null texts stay null."""
     more = staged(_gathered(discover(staged(scan(docs)))))
-    spans = more.agg(F.coalesce(F.sum(F.size("more")), F.lit(0))).first()[0]
+    spans = more.agg(F.coalesce(F.sum(F.size("_pii_more")), F.lit(0))).first()[0]
     if spans <= BROADCAST:      # else Spark shuffles the texts to the spans
         more = F.broadcast(more)
 
     @F.pandas_udf("string")
     def clean(text, extra):
         return text.combine(extra, lambda t, x: t if not isinstance(t, str) else redact_text(
-            t, base_spans(t) + [(s["start"], s["rank"], s["end"]) for s in (x if x is not None else [])]))
+            t, [(s["start"], s["rank"], s["end"]) for s in (x if x is not None else [])]))
 
-    joined = docs.join(more, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key")), "left")
-    out = joined.withColumn("text", clean("text", "more"))
+    joined = docs.join(more, F.col("doc_id").eqNullSafe(F.col("_pii_doc")) & (F.xxhash64("text") == F.col("_pii_key")), "left")
+    out = joined.withColumn("text", clean("text", "_pii_more"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

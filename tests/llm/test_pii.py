@@ -4,7 +4,7 @@ import re
 
 from helpers import AWKWARD, documents
 
-from mdframes.llm.pii import KINDS, base_spans, find_pii, pii_digest, redact
+from mdframes.llm.pii import KINDS, base_spans, find_pii, pii_digest, redact, redact_text
 
 
 def luhn(digits):
@@ -75,6 +75,15 @@ def test_repeated_rows_and_null_ids(spark):
     assert all(len(r["spans"]) == 1 for r in rows if r["doc_id"] in (None, 41))
 
 
+def test_nothing_is_left_after_redaction():
+    random.seed(6)
+    parts = ["a@b.c", "1.2.3.4", "+1 555 010 9999", "4111111111111111", "5500005555555559 ", "-", " ", "@", "x", ".", "12", "+"]
+    for _ in range(3000):
+        text = redact_text("".join(random.choices(parts, k=random.randint(1, 10))))
+        assert not plain(text)
+    assert redact_text("4111111111111111 1.2.3.4") == "[CARD] [IP]"
+
+
 def test_redaction(spark):
     texts, hidden = contextual()
     docs = documents(spark, [*texts, None, "call +1.2.3.4 5678901 é a@b.co", ""])

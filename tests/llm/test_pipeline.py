@@ -5,7 +5,7 @@ from test_simhash import fingerprint, groups
 from mdframes.llm.language import fit as fit_language
 from mdframes.llm.language import held_out as language_held_out
 from mdframes.llm.packing import Encoder
-from mdframes.llm.pii import base_spans, redact_text
+from mdframes.llm.pii import redact_text
 from mdframes.llm.quality import CUT, features
 from mdframes.llm.quality import fit as fit_quality
 from mdframes.llm.quality import held_out as quality_held_out
@@ -25,7 +25,7 @@ def test_stages_against_a_plain_version(spark):
     ids = sorted(rows)
     root = groups([fingerprint(rows[i]) for i in ids])
     rows = {i: rows[i] for k, i in enumerate(ids) if root[k] == k}
-    rows = {i: redact_text(t, base_spans(t)) for i, t in rows.items()}      # these contexts teach nothing more
+    rows = {i: redact_text(t) for i, t in rows.items()}      # these contexts teach nothing more
 
     docs = raw
     for name, stage in P.STAGES[:-1]:
