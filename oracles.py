@@ -742,3 +742,4 @@ er AS (SELECT series, run_index, SUM(a)::BIGINT AS a, SUM(b)::BIGINT AS b, COUNT
 SELECT series, run_index, 'a' AS label, 'a' AS token, 'atom' AS count_mode, '1' AS atom_types, 'any' AS molecule_match, a AS entity_count FROM er
 UNION ALL SELECT series, run_index, 'b', 'b', 'atom', '2,3', 'any', b FROM er UNION ALL SELECT series, run_index, 'm', 'm', 'molecule', '1', 'any', m FROM er
 UNION ALL SELECT series, run_index, 'both', 'both', 'molecule', '1,2', 'all', x FROM er"""
+O["invalid_bonds"] = "SELECT o_orderkey AS atom_id, -o_orderkey-1 AS other FROM orders WHERE o_orderkey%7=0"
