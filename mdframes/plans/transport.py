@@ -87,7 +87,7 @@ def transport(t: Trajectory, targets: Sequence[SEL.Target], temperature: DataFra
     if n_blocks >= 2:
         cut = TR.into_blocks(refs, n_blocks, max(10, min_points + 2))
         s = TR.term_sums(cut, both, max_lag, ["traj", "ref", "block"])
-        in_block = stage(TR.pair_curves(s, plus[0], minus[0], dt_eff), "in_block")
+        in_block = TR.pair_curves(s, plus[0], minus[0], dt_eff)
         per = ["traj", "ref", "block"]
         blocks = TR.transference_fit(in_block, per, *fit, plus[1], minus[1])
         block_running = TR.running_block_error(

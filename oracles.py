@@ -408,19 +408,19 @@ sp AS MATERIALIZED (SELECT traj, curve, free, COUNT(*) AS n, MAX(x) AS fe, AVG(y
   MEDIAN(CASE WHEN back<=GREATEST(3, CEIL(m*0.1)) THEN y END) AS level FROM tl GROUP BY ALL),
 r0 AS (SELECT traj, curve, free, LN(GREATEST(step*0.05, 1e-12)) AS lo0, LN(GREATEST(100*fe, step)) AS hi0, LN(GREATEST(step*0.05, 1e-12)) AS lo,
   LN(GREATEST(100*fe, step)) AS hi, 0.1::DOUBLE AS bl, 2.0::DOUBLE AS bh FROM sp)"""
-    for k in range(8):
+    for k in range(5):
         out += f""",
-g{k} AS (SELECT traj, curve, free, lo0, hi0, lo, hi, bl, bh, idx, EXP(lo+(hi-lo)*(idx//39)/40) AS tau, bl+(bh-bl)*(idx%39)/38 AS beta FROM r{k}, RANGE(1599) t(idx)),
+g{k} AS (SELECT traj, curve, free, lo0, hi0, lo, hi, bl, bh, idx, EXP(lo+(hi-lo)*(idx//79)/80) AS tau, bl+(bh-bl)*(idx%79)/78 AS beta FROM r{k}, RANGE(6399) t(idx)),
 e{k} AS (SELECT g.*, y, EXP(-LEAST(POW(x/tau, beta), 700)) AS e FROM g{k} g JOIN cv USING (traj, curve)),
 s{k} AS (SELECT traj, curve, free, lo0, hi0, lo, hi, bl, bh, idx, tau, beta, SUM((1-e)*(1-e)) AS uu, SUM((1-e)*(y-e)) AS uv, SUM((y-e)*(y-e)) AS vv FROM e{k} GROUP BY ALL),
 p{k} AS (SELECT *, CASE WHEN free THEN GREATEST(0, LEAST(0.999, COALESCE(uv/NULLIF(uu,0), 0))) ELSE 0 END AS p FROM s{k}),
 b{k} AS MATERIALIZED (SELECT * FROM p{k} QUALIFY ROW_NUMBER() OVER (PARTITION BY traj, curve ORDER BY vv-2*p*uv+p*p*uu, idx)=1),
-r{k + 1} AS (SELECT traj, curve, free, lo0, hi0, GREATEST(lo0, LN(tau)-3*(hi-lo)/40) AS lo, LEAST(hi0, LN(tau)+3*(hi-lo)/40) AS hi,
-  GREATEST(0.1, beta-3*(bh-bl)/38) AS bl, LEAST(2, beta+3*(bh-bl)/38) AS bh FROM b{k})"""
+r{k + 1} AS (SELECT traj, curve, free, lo0, hi0, GREATEST(lo0, LN(tau)-3*(hi-lo)/80) AS lo, LEAST(hi0, LN(tau)+3*(hi-lo)/80) AS hi,
+  GREATEST(0.1, beta-3*(bh-bl)/78) AS bl, LEAST(2, beta+3*(bh-bl)/78) AS bh FROM b{k})"""
     return out + """,
-er AS (SELECT traj, curve, SUM((y-(p+(1-p)*EXP(-LEAST(POW(x/tau, beta), 700))))**2) AS sse, SUM((y-mean)**2) AS total FROM cv JOIN b7 USING (traj, curve) JOIN sp USING (traj, curve) GROUP BY ALL),
-ft AS (SELECT b7.traj, b7.curve, fe, tau, beta, p, 1-sse/total AS r2, EXP(-LEAST(POW(fe/tau, beta), 700)) AS rest,
-  CASE WHEN 1-sse/total<0.9 THEN CASE WHEN b7.free THEN GREATEST(0, LEAST(0.95, level)) ELSE 0 END ELSE p END AS q FROM b7 JOIN er USING (traj, curve) JOIN sp USING (traj, curve)),
+er AS (SELECT traj, curve, SUM((y-(p+(1-p)*EXP(-LEAST(POW(x/tau, beta), 700))))**2) AS sse, SUM((y-mean)**2) AS total FROM cv JOIN b4 USING (traj, curve) JOIN sp USING (traj, curve) GROUP BY ALL),
+ft AS (SELECT b4.traj, b4.curve, fe, tau, beta, p, 1-sse/total AS r2, EXP(-LEAST(POW(fe/tau, beta), 700)) AS rest,
+  CASE WHEN 1-sse/total<0.9 THEN CASE WHEN b4.free THEN GREATEST(0, LEAST(0.95, level)) ELSE 0 END ELSE p END AS q FROM b4 JOIN er USING (traj, curve) JOIN sp USING (traj, curve)),
 un AS (SELECT traj, curve, x, LEAST(1, GREATEST(0, (y-q)/(1-q))) AS y FROM cv JOIN ft USING (traj, curve)),
 lg2 AS (SELECT *, LAG(x) OVER w AS px, LAG(y) OVER w AS py FROM un WINDOW w AS (PARTITION BY traj, curve ORDER BY x)),
 ob AS (SELECT traj, curve, SUM((x-px)*(y+py)/2) AS area,
