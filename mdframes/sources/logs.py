@@ -12,29 +12,40 @@ from mdframes.operators.scan import previous
 from mdframes.schema import LOG_CELL, LOG_ENERGIES
 from mdframes.sources.text import LINE, list_files, read_lines
 
-# Words that mark a field. A "current" line sets the value; a plain line only fills
-# a gap. Order matters where one line could match two fields.
-SETS = [("current potential", "potential_kcal_mol"), ("current kinetic", "kinetic_kcal_mol"),
-        ("total energy", "total_energy_kcal_mol"), ("current temperature", "temperature_K"),
-        ("current pressure", "pressure_atm")]
-FILLS = [("potential energy", "potential_kcal_mol"), ("kinetic energy", "kinetic_kcal_mol"),
-         ("temperature", "temperature_K"), ("pressure", "pressure_atm")]
+# Words that mark a field, in the order in which a line is tried, and what they do. "set" gives the
+# field its value, "fill" only fills a gap; a line that says "current" elsewhere fills no "bare" field.
+MARKS = [
+    ("current time", "time"),
+    ("current potential", "set:potential_kcal_mol"),
+    ("current kinetic", "set:kinetic_kcal_mol"),
+    ("total energy", "set:total_energy_kcal_mol"),
+    ("potential energy", "fill:potential_kcal_mol"),
+    ("kinetic energy", "fill:kinetic_kcal_mol"),
+    ("current temperature", "set:temperature_K"),
+    ("temperature", "fill:temperature_K"),
+    ("current pressure", "set:pressure_atm"),
+    ("pressure", "fill:pressure_atm"),
+    ("lattice lengths", "lengths"),
+    ("cell lengths", "lengths"),
+    ("lattice angles", "angles"),
+    ("cell angles", "angles"),
+    ("box dimensions", "box"),
+]
+BARE = ["temperature", "pressure"]
+HEADINGS = ["lengths", "angles", "box"]     # their numbers may stand in later lines
 
 
 def _kind() -> F.Column:
     """Which field a line carries: time, set:<field>, fill:<field>, lengths, angles, box."""
-    has = lambda text: f"contains(low, '{text}')"
-    some = "line rlike '[0-9]'"
-    when = [(f"{has('current time')} AND {some}", "time")]
-    when += [(f"{has(text)} AND {some}", f"set:{field}") for text, field in SETS[:3]]
-    when += [(f"{has(text)} AND {some}", f"fill:{field}") for text, field in FILLS[:2]]
-    for (now, field), (plain, _) in zip(SETS[3:], FILLS[2:]):
-        when.append((f"{has(now)} AND {some}", f"set:{field}"))
-        when.append((f"{has(plain)} AND NOT {has('current')} AND {some}", f"fill:{field}"))
-    when.append((f"{has('lattice lengths')} OR {has('cell lengths')}", "lengths"))
-    when.append((f"{has('lattice angles')} OR {has('cell angles')}", "angles"))
-    when.append((has("box dimensions"), "box"))
-    return F.expr("CASE " + " ".join(f"WHEN {c} THEN '{k}'" for c, k in when) + " END")
+    out = F.lit(None).cast("string")
+    for text, kind in reversed(MARKS):
+        hit = F.col("low").contains(text)
+        if kind not in HEADINGS:
+            hit = hit & F.col("line").rlike("[0-9]")
+        if text in BARE:
+            hit = hit & ~F.col("low").contains("current")
+        out = F.when(hit, kind).otherwise(out)
+    return out
 
 
 def parse_logs(lines: DataFrame) -> DataFrame:
