@@ -152,8 +152,9 @@ def discover(scanned: DataFrame) -> DataFrame:
     seeds = seen.where("kind is not null").select("pattern", "instance", "kind").distinct()
     good = seeds.groupBy("pattern", "kind").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
     # Aggregated before the join, whose key is the context alone: a very common context is many identifiers.
+    # An inner join, as the optimizer would move a semi join below the aggregate.
     edges = seen.groupBy("pattern", "instance").agg(F.max("kind").alias("known"))
-    edges = staged(edges.join(good.select("pattern").distinct(), "pattern", "left_semi"))
+    edges = staged(edges.join(good.select("pattern").distinct(), "pattern"))
     degree = edges.groupBy("pattern").agg(F.count("*").alias("degree"))
     fixed = edges.where("known is not null").select("instance", F.col("known").alias("kind")).distinct().withColumn("score", F.lit(1.0))
     scores, confident = fixed, None
