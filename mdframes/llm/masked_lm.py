@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mdframes.llm.common import table
 
-CLASSES, IN_CLASS = 32, 64
-TOKENS = CLASSES * IN_CLASS         # frequent words, then buckets for all others
-RARE = 512                          # buckets
+CLASSES, IN_CLASS = 40, 64
+TOKENS = CLASSES * IN_CLASS         # frequent words, pieces of all others, then single bytes
+WORDS = 1536                        # frequent words, at most
+RARE = 512                          # bytes at the start of a word, and bytes inside one
+PIECE = 4                           # characters of a piece, at most
 PAD = TOKENS                        # beyond a document's ends
 OFFSETS = (-2, -1, 1, 2)
 DIM, HIDDEN = 16, 32
@@ -30,8 +32,8 @@ def words(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts, counted within each task before the shuffle."""
+def all_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of every word of all texts, counted within each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -45,7 +47,87 @@ def word_counts(docs: DataFrame) -> DataFrame:
         yield flush()
 
     counted = docs.select("text").mapInArrow(count, "word string, n long")
-    return counted.where(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``all_counts`` of the words that may enter the vocabulary."""
+    return all_counts(docs).where(F.length("word") <= LONGEST)
+
+
+class Speller(dict):
+    """The tokens of each word: its own, or else the longest pieces it starts with, one after the other, with single
+    UTF-8 bytes where no piece fits. A piece inside a word is in the vocabulary behind a blank, which no word holds."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __reduce__(self):
+        return Speller, (self.vocabulary,)
+
+    def __missing__(self, word: str) -> list[int]:
+        out, known = [], self.vocabulary
+        if (whole := known.get(word)) is not None:
+            out.append(whole)
+        else:
+            at = 0
+            while at < len(word):
+                for n in range(PIECE, 0, -1):
+                    if (i := known.get(" " * (at > 0) + word[at:at + n])) is not None:
+                        out.append(i)
+                        at += n
+                        break
+                else:
+                    raw = word[at].encode("utf-8", "replace")
+                    out += [TOKENS - RARE + b + 256 * (at + k > 0) for k, b in enumerate(raw)]
+                    at += 1
+        if len(word) <= LONGEST:
+            if len(self) >= HELD:
+                self.clear()
+            self[word] = out
+        return out
+
+
+def _pieces(counts: DataFrame, whole: set[str], most: int) -> list[tuple[str, int]]:
+    """The pieces of 2 to ``PIECE`` characters that spell most of the words beside the ``whole`` ones, with their counts."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        flush = lambda: table("piece string, n long", {"piece": list(seen), "n": list(seen.values())})
+        for batch in batches:
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if word in whole:
+                    continue
+                for size in range(2, PIECE + 1):
+                    for at in range(len(word) - size + 1):
+                        seen[" " * (at > 0) + word[at:at + size]] += n
+                if len(seen) > HELD:
+                    yield flush()
+                    seen = Counter()
+        yield flush()
+
+    found = counts.mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    saved = F.col("n") * (F.length(F.ltrim("piece")) - 1)
+    return [(r[0], r[1]) for r in found.orderBy(saved.desc(), "piece").limit(most).collect()]
+
+
+def _frequencies(counts: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
+    """How often each token stands in all texts."""
+    held = counts.sparkSession.sparkContext.broadcast(Speller(vocabulary))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summed = np.zeros(TOKENS)
+        for batch in batches:
+            found = [held.value[w] for w in batch.column(0).to_pylist()]
+            sizes = [len(x) for x in found]
+            ids = np.fromiter(chain.from_iterable(found), np.int64, sum(sizes))
+            summed += np.bincount(ids, np.repeat(batch.column(1).to_numpy(), sizes), TOKENS)
+        yield table("token int, n double", {"token": range(TOKENS), "n": summed})
+
+    out = np.zeros(TOKENS)
+    for token, n in counts.mapInArrow(count, "token int, n double").groupBy("token").agg(F.sum("n")).collect():
+        out[token] = n
+    return out
 
 
 @dataclass
@@ -54,10 +136,13 @@ class Network:
 
     vocabulary: dict[str, int]
     parts: dict[str, np.ndarray] = field(default_factory=dict)
+    speller: Speller | None = None
+
+    def __post_init__(self):
+        self.speller = self.speller or Speller(self.vocabulary)
 
     def ids(self, text: str | None) -> list[int]:
-        get, first = self.vocabulary.get, TOKENS - RARE
-        return [i if (i := get(w)) is not None else first + zlib.crc32(w.encode("utf-8", "replace")) % RARE for w in words(text)]
+        return list(chain.from_iterable(map(self.speller.__getitem__, words(text))))
 
     def vector(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.parts.values()])
@@ -67,16 +152,20 @@ class Network:
         for name, v in self.parts.items():
             parts[name] = vector[at:at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
-        return Network(self.vocabulary, parts)
+        return Network(self.vocabulary, parts, self.speller)
 
 
-def _start(counts: list[tuple[str, int]], total: int, seed: int) -> Network:
-    """Small random weights; the biases hold the word frequencies of the corpus."""
+def _start(counts: list[tuple[str, int]], total: int, seed: int, tokens: np.ndarray | None = None) -> Network:
+    """Small random weights; the biases hold the frequencies of the tokens, or else those of ``counts`` with the rest
+    of ``total`` spread over the bytes."""
     rng = np.random.default_rng(seed)
     vocabulary = {w: i for i, (w, _) in enumerate(counts)}
     freq = np.full(TOKENS, 0.5)
-    freq[:len(counts)] += [n for _, n in counts]
-    freq[TOKENS - RARE:] += max(0, total - sum(n for _, n in counts)) / RARE
+    if tokens is not None:
+        freq += tokens
+    else:
+        freq[:len(counts)] += [n for _, n in counts]
+        freq[TOKENS - RARE:] += max(0, total - sum(n for _, n in counts)) / RARE
     by = freq.reshape(CLASSES, IN_CLASS)
     normal = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
     return Network(vocabulary, {
@@ -101,11 +190,34 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z - c) of every row in place of ``z``, and c; one c for all rows where that is safe."""
+    top = z.max(initial=-np.inf)
+    c = top if top - z.min(initial=np.inf) < 60 else z.max(axis=1, keepdims=True)
+    z -= c
+    return np.exp(z, out=z), c
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e, _ = _exp(z)
+    e /= (e @ np.ones(e.shape[1], e.dtype))[:, None]
+    return e
+
+
+def _log_chosen(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The log-softmax of one column of each row."""
+    own = z[np.arange(len(z)), chosen].astype(np.float64)
+    e, c = _exp(z)
+    return own - np.log(e @ np.ones(e.shape[1], e.dtype)) - np.ravel(c)
+
+
 def _by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(target // IN_CLASS, kind="stable")
-    kinds, starts = np.unique(target[order] // IN_CLASS, return_index=True)
-    for c, rows in zip(kinds, np.split(order, starts[1:])):
-        yield int(c), rows
+    kind = (target // IN_CLASS).astype(np.uint16)
+    order = np.argsort(kind, kind="stable")
+    cuts = np.append(0, np.cumsum(np.bincount(kind, minlength=CLASSES)))
+    for c in range(CLASSES):
+        if cuts[c] < cuts[c + 1]:
+            yield c, order[cuts[c]:cuts[c + 1]]
 
 
 def log_probabilities(net: Network, row: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -118,10 +230,9 @@ def log_probabilities(net: Network, row: np.ndarray, places: np.ndarray) -> np.n
         at = places[a:a + 4 * BATCH]
         h = np.tanh(sum(s[row[at + o]] for s, o in zip(sides, OFFSETS)) + p["shift"])
         target = row[at]
-        score = _log_softmax(h @ p["to_class"] + p["class_bias"])[np.arange(len(at)), target // IN_CLASS].astype(np.float64)
+        score = _log_chosen(h @ p["to_class"] + p["class_bias"], target // IN_CLASS)
         for c, rows in _by_class(target):
-            z = _log_softmax(h[rows] @ p["to_word"][c] + p["word_bias"][c])
-            score[rows] += z[np.arange(len(rows)), target[rows] % IN_CLASS]
+            score[rows] += _log_chosen(h[rows] @ p["to_word"][c] + p["word_bias"][c], target[rows] % IN_CLASS)
         out[a:a + 4 * BATCH] = score
     return out
 
@@ -133,47 +244,63 @@ def _descend(net: Network, row: np.ndarray, places: np.ndarray, rate: float, rng
     for a in range(0, len(places), BATCH):
         at = places[a:a + BATCH]
         n = np.float32(len(at))
-        around = np.stack([row[at + o] for o in OFFSETS], axis=1)
-        x = p["embed"][around].reshape(len(at), -1)
-        h = np.tanh(x @ p["mix"] + p["shift"])
+        around = [row[at + o] for o in OFFSETS]
+        mixes = [p["mix"][k * DIM:(k + 1) * DIM] for k in range(len(OFFSETS))]
+        h = np.tanh(sum((p["embed"] @ m)[i] for m, i in zip(mixes, around)) + p["shift"])
         target = row[at]
-        g = np.exp(_log_softmax(h @ p["to_class"] + p["class_bias"]))
+        g = _softmax(h @ p["to_class"] + p["class_bias"])
         g[np.arange(len(at)), target // IN_CLASS] -= 1
         back = g @ p["to_class"].T
         p["to_class"] -= rate * (h.T @ g) / n
         p["class_bias"] -= rate * g.sum(axis=0) / n
         for c, rows in _by_class(target):
-            g = np.exp(_log_softmax(h[rows] @ p["to_word"][c] + p["word_bias"][c]))
+            own = h[rows]
+            g = _softmax(own @ p["to_word"][c] + p["word_bias"][c])
             g[np.arange(len(rows)), target[rows] % IN_CLASS] -= 1
             back[rows] += g @ p["to_word"][c].T
-            p["to_word"][c] -= rate * (h[rows].T @ g) / n * 4
+            p["to_word"][c] -= rate * (own.T @ g) / n * 4
             p["word_bias"][c] -= rate * g.sum(axis=0) / n * 4
         back *= 1 - h * h
-        step = (back @ p["mix"].T).reshape(-1, DIM)
-        p["mix"] -= rate * (x.T @ back) / n
+        # Steps are summed by word before they pass through the mixing layer.
+        step, uses = np.zeros_like(p["embed"]), np.zeros(TOKENS + 1, np.float32)
+        turn = np.empty_like(p["mix"])
+        for k, (m, i) in enumerate(zip(mixes, around)):
+            order = np.argsort(i.astype(np.uint16), kind="stable")
+            many = np.bincount(i, minlength=TOKENS + 1)
+            used = np.flatnonzero(many)
+            summed = np.add.reduceat(back[order], np.append(0, np.cumsum(many[used])[:-1]))
+            step[used] += summed @ m.T
+            turn[k * DIM:(k + 1) * DIM] = p["embed"][used].T @ summed
+            uses += many
+        p["mix"] -= rate * turn / n
         p["shift"] -= rate * back.sum(axis=0) / n
-        flat = around.ravel()
-        order = np.argsort(flat, kind="stable")
-        used, starts = np.unique(flat[order], return_index=True)
         # A word's step is averaged over its uses, so that rare words learn as fast as frequent ones.
-        uses = np.diff(np.append(starts, len(flat)))[:, None]
-        p["embed"][used] -= rate * np.add.reduceat(step[order], starts) / np.sqrt(uses * n)
+        p["embed"] -= rate * step / np.sqrt(np.maximum(uses, 1) * n)[:, None]
+
+
+def part(k: int, share: float) -> Column:
+    """Whether a row belongs to slice ``k``; rows that repeat a text are spread by their ids."""
+    return F.floor(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit((1 << 20) * share)) == k
 
 
-def fit(docs: DataFrame, share: float = 1 / 16, rounds: int = 2, rate: float = 0.5, seed: int = 3) -> Network:
+def fit(docs: DataFrame, share: float = 1 / 2, rounds: int = 2, rate: float = 0.5, seed: int = 3) -> Network:
     """Count the words of the whole corpus and train on it in ``rounds`` rounds.
 
-    In each round every task starts from the same network, descends over its part of another ``share``
-    of the documents (by hash, so the training data grows with the corpus) and returns its network in
+    The frequent words are tokens; all others are spelt with pieces and bytes. In each round every task
+    starts from the same network, descends over its part of another ``share`` of the documents (by hash; with
+    ``share * rounds`` of 1, the default, every document is trained on once) and returns its network in
     slices; slices are averaged by Spark, weighted by tokens, in two steps so that no task
     holds more than a part of them. The driver gets one network.
     """
     spark = docs.sparkSession
-    counts = word_counts(docs).persist()
+    counts = all_counts(docs).persist()
     total = counts.agg(F.sum("n")).first()[0] or 0
-    top = [(r[0], r[1]) for r in counts.orderBy(F.desc("n"), "word").limit(TOKENS - RARE).collect()]
+    top = [(r[0], r[1]) for r in counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    whole = {w for w, _ in top}
+    room = TOKENS - RARE - len(top)
+    top += [(x, n) for x, n in _pieces(counts, whole, room + len(top)) if x not in whole][:room]
+    net = _start(top, total, seed, _frequencies(counts, {w: i for i, (w, _) in enumerate(top)}))
     counts.unpersist()
-    net = _start(top, total, seed)
     for k in range(rounds):
         held = spark.sparkContext.broadcast(net)        # of fixed size
 
@@ -197,9 +324,8 @@ def fit(docs: DataFrame, share: float = 1 / 16, rounds: int = 2, rate: float = 0
             return pa.Table.from_batches([table("slice int, tokens long, numbers array<float>", {
                 "slice": [batch.column("slice")[0].as_py()], "tokens": [tokens.sum()], "numbers": [mean.astype(np.float32)]})])
 
-        mine = F.floor(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit((1 << 20) * share)) == k
         kind = "slice int, tokens long, numbers array<float>"
-        slices = docs.where("text is not null").where(mine).select("text").mapInArrow(descend, kind).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
+        slices = docs.where("text is not null").where(part(k, share)).select("text").mapInArrow(descend, kind).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
         slices = slices.groupBy("slice", "part").applyInArrow(average, kind).groupBy("slice").applyInArrow(average, kind)
         got = {r["slice"]: r["numbers"] for r in slices.collect()}
         if got:

@@ -64,3 +64,28 @@ def test_empty_table(spark):
     assert M.pseudo_likelihood(documents(spark, [])).count() == 0
     out = M.pseudo_likelihood(documents(spark, [None, ""], [None, 1])).collect()
     assert [(r["n_tokens"], r["log_likelihood"], r["per_token"]) for r in out] == [(0, 0.0, None)] * 2
+
+
+def test_every_document_is_trained_on(spark):
+    import inspect
+    default = {k: v.default for k, v in inspect.signature(M.fit).parameters.items()}
+    docs = documents(spark, ["one text held by all rows"] * 400)
+    parts = [docs.where(M.part(k, default["share"])).count() for k in range(default["rounds"])]
+    assert sum(parts) == 400 and min(parts) > 100
+
+
+def test_unseen_words_are_unlikely_and_long_ones_count(spark):
+    random.seed(9)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    word = lambda k: "".join(random.choices(syllables, k=k))
+    lexicon = [word(4) for _ in range(4000)]
+    long = "y" * 60
+    net = M.fit(documents(spark, [" ".join([*random.choices(lexicon, k=50), long]) for _ in range(600)]).repartition(4))
+    rare = [w for w in lexicon if w not in net.vocabulary][:200]
+    unseen = ["".join(random.choices("qxzvwj", k=8)) for _ in rare]
+    rows = M.score(documents(spark, [*rare, *unseen]), net).orderBy("doc_id").collect()
+    mean = lambda part: sum(r["log_likelihood"] for r in part) / len(part)
+    assert mean(rows[:len(rare)]) > mean(rows[len(rare):]) + 10
+    assert len(set(map(tuple, map(net.ids, [*rare, *unseen])))) == len({*rare, *unseen})
+    ids = net.ids(long)
+    assert long not in net.vocabulary and np.exp(net.parts["class_bias"][[i // M.IN_CLASS for i in ids]]).max() > 0.01
