@@ -21,6 +21,9 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 MARK = re.compile(r"[0-9@]")
+# Digit groups joined by blanks, brackets, hyphens, colons, dots or slashes; and groups of hexadecimal digits between colons.
+RUN = re.compile(r"(?<![\w@])[+(]{0,2}[0-9]++(?:[ ()\[\]./:-]{1,3}[0-9]++)*+")
+HEX = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,8}+[0-9A-Fa-f]{0,4}(?![\w:])")
 BLANK = re.compile(r"\s")
 LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -78,18 +81,44 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 
 
 def _patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical contexts of a mention: two words before it; the words around it. Digits count as equal."""
+    """The lexical contexts of a mention: two words before it, the words around it, two words after it. Digits count
+    as equal; ^ and $ stand for the ends of the text."""
     plain = lambda s: [DIGIT.sub("0", w) for w in s.lower().split()]
     left = plain(text[max(0, start - CONTEXT):start])
     right = plain(text[end:end + CONTEXT])
+    if start <= CONTEXT:
+        left = ["^", *left]
+    if end + CONTEXT >= len(text):
+        right = [*right, "$"]
     out = []
     if len(left) > 1:
         out.append(f"{left[-2]} {left[-1]} _")
     if left and right:
         out.append(f"{left[-1]} _ {right[0]}")
+    if len(right) > 1:
+        out.append(f"_ {right[0]} {right[1]}")
     return out
 
 
+def _runs(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs of digit groups with a joint between them, and groups between colons, that lie between the taken spans. A run
+    longer than ``LONGEST`` is left to its tokens."""
+    at = 0
+    for start, end in [*((a, b) for a, _, b in taken), (len(text), len(text))]:
+        if at < start:
+            for m in RUN.finditer(text, at, start):
+                a, b = m.span()
+                if b < len(text) and (text[b].isalnum() or text[b] in "_@"):     # the last group belongs to a word
+                    b = a + len(text[a:b].rpartition(" ")[0].rstrip(" ()[]./:-"))
+                if 6 <= b - a <= LONGEST and sum(map(str.isdigit, text[a:b])) >= 4:
+                    yield a, b
+            if text.find(":", at, start) >= 0:
+                for m in HEX.finditer(text, at, start):
+                    if any(c != ":" for c in m[0]):
+                        yield m.span()
+        at = max(at, end)
+
+
 def _candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
     """Tokens of 6 to ``LONGEST`` characters with at least four digits or an @, outside the taken spans."""
     done = first = 0
@@ -117,7 +146,8 @@ def mentions(text: str | None) -> tuple[list[tuple], list[tuple]]:
     spans = base_spans(text)
     if not text:
         return spans, []
-    found = [(a, b, KINDS[k]) for a, k, b in spans] + [(a, b, None) for a, b in _candidates(text, spans)]
+    other = sorted({*_candidates(text, spans), *_runs(text, spans)})
+    found = [(a, b, KINDS[k]) for a, k, b in spans] + [(a, b, None) for a, b in other]
     return spans, [(a, b, kind, text[a:b].lower(), _patterns(text, a, b)) for a, b, kind in found]
 
 
@@ -129,7 +159,7 @@ def scan(docs: DataFrame) -> DataFrame:
         for batch in batches:
             found = [mentions(t) for t in batch.column(1).to_pylist()]
             base = [[{"start": a, "rank": k, "end": b, "kind": KINDS[k]} for a, k, b in s] for s, _ in found]
-            seen = [[{"start": a, "end": b, "kind": k, "instance": i, "patterns": p} for a, b, k, i, p in m if p] for _, m in found]
+            seen = [[{"start": a, "end": b, "kind": k, "instance": i, "patterns": p} for a, b, k, i, p in m] for _, m in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(base, pa.list_(_SPAN)), pa.array(seen, pa.list_(_MENTION))],
                                              names=["doc_id", "key", "base", "mentions"])
 
@@ -167,18 +197,28 @@ def discover(scanned: DataFrame) -> DataFrame:
         unseen = (edges.where("known is null").join(confident, "pattern").groupBy("instance", "kind")
                   .agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999999)))))).alias("score")))
         scores = staged(fixed.unionByName(unseen))
-    # The learned contexts, each backed by at least SUPPORT seeds, decide on the mentions not seen before.
+    # The learned contexts, each backed by at least SUPPORT seeds, decide on identifiers; one that is taken is marked
+    # wherever it stands.
+    taken = (edges.where("known is null").join(confident, "pattern").select("instance", "kind").distinct()
+             .join(scores.where(F.col("score") >= CONFIDENCE), ["instance", "kind"])
+             .groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")))
+    return _marked(scanned, taken)
+
+
+def _marked(scanned: DataFrame, taken: DataFrame) -> DataFrame:
+    """Every mention, outside the base spans, of the identifiers in ``taken`` (instance, kind)."""
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    return (seen.where("kind is null").drop("kind").join(confident, "pattern")
-            .join(scores.where(F.col("score") >= CONFIDENCE), ["instance", "kind"])
-            .groupBy("doc_id", "key", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+    mentioned = scanned.select("doc_id", "key", F.explode("mentions").alias("m")).where("m.kind is null")
+    return (mentioned.select("doc_id", "key", "m.start", "m.end", "m.instance").join(taken, "instance")
             .select("doc_id", "key", "start", rank.alias("rank"), "end", "kind"))
 
 
 def _gathered(found: DataFrame) -> DataFrame:
-    """The discovered spans of each document as one array, bounded by the document."""
+    """The discovered spans of each document as one array, bounded by the document; of those within each other the longest."""
     span = F.struct("start", "rank", "end", "kind")
-    return found.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(span)).alias("more")).toDF("_pii_doc", "_pii_key", "_pii_more")
+    longest = F.expr("filter(_all, x -> not exists(_all, y -> y.start <= x.start and x.end <= y.end and y.end - y.start > x.end - x.start))")
+    return (found.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(span)).alias("_all"))
+            .select(F.col("doc_id").alias("_pii_doc"), F.col("key").alias("_pii_key"), longest.alias("_pii_more")))
 
 
 def _joined(spans: F.Column) -> F.Column:

@@ -94,3 +94,27 @@ def test_redaction(spark):
     n = len(texts)
     assert rows[n]["text"] is None and rows[n + 1]["text"] == "call [PHONE] é [EMAIL]" and rows[n + 2]["text"] == ""
     assert all(rows[i]["text"] == texts[i] for i in range(46, 86))
+
+
+def more_spans(spark, texts):
+    rows = {r["doc_id"]: r for r in find_pii(documents(spark, texts)).collect()}
+    return [[(s["kind"], t[s["start"]:s["end"]]) for s in rows[i]["spans"] if s not in rows[i]["base"]] for i, t in enumerate(texts)]
+
+
+def test_identifiers_of_several_tokens(spark):
+    phones = [f"please reach me under +1 (555) 010-{1000 + i} for news" for i in range(40)]
+    cards = [f"charge my card {'%04d' % 4111} 1111 1111 1111 today please {i}" for i in range(2)]
+    hosts = [f"log in from host 10.0.{i}.7 with care" for i in range(40)]
+    hidden = ["0664 123 456", "(555) 123-4567", "0664 12 34 56 78"]
+    texts = phones + cards + hosts + [f"please reach me under {x} for news" for x in hidden] + ["log in from host fe80::ab:cd with care"]
+    got = more_spans(spark, texts)
+    assert not any(got[:82])
+    assert got[82:] == [[("phone", x)] for x in hidden] + [[("ip", "fe80::ab:cd")]]
+
+
+def test_ends_of_texts_and_all_mentions(spark):
+    seeds = [f"Phone +1 (555) 010-{1000 + i}" for i in range(40)] + [f"+1 (555) 020-{1000 + i} is mine" for i in range(40)]
+    texts = [*seeds, "Phone 0664/123456", "0777 555 444 is mine", "an unknown sentence with 0664/123456 in it", "0664/123456"]
+    got = more_spans(spark, texts)
+    assert not any(got[:80])
+    assert got[80:] == [[("phone", x)] for x in ("0664/123456", "0777 555 444", "0664/123456", "0664/123456")]
