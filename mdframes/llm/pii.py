@@ -31,9 +31,13 @@ LONGEST = 64        # characters of an identifier token, by definition
 CONTEXT = 48        # characters on either side that hold the words of a context
 SUPPORT = 5         # different seeds that a context needs
 CONFIDENCE = 0.8    # share of a context's identifiers that must be of its kind
-ROUNDS = 3
+NONE = "none"       # kind of what is known to be no identifier
 BROADCAST = 200_000     # discovered spans, of a few dozen bytes each, that are sent to every task
 
+# Dates, times of day, amounts with decimals and percentages: whole candidates that are no identifier of any kind.
+OTHER = re.compile(r"(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2(?:[0-9]{4}|[0-9]{2}))(?:[ t][0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)?"
+                   r"|[0-9]{1,2}:[0-9]{2}:[0-9]{2}|[$€£]?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?%?|[$€£]?[0-9]+\.[0-9]{1,2}%?|[$€£][0-9]+|[0-9]+%", re.I)
+
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 MENTION = "struct<start:int,end:int,kind:string,instance:string,patterns:array<string>>"
 _SPAN = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
@@ -142,12 +146,12 @@ def _candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[
 
 
 def mentions(text: str | None) -> tuple[list[tuple], list[tuple]]:
-    """Base spans, and everything the bootstrap learns from: (start, end, kind or None, instance, contexts)."""
+    """Base spans, and everything the bootstrap learns from: (start, end, kind, instance, contexts), of kind None if unseen."""
     spans = base_spans(text)
     if not text:
         return spans, []
     other = sorted({*_candidates(text, spans), *_runs(text, spans)})
-    found = [(a, b, KINDS[k]) for a, k, b in spans] + [(a, b, None) for a, b in other]
+    found = [(a, b, KINDS[k]) for a, k, b in spans] + [(a, b, NONE if OTHER.fullmatch(text, a, b) else None) for a, b in other]
     return spans, [(a, b, kind, text[a:b].lower(), _patterns(text, a, b)) for a, b, kind in found]
 
 
@@ -170,39 +174,34 @@ def scan(docs: DataFrame) -> DataFrame:
 def discover(scanned: DataFrame) -> DataFrame:
     """Spans beyond the base ones: (doc_id, key, start, rank, end, kind).
 
-    Contexts and identifiers form a graph. A context's confidence for a kind is the summed score of its
-    different identifiers over their number plus one; seeds score 1 for their kind. An unseen identifier
-    scores the noisy-or of its confident contexts, and passes that on in the next round. In the end a
-    mention is taken if a confident context holds it and its identifier scores ``CONFIDENCE`` for that
-    context's kind. A context counts only with ``SUPPORT`` different seeds of the kind.
+    Contexts and identifiers form a graph. A context's confidence for a kind is the number of its different known
+    identifiers of that kind over the number of all it holds whose kind is known (dates, times and amounts are known to be
+    none) plus one; unseen ones count on neither side. It needs ``SUPPORT`` identifiers of the kind. An unseen identifier
+    scores the noisy-or of its confident contexts, and is accepted from ``CONFIDENCE`` on, for its best kind. Accepted
+    ones are known in the next round, until a round accepts no more; each is marked at all its mentions.
     """
-    spark = scanned.sparkSession
-    seen = scanned.select("doc_id", "key", F.explode("mentions").alias("m")).select("doc_id", "key", "m.*")
-    seen = staged(seen.withColumn("pattern", F.explode("patterns")).drop("patterns"))
-    seeds = seen.where("kind is not null").select("pattern", "instance", "kind").distinct()
-    good = seeds.groupBy("pattern", "kind").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
-    # Aggregated before the join, whose key is the context alone: a very common context is many identifiers.
-    # An inner join, as the optimizer would move a semi join below the aggregate.
-    edges = seen.groupBy("pattern", "instance").agg(F.max("kind").alias("known"))
-    edges = staged(edges.join(good.select("pattern").distinct(), "pattern"))
-    degree = edges.groupBy("pattern").agg(F.count("*").alias("degree"))
-    fixed = edges.where("known is not null").select("instance", F.col("known").alias("kind")).distinct().withColumn("score", F.lit(1.0))
-    scores, confident = fixed, None
-    for _ in range(ROUNDS):
-        mass = edges.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
-        confident = (mass.join(good, ["pattern", "kind"]).join(degree, "pattern")
-                     .select("pattern", "kind", (F.col("mass") / (F.col("degree") + 1)).alias("confidence"))
+    edges = scanned.select(F.explode("mentions").alias("m")).select("m.instance", "m.kind", F.explode("m.patterns").alias("pattern"))
+    # Aggregated before any join: a very common context is as many rows as it has different identifiers.
+    edges = staged(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
+    fixed = edges.where("kind is not null").select("instance", "kind").distinct()
+    edges = edges.select("pattern", "instance")
+    fixed = staged(fixed)
+    known, taken = fixed, None
+    while True:
+        sides = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("support"))
+        all_known = sides.groupBy("pattern").agg(F.sum("support").alias("all"))
+        confident = (sides.where((F.col("support") >= SUPPORT) & (F.col("kind") != NONE)).join(all_known, "pattern")
+                     .select("pattern", "kind", (F.col("support") / (F.col("all") + 1)).alias("confidence"))
                      .where(F.col("confidence") >= CONFIDENCE))
-        confident = staged(confident)
-        unseen = (edges.where("known is null").join(confident, "pattern").groupBy("instance", "kind")
-                  .agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999999)))))).alias("score")))
-        scores = staged(fixed.unionByName(unseen))
-    # The learned contexts, each backed by at least SUPPORT seeds, decide on identifiers; one that is taken is marked
-    # wherever it stands.
-    taken = (edges.where("known is null").join(confident, "pattern").select("instance", "kind").distinct()
-             .join(scores.where(F.col("score") >= CONFIDENCE), ["instance", "kind"])
-             .groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")))
-    return _marked(scanned, taken)
+        new = (edges.join(confident, "pattern").join(known, "instance", "left_anti").groupBy("instance", "kind")
+               .agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999999)))))).alias("score"))
+               .groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")))
+        new = staged(new)
+        if not new.count():
+            break
+        taken = new if taken is None else taken.unionByName(new)
+        known = fixed.unionByName(taken)
+    return _marked(scanned, new if taken is None else taken)
 
 
 def _marked(scanned: DataFrame, taken: DataFrame) -> DataFrame:

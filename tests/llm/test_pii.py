@@ -118,3 +118,18 @@ def test_ends_of_texts_and_all_mentions(spark):
     got = more_spans(spark, texts)
     assert not any(got[:80])
     assert got[80:] == [[("phone", x)] for x in ("0664/123456", "0777 555 444", "0664/123456", "0664/123456")]
+
+
+def test_discovery_goes_on_from_what_it_found(spark):
+    """Few seeds among many unseen ones; contexts that hold no seed but found identifiers; a context of dates."""
+    seeds = [f"please reach me under +1 (555) 010-{1000 + i} for news" for i in range(6)]
+    chain = ["please reach me under {} for news", "my new mobile is {} since monday", "kindly dial extension {} before noon"]
+    local = [[f"0{600 + k}/{55000 + i}" for i in range(12)] for k in range(3)]
+    found = [(chain[0].format(x), x) for x in local[0]] + [(chain[1].format(x), x) for x in local[0][:8] + local[1]]
+    found += [(chain[2].format(x), x) for x in local[1][:8] + local[2]]
+    dates = [f"it was sent on +1 (555) 030-{1000 + i} as agreed" for i in range(6)] + [f"it was sent on 2020-01-{10 + i} as agreed" for i in range(9)]
+    dates += ["it was sent on 0123/456789 as agreed"]
+    texts = [*seeds, *(t for t, _ in found), *dates]
+    got = more_spans(spark, texts)
+    assert not any(got[:6]) and not any(got[6 + len(found):])
+    assert got[6:6 + len(found)] == [[("phone", x)] for _, x in found]
