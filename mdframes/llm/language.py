@@ -19,6 +19,7 @@ UNKNOWN = "und"
 BUCKETS = 1 << 14
 GRAMS = (2, 3, 4)
 DIM = 16
+TAIL = 3.09             # standard deviations that all but a thousandth of a normal distribution stay within
 
 
 def subwords(text: str) -> np.ndarray:
@@ -38,16 +39,26 @@ class Model:
     bias: np.ndarray
     heat: float             # calibrated temperature
     least: float            # calibrated probability below which a text is rejected
+    known: np.ndarray       # per bucket the logarithm of its share in each language
+    usual: np.ndarray       # per language the mean of that over a text, its variance between texts, and within them
+    far: float              # deviation from the usual beyond which a text is of no learned language
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, calibrated probability, rejected); a text without letters is unknown."""
         if not text or not self.labels or not LETTER.search(text):
             return UNKNOWN, 0.0, True
-        logits = (self.table[subwords(text)].mean(axis=0, dtype=np.float64) + self.bias) / self.heat
+        ids = subwords(text)
+        logits = (self.table[ids].mean(axis=0, dtype=np.float64) + self.bias) / self.heat
         p = np.exp(logits - logits.max())
         p /= p.sum()
         best = int(p.argmax())
-        return self.labels[best], float(p[best]), bool(p[best] < self.least)
+        strange = _deviation(self.known[ids, best].mean(dtype=np.float64), len(ids), self.usual[best])
+        return self.labels[best], float(p[best]), bool(p[best] < self.least or strange > self.far)
+
+
+def _deviation(share: float, subwords: int, usual: np.ndarray) -> float:
+    """How far the mean log share of a text's subwords lies below the usual, in standard deviations for its length."""
+    return float((usual[0] - share) / np.sqrt(usual[1] + usual[2] / subwords + 1e-12))
 
 
 def _sample(docs: DataFrame, learn: Column, per_language: int) -> DataFrame:
@@ -65,20 +76,23 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 500, epochs: int = 6
     """Train on a bounded sample of the rows that ``learn`` admits: at most ``2 * per_language`` a
     language, each reduced in its task to subword counts (at most ``BUCKETS`` numbers, however long the
     text). The only inputs are text and lang. A fifth of the sample is kept from training and sets the
-    temperature (least log loss) and the rejection threshold: the calibrated probability that all but
-    a thousandth of the right predictions reach, at most one half."""
+    temperature (least log loss) and two thresholds that all but a thousandth of the right predictions
+    keep: the calibrated probability, and how much rarer a text's subwords are in its language than is usual there, which
+    tells texts of no learned language however few are learned. Where the kept fifth is too small to show a thousandth, a normal
+    tail stands in. With nothing kept the probability must be one half."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(subwords(t), return_counts=True) for t in batch.column(1).to_pylist()]
-            yield table("lang string, ids binary, weights binary", {
-                "lang": batch.column(0).to_pylist(), "ids": [i.astype("<u2").tobytes() for i, _ in found],
+            yield table("lang string, n long, ids binary, weights binary", {
+                "lang": batch.column(0).to_pylist(), "n": [n.sum() for _, n in found], "ids": [i.astype("<u2").tobytes() for i, _ in found],
                 "weights": [(n / n.sum()).astype("<f4").tobytes() for _, n in found]})
 
-    rows = _sample(docs, learn, per_language).mapInArrow(reduce, "lang string, ids binary, weights binary").toArrow()
+    rows = _sample(docs, learn, per_language).mapInArrow(reduce, "lang string, n long, ids binary, weights binary").toArrow()
     names = rows.column("lang").to_pylist()
     labels = sorted(set(names))
     target = np.array([labels.index(x) for x in names], np.int64)
+    lengths = rows.column("n").to_numpy()
     ids = [np.frombuffer(x, "<u2") for x in rows.column("ids").to_pylist()]
     weights = [np.frombuffer(x, "<f4") for x in rows.column("weights").to_pylist()]
     del rows
@@ -114,8 +128,39 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 500, epochs: int = 6
         if loss < best:
             best, heat = loss, float(t)
             right = p.max(axis=1)[p.argmax(axis=1) == target[hold]]
-            least = min(0.5, float(np.quantile(right, 0.001))) if len(right) else 0.5
-    return Model(labels, scores, bias, heat, least)
+            least = _least(right) if len(right) else 0.5
+    known, usual = _shares(ids, weights, lengths, target, train, classes)
+    right = [i for i, c in zip(hold, z.argmax(axis=1)) if c == target[i]]
+    strange = [_deviation(weights[i] @ known[ids[i], target[i]], lengths[i], usual[target[i]]) for i in right]
+    far = max(np.quantile(strange, 0.999), np.mean(strange) + TAIL * np.std(strange)) if strange else np.inf
+    return Model(labels, scores, bias, heat, least, known, usual, float(far))
+
+
+def _least(right: np.ndarray) -> float:
+    """The probability that all but a thousandth reach, by their quantile or by the normal tail of their log-odds."""
+    odds = np.log(np.clip(right, 1e-12, 1 - 1e-12) / (1 - np.clip(right, 1e-12, 1 - 1e-12)))
+    return float(1 / (1 + np.exp(-min(np.quantile(odds, 0.001), odds.mean() - TAIL * odds.std()))))
+
+
+def _shares(ids: list, weights: list, lengths: np.ndarray, target: np.ndarray, train: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The log share of each bucket in each language, and its usual mean over texts with the variances between and within.
+
+    Each text is judged by the other half of its language's texts, as its own subwords are never unknown to it."""
+    halves = np.full((2, BUCKETS, max(classes, 1)), 0.5, np.float64)
+    for k, i in enumerate(train):
+        halves[k % 2, ids[i], target[i]] += weights[i] * float(lengths[i])
+    log = lambda counts: np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    parts, seen = [log(h) for h in halves], [[] for _ in range(max(classes, 1))]
+    for k, i in enumerate(train):
+        share = parts[1 - k % 2][ids[i], target[i]]
+        mean = float(weights[i] @ share)
+        seen[target[i]].append((mean, float(weights[i] @ (share - mean) ** 2), lengths[i]))
+    usual = np.zeros((max(classes, 1), 3))
+    for c, rows in enumerate(seen):
+        if rows:
+            mean, within, n = np.array(rows, np.float64).T
+            usual[c] = mean.mean(), max(0.0, mean.var() - (within / n).mean()), within.mean()
+    return log(halves.sum(axis=0)), usual
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -35,3 +35,18 @@ def test_rejected_documents_go(spark):
     assert kept.columns == docs.columns
     ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
     assert not ids & {900001, 900002, 900003} and len(ids) >= 0.97 * docs.count()
+
+
+def test_texts_of_no_learned_language_are_rejected(spark):
+    import random
+    random.seed(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    letters = "bcdfghjklmnpqrstvwxzaeiouy"
+    noise = ["".join(random.choices(letters, k=random.randint(2, 9))) for _ in range(4000)]
+    gibberish = documents(spark, [" ".join(noise[i:i + 80]) for i in range(0, 4000, 80)])
+    for learned in (["en"], ["en", "fr"], ["en", "fr", "es"]):
+        model = fit(docs, F.col("lang").isin(learned) & ~held_out())
+        rows = identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(held_out())
+        share = dict(rows.groupBy(F.col("lang").isin(learned)).agg(F.avg(F.col("rejected").cast("int"))).collect())
+        assert share[True] <= 0.03 and share[False] >= 0.9, (learned, share)
+        assert identify(gibberish, model).where("rejected").count() >= 48
