@@ -50,3 +50,8 @@ def test_texts_of_no_learned_language_are_rejected(spark):
         share = dict(rows.groupBy(F.col("lang").isin(learned)).agg(F.avg(F.col("rejected").cast("int"))).collect())
         assert share[True] <= 0.03 and share[False] >= 0.9, (learned, share)
         assert identify(gibberish, model).where("rejected").count() >= 48
+
+
+def test_a_thousand_texts_of_a_language_are_learned_from():
+    import inspect
+    assert all(inspect.signature(f).parameters["per_language"].default == 1000 for f in (fit, language_id, keep_identified))
