@@ -33,6 +33,20 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``staged``, compressed tightly, and the shuffle files of the job are deleted once its table is written."""
+    spark = df.sparkSession
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    folder = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+    spark.conf.set(name, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

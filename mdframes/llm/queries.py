@@ -15,6 +15,7 @@ from mdframes.llm.packing import pack_documents
 from mdframes.llm.pieces import piece_digest
 from mdframes.llm.pii import pii_digest
 from mdframes.llm.quality import quality
+from mdframes.llm.recompression import repeats_digest
 from mdframes.llm.sharding import shard
 from mdframes.llm.simhash import simhash_groups
 from mdframes.llm.tiles import near_vectors
@@ -86,6 +87,11 @@ def op10_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(_table(spark, sf_dir, "documents"))
+
+
 USABLE = """
     SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
