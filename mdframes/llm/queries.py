@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdframes.llm.common import crc
+from mdframes.llm.divergence import divergence
 from mdframes.llm.language import language_id
 from mdframes.llm.masked_lm import pseudo_likelihood
 from mdframes.llm.packing import pack_documents
@@ -16,6 +17,7 @@ from mdframes.llm.pieces import piece_digest
 from mdframes.llm.pii import pii_digest
 from mdframes.llm.quality import quality
 from mdframes.llm.recompression import repeats_digest
+from mdframes.llm.repair import repair_digest
 from mdframes.llm.sharding import shard
 from mdframes.llm.simhash import simhash_groups
 from mdframes.llm.tiles import near_vectors
@@ -92,6 +94,16 @@ def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_four_russians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digest(_table(spark, sf_dir, "conversations"))
+
+
 USABLE = """
     SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
@@ -112,3 +124,30 @@ least AS (SELECT a, MIN(b) AS component_id FROM reach GROUP BY a),
 degree AS (SELECT a, COUNT(*) AS n_links FROM links GROUP BY a)
 SELECT e.vec_id, COALESCE(d.n_links, 0) AS n_links, least.component_id, e.vec_id = least.component_id AS kept
 FROM embeddings e JOIN least ON least.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id"""
+
+
+ORACLES["op12_source_divergence"] = r"""
+WITH d AS (SELECT ROW_NUMBER() OVER () AS rid, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
+        translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT rid, lang, source, UNNEST(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT rid, lang, source, term, COUNT(*) AS n FROM w GROUP BY ALL),
+k AS (SELECT lang, term, SUM(n)::HUGEINT AS n FROM c GROUP BY lang, term HAVING COUNT(*) >= 3),
+v AS (SELECT lang, COUNT(*) AS v, SUM(n)::HUGEINT AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT c.lang, c.source, c.term, SUM(c.n)::HUGEINT AS n FROM c JOIN k ON k.lang = c.lang AND k.term = c.term GROUP BY ALL),
+s AS (SELECT g.lang, g.source, COALESCE((SELECT SUM(n) FROM o WHERE o.lang = g.lang AND o.source = g.source), 0)::HUGEINT AS n FROM g),
+p AS (SELECT s.lang, s.source, k.term, COALESCE(o.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (COALESCE(o.n, 0) + 1)) // (s.n + v.v) AS p,
+        1 + (1000000000::HUGEINT * (k.n + 1)) // (v.n + v.v) AS q
+    FROM s JOIN v ON v.lang = s.lang JOIN k ON k.lang = s.lang
+    LEFT JOIN o ON o.lang = s.lang AND o.source = s.source AND o.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, SUM((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, COALESCE(f.value, 0)::BIGINT AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, (ROW_NUMBER() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM parts)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200"""
