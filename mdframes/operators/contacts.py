@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mdframes.functions import scalars as X
 from mdframes.operators.dynamics import FRAMES_PER_BUCKET, lag_products
+from mdframes.operators.scan import remaining, running, running_product
 
 PAIR = ["traj", "i", "mol_id"]
 
@@ -81,17 +82,19 @@ def _durations(ev: DataFrame) -> DataFrame:
     return ev.groupBy("traj", F.col("n_observed_frames").alias("len")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def survival_continuous(ev: DataFrame, grid: DataFrame) -> DataFrame:
+def survival_continuous(ev: DataFrame, grid: DataFrame, bucket: int = FRAMES_PER_BUCKET) -> DataFrame:
     """sum(max(L - lag, 0)) / sum(L) over events of length L; NULL without events.
 
-    Works on the histogram of lengths, so the cost is lags x distinct lengths.
+    With S0 and S1 the number and the summed length of events longer than the lag, the sum is S1 - lag S0: one backward scan
+    over lags and distinct lengths, in buckets.
     """
     hist = _durations(ev)
     total = hist.groupBy("traj").agg(F.sum(F.col("cnt") * F.col("len")).alias("_total"))
-    reach = hist.withColumn("lag", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)))
-    part = reach.groupBy("traj", "lag").agg(F.sum(F.col("cnt") * (F.col("len") - F.col("lag"))).alias("_s"))
-    out = grid.join(total, "traj", "left").join(part, ["traj", "lag"], "left")
-    value = F.when(F.col("_total") > 0, F.coalesce(F.col("_s"), F.lit(0)) / F.col("_total"))
+    points = (grid.select("traj", "lag", F.lit(True).alias("_asked"))
+              .join(hist.withColumnRenamed("len", "lag"), ["traj", "lag"], "full").withColumn("_b", F.floor(F.col("lag") / bucket)))
+    n = F.coalesce("cnt", F.lit(0))
+    out = remaining(points, ["traj"], "_b", ["lag"], {"_s0": n, "_s1": n * F.col("lag")}).where("_asked").join(total, "traj", "left")
+    value = F.when(F.col("_total") > 0, (F.col("_s1") - F.col("lag") * F.col("_s0")) / F.col("_total"))
     return out.select("traj", "lag", value.alias("survival"))
 
 
@@ -111,20 +114,22 @@ def survival_intermittent(active: DataFrame, grid: DataFrame) -> DataFrame:
     return out.select("traj", "lag", value.alias("survival"))
 
 
-def kaplan_meier(ev: DataFrame, grid: DataFrame) -> DataFrame:
-    """Kaplan-Meier survival: left-censored events dropped, right-censored ones only at risk."""
+def kaplan_meier(ev: DataFrame, grid: DataFrame, bucket: int = FRAMES_PER_BUCKET) -> DataFrame:
+    """Kaplan-Meier survival: left-censored events dropped, right-censored ones only at risk.
+
+    The number at risk is a running sum and the curve a running product, both over buckets of lags.
+    """
     usable = ev.where(~F.col("left_censored"))
     hist = usable.groupBy("traj", F.col("n_observed_frames").alias("lag")).agg(
         F.count(F.lit(1)).alias("_ended"), F.count_if(~F.col("right_censored")).alias("_deaths"))
     total = usable.groupBy("traj").agg(F.count(F.lit(1)).alias("_total"))
-    out = grid.join(total, "traj", "left").join(hist, ["traj", "lag"], "left")
-    w = Window.partitionBy("traj").orderBy("lag")
-    gone = F.coalesce(F.sum("_ended").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = out.withColumn("_risk", F.col("_total") - gone)
-    step = F.when(F.col("_risk") > 0, F.lit(1.0) - F.coalesce(F.col("_deaths"), F.lit(0)) / F.col("_risk")).otherwise(1.0)
-    out = out.withColumn("_step", step)
-    value = F.product("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return out.select("traj", "lag", F.when(F.col("_total") > 0, value).alias("survival"))
+    out = grid.select("traj", "lag").join(total, "traj", "left").join(hist, ["traj", "lag"], "left")
+    out = out.fillna(0, ["_ended", "_deaths"]).withColumn("_b", F.floor(F.col("lag") / bucket))
+    out = running(out, ["traj"], "_b", ["lag"], {"_gone": F.col("_ended")})
+    risk = F.col("_total") - F.col("_gone") + F.col("_ended")
+    out = out.withColumn("_step", F.when(risk > 0, F.lit(1.0) - F.col("_deaths") / risk).otherwise(1.0))
+    out = running_product(out, ["traj"], "_b", ["lag"], "_left", F.col("_step"))
+    return out.select("traj", "lag", F.when(F.col("_total") > 0, F.col("_left")).alias("survival"))
 
 
 def coordination(active: DataFrame, cations: DataFrame, name: str = "n") -> DataFrame:

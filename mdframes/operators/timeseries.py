@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mdframes.functions import cell as C
 from mdframes.functions import scalars as X
-from mdframes.operators.scan import previous, running, with_carry
+from mdframes.operators.scan import fold, previous, running, with_carry
 
 RUN = ["series", "run_index"]
 MEASURES = ["potential_kcal_mol", "kinetic_kcal_mol", "total_energy_kcal_mol", "temperature_K",
@@ -108,27 +111,76 @@ def time_step(df: DataFrame, keys: Sequence[str], time: str = "time_ps", fallbac
             .agg(F.coalesce(F.expr("percentile(_d, 0.5, _k)"), F.lit(float(fallback))).alias("dt")))
 
 
+RUNS_PER_BUCKET = 1024
+
+
+class _Clock:
+    """How the last time of a series moves over some runs, for any last time T before them: a constant below the first
+    threshold, further constants below later ones, and T + shift from the last threshold on."""
+
+    def __init__(self):
+        self.cuts, self.values = np.array([-np.inf]), np.zeros(0)
+        self.shift = 0.0
+
+    def run(self, low: float, high: float, step: float) -> None:
+        """Add a run behind: it starts at T + step where it would not start later than T."""
+        least, shift = low - 1.0e-9, step + (high - low)
+        self.values = np.where(self.values >= least, self.values + shift, high)
+        at = least - self.shift
+        if at > self.cuts[-1]:                      # part of the shifted range becomes a constant
+            self.cuts, self.values = np.append(self.cuts, at), np.append(self.values, high)
+        self.shift += shift
+        keep = np.append(np.ones(min(1, len(self.values)), bool), self.values[1:] != self.values[:-1])
+        if not keep.all():                          # neighbours that became equal are one piece
+            self.cuts, self.values = np.append(self.cuts[:-1][keep], self.cuts[-1]), self.values[keep]
+
+
+def _last_time(cuts: list[float], values: list[float], shift: float, last: float) -> float:
+    k = bisect.bisect_right(cuts, last) - 1
+    return last + shift if k == len(values) else values[k]
+
+
+def _clocks(runs: pa.Table) -> pa.Table:
+    clock = _Clock()
+    for r in runs.sort_by("run").select(["lo", "hi", "dt"]).to_pylist():
+        clock.run(r["lo"], r["hi"], r["dt"])
+    return pa.table({"series": runs["series"][:1], "part": runs["part"][:1], "cuts": [clock.cuts.tolist()],
+                     "vals": [clock.values.tolist()], "shift": [clock.shift]})
+
+
+def _offsets(runs: pa.Table) -> pa.Table:
+    runs = runs.sort_by("run")
+    last, out = runs["last"][0].as_py(), []
+    for r in runs.select(["lo", "hi", "dt"]).to_pylist():
+        off = last + r["dt"] - r["lo"] if r["lo"] <= last + 1.0e-9 else 0.0
+        last = r["hi"] + off
+        out.append(off)
+    return pa.table({"series": runs["series"], "run": runs["run"], "off": out})
+
+
 def stitch(df: DataFrame, series: str = "series", run: str = "run_index", time: str = "time_ps",
-           fallback: float = 50.0, join_time: bool = True) -> DataFrame:
+           fallback: float = 50.0, join_time: bool = True, bucket: int = RUNS_PER_BUCKET) -> DataFrame:
     """Shift continuation runs so that time keeps growing.
 
     A run that would start at or before the end of the previous one begins one of its own time
-    steps later. Adds time_ps_local and time_offset_ps. The fold runs over one entry per run.
+    steps later. Adds time_ps_local and time_offset_ps. What a bucket of runs does to any earlier end is a piecewise map;
+    the maps are followed bucket by bucket, and the runs of each bucket are then placed by themselves.
     """
     if not join_time:
         return df.withColumns({"time_ps_local": F.col(time), "time_offset_ps": F.lit(0.0)})
     spans = (df.groupBy(series, run).agg(F.min(time).alias("lo"), F.max(time).alias("hi"))
-             .join(time_step(df, [series, run], time, fallback), [series, run]))
-    folded = spans.groupBy(series).agg(F.array_sort(F.collect_list(
-        F.struct(F.col(run).alias("r"), "lo", "hi", "dt"))).alias("runs"))
-    folded = folded.withColumn("o", F.expr("""aggregate(runs,
-        cast(array() as array<struct<r:int,off:double,top:double>>),
-        (acc, x) -> concat(acc, array(if(size(acc) > 0 and x.lo <= element_at(acc, -1).top + 1e-9,
-            named_struct('r', x.r, 'off', element_at(acc, -1).top + x.dt - x.lo,
-                         'top', x.hi + (element_at(acc, -1).top + x.dt - x.lo)),
-            named_struct('r', x.r, 'off', 0D, 'top', x.hi)))))"""))
-    offsets = folded.select(series, F.explode("o").alias("e")).select(
-        series, F.col("e.r").alias(run), F.col("e.off").alias("time_offset_ps"))
+             .join(time_step(df, [series, run], time, fallback), [series, run]).where("lo IS NOT NULL")
+             .select(F.col(series).alias("series"), F.col(run).alias("run"), F.floor(F.col(run) / bucket).alias("part"), "lo", "hi", "dt"))
+    kinds = {c: spans.schema[c].dataType.simpleString() for c in ("series", "run")}
+    clocks = spans.groupBy("series", "part").applyInArrow(
+        _clocks, f"series {kinds['series']}, part bigint, cuts array<double>, vals array<double>, shift double")
+
+    def follow(r: dict, last: float) -> tuple[dict, float]:
+        return {"part": r["part"], "last": last}, _last_time(r["cuts"], r["vals"], r["shift"], last)
+
+    ends = fold(clocks, ["series"], ["part"], float("-inf"), follow, "part bigint, last double")
+    offsets = (spans.join(ends, ["series", "part"]).groupBy("series", "part")
+               .applyInArrow(_offsets, f"series {kinds['series']}, run {kinds['run']}, off double").toDF(series, run, "time_offset_ps"))
     return df.join(offsets, [series, run]).withColumns({
         "time_ps_local": F.col(time), time: F.col(time) + F.col("time_offset_ps")})
 

@@ -6,7 +6,7 @@ such as a reference frame or a block number, that are analysed independently.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mdframes import schema as S
 from mdframes.functions import scalars as X
-from mdframes.operators.dynamics import lag_products
+from mdframes.operators.dynamics import FRAMES_PER_BUCKET, lag_products
 from mdframes.schema import XYZ
 
 Species = Sequence[tuple[str, float]]
@@ -122,13 +122,51 @@ def fit_slope(curve: DataFrame, keys: Sequence[str], start: float | Column, end:
                       F.when(ok & (F.col("_lo") < F.col("_hi")), F.col("r2")).alias("r2"))
 
 
-def expanding_slope(curve: DataFrame, keys: Sequence[str], start: float, min_points: int = 8,
-                    time: str = "time", value: str = "value") -> Column:
-    """Slope over all points from ``start`` up to each point, as a window Column."""
-    w = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    y = F.when((F.col(time) >= start) & X.finite(F.col(value)).isNotNull(), F.col(value))
-    t = F.when(y.isNotNull(), F.col(time))
-    return F.when((F.count(y).over(w) >= max(min_points, 2)) & y.isNotNull(), F.regr_slope(y, t).over(w))
+def expanding_slope(curve: DataFrame, keys: Sequence[str], start: float, values: Mapping[str, str], min_points: int = 8,
+                    time: str = "time", order: str = "lag", bucket: int = FRAMES_PER_BUCKET) -> DataFrame:
+    """Add the slope over all points from ``start`` up to each point; ``values`` maps new columns to the columns fitted.
+
+    Within a bucket of ``order`` moments about the bucket's means are taken; those of earlier buckets are merged from their
+    counts, means and centred moments, with means counted from the first bucket's, so that neither a long curve nor a large offset
+    costs digits or makes one task.
+    """
+    keys = list(keys)
+    pb = [*keys, "_b"]
+    df = curve.withColumn("_b", F.floor(F.col(order) / bucket))
+    here = Window.partitionBy(*pb).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    all_so_far = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    moments = {"n": lambda y, t: F.count(y), "t": lambda y, t: F.avg(t), "y": lambda y, t: F.avg(y),
+               "tt": lambda y, t: F.regr_sxx(y, t), "ty": lambda y, t: F.regr_sxy(y, t)}
+    for k, (name, value) in enumerate(values.items()):
+        y = F.when((F.col(time) >= start) & X.finite(F.col(value)).isNotNull(), F.col(value))
+        t = F.when(y.isNotNull(), F.col(time))
+        df = df.withColumns({f"_{m}{k}": f(y, t).over(here) for m, f in moments.items()}).withColumn(f"_y_{k}", y)
+        ends = curve.withColumn("_b", F.floor(F.col(order) / bucket)).groupBy(*pb).agg(*[f(y, t).alias(m) for m, f in moments.items()])
+        first = {m: F.first(m, ignorenulls=True).over(all_so_far) for m in ("t", "y")}
+        ends = ends.withColumns({f"{m}0": c for m, c in first.items()}).withColumns({
+            "dt": F.coalesce(F.col("t") - F.col("t0"), F.lit(0.0)), "dy": F.coalesce(F.col("y") - F.col("y0"), F.lit(0.0))})
+        parts = {"n": F.col("n"), "t": F.col("n") * F.col("dt"), "y": F.col("n") * F.col("dy"),
+                 "tt": F.coalesce("tt", F.lit(0.0)) + F.col("n") * F.col("dt") * F.col("dt"),
+                 "ty": F.coalesce("ty", F.lit(0.0)) + F.col("n") * F.col("dt") * F.col("dy")}
+        ends = ends.withColumns({f"s{m}": F.coalesce(F.sum(c).over(before), F.lit(0.0)) for m, c in parts.items()})
+        ends = ends.select(*pb, *[F.col(c).alias(f"_{c}_{k}") for c in ("t0", "y0", "sn", "st", "sy", "stt", "sty")])
+        df = df.join(ends, pb)
+    for k, name in enumerate(values):
+        c = lambda m, k=k: F.col(f"_{m}_{k}")
+        own = lambda m, k=k: F.col(f"_{m}{k}")
+        some, both = c("sn") > 0, (c("sn") > 0) & (own("n") > 0)
+        mt, my = c("st") / c("sn"), c("sy") / c("sn")                   # means of the earlier buckets, from the first one's
+        weight = c("sn") * own("n") / (c("sn") + own("n"))
+        gap_t, gap_y = own("t") - c("t0") - mt, own("y") - c("y0") - my
+        tt = (F.when(some, c("stt") - c("st") * mt).otherwise(0.0) + F.coalesce(own("tt"), F.lit(0.0))
+              + F.when(both, weight * gap_t * gap_t).otherwise(0.0))
+        ty = (F.when(some, c("sty") - c("st") * my).otherwise(0.0) + F.coalesce(own("ty"), F.lit(0.0))
+              + F.when(both, weight * gap_t * gap_y).otherwise(0.0))
+        enough = (c("sn") + own("n") >= max(min_points, 2)) & c("y").isNotNull() & (tt > 0)
+        df = df.withColumn(name, F.when(enough, ty / tt))
+    return df.drop("_b", *[f"_{m}{k}" for k in range(len(values)) for m in moments],
+                   *[f"_{m}_{k}" for k in range(len(values)) for m in ("y", "t0", "y0", "sn", "st", "sy", "stt", "sty")])
 
 
 def sigma_table(curves: DataFrame, system: DataFrame, start: float, end: float,
@@ -158,8 +196,7 @@ def sigma_check(table: DataFrame, keys: Sequence[str] = ("traj",)) -> DataFrame:
 def running_sigma(curves: DataFrame, system: DataFrame, start: float, min_points: int = 8,
                   keys: Sequence[str] = ("traj",), dimension: int = 3) -> DataFrame:
     """Conductivity (mS/cm) of each term as the fit window grows."""
-    df = curves.withColumn("slope", expanding_slope(curves, [*keys, "term"], start, min_points))
-    df = df.join(system, "traj")
+    df = expanding_slope(curves, [*keys, "term"], start, {"slope": "value"}, min_points).join(system, "traj")
     sigma = X.slope_to_sigma(F.col("slope"), F.col("za"), F.col("zb"), F.col("volume_A3"),
                              F.col("temperature_K"), dimension) * F.col("mult") * 10.0
     return df.select(*keys, "term", "lag", "time", "value", sigma.alias("sigma_mS_cm"))
@@ -196,8 +233,8 @@ def transference_fit(curves: DataFrame, keys: Sequence[str], start: float, end:
 def transference_running(curves: DataFrame, keys: Sequence[str], start: float, min_points: int = 8,
                          zplus: float = 1.0, zminus: float = -1.0) -> DataFrame:
     """Transference numbers as the fit window grows: keys, lag, time, slopes and numbers."""
-    slope = expanding_slope(curves, [*keys, "name"], start, min_points)
-    wide = _spread(curves.withColumn("slope", slope), [*keys, "lag", "time"], "slope")
+    df = expanding_slope(curves, [*keys, "name"], start, {"slope": "value"}, min_points)
+    wide = _spread(df, [*keys, "lag", "time"], "slope")
     return wide.withColumns(X.transference(*[F.col(n) for n in PAIR], zplus, zminus))
 
 
@@ -359,9 +396,7 @@ def solvent_diffusion(curves: DataFrame, keys: Sequence[str], start: float, end:
 def solvent_running(curves: DataFrame, keys: Sequence[str], start: float, min_points: int = 8,
                     dimension: int = 3) -> DataFrame:
     """Running diffusion estimates of the self and N-scaled mean-position curves."""
-    out = curves.withColumns({
-        "s": expanding_slope(curves, keys, start, min_points, value="self_msd"),
-        "c": expanding_slope(curves, keys, start, min_points, value="n_com_msd")})
+    out = expanding_slope(curves, keys, start, {"s": "self_msd", "c": "n_com_msd"}, min_points)
     return out.select(*keys, "lag", "time",
                       X.slope_to_diffusion_cm2_s(F.col("s"), dimension).alias("D_self_cm2_per_s"),
                       X.slope_to_diffusion_cm2_s(F.col("c"), dimension).alias("D_n_com_cm2_per_s"))

@@ -107,3 +107,33 @@ def test_block_error_and_transference(spark):
     zero = X.transference(*[F.lit(0.0)] * 5)
     assert all(v is None for k, v in spark.range(1).select(*[c.alias(k) for k, c in zero.items()]).first().asDict().items()
                if k != "sigma_reduced")
+
+
+@pytest.mark.parametrize("bucket", [1, 5, 64, 4096])
+def test_expanding_slope_keeps_its_digits(spark, bucket):
+    """Against centred sums of each prefix, at an offset of a million, with gaps and points before the start."""
+    rng = np.random.default_rng(8)
+    n = 300
+    t = 0.2 * np.arange(n)
+    y = {"v": 1e6 + 3.0 * t + rng.normal(0, 0.01, n), "w": 1e6 - t ** 2}
+    rows = [("a", k, float(t[k]), float(y["v"][k]) if k % 7 else None, float(y["w"][k])) for k in range(n)]
+    df = spark.createDataFrame(rows, "traj string, lag bigint, time double, v double, w double")
+    out = TR.expanding_slope(df, ["traj"], 5.0, {"sv": "v", "sw": "w"}, 8, bucket=bucket).orderBy("lag").collect()
+    assert set(out[0].asDict()) == {"traj", "lag", "time", "v", "w", "sv", "sw"}
+    for name, value in (("sv", "v"), ("sw", "w")):
+        use = np.array([r[value] is not None and r["time"] >= 5.0 for r in out])
+        for k in range(0, n, 3):
+            at = np.flatnonzero(use[:k + 1])
+            if len(at) < 8 or not use[k]:
+                assert out[k][name] is None
+                continue
+            a, b = t[at] - t[at].mean(), y[value][at] - y[value][at].mean()
+            assert out[k][name] == pytest.approx((a * b).sum() / (a * a).sum(), rel=1e-7)
+
+
+def test_expanding_slope_has_no_window_over_a_curve(spark):
+    df = spark.range(20_000).selectExpr("'a' AS traj", "id AS lag", "double(id) AS time", "2.0 * id AS value")
+    out = TR.expanding_slope(df, ["traj"], 1.0, {"slope": "value"}, bucket=512)
+    assert out.where("slope IS NOT NULL AND abs(slope - 2.0) > 1e-9").count() == 0 and out.where("slope IS NULL").count() == 8
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_b" in x for x in plan.splitlines() if "Window" in x)

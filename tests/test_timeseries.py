@@ -71,3 +71,40 @@ def test_site_rules(spark):
     assert [r[0] for r in t.select(T.temperature_from_name(F.col("p"))).collect()] == [400.0, 300.0, 310.0, None]
     with pytest.raises(Exception, match="no temperature"):
         t.select(T.resolve_temperature(F.col("p"))["temperature_K"]).collect()
+
+
+def plain_offsets(runs):
+    last, out = None, []
+    for lo, hi, dt in runs:
+        off = last + dt - lo if last is not None and lo <= last + 1e-9 else 0.0
+        out.append(off)
+        last = hi + off
+    return out
+
+
+@pytest.mark.parametrize("bucket", [1, 3, 1024])
+def test_stitch_over_buckets(spark, bucket):
+    """Runs that continue, start anew, leave gaps or lie behind, cut into buckets anywhere."""
+    rng = random.Random(5)
+    rows, want = [], {}
+    for s in "ab":
+        clock, runs = 0.0, []
+        for k in range(60):
+            step, n = rng.choice([1.0, 2.5, 10.0]), rng.randint(2, 5)
+            lo = rng.choice([0.0, step, clock + rng.choice([-step / 2, 0.0, 1e-10, step, 50.0])])
+            times = [lo + step * i for i in range(n)]
+            runs.append((times[0], times[-1], step))
+            rows += [(s, k, t) for t in times]
+            clock += step * n if rng.random() < 0.7 else 0.0
+        want.update({(s, k): off for k, off in enumerate(plain_offsets(runs))})
+    df = spark.createDataFrame(rows, "series string, run_index int, time_ps double")
+    got = {(r["series"], r["run_index"]): r["time_offset_ps"] for r in TS.stitch(df, bucket=bucket).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-7) for k in want)
+
+
+def test_stitch_of_fifty_thousand_runs(spark):
+    """Each run starts at 0 again; the offsets grow by its length and one step."""
+    df = spark.range(100_000).selectExpr("'s' AS series", "int(id div 2) AS run_index", "double(id % 2) AS time_ps")
+    out = TS.stitch(df)
+    assert out.where("time_offset_ps <> 2.0 * run_index").count() == 0 and out.count() == 100_000
+    assert out.agg(F.max("time_ps")).first()[0] == 99_999.0
