@@ -185,7 +185,7 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                          "at": np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])})
 
 
-WINDOWS = "hi long, lo long, row long, rank long, at int, asks boolean"
+WINDOWS = "hi long, lo int, row long, rank long, at int, asks boolean"
 
 
 def _windows(length: int):
@@ -209,7 +209,7 @@ def _windows(length: int):
                 at = np.flatnonzero(open_)
                 words = word_names(text)
                 hi, lo = sequence_names(words, at, at + length), sequence_names(mixed(words + U(1)), at, at + length, 1)
-                yield table(WINDOWS, {"hi": hi.view(np.int64), "lo": lo.view(np.int64), "row": np.full(len(at), row),
+                yield table(WINDOWS, {"hi": hi.view(np.int64), "lo": (lo >> U(32)).astype(np.uint32).view(np.int32), "row": np.full(len(at), row),
                                       "rank": np.full(len(at), rank), "at": at.astype(np.int32), "asks": asks[at]})
     return step
 
