@@ -9,7 +9,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mdframes import views as V
@@ -932,9 +932,8 @@ def ingest_pdb_atoms(spark, sf):
     return a.drop("serial")
 
 
-@query
-def ingest_xyz(spark, sf):
-    """Positions written as multi-frame XYZ archives and read back."""
+def _archives(spark, sf, name, boxed=None):
+    """Positions written as multi-frame XYZ archives; ``boxed`` tells which frames have a cell line."""
     df = _chunked(spark, sf)
     atom = df.select("traj", "chunk", "frame", F.lit(2).alias("k"), "atom_id", F.format_string(
         "%6d %-3s %12.6f %12.6f %12.6f %5d", F.col("atom_id") + 1, "name", "x", "y", "z", "atom_type").alias("line"))
@@ -943,13 +942,42 @@ def ingest_xyz(spark, sf):
                     F.format_string("%6d frame of %s", "n", "traj").alias("line"))
     box = n.select("traj", "chunk", "frame", F.lit(1).alias("k"), F.lit(0).cast("long").alias("atom_id"),
                    F.lit("  20.000000 20.000000 20.000000 90.0 90.0 90.0").alias("line"))
-    folder = work_folder(spark, "xyz")
-    _write_lines(atom.unionByName(head).unionByName(box), ["traj", "chunk"], ["frame", "k", "atom_id"], folder)
-    t = sources_xyz.read_xyz(spark, folder, traj=F.concat_ws("/", _tag("traj"), _tag("chunk")))
+    folder = work_folder(spark, name)
+    _write_lines(atom.unionByName(head).unionByName(box if boxed is None else box.where(boxed)), ["traj", "chunk"], ["frame", "k", "atom_id"], folder)
+    return folder
+
+
+@query
+def ingest_xyz(spark, sf):
+    """Positions written as multi-frame XYZ archives and read back."""
+    t = sources_xyz.read_xyz(spark, _archives(spark, sf, "xyz"), traj=F.concat_ws("/", _tag("traj"), _tag("chunk")))
     out = t.positions.join(t.frames.select("traj", "frame", "n_atoms", "a", "title"), ["traj", "frame"])
     return _unchunk(out)
 
 
+@query
+def ingest_xyz_mixed(spark, sf):
+    """Archives in which two frames of five have no cell line, their frames found over many buckets of lines."""
+    folder = _archives(spark, sf, "mixed", F.col("frame") % 5 < 3)
+    t = sources_xyz.read_xyz(spark, folder, traj=F.concat_ws("/", _tag("traj"), _tag("chunk")), width=64)
+    out = t.positions.join(t.frames.select("traj", "frame", "n_atoms", "a", "title"), ["traj", "frame"])
+    return _unchunk(out)
+
+
+@query
+def snapshot_cells(spark, sf):
+    """Numbered snapshots of every run as lines of text, some without a cell, of which the scan looks at the second line."""
+    lines = F.array(F.lit("3 water"), F.coalesce(F.format_string("%.6f %.6f %.6f 90.0 90.0 90.0", "a_A", "b_A", "c_A"), F.lit("  1 O 0.0 0.0 0.0 1")),
+                    F.lit("  2 O 20.0 20.0 20.0 90"))
+    s = shared(spark, sf, "snapshots").withColumn("lines", F.when(F.col("a_A").isNull(), F.transform(lines, lambda x: F.regexp_replace(x, "^null.*", "  1 O 0.0 0.0 0.0 1")))
+                                                  .otherwise(lines))
+    read = s.select(F.concat_ws("/", "series", "run_index", F.format_string("snap.%03d", "o_orderkey")).alias("file"), F.lit(0).cast("long").alias("block"),
+                    F.posexplode("lines").alias("seq", "line"))
+    cells = sources_xyz.cells_of(read.withColumn("seq", F.col("seq").cast("long")), 50.0)
+    return rounded(cells.withColumns({"series": F.split("file", "/")[0], "run_index": F.split("file", "/")[1].cast("int")})
+                   .select("series", "run_index", "frame", "time_ps", *sources_xyz.CELL))
+
+
 @once_per_app
 def _log_folder(spark, sf):
     log = shared(spark, sf, "logs").withColumn("dir", F.when(F.col("run_index") == 1, F.col("series")).otherwise(

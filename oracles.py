@@ -619,6 +619,10 @@ O["ingest_pdb_atoms"] = W(POS, ATOMS) + """SELECT c.chunk, traj, ROW_NUMBER() OV
   JOIN (SELECT DISTINCT traj, CAST(frame//25 AS INT) AS chunk FROM pos) c USING (traj)"""
 O["ingest_xyz"] = W(POS) + """SELECT traj, frame, atom_id+1 AS atom_id, x, y, z, COUNT(*) OVER (PARTITION BY traj, frame) AS n_atoms, 20.0::DOUBLE AS a,
   'frame of '||traj AS title FROM pos"""
+O["ingest_xyz_mixed"] = W(POS) + """SELECT traj, frame, atom_id+1 AS atom_id, x, y, z, COUNT(*) OVER (PARTITION BY traj, frame) AS n_atoms,
+  CASE WHEN frame%5<3 THEN 20.0::DOUBLE END AS a, 'frame of '||traj AS title FROM pos"""
+O["snapshot_cells"] = W(RUNS) + """SELECT series, run_index, o_orderkey AS frame, o_orderkey*50.0::DOUBLE AS time_ps, ROUND(a_A,6) AS a, b_A AS b, c_A AS c,
+  90.0::DOUBLE AS alpha, 90.0::DOUBLE AS beta, 90.0::DOUBLE AS gamma FROM snaps WHERE a_A IS NOT NULL"""
 O["ingest_log"] = W(RUNS) + """SELECT series, run_index, time_ps, ROUND(potential_kcal_mol,4) AS potential_kcal_mol, ROUND(kinetic_kcal_mol,4) AS kinetic_kcal_mol,
   20.0::DOUBLE AS a_A, 90.0::DOUBLE AS gamma_deg FROM logs"""
 O["kinetic_log"] = W(RUNS) + """SELECT series, run_index, time_ps, ROUND(2*kinetic_kcal_mol/(1197*0.00198720425864083::DOUBLE),6) AS temperature_K,

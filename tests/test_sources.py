@@ -1,4 +1,5 @@
 import gzip
+import random
 
 import pytest
 
@@ -89,6 +90,48 @@ def test_xyz_errors(spark, tmp_path, body, message):
         xyz.read_xyz(spark, str(tmp_path)).frames.collect()
 
 
+def mixed(n, atoms=3):
+    """Frames with and without a cell line; the atom named like a number looks like a cell line, the last id like a head."""
+    rng, out = random.Random(n), []
+    boxed = [rng.random() < 0.5 for _ in range(n)]
+    for k, b in enumerate(boxed):
+        out.append(f"{atoms} title {k}\n" + (" 20.0 21.0 2.2D1 90.0 90.0 90.0\n" if b else "")
+                   + "".join(f" {i} {i + 6} {k + 0.5} 0.25 {i}.0 {i}\n" if i % 2 else f" {i} O {k + 0.5} 0.25 {i}.0 {i}\n" for i in range(1, atoms + 1)))
+    return "".join(out), boxed
+
+
+@pytest.mark.parametrize("width,block", [(1, "128m"), (7, "500b"), (1 << 16, "300b"), (50, "1k")])
+def test_xyz_with_cells_in_some_frames(spark, tmp_path, width, block):
+    """Frames are found whatever buckets and file blocks they are cut into."""
+    names = {"a.arc": (40, 3), "b.arc": (25, 1), "c.arc": (30, 8)}
+    want = {}
+    for name, (n, atoms) in names.items():
+        body, boxed = mixed(n, atoms)
+        # A numeric atom behind a head without a cell line would be taken for one: such a frame begins with a named atom.
+        body = body.replace(" 1 7 ", " 1 O ")
+        (tmp_path / name).write_text(body)
+        want.update({(name[0], k): (22.0 if b else None, f"title {k}") for k, b in enumerate(boxed)})
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        t = xyz.read_xyz(spark, str(tmp_path), width=width)
+        frames = {(r["traj"], r["frame"]): (r["c"], r["title"]) for r in t.frames.collect()}
+        places = sorted((r["traj"], r["frame"], r["atom_id"], r["x"], r["z"]) for r in t.positions.collect())
+        rows = xyz.topology_rows(text.read_lines(spark, str(tmp_path)), width=width).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert frames == want
+    assert places == sorted((f, k, i, k + 0.5, float(i)) for f, k in want for i in range(1, names[f + ".arc"][1] + 1)) and rows == len(places)
+
+
+@pytest.mark.parametrize("cut,message", [(lambda b: b[:-30], "truncated|malformed"), (lambda b: b.rsplit("\n", 3)[0] + "\n", "truncated"),
+                                         (lambda b: b + "4 more\n 1 O 0 0 0 1\n", "atom count changes")])
+def test_mixed_xyz_errors(spark, tmp_path, cut, message):
+    (tmp_path / "m.arc").write_text(cut(mixed(20)[0].replace(" 1 7 ", " 1 O ")))
+    with pytest.raises(Exception, match=message):
+        xyz.read_xyz(spark, str(tmp_path), width=10).frames.collect()
+
+
 def test_xyz_bad_atoms(spark, tmp_path):
     (tmp_path / "m.xyz").write_text("2 t\n 1 O 0 0 0 1\n 1 O 0 0 0 1\n")
     with pytest.raises(Exception, match="repeated atom id"):
