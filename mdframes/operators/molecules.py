@@ -2,19 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mdframes.operators.neighbors import short_contacts  # noqa: F401  (part of this surface)
-from mdframes.staging import work_folder
-
-
-def checkpoint_folder(spark: SparkSession) -> None:
-    """Checkpoints go to the cluster's ``spark.checkpoint.dir``; a folder is set only where none is."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(work_folder(spark, "checkpoint"))
+from mdframes.staging import stage
+
+
+HELD = 1 << 20          # atoms of a range, and bonds that a task contracts together
+
+
+def _lowest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each node 0..n-1 the lowest node that the links a[i]-b[i] join it to."""
+    low = np.arange(n)
+    while len(a):
+        least = np.minimum(low[a], low[b])
+        np.minimum.at(low, low[a], least)
+        np.minimum.at(low, low[b], least)
+        while not np.array_equal(low, low[low]):        # follow the pointers to their ends
+            low = low[low]
+        still = low[a] != low[b]
+        a, b = a[still], b[still]
+    return low
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bonds of a task as stars (traj, u, v), v being the lowest atom that they join u to."""
+    def stars(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        code = t["traj"].combine_chunks().dictionary_encode()
+        a, b = t["a"].to_numpy(), t["b"].to_numpy()
+        traj, atom = np.tile(code.indices.to_numpy(zero_copy_only=False), 2), np.concatenate([a, b])
+        order = np.lexsort([atom, traj])
+        new = np.append(True, (np.diff(traj[order]) != 0) | (np.diff(atom[order]) != 0))
+        node = np.empty(len(order), np.int64)
+        node[order] = np.cumsum(new) - 1
+        first = order[new]                              # a place of each node
+        low = _lowest(node[:len(a)], node[len(a):], len(first))
+        far = np.flatnonzero(low != np.arange(len(low)))
+        yield from pa.table({"traj": code.dictionary.take(pa.array(traj[first[far]])), "u": atom[first[far]], "v": atom[first[low[far]]]}).to_batches(1 << 16)
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= HELD:
+            yield from stars(held)
+            held, size = [], 0
+    if size:
+        yield from stars(held)
 
 
 def bond_edges(atoms: DataFrame) -> DataFrame:
@@ -53,22 +93,31 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """A round on shared storage, and the number and hash of its rows, observed while they were written."""
+    seen = Observation()
+    marks = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("traj", "u", "v").cast("decimal(38,0)")).alias("hash")
+    table = stage(edges.observe(seen, *marks), "stars")
+    return table, (seen.get["n"], seen.get["hash"])
+
+
 def components(atoms: DataFrame, edges: DataFrame) -> DataFrame:
     """Molecule of each atom: traj, atom_id, mol_id (the lowest atom id of the component).
 
-    Alternating large-star and small-star steps: the number of rounds grows with the logarithm of
-    the longest chain. Every round ends in a checkpoint; only two sums reach the driver.
+    Bonds are dealt by ranges of atom numbers, which mostly keeps molecules together, and each task first contracts its
+    bonds to stars. Alternating large-star and small-star steps then join
+    what several tasks hold of a molecule: the number of rounds grows with the logarithm of the number of stars in a row. Every round is a written
+    table, whose hash, taken on the way, tells whether anything changed.
     """
-    spark = atoms.sparkSession
-    checkpoint_folder(spark)
-    cur = edges.select("traj", F.col("b").alias("u"), F.col("a").alias("v")).checkpoint()
-    seen = None
-    while True:
-        cur = _star(_star(cur, True), False).checkpoint()
-        mark = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("traj", "u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+    kind = edges.schema["traj"].dataType.simpleString()
+    ids = edges.select("traj", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    near = ids.repartition("traj", F.floor(F.col("a") / HELD))
+    cur, mark = _written(near.mapInArrow(_contracted, f"traj {kind}, u long, v long").distinct())
+    while mark[0]:
+        cur, after = _written(_star(_star(cur, True), False))
+        if after == mark:
             break
-        seen = mark
+        mark = after
     return (atoms.select("traj", "atom_id")
             .join(cur.select("traj", F.col("u").alias("atom_id"), F.col("v").alias("mol_id")),
                   ["traj", "atom_id"], "left")

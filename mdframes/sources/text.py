@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdframes.operators.scan import running
+from mdframes.staging import stage
 
 LINE = ["file", "block", "seq"]
 
@@ -85,8 +86,11 @@ def trajectory_files(files: DataFrame, patterns: Sequence[str] = (r".*\.arc(\.gz
         hit = F.when(F.regexp_extract("file", r"([^/]+)$", 1).rlike(f"^{p}"), F.lit(k).cast("long")).otherwise(hit)
     other = files.select(F.regexp_replace("file", r"/[^/]+$", "").alias("directory"), hit.alias("_k"), "file")
     other = other.where(F.col("_k").isNotNull()).join(series.select("directory").distinct(), "directory", "left_anti")
-    order = F.row_number().over(Window.partitionBy("directory").orderBy("_k", "file"))
-    return series.unionByName(other.select("directory", order.cast("long").alias("rank"), "file"))
+    # Files are dealt by range, so that a directory of any size is ranked by many tasks: place in the part, and files in earlier parts.
+    order = ["_k", "file"]
+    dealt = stage(other.repartitionByRange("directory", *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    ranked = running(dealt, ["directory"], "_part", order, {"rank": F.lit(1).cast("long")})
+    return series.unionByName(ranked.select("directory", "rank", "file"))
 
 
 def preferred_file(files: DataFrame, root: str, suffix: str) -> DataFrame:

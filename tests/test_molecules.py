@@ -126,3 +126,35 @@ def test_target_forms(spec, role, want):
 def test_target_errors(spec):
     with pytest.raises(ValueError):
         SEL.parse_target(spec)
+
+
+@pytest.mark.parametrize("held,most", [(1 << 20, 2), (1 << 10, 9)])
+def test_long_chain_in_few_rounds(spark, monkeypatch, held, most):
+    """100,000 atoms in a row: one contraction if a task holds them all, few rounds if a hundred tasks hold pieces."""
+    rounds = []
+    monkeypatch.setattr(M, "HELD", held)
+    monkeypatch.setattr(M, "stage", lambda df, name, stage=M.stage: rounds.append(name) or stage(df, name))
+    edges = spark.range(99_999).selectExpr("'t' AS traj", "id AS a", "id + 1 AS b")
+    atoms = spark.range(100_001).selectExpr("'t' AS traj", "id AS atom_id")
+    out = M.components(atoms, edges)
+    assert out.where("mol_id <> 0 AND atom_id < 100000").count() == 0 and out.where("mol_id = 100000").count() == 1
+    assert len(rounds) <= most, rounds
+
+
+def test_components_of_scattered_numbers(spark, monkeypatch):
+    """Bonds between any atoms of several trajectories, in ranges of a few atoms; the same number in two trajectories is two atoms."""
+    monkeypatch.setattr(M, "HELD", 16)
+    rng = random.Random(8)
+    want, rows = {}, []
+    for traj in "abc":
+        pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)]
+        rows += [(traj, min(p), max(p)) for p in pairs if p[0] != p[1]]
+        want.update({(traj, k): low for k, low in enumerate(expected(300, pairs))})
+    atoms = spark.createDataFrame([(t, k) for t, k in want], "traj string, atom_id bigint")
+    got = M.components(atoms, spark.createDataFrame(rows, "traj string, a bigint, b bigint"))
+    assert {(r["traj"], r["atom_id"]): r["mol_id"] for r in got.collect()} == want
+
+
+def test_components_without_bonds(spark):
+    atoms = spark.createDataFrame([("a", 1), ("a", 2)], "traj string, atom_id bigint")
+    assert M.components(atoms, spark.createDataFrame([], "traj string, a bigint, b bigint")).where("mol_id = atom_id").count() == 2

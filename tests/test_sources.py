@@ -236,3 +236,12 @@ def test_partitions_not_written_anew_stay(spark, tmp_path):
     outputs.save({"t": df, "none": None}, str(tmp_path))
     outputs.save({"t": spark.createDataFrame([("b", 3)], "traj string, n int")}, str(tmp_path))
     assert sorted(map(tuple, outputs.load(spark, str(tmp_path), "t", df).collect())) == [("a", 1), ("b", 3)]
+
+
+def test_files_of_one_directory_are_ranked_by_many_tasks(spark):
+    files = spark.range(5000).selectExpr("concat('file:/d/', if(id % 3 = 0, 'a', 'b'), lpad(string((id * 7919) % 5000), 5, '0'), if(id % 2 = 0, '.arc', '.xyz.gz')) AS file", "1L AS length")
+    out = text.trajectory_files(files)
+    names = [r["file"] for r in out.orderBy("rank").collect()]
+    assert names == sorted(names, key=lambda n: (not n.endswith(".arc"), n)) and [r["rank"] for r in out.orderBy("rank").collect()] == list(range(1, 5001))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_part" in x for x in plan.splitlines() if "Window" in x)
