@@ -26,13 +26,13 @@ from mdframes.operators import structure as S
 from mdframes.operators import timeseries as TS
 from mdframes.operators import transport as TR
 from mdframes.operators.scan import previous
-from mdframes.plans import outputs
+from mdframes.plans import manifest, outputs
 from mdframes.sources import logs as sources_logs
 from mdframes.sources import pdb as sources_pdb
 from mdframes.sources import sinks as sources_sinks
 from mdframes.sources import text as sources_text
 from mdframes.sources import xyz as sources_xyz
-from mdframes.staging import once_per_app, staged, work_folder
+from mdframes.staging import once_per_app, stage, staged, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -964,6 +964,31 @@ def ingest_xyz_mixed(spark, sf):
     return _unchunk(out)
 
 
+@query
+def flow_resumed(spark, sf):
+    """Centres of PDB files, computed for the first file of each trajectory, then for all, then with another parameter:
+    a call computes what it has not, which the step tells that wrote a row."""
+    folder, out = _pdb_folder(spark, sf), work_folder(spark, "resumed")
+    files = manifest.inputs(spark, folder, "*.txt", F.concat_ws("-", _tag("traj"), _tag("chunk")))
+    found, calls = [], 0
+
+    def centres(weight: float, call: int):
+        def compute(paths: list[str]):
+            p = sources_pdb.read_pdb(spark, paths, traj=F.concat_ws("-", _tag("traj"), _tag("chunk"))).positions
+            return {"centres": p.groupBy("traj", "frame").agg(F.count(F.lit(1)).alias("n"), (F.avg("x") * weight).alias("x")).withColumn("call", F.lit(call))}
+        return compute
+
+    for chosen, weight in ((files.where(F.col("traj").endswith("-0")), 1.0), (files, 1.0), (files, 2.0)):
+        calls += 1
+        manifest.resume(spark, out, chosen, {"weight": weight}, centres(weight, calls), per_step=1000)
+        if calls > 1:
+            table = spark.read.schema("frame bigint, n bigint, x double, call int, traj string").parquet(f"{out}/centres")
+            found.append(stage(manifest.current(spark, out, table, chosen, {"weight": weight}).withColumn("weight", F.lit(weight)), "found"))
+    part = F.split("traj", "-")
+    both = found[0].unionByName(found[1])
+    return rounded(both.select(part[0].alias("traj"), (part[1].cast("bigint") * CHUNK + F.col("frame")).alias("frame"), "n", "x", "call", "weight"), 5)
+
+
 @query
 def snapshot_cells(spark, sf):
     """Numbered snapshots of every run as lines of text, some without a cell, of which the scan looks at the second line."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,10 +59,27 @@ def exists(spark: SparkSession, path: str, columns: Sequence[str] = (), fmt: str
     return set(columns) <= have
 
 
+def _state(inputs: DataFrame | None, parameters: Mapping[str, object] | None) -> str:
+    """A hash of the parameters, and the number and hash of the inputs' rows."""
+    mark = hashlib.sha256(json.dumps(parameters or {}, sort_keys=True, default=str).encode()).hexdigest()
+    if inputs is None:
+        return mark
+    columns = sorted(inputs.columns)
+    row = F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]).cast("decimal(38,0)")
+    n, rows = inputs.agg(F.count(F.lit(1)), F.sum(row)).first()
+    return f"{mark} {n} {rows}"
+
+
 def reuse(spark: SparkSession, path: str, compute: Callable[[], DataFrame], columns: Sequence[str] = (),
-          force: bool = False) -> DataFrame:
+          force: bool = False, inputs: DataFrame | None = None, parameters: Mapping[str, object] | None = None) -> DataFrame:
     """Read a finished result, or compute and write it first. A result that lacks one of
-    ``columns`` is computed again."""
-    if force or not exists(spark, path, columns):
+    ``columns`` is computed again, and one that was made from other ``inputs`` (a table of files with their lengths and times, say) or
+    ``parameters``. What it was made from is written after the result, so a broken write counts for nothing."""
+    told = inputs is not None or parameters is not None
+    state, about = _state(inputs, parameters) if told else "", path + "/_made_from"
+    same = not told or (exists(spark, about, fmt="text") and state == (spark.read.text(about).agg(F.max("value")).first()[0]))
+    if force or not same or not exists(spark, path, columns):
         compute().write.mode("overwrite").parquet(path)
+        if told:
+            write_text(spark.createDataFrame([(state,)], "line string"), about)
     return spark.read.parquet(path)

@@ -621,6 +621,9 @@ O["ingest_xyz"] = W(POS) + """SELECT traj, frame, atom_id+1 AS atom_id, x, y, z,
   'frame of '||traj AS title FROM pos"""
 O["ingest_xyz_mixed"] = W(POS) + """SELECT traj, frame, atom_id+1 AS atom_id, x, y, z, COUNT(*) OVER (PARTITION BY traj, frame) AS n_atoms,
   CASE WHEN frame%5<3 THEN 20.0::DOUBLE END AS a, 'frame of '||traj AS title FROM pos"""
+O["flow_resumed"] = W(POS) + """, ct AS (SELECT traj, frame, COUNT(*) AS n, AVG(ROUND(x,3)) AS x FROM pos GROUP BY traj, frame)
+SELECT traj, frame, n, ROUND(x*weight,5) AS x, CAST(CASE WHEN weight=2 THEN 3 WHEN frame<25 THEN 1 ELSE 2 END AS INT) AS call, weight
+FROM ct, (SELECT UNNEST([1.0::DOUBLE, 2.0::DOUBLE]) AS weight)"""
 O["snapshot_cells"] = W(RUNS) + """SELECT series, run_index, o_orderkey AS frame, o_orderkey*50.0::DOUBLE AS time_ps, ROUND(a_A,6) AS a, b_A AS b, c_A AS c,
   90.0::DOUBLE AS alpha, 90.0::DOUBLE AS beta, 90.0::DOUBLE AS gamma FROM snaps WHERE a_A IS NOT NULL"""
 O["ingest_log"] = W(RUNS) + """SELECT series, run_index, time_ps, ROUND(potential_kcal_mol,4) AS potential_kcal_mol, ROUND(kinetic_kcal_mol,4) AS kinetic_kcal_mol,

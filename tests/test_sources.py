@@ -245,3 +245,53 @@ def test_files_of_one_directory_are_ranked_by_many_tasks(spark):
     assert names == sorted(names, key=lambda n: (not n.endswith(".arc"), n)) and [r["rank"] for r in out.orderBy("rank").collect()] == list(range(1, 5001))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert all("_part" in x for x in plan.splitlines() if "Window" in x)
+
+
+def test_reuse_looks_at_inputs_and_parameters(spark, tmp_path):
+    calls, path = [], str(tmp_path / "out")
+
+    def compute():
+        calls.append(1)
+        return spark.range(len(calls)).toDF("a")
+    files = lambda *rows: spark.createDataFrame(list(rows), "file string, length bigint")
+    for inputs, parameters, n in ((files(("a", 1)), {"r": 1}, 1), (files(("a", 1)), {"r": 1}, 1), (files(("a", 1), ("b", 1)), {"r": 1}, 2),
+                                  (files(("b", 1), ("a", 1)), {"r": 1}, 2), (files(("a", 2), ("b", 1)), {"r": 1}, 3),
+                                  (files(("a", 2), ("b", 1)), {"r": 2}, 4), (files(("a", 2), ("b", 1)), {"r": 2}, 4)):
+        assert sinks.reuse(spark, path, compute, ["a"], inputs=inputs, parameters=parameters).count() == n == len(calls)
+
+
+def test_a_broken_flow_resumes(spark, tmp_path):
+    """Steps of one input: what was entered before the fault is not computed again; a changed, a new and a missing input are noticed."""
+    import os
+
+    from mdframes.plans import manifest
+    for k in range(4):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"t{k}.xyz").write_text(f"1 t\n 1 O {k}.0 0 0 1\n")
+    done, out, broken = [], str(tmp_path / "out"), [True]
+    files = lambda: manifest.inputs(spark, str(tmp_path / "in"))
+
+    def compute(paths):
+        names = [os.path.basename(p) for p in paths]
+        if broken[0] and "t2.xyz" in names:
+            raise OSError("lost")
+        done.extend(names)
+        return {"places": xyz.read_xyz(spark, paths).positions.select("traj", "x"), "nothing": None}
+
+    def places(parameters):
+        table = spark.read.schema("x double, traj string").parquet(out + "/places")
+        return sorted((r["traj"], r["x"]) for r in manifest.current(spark, out, table, files(), parameters).collect())
+
+    with pytest.raises(OSError):
+        manifest.resume(spark, out, files(), {"r": 1}, compute, per_step=1)
+    assert done == ["t0.xyz", "t1.xyz"] and places({"r": 1}) == [("t0", 0.0), ("t1", 1.0)]
+    broken[0] = False
+    assert manifest.resume(spark, out, files(), {"r": 1}, compute, per_step=1) == 2 and done[2:] == ["t2.xyz", "t3.xyz"]
+    (tmp_path / "in" / "t1.xyz").write_text("1 t\n 1 O 11.25 0 0 1\n")
+    (tmp_path / "in" / "t9.xyz").write_text("1 t\n 1 O 9.0 0 0 1\n")
+    assert ("t1", 1.0) not in places({"r": 1})
+    assert manifest.resume(spark, out, files(), {"r": 1}, compute) == 2 and done[4:] == ["t1.xyz", "t9.xyz"]
+    assert places({"r": 1}) == [("t0", 0.0), ("t1", 11.25), ("t2", 2.0), ("t3", 3.0), ("t9", 9.0)] and places({"r": 2}) == []
+    assert manifest.resume(spark, out, files(), {"r": 2}, compute) == 5 and places({"r": 1}) == [] and len(places({"r": 2})) == 5
+    assert manifest.resume(spark, out, files(), {"r": 2}, compute) == 0
+    assert manifest.resume(spark, out, files(), {"r": 2}, compute, force=True) == 5
