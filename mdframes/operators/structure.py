@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mdframes.functions import cell as C
-from mdframes.operators.neighbors import KEYS, radius_pairs
+from mdframes.operators.neighbors import KEYS, like_pairs, radius_pairs
 from mdframes.staging import stage
 
 ERR_NO_BOX = "no cell for a frame: periodic distances need one"
@@ -58,10 +58,14 @@ def rdf(sites: DataFrame, site1: str, site2: str, rmax: float, bin_width: float,
     norms = norms.withColumn("tn1", F.when((F.col("tn1") > 0) & (F.col("tn2") > 0), F.col("tn1")).otherwise(
         F.raise_error(F.concat(F.lit(f"no atoms of site {site1} or {site2} in "), "traj")).cast("long")))
     # Pairs reach to the outer edge of the last bin, also where the width doesn't divide rmax.
-    pairs = radius_pairs(left, right, max(rmax, bins * bin_width))
+    reach = max(rmax, bins * bin_width)
+    pairs = like_pairs(left, reach) if like else radius_pairs(left, right, reach)
     if like and volume == "mean":
         pairs = pairs.where(F.sqrt("r2") > 1.0e-8)
-    out = _dense(norms, histogram(pairs, F.sqrt("r2"), bin_width, bins, ["traj"]), bins)
+    hist = histogram(pairs, F.sqrt("r2"), bin_width, bins, ["traj"])
+    if like:        # each pair counts for both of its atoms
+        hist = hist.withColumn("count", F.col("count") * 2)
+    out = _dense(norms, hist, bins)
     lo = F.col("bin") * F.lit(float(bin_width))
     hi = (F.col("bin") + 1) * F.lit(float(bin_width))
     shell = F.lit(4.0 / 3.0 * math.pi) * (hi * hi * hi - lo * lo * lo)

@@ -101,3 +101,32 @@ def test_missing_site_is_an_error(spark):
     s = N.attach_cell(pos, frames).withColumn("site", F.lit("X"))
     with pytest.raises(Exception, match="no atoms of site X or O"):
         S.rdf(s, "X", "O", 3.0, 0.5).collect()
+
+
+@pytest.mark.parametrize("cutoff", [2.5, 3.0, 4.0, 6.0])
+def test_like_pairs_come_once(spark, cutoff):
+    """Also where an axis has one or two cells, so that a cell touches another on both sides."""
+    frames, pos = cloud(spark)
+    got = [(r["frame"], r["i"], r["j"], round(r["r2"], 6)) for r in N.like_pairs(N.attach_cell(pos, frames), cutoff).collect()]
+    assert len(got) == len({(f, min(i, j), max(i, j)) for f, i, j, _ in got})
+    assert {(f, *sorted(p), r) for f, *p, r in got} == {(f, i, j, r) for f, i, j, r in brute(frames, pos, cutoff) if i < j}
+
+
+def test_points_on_faces_and_at_the_cutoff(spark):
+    """A lattice whose neighbours are exactly one cutoff apart, on the faces of the cells."""
+    frames = spark.createDataFrame([("t", 0, 6.0, 6.0, 6.0, 90.0, 90.0, 90.0)], "traj string, frame bigint, a double, b double, c double, alpha double, beta double, gamma double")
+    rows = [("t", 0, 36 * x + 6 * y + z, float(x), float(y), float(z)) for x in range(6) for y in range(6) for z in range(6)]
+    p = N.attach_cell(spark.createDataFrame(rows, "traj string, frame bigint, atom_id bigint, x double, y double, z double"), frames)
+    assert N.like_pairs(p, 1.0).count() == 3 * 216 and N.radius_pairs(p, p, 1.0).count() == 6 * 216
+    assert N.radius_pairs(p, p, 1.0, copied="left").count() == 6 * 216 and N.like_pairs(p, 1.0, strict=True).count() == 0
+
+
+def test_fewer_copies(spark):
+    """Rows sent to cells: all 27 without a bound, 14 for like pairs, fewer where faces are far."""
+    frames, pos = cloud(spark, 200)
+    p = N.attach_cell(pos, frames).where("frame = 1")
+    sent = lambda cutoff: N._touching(N._gridded(p, cutoff, [*N.POINT, *N.C.MATRIX])).count()
+    plan = N.like_pairs(p, 2.0)
+    grid = N._gridded(p, 2.0, [*N.POINT, *N.C.MATRIX]).selectExpr("*", N.CELL_ID.replace(" AS cell", " AS home"))
+    half = N._touching(grid).selectExpr("*", N.CELL_ID).where("cell >= home").count()
+    assert sent(2.0) < 27 * 200 and half < 14.5 / 27 * (27 * 200) and half < 0.6 * sent(2.0) and plan.count() > 0
