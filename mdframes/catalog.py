@@ -386,7 +386,7 @@ def _frames_of_reference(spark, sf):
 @query
 def transference_running(spark, sf):
     s = TR.term_sums(_frames_of_reference(spark, sf), SPECIES, MAX_LAG, ["traj", "ref"])
-    c = TR.pair_curves(s, "Li", "FSA", V.DT_NS)
+    c = stage(TR.pair_curves(s, "Li", "FSA", V.DT_NS), "pair")
     out = TR.transference_running(c, ["traj", "ref"], FIT[0])
     return rounded(out.select("traj", "ref", "lag", "Dplus", "PFG_t_app", "eNMR_t0", "Bruce_Vincent_tss", "sigma_reduced"), 4)
 
@@ -450,7 +450,7 @@ def solvent_diffusion(spark, sf):
 
 @query
 def solvent_running(spark, sf):
-    c = TR.solvent_curves(particles(spark, sf), "SOL", MAX_LAG, V.DT_NS)
+    c = stage(TR.solvent_curves(particles(spark, sf), "SOL", MAX_LAG, V.DT_NS), "solvent")
     return rounded(TR.solvent_running(c, ["traj"], FIT[0]), 5, D_self_cm2_per_s=1e7, D_n_com_cm2_per_s=1e7)
 
 
@@ -1213,7 +1213,7 @@ def out_decomposition(spark, sf):
 def out_transference(spark, sf):
     """Running transference numbers, one column per method and reference frame, written and read back."""
     s = TR.term_sums(_frames_of_reference(spark, sf), SPECIES, MAX_LAG, ["traj", "ref"])
-    running = TR.transference_running(TR.pair_curves(s, "Li", "FSA", V.DT_NS), ["traj", "ref"], FIT[0])
+    running = TR.transference_running(stage(TR.pair_curves(s, "Li", "FSA", V.DT_NS), "pair"), ["traj", "ref"], FIT[0])
     return rounded(_saved(spark, outputs.transference_table(running), "transference").drop("time"), 4)
 
 
@@ -1227,7 +1227,7 @@ def transference_running_blocks(spark, sf):
     """Running transference numbers of each block: mean and error over the blocks at every lag."""
     b = TR.into_blocks(_frames_of_reference(spark, sf), N_BLOCKS, 10)
     s = TR.term_sums(b, SPECIES, 15, ["traj", "ref", "block"])
-    running = TR.transference_running(TR.pair_curves(s, "Li", "FSA", V.DT_NS), ["traj", "ref", "block"], 0.2, 4)
+    running = TR.transference_running(stage(TR.pair_curves(s, "Li", "FSA", V.DT_NS), "pair"), ["traj", "ref", "block"], 0.2, 4)
     return rounded(TR.running_block_error(running, N_BLOCKS).drop("time"), 4)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mdframes.functions import cell as C
 from mdframes.functions import scalars as X
 from mdframes.operators.scan import fold, previous, running, with_carry
+from mdframes.staging import stage
 
 RUN = ["series", "run_index"]
 MEASURES = ["potential_kcal_mol", "kinetic_kcal_mol", "total_energy_kcal_mol", "temperature_K",
@@ -171,6 +172,7 @@ def stitch(df: DataFrame, series: str = "series", run: str = "run_index", time:
     spans = (df.groupBy(series, run).agg(F.min(time).alias("lo"), F.max(time).alias("hi"))
              .join(time_step(df, [series, run], time, fallback), [series, run]).where("lo IS NOT NULL")
              .select(F.col(series).alias("series"), F.col(run).alias("run"), F.floor(F.col(run) / bucket).alias("part"), "lo", "hi", "dt"))
+    spans = stage(spans, "spans")           # a row a run, looked at twice
     kinds = {c: spans.schema[c].dataType.simpleString() for c in ("series", "run")}
     clocks = spans.groupBy("series", "part").applyInArrow(
         _clocks, f"series {kinds['series']}, part bigint, cuts array<double>, vals array<double>, shift double")

@@ -81,13 +81,13 @@ def transport(t: Trajectory, targets: Sequence[SEL.Target], temperature: DataFra
         sol = TR.solvent_curves(parts, solvent.label, max_lag, dt_eff)
     refs = stage(refs, "refs")
     both = [plus, minus]
-    pair = TR.pair_curves(TR.term_sums(refs, both, max_lag, ["traj", "ref"]), plus[0], minus[0], dt_eff)
+    pair = stage(TR.pair_curves(TR.term_sums(refs, both, max_lag, ["traj", "ref"]), plus[0], minus[0], dt_eff), "pair")
     tn = TR.transference_running(pair, ["traj", "ref"], fit[0], min_points, plus[1], minus[1])
     blocks = block_running = None
     if n_blocks >= 2:
         cut = TR.into_blocks(refs, n_blocks, max(10, min_points + 2))
         s = TR.term_sums(cut, both, max_lag, ["traj", "ref", "block"])
-        in_block = TR.pair_curves(s, plus[0], minus[0], dt_eff)
+        in_block = stage(TR.pair_curves(s, plus[0], minus[0], dt_eff), "in_block")
         per = ["traj", "ref", "block"]
         blocks = TR.transference_fit(in_block, per, *fit, plus[1], minus[1])
         block_running = TR.running_block_error(
