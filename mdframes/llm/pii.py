@@ -270,8 +270,10 @@ def redact(docs: DataFrame) -> DataFrame:
         return text.combine(extra, lambda t, x: t if not isinstance(t, str) else redact_text(
             t, [(s["start"], s["rank"], s["end"]) for s in (x if x is not None else [])]))
 
-    joined = docs.join(more, F.col("doc_id").eqNullSafe(F.col("_pii_doc")) & (F.xxhash64("text") == F.col("_pii_key")), "left")
-    out = joined.withColumn("text", clean("text", "_pii_more"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))      # no name of a column matters
+    joined = held.join(more, F.col("doc.doc_id").eqNullSafe(F.col("_pii_doc")) & (F.xxhash64("doc.text") == F.col("_pii_key")), "left")
+    out = joined.select("doc", clean("doc.text", "_pii_more").alias("clean"))
+    fresh = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        fresh["n_chars"] = F.length("clean").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[fresh.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])

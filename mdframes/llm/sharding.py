@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mdframes.llm.common import shuffle_partitions, staged, table
+from mdframes.llm.common import settled, shuffle_partitions, table
 
-LOW = 24                                    # bits of a key that tell copies of a text apart
+LOW = 24                                    # bits of a key that tell copies of a text apart: half by id, half by row
 TOP = np.iinfo(np.int64).max
 
 
@@ -100,19 +100,22 @@ def shard(docs: DataFrame, shards: int = 16, part_bytes: int = 32 << 20, toleran
     with size (UTF-8 bytes plus 1; null: 1), shard (from 0) and slot (gapless from 0 in each shard).
     Input columns of these names are replaced.
 
-    Rows are ordered by 40 bits of the text's hash and then 24 of the id's, so copies of a text stay
-    together unless a group is too large for the law, and a text held by a third of all rows is still cut.
-    Rows equal in id and text share a key and a shard. An empty table gives an empty result.
+    Rows are ordered by 40 bits of the text's hash, 12 of the id's and 12 of the row's number, so copies of a text stay
+    together unless a group is too large for the law, and a text held by a third of all rows is still cut, also where these rows
+    have one id or none. Null texts and ids are values like others; other columns may have any name. An empty table gives an empty result.
 
     A shard is written by several tasks, each with a run of about ``part_bytes``; the exact row counts of
     the runs before it give a run's first slot, so rows move in one exchange and no task holds a shard.
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("size", "shard", "slot")]
-    mask = (1 << LOW) - 1
-    key = F.xxhash64("text").bitwiseAND(F.lit(~mask)).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(F.lit(mask)))
+    mask, half = (1 << LOW) - 1, (1 << LOW // 2) - 1
+    low = F.shiftleft(F.xxhash64("doc_id").bitwiseAND(F.lit(half)), LOW // 2).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(half)))
+    key = F.xxhash64("text").bitwiseAND(F.lit(~mask)).bitwiseOR(low)
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
-    keys = staged(docs.select(key.alias("key"), size.alias("size")))
+    # Written once with their keys: a row's number must not change between counting and moving.
+    kept = settled(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), key.alias("key"), size.alias("size")))
+    keys = kept.select("key", "size")
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     every = max(1, -(-max(shuffle_partitions(spark), total // part_bytes) // shards))
     parts = shards * every
@@ -130,7 +133,7 @@ def shard(docs: DataFrame, shards: int = 16, part_bytes: int = 32 << 20, toleran
         part = np.searchsorted(cuts, key.to_numpy(), side="right")
         return pd.DataFrame({"part": part.astype(np.int32), "shard": (part // every).astype(np.int32), "first": first[part]})
 
-    placed = docs.select(*names, size.alias("size"), key.alias("_key")).withColumn("_at", place("_key"))
-    dealt = placed.select("*", F.col("_at.part").alias("_part")).repartitionById(parts, F.col("_part"))
-    slot = F.row_number().over(Window.partitionBy("_part").orderBy("_key", "doc_id")) - 1 + F.col("_at.first")
-    return dealt.select(*names, "size", F.col("_at.shard").alias("shard"), slot.cast("long").alias("slot"))
+    placed = kept.withColumn("at", place("key")).select("*", F.col("at.part").alias("part"))
+    dealt = placed.repartitionById(parts, F.col("part"))
+    slot = F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1 + F.col("at.first")
+    return dealt.select("doc.*", "size", F.col("at.shard").alias("shard"), slot.cast("long").alias("slot"))

@@ -1,7 +1,8 @@
 import corpus_pipeline as P
 import public_tokenizers
-from test_simhash import fingerprint, groups
+from test_shingles import near, plain
 
+from mdframes.llm.common import forest
 from mdframes.llm.language import fit as fit_language
 from mdframes.llm.language import held_out as language_held_out
 from mdframes.llm.packing import Encoder
@@ -23,7 +24,10 @@ def test_stages_against_a_plain_version(spark):
     quality = fit_quality(identified, spark.read.parquet(f"{SF}/labels.parquet"), ~quality_held_out())
     rows = {i: t for i, t in rows.items() if quality.score(np.array([features(t)]))[0] >= CUT}
     ids = sorted(rows)
-    root = groups([fingerprint(rows[i]) for i in ids])
+    sets = [plain(rows[i]) for i in ids]
+    links = [(a, b) for b in range(len(ids)) for a in range(b) if near(sets[a], sets[b])]
+    assert links
+    root = forest(*np.array(links).T, len(ids))
     rows = {i: rows[i] for k, i in enumerate(ids) if root[k] == k}
     rows = {i: redact_text(t) for i, t in rows.items()}      # these contexts teach nothing more
 
@@ -50,5 +54,19 @@ def test_stages_stand_awkward_tables(spark):
             assert out.columns == docs.columns
             out.count()
         P.packing(spark, docs, SF).count()
+        assert P.near_duplicates(spark, docs, SF).where("_row <> 'r' OR doc <> 'd'").count() == 0
     kept = P.near_duplicates(spark, documents(spark, AWKWARD, ids), SF).collect()
     assert sum(r["text"] == "the same text again and again" for r in kept) == 1
+
+
+def test_order_and_both_sides_of_the_threshold(spark):
+    """Five-word sets of 100 and of as many with changed ends: 90 of 110 in common stay one, 88 of 112 stay two."""
+    from helpers import documents
+    assert [name for name, _ in P.STAGES] == ["language", "quality", "near_duplicates", "personal_data", "packing"]
+    words = [f"w{i}" for i in range(104)]
+    for changed, kept in ((10, 1), (12, 2)):
+        other = words[:104 - changed] + [f"v{i}" for i in range(changed)]
+        sets = [plain(" ".join(x)) for x in (words, other)]
+        assert len(sets[0] & sets[1]) == 100 - changed and len(sets[0] | sets[1]) == 100 + changed
+        out = P.near_duplicates(spark, documents(spark, [" ".join(other), " ".join(words)], [9, 4]), "").collect()
+        assert len(out) == kept and 4 in {r["doc_id"] for r in out}

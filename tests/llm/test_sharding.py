@@ -46,7 +46,7 @@ def test_copies_stay_together_unless_they_are_too_many(spark):
 def test_awkward_rows(spark):
     ids = [None, 1, 1, 3, 4, 5, 5, 7, 8, 9, 10, 11, 12]
     out = shard(documents(spark, AWKWARD, ids), 4)
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "fp", "embedding", "size", "shard", "slot"]
+    assert out.columns == [*[c for c in documents(spark, []).columns if c != "shard"], "size", "shard", "slot"]
     rows = gathered(out)
     assert sum(map(len, rows.values())) == len(AWKWARD)
     for rs in rows.values():
@@ -56,3 +56,16 @@ def test_awkward_rows(spark):
     rows = gathered(shard(same, 4))
     assert sum(map(len, rows.values())) == 300 and all(sorted(r["slot"] for r in rs) == list(range(len(rs))) for rs in rows.values())
     assert shard(documents(spark, []), 4).count() == 0
+
+
+def test_rows_of_one_id_and_text_are_cut(spark):
+    """A third of all rows, or all of them, are the same: the law still holds."""
+    random.seed(9)
+    for ids, texts, shards in (([None] * 1000 + list(range(2000)), ["w" * 120] * 1000 + ["w" * random.randint(20, 180) for _ in range(2000)], 16),
+                               ([7] * 3000, ["equal"] * 3000, 4)):
+        rows = gathered(shard(documents(spark, texts, ids), shards))
+        total, mean = sum(r["size"] for rs in rows.values() for r in rs), sum(len(t) + 1 for t in texts) / shards
+        assert set(rows) == set(range(shards)) and total == mean * shards
+        for rs in rows.values():
+            assert sorted(r["slot"] for r in rs) == list(range(len(rs)))
+            assert abs(sum(r["size"] for r in rs) - mean) <= 0.01 * mean + 181, sum(r["size"] for r in rs)
