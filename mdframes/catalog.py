@@ -992,10 +992,8 @@ def flow_resumed(spark, sf):
 @query
 def snapshot_cells(spark, sf):
     """Numbered snapshots of every run as lines of text, some without a cell, of which the scan looks at the second line."""
-    lines = F.array(F.lit("3 water"), F.coalesce(F.format_string("%.6f %.6f %.6f 90.0 90.0 90.0", "a_A", "b_A", "c_A"), F.lit("  1 O 0.0 0.0 0.0 1")),
-                    F.lit("  2 O 20.0 20.0 20.0 90"))
-    s = shared(spark, sf, "snapshots").withColumn("lines", F.when(F.col("a_A").isNull(), F.transform(lines, lambda x: F.regexp_replace(x, "^null.*", "  1 O 0.0 0.0 0.0 1")))
-                                                  .otherwise(lines))
+    cell = F.when(F.col("a_A").isNull(), "  1 O 0.0 0.0 0.0 1").otherwise(F.format_string("%.6f %.6f %.6f 90.0 90.0 90.0", "a_A", "b_A", "c_A"))
+    s = shared(spark, sf, "snapshots").withColumn("lines", F.array(F.lit("3 water"), cell, F.lit("  2 O 20.0 20.0 20.0 90")))
     read = s.select(F.concat_ws("/", "series", "run_index", F.format_string("snap.%03d", "o_orderkey")).alias("file"), F.lit(0).cast("long").alias("block"),
                     F.posexplode("lines").alias("seq", "line"))
     cells = sources_xyz.cells_of(read.withColumn("seq", F.col("seq").cast("long")), 50.0)

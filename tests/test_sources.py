@@ -295,3 +295,15 @@ def test_a_broken_flow_resumes(spark, tmp_path):
     assert manifest.resume(spark, out, files(), {"r": 2}, compute) == 5 and places({"r": 1}) == [] and len(places({"r": 2})) == 5
     assert manifest.resume(spark, out, files(), {"r": 2}, compute) == 0
     assert manifest.resume(spark, out, files(), {"r": 2}, compute, force=True) == 5
+
+
+def test_csv_files_hold_the_order(spark, tmp_path):
+    """Part files, one after the other, give the rows in order."""
+    df = spark.range(5000).selectExpr("(id * 7919) % 5000 AS k", "id AS v").repartition(7)
+    sinks.write_csv(df, str(tmp_path / "out"), {"unit": "ps"}, ["k"])
+    keys = []
+    for part in sorted((tmp_path / "out").glob("part-*.csv")):
+        head, *rows = part.read_text().splitlines()
+        assert head == "k,v"
+        keys += [int(r.split(",")[0]) for r in rows]
+    assert keys == list(range(5000))
