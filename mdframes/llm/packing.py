@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mdframes.llm.common import shuffle_partitions, staged, table
+from mdframes.llm.common import shuffle_partitions, staged
 
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")      # no apostrophe: the tokenizer knows contractions
 ODD = "\x1c\x1d\x1e\x1f"    # white space to Python, not to the tokenizer
@@ -171,38 +172,40 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Add sequence_id and offset to ``pieces`` (doc_id, piece, length from 1 to ``capacity``, and more).
 
     The driver sees one count per length, at most ``capacity`` of them, and plans on those; rows then
-    find their place by their rank among rows of their length. Ranks are counted per (length, hash
-    bucket) and added up over the buckets, so that a very common length is no hot task. Equal rows are
-    interchangeable. An empty table gives an empty result; input columns named sequence_id or offset are replaced.
+    find their place by their rank among rows of their length. Ranks are counted per (length, bucket) and
+    added up over the buckets. A row's bucket comes from its position and is written with it, so that neither
+    a very common length nor equal rows are a hot task. Equal rows are interchangeable. An empty table gives an
+    empty result; input columns named sequence_id or offset are replaced, others may have any name.
     """
     spark = pieces.sparkSession
     pieces = pieces.drop("sequence_id", "offset")
     names = pieces.columns
-    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    own = uuid.uuid4().hex
+    bucket, ranking, before = f"bucket_{own}", f"rank_{own}", f"before_{own}"
+    dealt = staged(pieces.withColumn(bucket, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shuffle_partitions(spark))).cast("int")))
+    counts = {r[0]: r[1] for r in dealt.groupBy("length").count().collect()}
     segments, _ = plan(counts, capacity)
     key = segments[:, 0] << 48 | segments[:, 1]
 
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shuffle_partitions(spark))).cast("int")
-    dealt = pieces.withColumn("_bucket", bucket)
-    per = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    before = per.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).drop("_n")
-    ranked = (dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")) - 1)
-              .join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before")))
+    per = dealt.groupBy("length", bucket).agg(F.count("*").alias(ranking))
+    earlier = per.select("length", bucket, (F.sum(ranking).over(Window.partitionBy("length").orderBy(bucket)) - F.col(ranking)).alias(before))
+    ranked = (dealt.withColumn(ranking, F.row_number().over(Window.partitionBy("length", bucket).orderBy("doc_id", "piece")) - 1)
+              .join(earlier, ["length", bucket]).withColumn(ranking, F.col(ranking) + F.col(before)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index
-            length, rank = (batch.column(at(c)).to_numpy() for c in ("length", "_rank"))
+            length, rank = (batch.column(at(c)).to_numpy() for c in ("length", ranking))
             seg = segments[np.searchsorted(key, length << 48 | rank, side="right") - 1]
             turn = rank - seg[:, 1]
             new = [pa.array(seg[:, 2] + turn // seg[:, 3]), pa.array(seg[:, 4] + turn % seg[:, 3] * length)]
             yield pa.RecordBatch.from_arrays([*(batch.column(at(c)) for c in names), *new], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.select(*names, "_rank").mapInArrow(place, schema)
+    return ranked.select(*[f"`{c}`" for c in names], ranking).mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
     """Tokenize, cut and pack whole documents. Null texts count as empty (one token, the end mark);
     repeated rows are packed as often as they occur; other columns of ``docs`` are ignored."""
-    return pack(staged(token_pieces(docs, tokenizer, capacity)), capacity)
+    return pack(token_pieces(docs, tokenizer, capacity), capacity)

@@ -6,6 +6,8 @@ import public_tokenizers
 from helpers import AWKWARD, documents
 from tokenizers import Tokenizer
 
+from mdframes.llm import packing
+from mdframes.llm.common import staged
 from mdframes.llm.packing import pack, pack_documents, plan, token_pieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -26,7 +28,8 @@ def layout(rows, capacity):
 
 
 def test_tokens_are_those_of_the_library(spark):
-    texts = [*AWKWARD, "CAFÉ Straße İstanbul ΣΊΣΥΦΟΣ é", "it's they'd WE'LL <|endoftext|>x<|startoftext|>", "a\x1cb c", "12 345,6!!"]
+    texts = [*AWKWARD, "CAFÉ Straße İstanbul ΣΊΣΥΦΟΣ é", "it's they'd WE'LL <|endoftext|>x<|startoftext|>", "a\x1cb c", "12 345,6!!", "a\u00a0b\u2003c\u3000d\x85e\u200bf",
+             "ab... ... ab", "ß" * 70 + "!" * 80, " ab ab", "naïve,Naïve NAÏVE;"]
     tokenizer = Tokenizer.from_file(PATH)
     got = {}
     for r in token_pieces(documents(spark, texts), PATH, 2048, ids=True).collect():
@@ -61,6 +64,19 @@ def test_packing_is_tight_and_gapless(spark):
     assert pack(pieces.limit(0), 100).count() == 0
 
 
+def test_a_third_of_equal_rows_is_no_hot_group(spark, monkeypatch):
+    rows = [(None, 0, 0, 7, "a")] * 3000 + [(i, 0, 0, 1 + i % 50, "b") for i in range(6000)]
+    kept = []
+    monkeypatch.setattr(packing, "staged", lambda df: kept.append(staged(df)) or kept[-1])
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, _rank string").repartition(5)
+    out = pack(pieces, 100).collect()
+    layout(out, 100)
+    assert sorted((str(r["doc_id"]), r["length"], r["_rank"]) for r in out) == sorted((str(i), n, t) for i, _, _, n, t in rows)
+    bucket = next(c for c in kept[0].columns if c.startswith("bucket_"))
+    sizes = [r["count"] for r in kept[0].where("doc_id is null").groupBy(bucket).count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 1.3 * 3000 / len(sizes)
+
+
 def test_awkward_documents(spark):
     ids = [None, 1, 1, 3, 4, 5, 5, 7, 8, 9, 10, 11, 12]
     rows = pack_documents(documents(spark, AWKWARD, ids), PATH).collect()
