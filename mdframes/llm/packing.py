@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -10,25 +9,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mdframes.llm.common import shuffle_partitions, staged
 
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")      # no apostrophe: the tokenizer knows contractions
-ODD = "\x1c\x1d\x1e\x1f"    # white space to Python, not to the tokenizer
-CACHE = 700_000             # words at which a worker begins to remember anew
-LONG = 64                   # characters beyond which a word isn't kept
+SIMPLE = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[!-&(-/:-@\\[-`{-~]*)$"       # no apostrophe: the tokenizer knows contractions
+ODD = "[\x1c-\x1f]"         # white space to Arrow, not to the tokenizer
+CACHE = 350_000             # parts of words at which a worker lets go of those that it hasn't met since it last did
+LONG = 64                   # characters beyond which a part isn't kept
+CHUNK = 16 << 20            # bytes of text that are split at once
 
 _encoders: dict[str, Encoder] = {}
 
 
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``at`` of ``flat``, one after the other, and where each of them ends."""
+    sizes = size[at]
+    ends = np.cumsum(sizes)
+    if not len(ends):
+        return flat[:0], ends
+    places = np.arange(ends[-1])
+    places += np.repeat(start[at] - (ends - sizes), sizes)
+    return flat[places], ends
+
+
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes, remembered per white-space separated word.
+    """Token ids as little-endian unsigned 32-bit bytes, worked out once per distinct word of a chunk.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its
     words in turn. It also parts letters from signs: a word of Latin letters and signs after them is
-    looked up as its lower-cased letters and the signs. Other words go through the whole tokenizer.
+    the ids of its lower-cased letters and those of the signs, and both are remembered. Other words go
+    through the whole tokenizer; they are kept behind a blank, which no word holds.
     """
 
     def __init__(self, path: str):
@@ -41,47 +54,69 @@ class Encoder:
         self.spelling = {c: spell(chr(c))[0][0] for c in range(0xC0, 0x100)}      # the model spells bytes as characters
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def part(self, part: str) -> bytes:
         """The ids of a run of lower-case letters, or of signs."""
-        spelt = part if part.isascii() else part.translate(self.spelling)
-        ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]) if (tokens := self.model.tokenize(spelt)) else b""
-        self.parts[part] = ids
+        tokens = self.model.tokenize(part if part.isascii() else part.translate(self.spelling))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+    def parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part. Those met since the last clearing, and those met between the two last, are known."""
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        ids = list(map(self.known.get, parts))
+        rest = []
+        for i, part in enumerate(parts):
+            if ids[i] is None:
+                ids[i] = self.older.get(part)
+                if ids[i] is None:
+                    if part.startswith(" "):
+                        rest.append(i)
+                        continue
+                    ids[i] = self.part(part)
+                if len(part) <= LONG:
+                    self.known[part] = ids[i]
+        for i, found in zip(rest, self.whole([parts[i][1:] for i in rest])):
+            ids[i] = found
+            if len(parts[i]) <= LONG:
+                self.known[parts[i]] = found
         return ids
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.parts) > CACHE:
-            self.parts = {"": b""}
-        get, rest = self.parts.get, []
-        for w in words:
-            if (m := SIMPLE.fullmatch(w)) is None or len(w) > LONG:
-                rest.append(w)
-                continue
-            letters, signs = m[1].lower(), m[2]
-            ids = get(letters)
-            tail = get(signs)
-            self.known[w] = (ids if ids is not None else self.part(letters)) + (tail if tail is not None else self.part(signs))
-        self.known.update(zip(rest, self.whole(rest)))
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for a in range(0, len(texts), 500):
-            part = texts[a:a + 500]
-            odd = {t for t in part if any(c in t for c in ODD)}
-            split = [[] if t in odd else t.split() for t in part]
-            if len(self.known) > CACHE:
-                self.known = {}
-            found = [list(map(self.known.get, words)) for words in split]
-            new = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
-            self.learn(list(new))
-            for t, words, ids in zip(part, split, found):
-                yield self.whole([t])[0] if t in odd else b"".join(map(self.known.__getitem__, words) if None in ids else ids)
-            for w in new:
-                if len(w) > LONG:
-                    del self.known[w]
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words in one array, and where those of each word start and how many they are."""
+        cut = pc.extract_regex(words, SIMPLE)
+        simple = cut.is_valid()
+        letters = pc.if_else(simple, pc.utf8_lower(pc.struct_field(cut, 0)), pc.binary_join_element_wise("", words, " "))
+        both = pa.concat_arrays([letters, pc.if_else(simple, pc.struct_field(cut, 1), "")]).dictionary_encode()
+        found = self.parts(both.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = both.indices.to_numpy().reshape(2, -1).T.ravel()
+        flat, ends = _gather(np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size, size, at)
+        starts = np.append(0, ends[1::2])
+        return flat, starts[:-1], np.diff(starts)
+
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
+        """The ids of each text; a null text has none."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, ODD)
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + CHUNK, side="right")))
+            whole = odd.slice(a, b - a)
+            split = pc.utf8_split_whitespace(pc.if_else(whole, "", texts.slice(a, b - a)))
+            words = split.flatten().dictionary_encode()
+            flat, ends = _gather(*self.words(words.dictionary), words.indices.to_numpy())
+            bounds = np.append(0, ends)[np.cumsum(np.append(0, pc.list_value_length(split).to_numpy()))].tolist()
+            for i, w in enumerate(whole.to_pylist()):
+                yield self.whole([texts[a + i].as_py()])[0] if w else flat[bounds[i]:bounds[i + 1]].tobytes()
+            a = b
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, ids: bool = False) -> DataFrame:
@@ -95,7 +130,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for row, data in enumerate(encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
+            for row, data in enumerate(encoder.encode(batch.column(1))):
                 data += last
                 for piece, a in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[a:a + 4 * capacity]

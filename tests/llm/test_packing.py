@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from mdframes.llm import packing
 from mdframes.llm.common import staged
-from mdframes.llm.packing import pack, pack_documents, plan, token_pieces
+from mdframes.llm.packing import Encoder, pack, pack_documents, plan, token_pieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -64,6 +64,19 @@ def test_packing_is_tight_and_gapless(spark):
     assert pack(pieces.limit(0), 100).count() == 0
 
 
+def test_chunks_and_forgetting_leave_the_ids_alone(monkeypatch):
+    random.seed(4)
+    lexicon = ["".join(random.choices("abcdeé,.'1", k=random.randint(1, 6))) for _ in range(400)]
+    texts = [" ".join(random.choices(lexicon, k=random.randint(0, 60))) for _ in range(300)] + ["x\x1dy"]
+    plain = Encoder(PATH)
+    want = plain.whole(texts)
+    assert list(plain.encode(texts)) == want
+    monkeypatch.setattr(packing, "CACHE", 20)
+    monkeypatch.setattr(packing, "CHUNK", 500)
+    small = Encoder(PATH)
+    assert list(small.encode(texts)) == want and list(small.encode(texts)) == want
+
+
 def test_a_third_of_equal_rows_is_no_hot_group(spark, monkeypatch):
     rows = [(None, 0, 0, 7, "a")] * 3000 + [(i, 0, 0, 1 + i % 50, "b") for i in range(6000)]
     kept = []
