@@ -70,6 +70,17 @@ def table(schema: str, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[n], kinds[k]) for n, k in fields], names=[n for n, _ in fields])
 
 
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``at`` of ``flat``, one after the other, and where each of them ends."""
+    sizes = size[at]
+    ends = np.cumsum(sizes)
+    if not len(ends):
+        return flat[:0], ends
+    places = np.arange(ends[-1])
+    places += np.repeat(start[at] - (ends - sizes), sizes)
+    return flat[places], ends
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The runs of equal ``keys`` (integers) of a sorted partition, one table each."""
     held: list[pa.RecordBatch] = []

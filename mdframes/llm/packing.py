@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mdframes.llm.common import shuffle_partitions, staged
+from mdframes.llm.common import gather, shuffle_partitions, staged
 
 SIMPLE = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[!-&(-/:-@\\[-`{-~]*)$"       # no apostrophe: the tokenizer knows contractions
 ODD = "[\x1c-\x1f]"         # white space to Arrow, not to the tokenizer
@@ -24,17 +24,6 @@ CHUNK = 16 << 20            # bytes of text that are split at once
 _encoders: dict[str, Encoder] = {}
 
 
-def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs ``at`` of ``flat``, one after the other, and where each of them ends."""
-    sizes = size[at]
-    ends = np.cumsum(sizes)
-    if not len(ends):
-        return flat[:0], ends
-    places = np.arange(ends[-1])
-    places += np.repeat(start[at] - (ends - sizes), sizes)
-    return flat[places], ends
-
-
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, worked out once per distinct word of a chunk.
 
@@ -95,7 +84,7 @@ class Encoder:
         found = self.parts(both.dictionary.to_pylist())
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         at = both.indices.to_numpy().reshape(2, -1).T.ravel()
-        flat, ends = _gather(np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size, size, at)
+        flat, ends = gather(np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size, size, at)
         starts = np.append(0, ends[1::2])
         return flat, starts[:-1], np.diff(starts)
 
@@ -112,7 +101,7 @@ class Encoder:
             whole = odd.slice(a, b - a)
             split = pc.utf8_split_whitespace(pc.if_else(whole, "", texts.slice(a, b - a)))
             words = split.flatten().dictionary_encode()
-            flat, ends = _gather(*self.words(words.dictionary), words.indices.to_numpy())
+            flat, ends = gather(*self.words(words.dictionary), words.indices.to_numpy())
             bounds = np.append(0, ends)[np.cumsum(np.append(0, pc.list_value_length(split).to_numpy()))].tolist()
             for i, w in enumerate(whole.to_pylist()):
                 yield self.whole([texts[a + i].as_py()])[0] if w else flat[bounds[i]:bounds[i + 1]].tobytes()

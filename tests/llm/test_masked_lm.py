@@ -49,11 +49,13 @@ def test_scores_are_the_networks_probabilities(spark):
         for k, w in enumerate(ids):
             x = np.concatenate([p["embed"][padded[k + 2 + o]] for o in M.OFFSETS])
             h = np.tanh(x @ p["mix"] + p["shift"])
-            c = M._log_softmax((h @ p["to_class"] + p["class_bias"])[None])[0]
-            z = M._log_softmax((h @ p["to_word"][w // M.IN_CLASS] + p["word_bias"][w // M.IN_CLASS])[None])[0]
-            total += c[w // M.IN_CLASS] + z[w % M.IN_CLASS]
+            first = M._log_softmax((h @ p["to_class"] + p["class_bias"])[None])[0]
+            second = lambda a: M._log_softmax(((h * p["second"][a, :M.HIDDEN]) @ p["to_group"] + p["second"][a, M.HIDDEN:])[None])[0]
+            third = lambda b: M._log_softmax(((h * p["third"][b, :M.HIDDEN]) @ p["to_place"] + p["third"][b, M.HIDDEN:])[None])[0]
+            a, b, c = w // M.IN_CLASS, w // M.CLASSES % M.CLASSES, w % M.CLASSES
+            total += first[a] + second(a)[b] + third(w // M.CLASSES)[c]
             if k == 0:      # all conditional probabilities of a place sum to one
-                every = [np.exp(c[j] + M._log_softmax((h @ p["to_word"][j] + p["word_bias"][j])[None])[0]).sum() for j in range(M.CLASSES)]
+                every = [np.exp(first[i] + second(i)[j] + third(i * M.CLASSES + j)).sum() for i in range(M.CLASSES) for j in range(M.CLASSES)]
                 assert abs(sum(every) - 1) < 1e-4
         assert rows[i]["n_tokens"] == len(ids) and abs(rows[i]["log_likelihood"] - total) < 1e-3 * max(1, len(ids))
         assert (rows[i]["per_token"] is None) == (not ids)
@@ -89,3 +91,43 @@ def test_unseen_words_are_unlikely_and_long_ones_count(spark):
     assert len(set(map(tuple, map(net.ids, [*rare, *unseen])))) == len({*rare, *unseen})
     ids = net.ids(long)
     assert long not in net.vocabulary and np.exp(net.parts["class_bias"][[i // M.IN_CLASS for i in ids]]).max() > 0.01
+
+
+def test_words_are_spelt_with_the_longest_pieces(spark):
+    vocabulary = {w: i for i, w in enumerate(["the", "th", "a", " e", " he", "abcd", " bcd", "é", " é", " 🙂x", "longerword"])}
+    speller = M.Speller(vocabulary)
+
+    def plain(word):
+        if word in vocabulary:
+            return [vocabulary[word]]
+        out, at = [], 0
+        while at < len(word):
+            for n in range(M.PIECE, 0, -1):
+                if (i := vocabulary.get(" " * (at > 0) + word[at:at + n])) is not None:
+                    out.append(i)
+                    at += n
+                    break
+            else:
+                out += [M.TOKENS - M.RARE + b + 256 * (at + k > 0) for k, b in enumerate(word[at].encode())]
+                at += 1
+        return out
+
+    random.seed(6)
+    words = ["".join(random.choices("thebcdaé🙂x日\x00", k=random.randint(0, 9))) for _ in range(3000)] + ["longerword", "longerwords", "the", "thé"]
+    ids, sizes = speller.spell(words)
+    want = [plain(w) for w in words]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert [len(x) for x in M.Speller({}).spell(["ab", ""])] == [2, 2]
+
+
+def test_chunks_leave_the_scores_alone(spark, monkeypatch):
+    texts = [*sentences(20, 5), *AWKWARD, " a b ", "x\u00a0y"]
+    net = M._start([(w, 5) for w in ("the", "cat", "a", " b")], 30, 1)
+    read = lambda: {r["doc_id"]: (r["n_tokens"], round(r["log_likelihood"], 2)) for r in M.score(documents(spark, texts), net).collect()}
+    want = read()
+    assert [want[i][0] for i in range(len(texts))] == [len(net.ids(t)) for t in texts]
+    assert {len(w) for _, at, of in M._split(M.pa.array(texts)) for w in [at]} == {sum(len((t or "").split()) for t in texts)}
+    monkeypatch.setattr(M, "CHUNK", 100)
+    parts = list(M._split(M.pa.array(texts)))
+    assert len(parts) > 10 and sum(len(of) for _, _, of in parts) == len(texts)
+    assert [found[i] for found, at, _ in parts for i in at] == [w for t in texts for w in M.words(t)]
