@@ -131,21 +131,24 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table("a long, b long", {"a": nodes[far], "b": root[far]})
 
 
+def _all_stars(links: DataFrame) -> bool:
+    """Whether different links, each from a larger to a smaller node, are stars that touch nowhere."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(links.select("b", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 or up = 1 and down = 1").count() == 0
+
+
 def connected(links: DataFrame) -> DataFrame:
     """Groups of linked nodes: (node, root), root being the smallest node of the group; nodes without
     links are absent. ``links`` has two long columns.
 
     Links are first contracted within each partition; then large and small stars alternate until
-    nothing changes, logarithmically many rounds. Minima are taken with partial aggregation, so a hub
+    each group is one star, logarithmically many rounds. Minima are taken with partial aggregation, so a hub
     costs no hot task; every round is a written table.
     """
     links = links.toDF("a", "b").filter("a <> b").mapInArrow(_contract, "a long, b long").distinct()
-    links, seen = staged(links), None
-    while True:
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = state
+    links = staged(links)
+    while not _all_stars(links):
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -153,3 +156,4 @@ def connected(links: DataFrame) -> DataFrame:
         small = (large.join(low, "a").filter("b <> m")
                  .select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionAll(low))
         links = staged(small.distinct())
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
