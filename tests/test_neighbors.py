@@ -130,3 +130,15 @@ def test_fewer_copies(spark):
     grid = N._gridded(p, 2.0, [*N.POINT, *N.C.MATRIX]).selectExpr("*", N.CELL_ID.replace(" AS cell", " AS home"))
     half = N._touching(grid).selectExpr("*", N.CELL_ID).where("cell >= home").count()
     assert sent(2.0) < 27 * 200 and half < 14.5 / 27 * (27 * 200) and half < 0.6 * sent(2.0) and plan.count() > 0
+
+
+def test_pairs_do_not_pass_the_driver(spark):
+    """Sides that look small in shuffle files are not broadcast, which would build them in the driver's memory."""
+    frames, pos = cloud(spark)
+    p = N.attach_cell(pos, frames)
+    for pairs in (N.radius_pairs(p, p, 3.0), N.like_pairs(p, 3.0)):
+        assert pairs.count() > 0
+        pairs.collect()
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        joins = [x for x in plan.split("== Initial Plan ==")[0].splitlines() if "Join" in x and "cell#" in x]
+        assert joins and all("SortMergeJoin" in x for x in joins)
