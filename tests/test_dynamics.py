@@ -137,3 +137,20 @@ def test_expanding_slope_has_no_window_over_a_curve(spark):
     assert out.where("slope IS NOT NULL AND abs(slope - 2.0) > 1e-9").count() == 0 and out.where("slope IS NULL").count() == 8
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert all("_b" in x for x in plan.splitlines() if "Window" in x)
+
+
+@pytest.mark.parametrize("lag", [0, 1, 6, 200])
+def test_lag_join_shuffles_rows_and_not_lags(spark, lag):
+    """Negative frames, gaps, repeated and null frames; no row is multiplied by the lags before the shuffle."""
+    frames = [-9, -8, -3, 0, 1, 1, 2, 6, 7, 13, None]
+    df = spark.createDataFrame([(t, f, a, float(k * k), float(a), 0.5) for t in ("s", "t") for a in (1, 2) for k, f in enumerate(frames)], POS)
+    got = D.lag_join(df, ["traj"], "atom_id", lag)
+    assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for t in ("s", "t"):
+        for k, f in enumerate(frames):
+            for m, g in enumerate(frames):
+                if f is not None and g is not None and 0 <= g - f <= lag:
+                    total, n = want.get((t, g - f), (0.0, 0))
+                    want[t, g - f] = total + 2 * (m * m - k * k) ** 2, n + 2
+    assert {(r["traj"], r["lag"]): (r["total"], r["n"]) for r in got.collect()} == want
