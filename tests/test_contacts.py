@@ -151,3 +151,15 @@ def test_long_curves_are_scanned_in_buckets(spark):
         rows = [x for x in plan.splitlines() if "Window" in x]
         # The few bucket summaries are scanned per trajectory, rows per bucket.
         assert rows and all("_b" in x for x in rows) and "explode(sequence(0, (len" not in plan
+
+
+def test_curves_are_dealt_whole(spark, monkeypatch):
+    """A curve's points, wherever they were written, come to one task, so that its sums are shuffled once; long ones come in pieces."""
+    n = 40
+    points = spark.createDataFrame([(k, float(x), 0.5) for x in range(n) for k in range(6)], "k int, x double, y double").repartition(16)
+    ranges = points.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumns({b: F.lit(1.0) for b in R.BOUNDS})
+    tasks = lambda: {r["k"]: (r["t"], r["c"]) for r in R._dealt(points, ranges, ["k"]).withColumn("t", F.spark_partition_id()).groupBy("k").agg(
+        F.count_distinct("t").alias("t"), F.count(F.lit(1)).alias("c")).collect()}
+    assert tasks() == {k: (1, n) for k in range(6)}
+    monkeypatch.setattr(R, "DEALT", 8)
+    assert all(1 < t <= 6 and c == n for t, c in tasks().values())
