@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mdframes.operators.neighbors import short_contacts  # noqa: F401  (part of this surface)
@@ -128,19 +128,22 @@ def entity_counts(atoms: DataFrame, selections: Sequence) -> DataFrame:
     """Entities per trajectory and selection: traj, token, n.
 
     ``atoms`` carries mol_id and atom_type. A molecule matches when it has any (or all) of the
-    selection's types. Types are first reduced to the distinct (molecule, type) pairs.
+    selection's types. One aggregate per molecule holds what all selections ask, so that nothing is multiplied by them.
     """
-    kinds = atoms.groupBy("traj", "mol_id", "atom_type").agg(F.count(F.lit(1)).alias("k"))
-    sel = F.array(*[F.struct(F.lit(s.token).alias("token"), F.array(*[F.lit(t) for t in s.atom_types]).alias("types"),
-                             F.lit(s.mode).alias("mode"), F.lit(s.match).alias("match")) for s in selections])
-    hit = kinds.withColumn("s", F.explode(sel)).select("traj", "mol_id", "k", "s.*", "atom_type")
-    hit = hit.withColumn("_in", F.array_contains("types", F.col("atom_type")))
-    mol = hit.groupBy("traj", "token", "mode", "match", "types", "mol_id").agg(
-        F.sum(F.when(F.col("_in"), F.col("k")).otherwise(0)).alias("n_atoms"),
-        F.count_if("_in").alias("n_types"))
-    matched = F.when(F.col("match") == "all", F.col("n_types") == F.size("types")).otherwise(F.col("n_types") > 0)
-    one = F.when(F.col("mode") == "atom", F.col("n_atoms")).otherwise(matched.cast("long"))
-    return mol.groupBy("traj", "token").agg(F.sum(one).alias("n"))
+    def counted(s, i: int) -> Column:
+        if s.mode == "atom":
+            return F.sum(f"n{i}")
+        n_types = sum((F.col(f"h{i}_{k}").cast("int") for k in range(len(set(s.atom_types)))), F.lit(0))
+        return F.sum((n_types == len(s.atom_types) if s.match == "all" else n_types > 0).cast("long"))
+
+    kind = F.col("atom_type")
+    marks = [m for i, s in enumerate(selections) for m in
+             ([F.count_if(kind.isin(list(s.atom_types))).alias(f"n{i}")] if s.mode == "atom" else
+              [F.coalesce(F.bool_or(kind == t), F.lit(False)).alias(f"h{i}_{k}") for k, t in enumerate(sorted(set(s.atom_types)))])]
+    mol = atoms.groupBy("traj", "mol_id").agg(*marks)
+    each = mol.groupBy("traj").agg(*[counted(s, i).alias(f"c{i}") for i, s in enumerate(selections)])
+    named = F.explode(F.array(*[F.struct(F.lit(s.token).alias("token"), F.col(f"c{i}").alias("n")) for i, s in enumerate(selections)]))
+    return each.select("traj", named.alias("s")).groupBy("traj", "s.token").agg(F.sum("s.n").alias("n"))
 
 
 def type_inventory(atoms: DataFrame) -> DataFrame:
