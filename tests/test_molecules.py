@@ -158,3 +158,28 @@ def test_components_of_scattered_numbers(spark, monkeypatch):
 def test_components_without_bonds(spark):
     atoms = spark.createDataFrame([("a", 1), ("a", 2)], "traj string, atom_id bigint")
     assert M.components(atoms, spark.createDataFrame([], "traj string, a bigint, b bigint")).where("mol_id = atom_id").count() == 2
+
+
+def test_counts_are_not_multiplied_by_selections(spark):
+    """One aggregate per molecule and one per trajectory; null types, null molecules and types asked for twice."""
+    rows = [("t", 1, 7), ("t", 1, 8), ("t", 2, 7), ("t", 2, None), ("t", 3, None), ("t", None, 8), ("u", 1, 9)]
+    mols = spark.createDataFrame(rows, "traj string, mol_id bigint, atom_type int")
+    sel = [SEL.EntitySelection("atoms", (7, 8)), SEL.EntitySelection("any", (7, 8), "molecule"), SEL.EntitySelection("all", (7, 8), "molecule", "all"),
+           SEL.EntitySelection("twice", (7, 7), "molecule", "all"), SEL.EntitySelection("none", (1,), "molecule")]
+    got = M.entity_counts(mols, sel)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hash") <= 2
+    assert {(r["traj"], r["token"]): r["n"] for r in got.collect()} == {
+        ("t", "atoms"): 4, ("t", "any"): 3, ("t", "all"): 1, ("t", "twice"): 0, ("t", "none"): 0,
+        ("u", "atoms"): 0, ("u", "any"): 0, ("u", "all"): 0, ("u", "twice"): 0, ("u", "none"): 0}
+
+
+def test_years_of_frames_are_not_shuffled_by(spark, tmp_path):
+    """Atoms replayed in every year stay where they are read: the join on years moves only the years."""
+    from mdframes.catalog import QUERIES
+    rows = [(k, k % 5, f"{1992 + k % 3}-01-0{1 + k % 9}", "1-URGENT") for k in range(60)]
+    o = spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderdate string, o_orderpriority string")
+    o.withColumn("o_orderdate", F.to_date("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["topology_check"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.orderBy("frame").collect()] == [(1993, 60, 60), (1994, 60, 60)]
+    joins = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "frame#" in x]
+    assert joins and all("BroadcastHashJoin" in x for x in joins)
