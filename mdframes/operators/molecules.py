@@ -6,14 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mdframes.operators.neighbors import short_contacts  # noqa: F401  (part of this surface)
 from mdframes.staging import stage
 
 
-HELD = 1 << 20          # atoms of a range, and bonds that a task contracts together
+HELD = 1 << 20          # atoms of a range; a task contracts up to twice as many bonds together
 
 
 def _lowest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -31,7 +31,8 @@ def _lowest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bonds of a task as stars (traj, u, v), v being the lowest atom that they join u to."""
+    """The bonds of a task, sorted by range, as stars (traj, u, v), v being the lowest atom that they join u to. Whole
+    ranges are contracted together, unless one has more bonds than a task should hold."""
     def stars(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         code = t["traj"].combine_chunks().dictionary_encode()
@@ -46,13 +47,17 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         far = np.flatnonzero(low != np.arange(len(low)))
         yield from pa.table({"traj": code.dictionary.take(pa.array(traj[first[far]])), "u": atom[first[far]], "v": atom[first[low[far]]]}).to_batches(1 << 16)
 
-    held, size = [], 0
+    held, size, last = [], 0, None
     for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
-        if size >= HELD:
-            yield from stars(held)
-            held, size = [], 0
+        part = batch.column(3).to_numpy()
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                if size >= 2 * HELD or size >= HELD // 2 and part[a] != last:
+                    yield from stars(held)
+                    held, size = [], 0
+                held.append(batch.slice(a, b - a))
+                size, last = size + b - a, part[a]
     if size:
         yield from stars(held)
 
@@ -93,31 +98,38 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """A round on shared storage, and the number and hash of its rows, observed while they were written."""
-    seen = Observation()
-    marks = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("traj", "u", "v").cast("decimal(38,0)")).alias("hash")
-    table = stage(edges.observe(seen, *marks), "stars")
-    return table, (seen.get["n"], seen.get["hash"])
+def _unsettled(links: DataFrame) -> DataFrame:
+    """Atoms (traj, node) that have several links down, or are a leaf and a centre at once: a group of links without
+    such an atom is one star."""
+    ends = links.select("traj", F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
+        links.select("traj", "v", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("traj", "node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 OR up = 1 AND down = 1").select("traj", "node")
 
 
 def components(atoms: DataFrame, edges: DataFrame) -> DataFrame:
     """Molecule of each atom: traj, atom_id, mol_id (the lowest atom id of the component).
 
     Bonds are dealt by ranges of atom numbers, which mostly keeps molecules together, and each task first contracts its
-    bonds to stars. Alternating large-star and small-star steps then join
-    what several tasks hold of a molecule: the number of rounds grows with the logarithm of the number of stars in a row. Every round is a written
-    table, whose hash, taken on the way, tells whether anything changed.
+    bonds to stars. Stars that touch no other are whole molecules and stay as they are; alternating large-star and small-star steps
+    join the others: the number of rounds grows with the logarithm of the number of stars in a row. Every round is a written
+    table, and the search ends when all stars stand alone.
     """
     kind = edges.schema["traj"].dataType.simpleString()
     ids = edges.select("traj", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    near = ids.repartition("traj", F.floor(F.col("a") / HELD))
-    cur, mark = _written(near.mapInArrow(_contracted, f"traj {kind}, u long, v long").distinct())
-    while mark[0]:
-        cur, after = _written(_star(_star(cur, True), False))
-        if after == mark:
+    near = ids.withColumn("part", F.xxhash64("traj", F.floor(F.col("a") / HELD))).repartition("part").sortWithinPartitions("part")
+    cur = stage(near.mapInArrow(_contracted, f"traj {kind}, u long, v long").distinct(), "stars")
+    whole = []
+    while True:
+        loose = stage(_unsettled(cur), "loose")
+        if loose.isEmpty():
             break
-        mark = after
+        centres = stage(cur.join(loose.withColumnRenamed("node", "u"), ["traj", "u"], "left_semi").select("traj", "v").unionAll(
+            cur.join(loose.withColumnRenamed("node", "v"), ["traj", "v"], "left_semi").select("traj", "v")).distinct(), "centres")
+        whole.append(cur.join(centres, ["traj", "v"], "left_anti").select("traj", "u", "v"))
+        cur = stage(_star(_star(cur.join(centres, ["traj", "v"], "left_semi"), True), False), "stars")
+    for part in whole:
+        cur = cur.unionByName(part)
     return (atoms.select("traj", "atom_id")
             .join(cur.select("traj", F.col("u").alias("atom_id"), F.col("v").alias("mol_id")),
                   ["traj", "atom_id"], "left")

@@ -141,6 +141,23 @@ def test_long_chain_in_few_rounds(spark, monkeypatch, held, most):
     assert len(rounds) <= most, rounds
 
 
+def test_whole_molecules_are_not_carried_along(spark, monkeypatch):
+    """Molecules of ten atoms in ranges of a thousand: after the first contraction only those over a border are looked at again."""
+    tables = []
+    monkeypatch.setattr(M, "HELD", 1000)
+
+    def stage(df, name, stage=M.stage):
+        tables.append((name, stage(df, name)))
+        return tables[-1][1]
+
+    monkeypatch.setattr(M, "stage", stage)
+    edges = spark.range(19_999).where("id % 10 <> 4").selectExpr("'t' AS traj", "id AS a", "id + 1 AS b")
+    out = M.components(spark.range(20_000).selectExpr("'t' AS traj", "id AS atom_id"), edges)
+    assert out.where("mol_id <> greatest(0, (atom_id + 5) div 10 * 10 - 5)").count() == 0
+    first, *later = [t.count() for name, t in tables if name == "stars"]
+    assert first > 17_000 and sum(later) < 500, (first, later)
+
+
 def test_components_of_scattered_numbers(spark, monkeypatch):
     """Bonds between any atoms of several trajectories, in ranges of a few atoms; the same number in two trajectories is two atoms."""
     monkeypatch.setattr(M, "HELD", 16)
