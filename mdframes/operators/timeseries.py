@@ -20,6 +20,13 @@ MEASURES = ["potential_kcal_mol", "kinetic_kcal_mol", "total_energy_kcal_mol", "
             "pressure_atm", "a_A", "b_A", "c_A", "alpha_deg", "beta_deg", "gamma_deg", "volume_A3",
             "density_g_cm3"]
 CELL_A = ["a_A", "b_A", "c_A", "alpha_deg", "beta_deg", "gamma_deg"]
+ROWS_PER_TASK = 200_000     # rows that a task of the as-of join sorts
+
+
+def _tasks(*tables: DataFrame) -> int:
+    """How many tasks the rows of some tables are dealt to: the session's number of partitions, or more if a task would sort too many rows."""
+    rows = sum(t.count() for t in tables)
+    return max(int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_TASK))
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str] = RUN, time: str = "time_ps",
@@ -32,7 +39,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str] = RUN, t
     other than keys and time get ``suffix`` on the right; ``time + suffix`` is the matched time.
 
     Both sides are unioned and scanned once per time bucket of ``width``; the nearest rows outside
-    a bucket arrive as bucket summaries, so a long run is not one task.
+    a bucket arrive as bucket summaries, so a long run is not one task. Buckets are dealt to as many tasks as the
+    rows ask for: a task sorts the same number of rows, however many there are.
     """
     values = [c for c in right.columns if c not in {*keys, time}]
     lcols = [c for c in left.columns if c not in {*keys, time}]
@@ -47,7 +55,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str] = RUN, t
     rpart = right.select(*keys, time, F.lit(0).alias("_side"), order.alias("_o"), payload.alias("_r"))
     both = lpart.unionByName(rpart, allowMissingColumns=True).withColumn("_b", F.floor(F.col(time) / width))
     both = with_carry(both, keys, "_b", [time, "_side", "_o"], lasts={"_before": F.col("_r")},
-                      nexts={"_after": F.col("_r")})
+                      nexts={"_after": F.col("_r")}, tasks=_tasks(left, right))
     w = Window.partitionBy(*keys, "_b").orderBy(time, "_side", "_o")
     back = F.coalesce(F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
                       F.col("_before"))

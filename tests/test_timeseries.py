@@ -25,6 +25,16 @@ def test_asof_equals_brute_force(spark, tolerance, width):
     assert out.count() == 60
 
 
+def test_asof_deals_rows_to_bounded_tasks(spark, monkeypatch):
+    """No task sorts more than a few buckets, however many rows there are for the session's number of partitions."""
+    monkeypatch.setattr(TS, "ROWS_PER_TASK", 400, raising=False)
+    left, right = (spark.range(10_000).selectExpr("'s' AS series", "1 AS run_index", f"id + {d} AS time_ps", f"id AS {n}") for d, n in ((0.0, "l"), (0.25, "r")))
+    out = TS.asof_nearest(left, right, width=50.0).withColumn("task", F.spark_partition_id())
+    tasks = [r["count"] for r in out.groupBy("task").count().collect()]
+    assert sum(tasks) == 10_000 and len(tasks) > 30 and max(tasks) < 800
+    assert out.where("r <> l").count() == 0
+
+
 def test_asof_tie_takes_the_earlier_row(spark):
     out = TS.asof_nearest(side(spark, [(10, 0)], "l"), side(spark, [(5, 1), (15, 2)], "r"), tolerance=5.0)
     assert out.first()["time_ps_log"] == 5.0
