@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mdframes.functions import cell as C
 from mdframes.functions import scalars as X
-from mdframes.operators.scan import fold, previous, running, with_carry
+from mdframes.operators.scan import fold, previous, running, tasks_for, with_carry
 from mdframes.staging import stage
 
 RUN = ["series", "run_index"]
@@ -23,12 +23,6 @@ CELL_A = ["a_A", "b_A", "c_A", "alpha_deg", "beta_deg", "gamma_deg"]
 ROWS_PER_TASK = 200_000     # rows that a task of the as-of join sorts
 
 
-def _tasks(*tables: DataFrame) -> int:
-    """How many tasks the rows of some tables are dealt to: the session's number of partitions, or more if a task would sort too many rows."""
-    rows = sum(t.count() for t in tables)
-    return max(int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_TASK))
-
-
 def asof_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str] = RUN, time: str = "time_ps",
                  tolerance: float | None = None, width: float = 10_000.0, suffix: str = "_log",
                  right_order: Sequence[str] = ()) -> DataFrame:
@@ -55,7 +49,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str] = RUN, t
     rpart = right.select(*keys, time, F.lit(0).alias("_side"), order.alias("_o"), payload.alias("_r"))
     both = lpart.unionByName(rpart, allowMissingColumns=True).withColumn("_b", F.floor(F.col(time) / width))
     both = with_carry(both, keys, "_b", [time, "_side", "_o"], lasts={"_before": F.col("_r")},
-                      nexts={"_after": F.col("_r")}, tasks=_tasks(left, right))
+                      nexts={"_after": F.col("_r")}, tasks=tasks_for(left.count() + right.count(), ROWS_PER_TASK, left.sparkSession))
     w = Window.partitionBy(*keys, "_b").orderBy(time, "_side", "_o")
     back = F.coalesce(F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
                       F.col("_before"))

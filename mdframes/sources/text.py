@@ -13,10 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdframes.operators.scan import running
+from mdframes.operators.scan import running, tasks_for
 from mdframes.staging import stage
 
 LINE = ["file", "block", "seq"]
+LINES_PER_STRETCH = 1 << 16     # a block may have millions of lines
+LINES_PER_TASK = 100_000        # lines that a task numbers
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
@@ -31,8 +33,13 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """Add ``ln``, the line number in its file, counting from 1."""
-    return running(lines, ["file"], "block", ["seq"], {"ln": F.lit(1)})
+    """Add ``ln``, the line number in its file, counting from 1, and ``stretch``, the part of the block a line stands in.
+
+    Lines are dealt by stretches to as many tasks as there are lines for, so that no task sorts whole blocks.
+    """
+    df = lines.withColumn("stretch", F.struct("block", F.floor(F.col("seq") / LINES_PER_STRETCH).alias("part")))
+    tasks = tasks_for(lines.count(), LINES_PER_TASK, lines.sparkSession)
+    return running(df, ["file"], "stretch", ["seq"], {"ln": F.lit(1)}, tasks)
 
 
 def stem(file: Column | str = "file") -> Column:

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mdframes.operators.scan import fold, with_carry
+from mdframes.operators.scan import fold, tasks_for, with_carry
 from mdframes.schema import CELL, XYZ
 from mdframes.sources.pdb import Trajectory
-from mdframes.sources.text import numbered, read_lines, stem
+from mdframes.sources.text import LINES_PER_TASK, numbered, read_lines, stem
 from mdframes.staging import stage
 
 TOK = "split(trim(line), '\\\\s+')"
@@ -92,12 +92,12 @@ def _heads(df: DataFrame, width: int) -> DataFrame:
 
 def _placed(lines: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """Every line with its frame and its place there (file, frame, part, n_atoms, boxed, line), and the frames."""
-    df = numbered(lines.where(F.length(F.trim("line")) > 0)).select("file", "block", "ln", "line")
+    df = numbered(lines.where(F.length(F.trim("line")) > 0)).select("file", "stretch", "ln", "line")
     heads = _heads(df, width)
     mine = heads.select("file", "ln", F.struct("ln", "frame", "n_atoms", "boxed").alias("own"))
     df = df.join(mine, ["file", "ln"], "left")
-    df = with_carry(df, ["file"], "block", ["ln"], lasts={"before": F.col("own")})
-    inside = Window.partitionBy("file", "block").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
+    df = with_carry(df, ["file"], "stretch", ["ln"], lasts={"before": F.col("own")})
+    inside = Window.partitionBy("file", "stretch").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("h", F.coalesce(F.last("own", ignorenulls=True).over(inside), F.col("before")))
     return df.selectExpr("file", "line", "h.frame AS frame", "ln - h.ln AS part", "h.n_atoms AS n_atoms", "h.boxed AS boxed"), heads
 
@@ -134,8 +134,9 @@ def parse_xyz(lines: DataFrame, traj: Column | None = None, width: int = LINES_P
     atoms = body.where("frame = 0").selectExpr("*", f"{TOK} AS toks").selectExpr("traj", "atom_id", "name", "atom_type", """filter(transform(
         slice(toks, 7, greatest(0, coalesce(nullif(array_position(transform(slice(toks, 7, size(toks)), t -> try_cast(t AS bigint) IS NULL), true), 0) - 1,
                                             size(toks) - 6))), t -> try_cast(t AS bigint)), b -> b > 0) AS bonds""")
-    twice = atoms.groupBy("traj", "atom_id").agg(F.count(F.lit(1)).alias("_k"))
-    atoms = atoms.join(twice, ["traj", "atom_id"]).withColumn("atom_id", F.expr(
+    tasks = tasks_for(body.where("frame = 0").count(), LINES_PER_TASK, body.sparkSession)
+    atoms = atoms.repartition(tasks, "traj", "atom_id").withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("traj", "atom_id")))
+    atoms = atoms.withColumn("atom_id", F.expr(
         "CASE WHEN _k > 1 THEN bigint(raise_error(concat('repeated atom id ', atom_id, ' in ', traj))) ELSE atom_id END")).drop("_k")
     return Trajectory(ends, atoms, positions)
 

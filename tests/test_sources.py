@@ -2,6 +2,7 @@ import gzip
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from mdframes.sources import logs, pdb, sinks, text, xyz
 
@@ -307,3 +308,20 @@ def test_csv_files_hold_the_order(spark, tmp_path):
         assert head == "k,v"
         keys += [int(r.split(",")[0]) for r in rows]
     assert keys == list(range(5000))
+
+
+def test_lines_of_a_block_are_dealt_to_bounded_tasks(spark, tmp_path, monkeypatch):
+    """One file in one block: its lines are numbered in order by many tasks, and an archive's atoms are parsed by as many."""
+    monkeypatch.setattr(text, "LINES_PER_STRETCH", 64, raising=False)
+    for module in (text, xyz):
+        monkeypatch.setattr(module, "LINES_PER_TASK", 200, raising=False)
+    (tmp_path / "a.xyz").write_text("6000 long\n" + "".join(f"{k} Li 0.0 1.0 2.5 7 {k + 1} # 5\n" for k in range(1, 6001)))
+    lines = text.read_lines(spark, str(tmp_path)).coalesce(1)
+    found = text.numbered(lines).withColumn("task", F.spark_partition_id())
+    assert found.where("ln <> 1 AND line NOT LIKE concat(ln - 1, ' Li%')").count() == 0 and found.agg(F.max("ln")).first()[0] == 6001
+    tasks = [r["count"] for r in found.groupBy("task").count().collect()]
+    assert len(tasks) > 15 and max(tasks) < 1000, tasks
+    atoms = xyz.parse_xyz(lines).atoms
+    assert atoms.count() == 6000 and atoms.where("bonds <> array(atom_id + 1)").count() == 0
+    tasks = [r["count"] for r in atoms.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()]
+    assert len(tasks) > 15 and max(tasks) < 1000, tasks
