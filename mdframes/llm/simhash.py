@@ -29,7 +29,7 @@ def _shingles(text: str | None, width: int, seed: int) -> list[int]:
     return [h(line[a:b - 1], seed) for a, b in zip([0, *ends], ends[width - 1:])]
 
 
-def _majority(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def majority(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The fingerprint of each run of hashes: bit set where over half of the run has it."""
     at, counts = 0, np.zeros((len(starts), 64), np.int64)
     # Eight bit positions share a word of byte counters, summed over at most 255 hashes at a time.
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
                 full = np.flatnonzero(sizes)
                 if len(full):
                     n = sizes[full]
-                    fp[full] = _majority(np.concatenate(found), np.cumsum(n) - n, n)
+                    fp[full] = majority(np.concatenate(found), np.cumsum(n) - n, n)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
