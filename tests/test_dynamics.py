@@ -154,3 +154,20 @@ def test_lag_join_shuffles_rows_and_not_lags(spark, lag):
                     total, n = want.get((t, g - f), (0.0, 0))
                     want[t, g - f] = total + 2 * (m * m - k * k) ** 2, n + 2
     assert {(r["traj"], r["lag"]): (r["total"], r["n"]) for r in got.collect()} == want
+
+
+def test_tile_sums_keep_series_apart():
+    """One call gives the sums of every series, so series of many keys are worked on together."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows = np.repeat(np.arange(5), 7)
+    frames = np.tile(np.arange(7), 5)
+    keep = rng.random(35) < 0.8
+    rows, frames, a = rows[keep], frames[keep], rng.random((int(keep.sum()), 3))
+    total, n = D._tile_sums(0, 5, rows, frames, a, None, 8, 0, 4)
+    assert total.shape == n.shape == (5, 4)
+    for s in range(5):
+        at = {f: v for f, v in zip(frames[rows == s], a[rows == s])}
+        for lag in range(4):
+            steps = [float(((at[f + lag] - at[f]) ** 2).sum()) for f in at if f + lag in at]
+            assert n[s, lag] == len(steps) and abs(total[s, lag] - sum(steps)) < 1e-9
