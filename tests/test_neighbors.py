@@ -142,3 +142,15 @@ def test_pairs_do_not_pass_the_driver(spark):
         plan = pairs._jdf.queryExecution().executedPlan().toString()
         joins = [x for x in plan.split("== Initial Plan ==")[0].splitlines() if "Join" in x and "cell#" in x]
         assert joins and all("SortMergeJoin" in x for x in joins)
+
+
+def test_thin_frames_get_few_cells(spark):
+    """Cells of a thin frame hold some atoms each instead of being a cutoff thick, and the pairs are the same."""
+    from mdframes import views as V
+    rng = random.Random(5)
+    rows = [("t", f, i, *[rng.random() * 20.0 for _ in "xyz"]) for f in range(2) for i in range(60)]
+    p = V.in_cubic_box(spark.createDataFrame(rows, "traj string, frame bigint, atom_id bigint, x double, y double, z double"))
+    assert N._most_cells(p) == 2 and N._most_cells(p.where("atom_id < 31")) == 1 and N._most_cells(p.where("atom_id < 0")) == 1
+    got = sorted((r["frame"], min(r["i"], r["j"]), max(r["i"], r["j"])) for r in N.like_pairs(p, 3.0).collect())
+    near = lambda a, b: sum(min(abs(u - v), 20.0 - abs(u - v)) ** 2 for u, v in zip(a[3:], b[3:])) <= 9.0
+    assert got == sorted((a[1], a[2], b[2]) for a in rows for b in rows if a[1] == b[1] and a[2] < b[2] and near(a, b))
