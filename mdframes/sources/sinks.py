@@ -9,10 +9,18 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS_PER_FILE = 1_000_000
+
 
 def write_series(df: DataFrame, path: str, by: Sequence[str] = ("series",), fmt: str = "parquet") -> None:
-    """One folder per series below one table; only the series present are replaced."""
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
+    """One folder per series below one table; only the series present are replaced.
+
+    Rows are counted, then dealt by series, a large table's series to several tasks each, so that not every task writes a file for
+    every series. A costly table is best staged before.
+    """
+    parts, others = 1 + df.count() // ROWS_PER_FILE, [c for c in df.columns if c not in by]
+    part = F.pmod(F.xxhash64(*others), F.lit(parts)) if others else F.lit(0)
+    writer = df.repartition(*by, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
     (writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path))
 
 

@@ -325,3 +325,12 @@ def test_lines_of_a_block_are_dealt_to_bounded_tasks(spark, tmp_path, monkeypatc
     assert atoms.count() == 6000 and atoms.where("bonds <> array(atom_id + 1)").count() == 0
     tasks = [r["count"] for r in atoms.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()]
     assert len(tasks) > 15 and max(tasks) < 1000, tasks
+
+
+def test_a_series_is_written_by_one_task(spark, tmp_path):
+    """Not every task writes a file for every series."""
+    from mdframes.sources import sinks
+    df = spark.range(0, 400, 1, 8).selectExpr("id", "concat('s', id % 10) AS series")
+    sinks.write_series(df, str(tmp_path / "t"))
+    assert len(list((tmp_path / "t").glob("series=*/*.parquet"))) == 10
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 400
