@@ -163,3 +163,46 @@ def test_curves_are_dealt_whole(spark, monkeypatch):
     assert tasks() == {k: (1, n) for k in range(6)}
     monkeypatch.setattr(R, "DEALT", 8)
     assert all(1 < t <= 6 and c == n for t, c in tasks().values())
+
+
+def shell(spark, trajs, frames=14):
+    """One cation and one molecule per trajectory; the three contact atoms stand at given distances, far off in some frames."""
+    from mdframes.sources.pdb import Trajectory
+    kinds = [("Li", "LI", 6), ("N", "FSA", 72), ("O", "FSA", 81), ("S", "FSA", 164)]
+    atoms = [(t, k, e, e, r, "A", k and 1, "", a, e) for t in trajs for k, (e, r, a) in enumerate(kinds)]
+    boxes = [(t, f, 4, 20.0, 20.0, 20.0, 90.0, 90.0, 90.0) for t in trajs for f in range(frames)]
+    away = {1: lambda f: f % 4 == 3, 2: lambda f: f % 4 == 3, 3: lambda f: True}
+    pos = [(t, f, k, 1.0 + (0.0 if k == 0 else far if away[k](f) else near), 1.0, 1.0)
+           for t, (near, far) in trajs.items() for f in range(frames) for k in range(4)]
+    return Trajectory(
+        spark.createDataFrame(boxes, "traj string, frame bigint, n_atoms bigint, a double, b double, c double, alpha double, beta double, gamma double"),
+        spark.createDataFrame(atoms, "traj string, atom_id bigint, name string, element string, resname string, chain string, resid bigint, icode string, "
+                                     "atom_type int, site string"),
+        spark.createDataFrame(pos, "traj string, frame bigint, atom_id bigint, x double, y double, z double"))
+
+
+def test_residence_of_others_when_one_has_no_minimum(spark):
+    from mdframes.operators import selection as SEL
+    from mdframes.plans import residence as P
+
+    def run(trajs):
+        return P.residence(shell(spark, trajs), "Li", SEL.Target("FSA", ("72",)), ["N", "O", "S"], 0.2, rmax=6.0, bins=60, bandwidth=0.3, hysteresis=0.5)
+
+    good = {"a": (2.05, 4.55), "b": (2.55, 5.05)}       # a shell, and another behind a gap
+    alone, out = run(good), run({**good, "flat": (3.05, 3.05), "none": (9.05, 9.05)})
+    cut = {r["traj"]: (r["r_on"] is not None, r["r_off"] is not None, r["cutoff_source"]) for r in out.cutoffs.collect()}
+    assert cut == {"a": (True, True, "RDF_first_minimum"), "b": (True, True, "RDF_first_minimum"),
+                   "flat": (False, False, "no_separated_minimum"), "none": (False, False, "no_first_shell_peak")}
+    for name in ("events", "coordination", "relaxation"):
+        want, got = ([sorted(map(str, getattr(x, name).collect()))] for x in (alone, out))
+        assert got == want and want[0]
+    known = out.correlations.where("traj IN ('a', 'b')")
+    assert sorted(map(str, known.collect())) == sorted(map(str, alone.correlations.collect()))
+    assert out.correlations.where("traj NOT IN ('a', 'b') AND value IS NOT NULL").count() == 0
+    assert out.summary.columns == alone.summary.columns
+    assert sorted(map(str, out.summary.where("traj IN ('a', 'b')").collect())) == sorted(map(str, alone.summary.collect()))
+    rest = {r["traj"]: r.asDict() for r in out.summary.where("traj NOT IN ('a', 'b')").collect()}
+    assert set(rest) == {"flat", "none"}
+    for traj, r in rest.items():
+        r = {k: v for k, v in r.items() if v is not None}
+        assert r == {"traj": traj, "n_frames": 14, "n_molecules": 1, "n_cations": 1, "cutoff_source": cut[traj][2]}
